@@ -138,7 +138,7 @@ def _sizes_fit(a: str, b: str, threshold: int) -> Column:
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """Of the pairs (a, b) of doc_ids, those whose full sets are similar enough. ``pairs`` should be stored."""
+    """Of the pairs (a, b) of doc_ids, those whose full sets are similar enough, stored. ``pairs`` should be stored."""
     ids = T.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     wanted = T.with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "left_semi")
     # rows that share a doc_id: the one with the smallest set stands for it
@@ -146,26 +146,38 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: int) -
     with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
     both = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.select("a", "b", common.alias("common"), (F.col("na") + F.col("nb") - common).alias("union")).filter(F.col("common") * 100 >= F.col("union") * threshold)
+    kept = both.select("a", "b", common.alias("common"), (F.col("na") + F.col("nb") - common).alias("union")).filter(F.col("common") * 100 >= F.col("union") * threshold)
+    return T.stored(kept.select("a", "b"))
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """(id, label) of a forest (id, to): where the pointers end, which double in length each round."""
+    at = T.stored(parents.withColumn("moved", F.lit(True)))
+    while not at.filter("moved").isEmpty():
+        x, y = at.alias("x"), at.alias("y")
+        at = T.stored(x.join(y, F.col("x.to") == F.col("y.id"), "left").select("x.id", F.coalesce("y.to", "x.to").alias("to"), F.col("y.to").isNotNull().alias("moved")))
+    return at.select("id", F.col("to").alias("label"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id reachable from each id in ``edges`` (a, b).
 
-    Each round points every id at its smallest neighbour, twice over, and contracts the edges, so
-    they shrink until none is left.
+    Each round points every id at its smallest neighbour, follows the pointers to their ends and
+    contracts the edges, so at least half of the ids that still have edges go.
     """
-    edges = T.stored(edges.select("a", "b").filter("a <> b").distinct())
-    labels = T.stored(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("label", F.col("id")))
+    edges = T.stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        near = T.stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")).select("id", F.least("id", "to").alias("to")))
-        step = near.alias("x").join(near.alias("y"), F.col("x.to") == F.col("y.id")).select(F.col("x.id").alias("id"), F.col("y.to").alias("to"))
-        step = T.stored(step)
-        labels = T.stored(labels.join(step.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
-        a = edges.join(step.select(F.col("id").alias("a"), F.col("to").alias("a2")), "a").join(step.select(F.col("id").alias("b"), F.col("to").alias("b2")), "b")
-        edges = T.stored(a.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter("a <> b").distinct())
-    return labels
+        step = roots(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")).filter("to < id"))
+        grown = labels.join(step.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")) if labels else step
+        if labels:
+            grown = grown.union(step.join(labels, "id", "left_anti"))
+        labels = T.stored(grown)
+        of = lambda c: step.select(F.col("id").alias(c), F.col("label").alias(f"{c}2"))
+        moved = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
+        edges = T.stored(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -177,42 +189,44 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
         raise ValueError("the bands are made for a similarity of 0.8 and more")
     base = sketches(docs, shingle)
     base = T.stored(base.withColumn("h1", F.when(F.col("n") > 0, F.col("h1")).otherwise(F.xxhash64("doc_id"))))
-    classes = T.stored(base.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
-    reps = base.join(classes.filter("n > 0").select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"]).dropDuplicates(["doc_id"])
-    sketch = reps.select(F.col("doc_id").alias("rep"), "n", *_ODD)
+    # sketches depend on the set alone, so any row of a class has them
+    same = [F.first(c).alias(c) for c in (*_ODD, "bands")]
+    reps = T.stored(base.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *same))
+    full = reps.filter("n > 0 and rep is not null")
 
-    keys = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
+    keys = full.select(F.explode("bands").alias("key"), "rep")
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1").select("key", "hub")
     buckets = T.stored(keys.join(hubs, "key"))
-    asked = T.stored(buckets.filter("rep <> hub").select("rep", "hub").distinct())
-    known = T.stored(sketch.join(buckets.select("rep").distinct(), "rep"))
-    a, b = known.alias("x"), known.alias("y")
+    asked = buckets.filter("rep <> hub").select("rep", "hub").distinct()
+    sketch = full.select("rep", "n", *_ODD)
     offered = (
-        asked.join(a.select(*[F.col(f"x.{c}") for c in known.columns]).alias("x"), "rep")
-        .join(b.select(F.col("y.rep").alias("hub"), *[F.col(f"y.{c}") for c in known.columns[1:]]).alias("y"), "hub")
+        asked.join(sketch.alias("x"), "rep").drop(F.col("x.rep")).alias("x")
+        .join(sketch.withColumnRenamed("rep", "other").alias("y"), F.col("x.hub") == F.col("y.other"))
         .filter(_sizes_fit("x", "y", threshold) & (_odd_distance("x", "y") <= MOST_ODD))
-        .select("rep", "hub", _odd_distance("x", "y").alias("d"))
-    )
-    first = T.stored(offered.groupBy("rep").agg(F.min(F.struct("d", "hub")).alias("best")).select(F.col("rep").alias("b"), F.col("best.hub").alias("a")))
-    links = T.stored(confirmed(docs, first, shingle, threshold).select("a", "b"))
+        .select("x.rep", "x.hub", _odd_distance("x", "y").alias("d"))
+    )
+    first = T.stored(offered.groupBy("rep").agg(F.min(F.struct("d", "hub")).alias("best")).select(F.col("best.hub").alias("a"), F.col("rep").alias("b")))
+    # a hub is smaller than its member and each member has one, so the confirmed links are a forest
+    labels = roots(confirmed(docs, first, shingle, threshold).select(F.col("b").alias("id"), F.col("a").alias("to")))
 
-    labels = components(links)
-    member = buckets.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    member = T.stored(member)
+    member = T.stored(buckets.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")))
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    rest = T.stored(member.join(mixed, "key").join(known, "rep"))
+    rest = T.stored(member.join(mixed, "key").join(sketch, "rep"))
     x, y = rest.alias("x"), rest.alias("y")
     cross = (
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _sizes_fit("x", "y", threshold) & (_odd_distance("x", "y") <= MOST_ODD))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    more = confirmed(docs, T.stored(cross), shingle, threshold).select("a", "b")
-    joined = labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)
-    final = components(joined)
-
-    named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component_id"))
+    cross = T.stored(cross)
+    if not cross.isEmpty():
+        more = confirmed(docs, cross.select("a", "b").distinct(), shingle, threshold)
+        joined = components(cross.join(more, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        moved = joined.select(F.col("id").alias("label"), F.col("label").alias("to"))
+        labels = T.stored(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")).union(joined.join(labels, "id", "left_anti")))
+
+    named = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component_id"))
     out = base.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
