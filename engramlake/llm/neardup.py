@@ -1,17 +1,20 @@
 """Near-duplicate groups by MinHash bands, odd sketches and confirmed Jaccard similarity.
 
-1. A pass over the texts makes, for each document, MinHash samples of its shingle set, the keys of
-   32 bands of 4 samples, and an odd sketch: the samples folded into a parity bitmap, so that the
-   population count of two bitmaps' XOR estimates the similarity of two documents.
+1. A pass over the texts makes, for each document, the keys of 32 bands of 4 MinHash samples of its
+   shingle set, and an odd sketch: the minima of 2^15 bins of one permutation (MinHash samples too)
+   folded into a parity bitmap, so that the population count of two bitmaps' XOR tells how many
+   samples differ. For sets of up to some thousand shingles that is nearly exact; for sets far beyond
+   20,000 the bitmap fills up and rules nothing out, which leaves more pairs to the full sets.
 2. Documents of equal sets form a class, which one of them stands for from then on.
 3. Each band bucket offers its members one hub, the smallest id; the sketches pick the best hub of
    each member; full sets confirm the link. These links' components become labels.
 4. Only members of one bucket with different labels are then compared with each other: sketches
    inside the join, full sets after it. Links inside a component change nothing, so none is lost.
 
-A pair of similarity 0.8 misses all bands with probability (1 - 0.8^4)^32 < 1e-7. The sketch cut
-lies at an estimate of 0.5, over seven standard deviations below 0.8. No group is collected, and
-there is no cap on buckets or partners.
+A pair of similarity 0.8 misses all bands with probability (1 - 0.8^4)^32 < 1e-7. The sketches drop
+a pair only if its equal samples are five standard deviations fewer than a similarity at the
+threshold makes. A pair is put out in the first bucket that it shares, once. No group is collected,
+and there is no cap on buckets or partners.
 
 Edge cases: null text and text without words have an empty set, are linked with nothing and are
 kept; fewer words than a shingle make one shingle; rows that share a doc_id count as one document;
@@ -29,11 +32,13 @@ from pyspark.sql import functions as F
 
 from engramlake.llm import text as T
 
-BANDS, ROWS, BITS = 32, 4, 512
+BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
+#: Bins of the one-permutation samples, and bits of the parity bitmap that they are folded into.
+BINS, BITS = 1 << 15, 4096
 SHINGLE, THRESHOLD = 5, 80
-#: Of the XOR's population count: its mean for a similarity of 0.5.
-MOST_ODD = int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * 0.5 / BITS)))
+#: Standard deviations by which a sketch must miss the threshold.
+SURE = 5.0
 
 _rng = np.random.default_rng(71)
 _MUL = _rng.integers(0, 2**31, SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -74,7 +79,7 @@ def _sketch(c: T.Chunk, k: int) -> dict[str, np.ndarray]:
     s, at = shingle_sets(c, k)
     n = np.diff(at)
     rows = np.flatnonzero(n)
-    out = {"n": n, "h1": np.zeros(c.rows, np.int64), "h2": np.zeros(c.rows, np.int64), "bands": np.zeros((c.rows, BANDS), np.int64)} | {o: np.zeros(c.rows, np.int64) for o in _ODD}
+    out = {"n": n, "m": np.zeros(c.rows, np.int64), "h1": np.zeros(c.rows, np.int64), "h2": np.zeros(c.rows, np.int64), "bands": np.zeros((c.rows, BANDS), np.int64)} | {o: np.zeros(c.rows, np.int64) for o in _ODD}
     if not len(rows):
         return out
     first = at[rows]
@@ -88,27 +93,38 @@ def _sketch(c: T.Chunk, k: int) -> dict[str, np.ndarray]:
     for j in range(ROWS):
         key = T.mix(key * np.uint64(0xA24BAED4963EE407) + m[j::ROWS].astype(np.uint64))
     out["bands"][rows] = key.view(np.int64).T
-    bit = T.mix(m.astype(np.uint64) + (np.arange(1, SAMPLES + 1, dtype=np.uint64) << np.uint64(32))[:, None]) % np.uint64(BITS)
-    parity = np.bincount((bit.astype(np.int64) + np.arange(len(rows)) * BITS).ravel(), minlength=len(rows) * BITS) & 1
-    for o, v in zip(_ODD, np.packbits(parity.astype(np.uint8).reshape(len(rows), BITS), axis=1).view(np.int64).T, strict=True):
+    row = np.repeat(np.arange(len(rows)), n[rows])
+    cell = (s >> np.uint64(49)).astype(np.int64) + row * BINS
+    least = s[np.concatenate([[True], cell[1:] != cell[:-1]])]  # the first of each bin, as rows are sorted
+    of = row[np.concatenate([[True], cell[1:] != cell[:-1]])]
+    bit = (T.mix(least ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(BITS - 1)).astype(np.int64)
+    out["m"][rows] = np.bincount(of, minlength=len(rows))
+    odd = np.empty((len(rows), len(_ODD)), np.int64)
+    cut = np.searchsorted(of, np.arange(0, len(rows) + 256, 256))
+    for i in range(0, len(rows), 256):
+        k = min(256, len(rows) - i)
+        part = slice(cut[i // 256], cut[i // 256 + 1])
+        parity = np.bincount(bit[part] + (of[part] - i) * BITS, minlength=k * BITS) & 1
+        odd[i : i + k] = np.packbits(parity.astype(np.uint8).reshape(k, BITS), axis=1).view(np.int64)
+    for o, v in zip(_ODD, odd.T, strict=True):
         out[o][rows] = v
     return out
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n (set size), h1 and h2 (of the set), bands, o0 to o7 (the odd sketch)."""
+    """doc_id, n (set size), m (samples in the sketch), h1 and h2 (of the set), bands, o0 to o63 (the odd sketch)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [_sketch(c, shingle) for c in T.chunks(batch.column("text"))]
         cols = {"doc_id": batch.column("doc_id")}
-        for k in ("n", "h1", "h2", *_ODD):
+        for k in ("n", "m", "h1", "h2", *_ODD):
             cols[k] = pa.array(np.concatenate([p[k] for p in parts]))
         bands = np.concatenate([p["bands"] for p in parts])
         cols["bands"] = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.ravel())
         return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id bigint, n bigint, h1 bigint, h2 bigint, " + ", ".join(f"{o} bigint" for o in _ODD) + ", bands array<bigint>"
+    schema = "doc_id bigint, n bigint, m bigint, h1 bigint, h2 bigint, " + ", ".join(f"{o} bigint" for o in _ODD) + ", bands array<bigint>"
     return T.by_batch(read, run, schema)
 
 
@@ -132,14 +148,26 @@ def _odd_distance(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{o}").bitwiseXOR(F.col(f"{b}.{o}"))) for o in _ODD])
 
 
-def _sizes_fit(a: str, b: str, threshold: int) -> Column:
+def _may_link(a: str, b: str, threshold: int) -> Column:
+    """False only where set sizes rule a link out, or the sketches do by SURE standard deviations."""
+    t = threshold / 100
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (x * 100 >= y * threshold) & (y * 100 >= x * threshold)
+    fits = (x * 100 >= y * threshold) & (y * 100 >= x * threshold)
+    # at the threshold: size of the union, bins that it fills, equal samples, different samples, odd bits
+    union = (x + y) / (1 + t)
+    filled = BINS * (1 - F.exp(-union / BINS))
+    equal = t * filled
+    differ = F.greatest(F.col(f"{a}.m") + F.col(f"{b}.m") - 2 * equal, F.lit(0.0))
+    left = F.exp(-2 * differ / BITS)
+    odd = BITS / 2 * (1 - left)
+    # bits that cancel out, and how far the bins' filling and sharing varies
+    variance = BITS / 4 * (1 - left * left) - differ * left * left + 4 * left * left * equal * F.greatest(1 - filled / union, F.lit(0.0))
+    return fits & (_odd_distance(a, b) <= odd + SURE * F.sqrt(F.greatest(variance, F.lit(0.0))) + 2)
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """Of the pairs (a, b) of doc_ids, those whose full sets are similar enough, stored. ``pairs`` should be stored."""
-    ids = T.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = T.stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     wanted = T.with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "left_semi")
     # rows that share a doc_id: the one with the smallest set stands for it
     sets = T.stored(full_sets(wanted, shingle).groupBy("doc_id").agg(F.min(F.struct("n", "shingles")).alias("s")).select("doc_id", "s.n", "s.shingles"))
@@ -190,31 +218,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     base = sketches(docs, shingle)
     base = T.stored(base.withColumn("h1", F.when(F.col("n") > 0, F.col("h1")).otherwise(F.xxhash64("doc_id"))))
     # sketches depend on the set alone, so any row of a class has them
-    same = [F.first(c).alias(c) for c in (*_ODD, "bands")]
+    same = [F.first(c).alias(c) for c in ("m", *_ODD, "bands")]
     reps = T.stored(base.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *same))
     full = reps.filter("n > 0 and rep is not null")
 
-    keys = full.select(F.explode("bands").alias("key"), "rep")
+    keys = full.select(F.posexplode("bands").alias("band", "key"), "rep")
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1").select("key", "hub")
     buckets = T.stored(keys.join(hubs, "key"))
     asked = buckets.filter("rep <> hub").select("rep", "hub").distinct()
-    sketch = full.select("rep", "n", *_ODD)
+    sketch = full.select("rep", "n", "m", *_ODD)
     offered = (
         asked.join(sketch.alias("x"), "rep").drop(F.col("x.rep")).alias("x")
         .join(sketch.withColumnRenamed("rep", "other").alias("y"), F.col("x.hub") == F.col("y.other"))
-        .filter(_sizes_fit("x", "y", threshold) & (_odd_distance("x", "y") <= MOST_ODD))
+        .filter(_may_link("x", "y", threshold))
         .select("x.rep", "x.hub", _odd_distance("x", "y").alias("d"))
     )
     first = T.stored(offered.groupBy("rep").agg(F.min(F.struct("d", "hub")).alias("best")).select(F.col("best.hub").alias("a"), F.col("rep").alias("b")))
     # a hub is smaller than its member and each member has one, so the confirmed links are a forest
     labels = roots(confirmed(docs, first, shingle, threshold).select(F.col("b").alias("id"), F.col("a").alias("to")))
 
-    member = T.stored(buckets.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label")))
+    member = T.stored(buckets.select("key", "band", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("label", "rep").alias("label")))
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    rest = T.stored(member.join(mixed, "key").join(sketch, "rep"))
+    rest = T.stored(member.join(mixed, "key").join(full.select("rep", "n", "m", *_ODD, "bands"), "rep"))
     x, y = rest.alias("x"), rest.alias("y")
+    before = F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("x.band")))
     cross = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _sizes_fit("x", "y", threshold) & (_odd_distance("x", "y") <= MOST_ODD))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _may_link("x", "y", threshold) & ~before)
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from engramlake.llm import decontaminate, neardup
+from engramlake.llm import decontaminate, langid, neardup, packing, pii, quality, toxicity
+from engramlake.llm.text import crc_part
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(df: DataFrame, parts: int, part: int) -> DataFrame:
+    return df.withColumn("held_out", F.coalesce(crc_part(df, "doc_id", parts) == part, F.lit(False)))
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -23,8 +29,37 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, threshold=80)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(crc_part(docs, "doc_id", 4) != 2))
+    found = langid.label(docs, model)
+    return _held_out(found, 4, 2).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(crc_part(labels, "doc_id", 3) != 1))
+    found = _held_out(toxicity.score(docs, model), 3, 1)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(crc_part(labels, "doc_id", 5) != 0), "quality")
+    found = _held_out(quality.score(docs, model), 5, 0)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates)}
+    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_language, op4_toxicity, op5_packing, op7_quality, op8_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
