@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from engramlake.llm import text as T
 
@@ -173,40 +174,58 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     return chosen[place < bounds[row + 1][:, None]]
 
 
+def _label_batch(texts: pa.Array, m: Model, penalty: float) -> tuple[list[str], list[float], list[list[dict]]]:
+    pred: list[str] = []
+    score: list[float] = []
+    spans: list[list[dict]] = []
+    for c in T.chunks(texts, 1 << 22):
+        slot, first, row, start, end, script = _words(c)
+        if not len(first) or not m.langs:
+            pred += [UNKNOWN] * c.rows
+            score += [0.0] * c.rows
+            spans += [[] for _ in range(c.rows)]
+            continue
+        at = T.per_row(row, c.rows)
+        tags = viterbi(_word_scores(m, slot, first, script), at, penalty).astype(np.int64)
+        k = len(m.langs)
+        letters = np.diff(np.append(first, len(slot)))
+        share = np.bincount(row * k + tags, weights=letters, minlength=c.rows * k).reshape(c.rows, k)
+        total, best = share.sum(1), share.argmax(1)
+        new = np.ones(len(tags), bool)
+        new[1:] = (tags[1:] != tags[:-1]) | (row[1:] != row[:-1])
+        begin = np.flatnonzero(new)
+        stop = np.append(begin[1:], len(tags)) - 1
+        base = T.code_points(c)[1][row[begin]]
+        runs = [{"start": a, "end": b, "lang": m.langs[x]} for a, b, x in zip((start[begin] - base).tolist(), (end[stop] - base).tolist(), tags[begin].tolist(), strict=True)]
+        of = T.per_row(row[begin], c.rows)
+        pred += [m.langs[best[r]] if total[r] else UNKNOWN for r in range(c.rows)]
+        score += (share[np.arange(c.rows), best] / np.maximum(total, 1)).tolist()
+        spans += [runs[of[r] : of[r + 1]] for r in range(c.rows)]
+    return pred, score, spans
+
+
 def label(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """Per row: doc_id, lang_pred, score (its share of the letters) and spans (code point ranges with a language)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 numbers a language
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = sent.value
-        pred, score, spans = [], [], []
-        for c in T.chunks(batch.column("text"), 1 << 22):
-            slot, first, row, start, end, script = _words(c)
-            if not len(first) or not m.langs:
-                pred += [UNKNOWN] * c.rows
-                score += [0.0] * c.rows
-                spans += [[]] * c.rows
-                continue
-            at = T.per_row(row, c.rows)
-            tags = viterbi(_word_scores(m, slot, first, script), at, penalty).astype(np.int64)
-            k = len(m.langs)
-            letters = np.diff(np.append(first, len(slot)))
-            share = np.bincount(row * k + tags, weights=letters, minlength=c.rows * k).reshape(c.rows, k)
-            total = share.sum(1)
-            best = share.argmax(1)
-            new = np.ones(len(tags), bool)
-            new[1:] = (tags[1:] != tags[:-1]) | (row[1:] != row[:-1])
-            begin = np.flatnonzero(new)
-            stop = np.append(begin[1:], len(tags)) - 1
-            base = T.code_points(c)[1]
-            runs = list(zip((start[begin] - base[row[begin]]).tolist(), (end[stop] - base[row[begin]]).tolist(), [m.langs[x] for x in tags[begin]], strict=True))
-            of = T.per_row(row[begin], c.rows)
-            for r in range(c.rows):
-                pred.append(m.langs[best[r]] if total[r] else UNKNOWN)
-                score.append(float(share[r, best[r]] / total[r]) if total[r] else 0.0)
-                spans.append([{"start": a, "end": b, "lang": x} for a, b, x in runs[of[r] : of[r + 1]]])
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+        pred, score, spans = _label_batch(batch.column("text"), sent.value, penalty)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return T.by_batch(read, run, "doc_id bigint, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>")
+
+
+def with_language(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """``docs`` with all its columns, and lang_pred and lang_score; other columns of these names are replaced."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "lang_score")
+
+    def run(batches):
+        for batch in batches:
+            found = _label_batch(batch.column("text"), sent.value, penalty)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+
+    schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double")
+    return docs.mapInArrow(run, schema)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import decontaminate, langid, neardup, packing, pii, quality, toxicity
+import corpus_pipeline
+from engramlake.llm import decontaminate, langid, licenses, neardup, packing, perplexity, pii, quality, toxicity, urlfilter
 from engramlake.llm.text import crc_part
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +59,35 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+#: The contract's fixed rules.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"]))), ",")
+    return found.select("doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licences"), names.alias("families"), "n_unknown", "licence")
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = perplexity.rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_language, op4_toxicity, op5_packing, op7_quality, op8_personal_data)}
+    found = (
+        op1_decontamination, op2_near_duplicates, op3_language, op4_toxicity, op5_packing, op6_licenses,
+        op7_quality, op8_personal_data, op9_urls, op10_quality_rules, pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
