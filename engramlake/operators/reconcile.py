@@ -1,0 +1,139 @@
+"""Reconciliation: claims, duplicates, contradictions, ranks of support, and the fold over a user's records."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from engramlake.functions import rules
+
+#: Claim forms, the first full match wins: pattern (of lower-cased text), predicate, exclusive, kind.
+#: ``no`` marks a negation, ``key`` a predicate that the text names, ``value`` the value.
+FORMS = (
+    (r"i (?:recently |just |have )*(?:moved|relocated|shifted) to (?P<value>.+)", "residence", True, "semantic"),
+    (r"i (?P<no>don't |do not |no longer )?(?:now )?(?:live|reside) in (?P<value>.+)", "residence", True, "semantic"),
+    (r"i (?P<no>don't |do not |no longer )?work as (?:an? )?(?P<value>.+)", "occupation", True, "semantic"),
+    (r"i (?P<no>don't |do not |no longer )?work (?:at|for) (?P<value>.+)", "employer", True, "semantic"),
+    (r"my (?P<key>name|home city|hometown|timezone|occupation|employer) is (?P<no>not )?(?P<value>.+)", None, True, "semantic"),
+    (r"my (?:favou?rite|preferred) (?P<key>[\w ]+?) is (?P<value>.+)", "favorite:", True, "preference"),
+    (r"i am (?P<no>not )?allergic to (?P<value>.+)", "allergy", False, "preference"),
+    (r"i (?:really )?(?P<no>don't like|do not like|dislike|hate|can't stand|(?=like|love|enjoy|prefer))(?:like|love|enjoy|prefer)? ?(?P<value>.+)", "taste", False, "preference"),
+)
+_REJECT = re.compile(r"\b(?:and|but|because|when|if|something|someone|it|that|this)\b|[|?]")
+CLAIM = "struct<predicate: string, value: string, positive: boolean, exclusive: boolean, kind: string>"
+
+
+def claim_of(text: str | None) -> dict | None:
+    """The single claim of a text, or none."""
+    t = re.sub(r"\s+", " ", (text or "").replace("’", "'").lower()).strip(" .!")
+    if not t or re.search(r"[?\"]|\b(?:if|maybe|perhaps|might|said|says|asked)\b", t):
+        return None
+    for pattern, predicate, exclusive, kind in FORMS:
+        m = re.fullmatch(pattern, t)
+        if m:
+            got = m.groupdict()
+            value = got["value"].strip(" .!")
+            if not value or len(value) > 100 or _REJECT.search(value):
+                return None
+            name = (predicate or "") + (got.get("key") or "").strip().replace(" ", "_")
+            return {"predicate": name, "value": value, "positive": not got.get("no"), "exclusive": exclusive, "kind": kind}
+    return None
+
+
+def with_claim(rows: DataFrame, text: str = "content") -> DataFrame:
+    """Adds ``claim``, null where the text makes none."""
+
+    @F.pandas_udf(CLAIM)
+    def claims(s: pd.Series) -> pd.DataFrame:
+        none = {"predicate": None, "value": None, "positive": None, "exclusive": None, "kind": None}
+        return pd.DataFrame([claim_of(t) or none for t in s], columns=list(none))
+
+    return rows.withColumn("claim", claims(F.col(text))).withColumn("claim", F.when(F.col("claim.predicate").isNotNull(), F.col("claim")))
+
+
+def contradictions(claims: DataFrame) -> DataFrame:
+    """Pairs (left_id, right_id) of one user, subject and predicate: equal values of opposite polarity, or two exclusive positive ones."""
+    same = ["user_id", "subject", "predicate"]
+    a = claims.select(*same, F.col("id").alias("left_id"), F.col("value").alias("v"), F.col("positive").alias("p"), F.col("exclusive").alias("e"))
+    b = claims.select(*same, F.col("id").alias("right_id"), "value", "positive", "exclusive")
+    opposite = (F.col("v") == F.col("value")) & (F.col("p") != F.col("positive"))
+    rival = F.col("e") & F.col("exclusive") & F.col("p") & F.col("positive") & (F.col("v") != F.col("value"))
+    return a.join(b, same).filter((F.col("left_id") < F.col("right_id")) & (opposite | rival)).select(*same, "left_id", "right_id")
+
+
+def support(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The best supported row of each key: priority, then confidence, time and importance; the smaller id wins a tie."""
+    rank = F.struct("source_priority", "confidence", "observed_at", "importance", (-F.col("id")).alias("tie"))
+    return rows.groupBy(*key).agg(F.max_by("id", rank).alias("winner"), F.count("*").alias("n"))
+
+
+def deciding(a: str, b: str) -> Column:
+    """Which criterion parts rank struct ``a`` from ``b``; a full tie keeps what there was."""
+    out = F.lit("tie_kept_existing")
+    for name, reason in (("importance", "importance"), ("observed_at", "observation_time"), ("confidence", "confidence"), ("source_priority", "source_priority")):
+        out = F.when(F.col(f"{a}.{name}") != F.col(f"{b}.{name}"), reason).otherwise(out)
+    return out
+
+
+def similar_pairs(texts: DataFrame, least: float = 0.75) -> DataFrame:
+    """(left_id, right_id, similarity) of texts (id, text) whose word sets' Jaccard similarity is at least ``least``.
+
+    Only the rarest words of each text join: two such similar sets share one of the
+    ``n - ceil(least * n) + 1`` rarest of either, so frequent words never meet.
+    """
+    t = texts.select("id", rules.tokens(F.col("text")).alias("t")).filter("size(t) > 0")
+    # equal sets are one class, so copies never pair with each other
+    sets = t.select("id", F.sort_array("t").alias("t")).groupBy("t").agg(F.min("id").alias("id"))
+    word = sets.select("id", F.explode("t").alias("word"))
+    ranked = word.join(word.groupBy("word").agg(F.count("*").alias("df")), "word")
+    ordered = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o")).select("id", F.size("o").alias("n"), F.transform("o", lambda x: x["word"]).alias("o"))
+    prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("word"))
+    a, b = prefix.alias("a"), prefix.alias("b")
+    near = (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n"))
+    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & near).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
+    with_sets = pairs.join(sets.select(F.col("id").alias("left_id"), F.col("t").alias("x")), "left_id").join(sets.select(F.col("id").alias("right_id"), F.col("t").alias("y")), "right_id")
+    return with_sets.select("left_id", "right_id", F.round(rules.jaccard(F.col("x"), F.col("y")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+RECONCILED = "user_id string, id bigint, status string, superseded_by bigint, consolidated_into bigint, reason string, evidence string"
+
+
+def fold(observations: DataFrame) -> DataFrame:
+    """The state of each observation after all of its user's were taken in, in order of time.
+
+    ``observations``: user_id, id, observed_at, content, source_priority, confidence, importance. The
+    outcome depends on the order, so the rows of one user are one group; users are independent. An
+    equal claim joins the oldest active record as evidence; a contradicting one contests it by rank,
+    and a tie keeps what there was.
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        rows: list[dict] = []
+        for r in f.sort_values(["observed_at", "id"]).itertuples():
+            c = claim_of(r.content)
+            me = {"id": r.id, "status": "active", "by": None, "into": None, "reason": None, "evidence": [r.id], "claim": c, "rank": (r.source_priority, r.confidence, r.observed_at, r.importance)}
+            if c:
+                active = [x for x in rows if x["status"] == "active" and x["claim"]]
+                same = [x for x in active if (x["claim"]["predicate"], x["claim"]["value"], x["claim"]["positive"]) == (c["predicate"], c["value"], c["positive"])]
+                if same:
+                    same[0]["evidence"].append(r.id)
+                    same[0]["rank"] = max(same[0]["rank"], me["rank"])
+                    me.update(status="consolidated", into=same[0]["id"])
+                against = [x for x in active if not same and x["claim"]["predicate"] == c["predicate"] and ((x["claim"]["value"] == c["value"]) != (x["claim"]["positive"] and c["positive"] and c["exclusive"])) and (x["claim"]["value"] != c["value"] or x["claim"]["positive"] != c["positive"])]
+                if against:
+                    best = max(against, key=lambda x: (x["rank"], -x["id"]))
+                    names = ("source_priority", "confidence", "observation_time", "importance")
+                    reason = next((n for n, a, b in zip(names, me["rank"], best["rank"], strict=True) if a != b), "tie_kept_existing")
+                    if me["rank"] > best["rank"]:
+                        for x in against:
+                            x.update(status="superseded", by=r.id, reason=reason)
+                    else:
+                        me.update(status="superseded", by=best["id"], reason=reason)
+            rows.append(me)
+        out = [(f["user_id"].iloc[0], x["id"], x["status"], x["by"], x["into"], x["reason"], ",".join(map(str, x["evidence"]))) for x in rows]
+        return pd.DataFrame(out, columns=["user_id", "id", "status", "superseded_by", "consolidated_into", "reason", "evidence"]).astype({"superseded_by": "Int64", "consolidated_into": "Int64"})
+
+    return observations.groupBy("user_id").applyInPandas(run, RECONCILED)
