@@ -35,7 +35,12 @@ def mentions(texts: DataFrame, aliases: DataFrame, id_column: str, text_column:
     lengths = [r["n"] for r in known.select("n").distinct().collect()]  # words of an alias: a few numbers
     w = F.regexp_extract_all(F.lower(text_column), F.lit(r"(?U)\w+"), 0)
     none = F.array().cast("array<string>")
-    runs = [F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).otherwise(none) for n in lengths]
+
+    def runs_of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("w") - n + 1)
+        return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(none)
+
+    runs = [runs_of(n) for n in lengths]
     asked = texts.select(F.col(id_column), w.alias("w"))
     phrases = asked.select(id_column, F.explode(F.array_distinct(F.flatten(F.array(none, *runs)))).alias("phrase"))
     return phrases.join(known, "phrase").select(id_column, "node_id", "alias")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engramlake.operators import graph, retention, vectors
-from engramlake.plans.registry import query, table
+from engramlake.plans.registry import at, query, table
 
-AT = F.lit("1996-06-01 00:00:00").cast("timestamp_ntz")
+AT = "1996-06-01"
 _ORDER_EDGES = """SELECT o_orderkey AS id, o_custkey AS subject, o_orderpriority AS object, o_orderdate AS valid_from,
  lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM orders"""
 _NEXT = "lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
@@ -26,7 +26,7 @@ def order_edges(spark: SparkSession, d: str) -> DataFrame:
 AND valid_from + INTERVAL 3 DAY <= TIMESTAMP '1996-06-02' AND (valid_to IS NULL OR valid_to + INTERVAL 3 DAY > TIMESTAMP '1996-06-02')""")
 def bitemporal_asof(spark: SparkSession, d: str) -> DataFrame:
     known = F.lit("1996-06-02 00:00:00").cast("timestamp_ntz")
-    return graph.as_of(order_edges(spark, d), AT, known).select("id", "subject", "object")
+    return graph.as_of(order_edges(spark, d), at(AT), known).select("id", "subject", "object")
 
 
 @query("""SELECT c.c_custkey AS id, n.n_name AS subject_label, r.r_name AS object_label FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey""")
@@ -70,12 +70,12 @@ p AS (SELECT a.id AS stale_id, b.id AS next_id, abs(epoch(b.valid_from) - epoch(
 WHERE a.valid_to <= TIMESTAMP '1996-06-01' AND b.valid_from <= TIMESTAMP '1996-06-01' AND (b.valid_to IS NULL OR b.valid_to > TIMESTAMP '1996-06-01'))
 SELECT * FROM p QUALIFY rank() OVER (PARTITION BY stale_id ORDER BY gap_seconds) = 1""")
 def stale_successor(spark: SparkSession, d: str) -> DataFrame:
-    return graph.successors(order_edges(spark, d), AT)
+    return graph.successors(order_edges(spark, d), at(AT))
 
 
 @query(f"""SELECT subject AS source_id, bool_and(coalesce(valid_to <= TIMESTAMP '1996-06-01', false)) AS stale, count(*) AS n_edges FROM ({_ORDER_EDGES}) GROUP BY 1""")
 def stale_sources(spark: SparkSession, d: str) -> DataFrame:
-    return graph.stale_sources(order_edges(spark, d).withColumn("source_id", F.col("subject")), AT)
+    return graph.stale_sources(order_edges(spark, d).withColumn("source_id", F.col("subject")), at(AT))
 
 
 _LINKS = "SELECT 'o' || l_orderkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"
@@ -102,8 +102,8 @@ def cleanup_plan(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("o"), "o_orderkey").alias("id"), (F.col("o_orderdate") + F.make_dt_interval(days=F.lit(90))).alias("expires_at"),
         (F.col("o_orderpriority") == "1-URGENT").alias("held"), (F.col("o_totalprice") >= 200000).alias("durable"), (F.col("o_orderstatus") == "O").alias("open_task"),
     )
-    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("1990-01-01").cast("timestamp_ntz").alias("expires_at"), *[F.lit(False).alias(c) for c in ("held", "durable", "open_task")])
-    return retention.plan(o.unionByName(s), references(spark, d), F.lit("1997-01-01").cast("timestamp_ntz"))
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), at("1990-01-01").alias("expires_at"), *[F.lit(False).alias(c) for c in ("held", "durable", "open_task")])
+    return retention.plan(o.unionByName(s), references(spark, d), at("1997-01-01"))
 
 
 def _queries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

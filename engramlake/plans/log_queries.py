@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engramlake.plans.registry import query, table
+from engramlake.plans.registry import at, query, table
 from engramlake.sources import log
 
-NOW = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+NOW = "2024-01-20"
 _TYPES = ("click", "error", "purchase", "refund", "signup", "view")
 
 
@@ -43,7 +43,7 @@ def log_visible(spark: SparkSession, d: str) -> DataFrame:
     after = F.create_map(*[F.lit(x) for kv in hours.items() for x in kv])[F.col("event_type")]
     e = table(spark, d, "events").withColumn("expires_at", F.when(after.isNotNull(), F.col("ts") + F.make_dt_interval(hours=after)))
     e = e.withColumn("memory_status", F.when(F.col("event_type") == "error", "superseded")).withColumn("task_status", F.lit(None).cast("string"))
-    return e.filter(log.is_visible(NOW)).select("event_id", "user_id", "event_type")
+    return e.filter(log.is_visible(at(NOW))).select("event_id", "user_id", "event_type")
 
 
 @query("""SELECT l.user_id, l.event_id, len(s.kinds) AS n_kinds FROM
@@ -108,7 +108,7 @@ def percentiles(spark: SparkSession, d: str) -> DataFrame:
 def snapshot_delta(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     a = e.groupBy("event_type").agg(F.count("*").alias("n_a"))
-    b = e.filter(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")).groupBy("event_type").agg(F.count("*").alias("n_b"))
+    b = e.filter(F.col("ts") < at("2024-01-15")).groupBy("event_type").agg(F.count("*").alias("n_b"))
     return a.join(b, "event_type", "full_outer").select("event_type", "n_a", "n_b", (F.col("n_a") - F.col("n_b")).alias("delta"))
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import rules, scoring
 from engramlake.operators import metrics, reconcile, retrieval
-from engramlake.plans.registry import query, table
+from engramlake.plans.registry import at, query, table
 
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+NOW = "2024-02-01"
 _TOKENS = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'))"
 _COVER = f"""q AS (SELECT item_id AS query_id, {_TOKENS} AS t FROM benchmark), qt AS (SELECT query_id, len(t) AS n, unnest(t) AS word FROM q),
 dt AS (SELECT doc_id AS id, unnest({_TOKENS}) AS word FROM documents), h AS (SELECT query_id, id, count(*) AS shared, round(count(*) / max(n), 6) AS coverage FROM qt JOIN dt USING (word) GROUP BY 1, 2)"""
@@ -28,7 +28,7 @@ def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.keyword_hits(_asked(spark, d), _docs(spark, d), 5)
 
 
-@query(f"SELECT doc_id, len(t) AS n_tokens, list_max(list_transform(t, x -> length(x))) AS longest FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
+@query(f"SELECT doc_id, len(t) AS n_tokens, list_max([length(x) for x in t]) AS longest FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
 def token_stats(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", rules.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.array_max(F.transform("t", lambda x: F.length(x))).cast("bigint").alias("longest"))
@@ -59,7 +59,7 @@ _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_''-]*[\\p{L}\\p{M
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     category = F.when(F.col("role") == "user", "semantic").when(F.col("role") == "system", "procedural").otherwise("temporary")
-    f = scoring.features(F.col("text"), F.col("category"), F.col("created_at"), NOW, F.col("turn"), F.col("turn") / 4.0)
+    f = scoring.features(F.col("text"), F.col("category"), F.col("created_at"), at(NOW), F.col("turn"), F.col("turn") / 4.0)
     c = c.withColumn("category", category).withColumn("created_at", F.lit("2024-01-31 12:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("turn").cast("int")))
     return c.withColumns({k: v for k, v in f.items() if k != "turn"})
 
@@ -90,7 +90,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     category = F.element_at(F.array(*[F.lit(n) for n in names]), (i % 6 + 1).cast("int"))
     return table(spark, d, "documents").select(
         i.alias("id"), category.alias("category"), ((i * 37 % 100) / 100.0).alias("score"), (i % 5 == 0).alias("closed"), (i % 3 == 0).alias("recurs"), (i % 4).alias("access_count"),
-        (F.lit("2023-09-01").cast("timestamp_ntz") + F.make_dt_interval(days=(i % 150).cast("int"))).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("seen"),
+        (at("2023-09-01") + F.make_dt_interval(days=(i % 150).cast("int"))).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("seen"),
     )
 
 
@@ -103,7 +103,7 @@ _TIERED = f"SELECT *, {_TIER} AS tier FROM (SELECT *, {_ARCHIVE} AS archive FROM
 def _tiered(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     r = _records(spark, d)
-    r = r.withColumn("archive", scoring.should_archive(NOW, scoring.last_activity("created_at", "seen", "seen"), c("category"), c("access_count"), c("score")))
+    r = r.withColumn("archive", scoring.should_archive(at(NOW), scoring.last_activity("created_at", "seen", "seen"), c("category"), c("access_count"), c("score")))
     return r.withColumn("tier", scoring.tier(c("category"), c("score"), c("closed"), c("recurs"), c("archive")))
 
 
@@ -127,7 +127,7 @@ def expiry_assign(spark: SparkSession, d: str) -> DataFrame:
 def keyword_rank(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     hits = retrieval.keyword_hits(_asked(spark, d), _docs(spark, d), 20).join(_tiered(spark, d), "id")
-    return hits.select("query_id", "id", F.round(scoring.rank_score(c("coverage"), c("category"), c("tier"), scoring.half_life(c("created_at"), NOW), c("score")), 5).alias("score"))
+    return hits.select("query_id", "id", F.round(scoring.rank_score(c("coverage"), c("category"), c("tier"), scoring.half_life(c("created_at"), at(NOW)), c("score")), 5).alias("score"))
 
 
 _CHANNELS = f"""{_COVER}, ch AS (SELECT query_id, 'keyword' AS channel, id, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, id) AS rank FROM h QUALIFY rank <= 30 UNION ALL
