@@ -360,11 +360,12 @@ def find(docs: DataFrame) -> DataFrame:
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns."""
     said = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     rank = lambda k: F.array_position(F.array(*[F.lit(x) for x in KINDS]), k)
     both = F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        *[count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(F.concat_ws(",", F.transform("base", said)), 256).alias("base_sha256"),
         F.concat_ws(",", F.transform(F.array_sort(both), said)).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
