@@ -174,11 +174,11 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     return chosen[place < bounds[row + 1][:, None]]
 
 
-def _label_batch(texts: pa.Array, m: Model, penalty: float) -> tuple[list[str], list[float], list[list[dict]]]:
+def _label_batch(texts: pa.Array, m: Model, penalty: float, with_spans: bool = True) -> tuple[list[str], list[float], list[list[dict]]]:
     pred: list[str] = []
     score: list[float] = []
     spans: list[list[dict]] = []
-    for c in T.chunks(texts, 1 << 22):
+    for c in T.chunks(texts):
         slot, first, row, start, end, script = _words(c)
         if not len(first) or not m.langs:
             pred += [UNKNOWN] * c.rows
@@ -191,16 +191,17 @@ def _label_batch(texts: pa.Array, m: Model, penalty: float) -> tuple[list[str],
         letters = np.diff(np.append(first, len(slot)))
         share = np.bincount(row * k + tags, weights=letters, minlength=c.rows * k).reshape(c.rows, k)
         total, best = share.sum(1), share.argmax(1)
-        new = np.ones(len(tags), bool)
-        new[1:] = (tags[1:] != tags[:-1]) | (row[1:] != row[:-1])
-        begin = np.flatnonzero(new)
-        stop = np.append(begin[1:], len(tags)) - 1
-        base = T.code_points(c)[1][row[begin]]
-        runs = [{"start": a, "end": b, "lang": m.langs[x]} for a, b, x in zip((start[begin] - base).tolist(), (end[stop] - base).tolist(), tags[begin].tolist(), strict=True)]
-        of = T.per_row(row[begin], c.rows)
         pred += [m.langs[best[r]] if total[r] else UNKNOWN for r in range(c.rows)]
         score += (share[np.arange(c.rows), best] / np.maximum(total, 1)).tolist()
-        spans += [runs[of[r] : of[r + 1]] for r in range(c.rows)]
+        if with_spans:
+            new = np.ones(len(tags), bool)
+            new[1:] = (tags[1:] != tags[:-1]) | (row[1:] != row[:-1])
+            begin = np.flatnonzero(new)
+            stop = np.append(begin[1:], len(tags)) - 1
+            base = T.code_points(c)[1][row[begin]]
+            runs = [{"start": a, "end": b, "lang": m.langs[x]} for a, b, x in zip((start[begin] - base).tolist(), (end[stop] - base).tolist(), tags[begin].tolist(), strict=True)]
+            of = T.per_row(row[begin], c.rows)
+            spans += [runs[of[r] : of[r + 1]] for r in range(c.rows)]
     return pred, score, spans
 
 
@@ -224,7 +225,7 @@ def with_language(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY
 
     def run(batches):
         for batch in batches:
-            found = _label_batch(batch.column("text"), sent.value, penalty)
+            found = _label_batch(batch.column("text"), sent.value, penalty, with_spans=False)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
 
     schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double")

@@ -105,7 +105,7 @@ def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=4).digest(), "little") % _WIDTH
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def _own(word: str) -> tuple[int, ...]:
     """Features of a word by itself."""
     digits = sum(c.isdigit() for c in word)
@@ -117,7 +117,7 @@ def _own(word: str) -> tuple[int, ...]:
     return tuple(_hash(x) for x in f)
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def _beside(word: str, where: int) -> tuple[int, ...]:
     core = word.strip(".,;:()[]\"'=").lower()
     f = [f"{where}s={shape(core)}"] + ([f"{where}w={core}"] if len(core) < 16 and not re.search("[0-9]", core) else [])

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 @dataclass
@@ -100,7 +100,7 @@ class Hasher:
 
     def __init__(self, buf: np.ndarray, lower: bool = True):
         n = len(buf) + 1
-        self.pow, self.inv = _powers(1 << max(21, int(n).bit_length()))
+        self.pow, self.inv = _powers(1 << max(20, int(n).bit_length()))
         self.sum = np.zeros(n, np.uint64)
         np.cumsum((_CODE_LOWER if lower else _CODE)[buf] * self.pow[: n - 1], out=self.sum[1:])
 
