@@ -229,4 +229,4 @@ def with_language(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
 
     schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double")
-    return docs.mapInArrow(run, schema)
+    return T.small_batches(docs).mapInArrow(run, schema)

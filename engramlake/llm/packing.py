@@ -53,7 +53,10 @@ def encoder(json_path: str, ranks_path: str | None):
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
+    @lru_cache(1)
+    def slow() -> Tokenizer:  # read only where a text needs it
+        return Tokenizer.from_file(json_path)
+
     fast = None
     if ranks_path:
         import public_tokenizers
@@ -69,7 +72,7 @@ def encoder(json_path: str, ranks_path: str | None):
                 return fast.encode_ordinary(text)
             except UnicodeEncodeError:
                 pass
-        return slow.encode(text, add_special_tokens=False).ids
+        return slow().encode(text, add_special_tokens=False).ids
 
     return encode
 

@@ -395,5 +395,5 @@ def redact(docs: DataFrame) -> DataFrame:
         cols[at] = pa.array(texts, batch.schema.field(at).type)
         return pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    done = docs.mapInArrow(lambda batches: (run(b) for b in batches), docs.schema)
+    done = T.small_batches(docs).mapInArrow(lambda batches: (run(b) for b in batches), docs.schema)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done

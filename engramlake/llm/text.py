@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch of texts, where the session has Spark's default of 10,000.
+BATCH_ROWS = 2000
 
 
 @dataclass
@@ -135,6 +137,14 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return c[bounds[1:]] - c[bounds[:-1]]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends Arrow batches that suit rows with whole texts from now on."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) == 10_000:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` on each Arrow batch of ``df``."""
 
@@ -143,7 +153,7 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
             if batch.num_rows:
                 yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def code_points(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
