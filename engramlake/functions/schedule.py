@@ -43,39 +43,44 @@ def deadline(text: Column, reference: Column, zone_minutes: Column | None = None
 
     A day without an hour ends at 23:59:59. Negated dates and alternatives are no deadline.
     """
-    t = F.lower(F.translate(text, "’", "'"))
     zone = F.lit(0) if zone_minutes is None else zone_minutes
-    today = F.to_date(reference)
-    # a span from now
-    ahead = _group(t, r"\bin\s+(\d+)\s+(minute|hour|day|week)s?\b", 1)
-    span = ahead.try_cast("decimal(18,0)") * _map(_SECONDS)[_group(t, r"\bin\s+(\d+)\s+(minute|hour|day|week)s?\b", 2)]
-    room = F.datediff(F.lit("9999-12-31").cast("date"), today).cast("bigint") * 86400
-    reachable = F.coalesce(span <= room, F.lit(False))
-    later = reference + F.make_dt_interval(secs=F.when(reachable, span).otherwise(0).cast("decimal(18,6)"))
-    # a moment
+    return rules.given(F.lower(F.translate(text, "’", "'")), lambda t: rules.given(_named_times(t, F.to_date(reference)), lambda x: _due(x, reference, zone)))
+
+
+def _named_times(t: Column, today: Column) -> Column:
+    """What a text names: seconds from now, a date with its time and offset, a day, and the hour on it."""
+    span = r"\bin\s+(\d+)\s+(minute|hour|day|week)s?\b"
     date, time, offset = (_group(t, _DATE, k) for k in (1, 2, 3))
-    moment = F.concat(date, F.lit(" "), time).try_cast("timestamp_ntz")
-    moved = moment + F.make_dt_interval(mins=F.when(offset.isNotNull(), zone - _minutes(offset)).otherwise(0))
-    # a day, and an hour on it
-    named = F.array_position(F.array(*map(F.lit, WEEKDAYS)), _group(t, rf"\b({_DAY})\b", 1)).cast("int") - 1
-    until = F.pmod(named - F.weekday(today), F.lit(7))
+    weekday = F.array_position(F.array(*map(F.lit, WEEKDAYS)), _group(t, rf"\b({_DAY})\b", 1)).cast("int") - 1
+    until = F.pmod(weekday - F.weekday(today), F.lit(7))
     until = F.when((until == 0) & (_group(t, rf"\b(?:(next|this)\s+)?({_DAY})\b", 1) == "next"), 7).otherwise(until)
     day = (
         F.when(date.isNotNull(), date.try_cast("date"))
         .when(t.rlike(r"\btomorrow\b"), F.date_add(today, 1)).when(t.rlike(r"\b(?:today|tonight)\b"), today)
-        .when(t.rlike(r"\bnext week\b"), F.date_add(today, 7)).when(named >= 0, F.date_add(today, until))
+        .when(t.rlike(r"\bnext week\b"), F.date_add(today, 7)).when(weekday >= 0, F.date_add(today, until))
     )
-    hour, half = _group(t, _CLOCK, 1).cast("int"), _group(t, _CLOCK, 3)
-    minute = F.coalesce(_group(t, _CLOCK, 2).cast("int"), F.lit(0))
-    real = F.when(half.isNotNull(), hour.between(1, 12)).otherwise(hour < 24) & (minute < 60)
-    hour = F.when(half.isNotNull(), hour % 12 + F.when(half == "pm", 12).otherwise(0)).otherwise(hour)
-    zero = F.lit(0)
-    on_day = _midnight(day) + F.when(hour.isNull(), F.make_dt_interval(hours=F.lit(23), mins=F.lit(59), secs=F.lit(59))).otherwise(F.make_dt_interval(zero, hour, minute, zero))
-    vague = F.coalesce(t.rlike(r"\b(?:not|never|no longer)\b|\bor\b"), F.lit(True))
-    due = F.when(vague, None).when(ahead.isNotNull(), F.when(reachable, later)).when(time.isNotNull(), moved).when(hour.isNull() | real, on_day)
+    return F.struct(
+        F.coalesce(t.rlike(r"\b(?:not|never|no longer)\b|\bor\b"), F.lit(True)).alias("vague"), _group(t, span, 1).alias("ahead"),
+        (_group(t, span, 1).try_cast("decimal(18,0)") * _map(_SECONDS)[_group(t, span, 2)]).alias("span"),
+        date.alias("date"), time.alias("time"), offset.alias("offset"), F.concat(date, F.lit(" "), time).try_cast("timestamp_ntz").alias("moment"), day.alias("day"),
+        _group(t, _CLOCK, 1).cast("int").alias("hour"), F.coalesce(_group(t, _CLOCK, 2).cast("int"), F.lit(0)).alias("minute"), _group(t, _CLOCK, 3).alias("half"),
+    )
+
+
+def _due(x: Column, reference: Column, zone: Column) -> Column:
+    room = F.datediff(F.lit("9999-12-31").cast("date"), F.to_date(reference)).cast("bigint") * 86400
+    reachable = F.coalesce(x["span"] <= room, F.lit(False))
+    later = reference + F.make_dt_interval(secs=F.when(reachable, x["span"]).otherwise(0).cast("decimal(18,6)"))
+    moved = x["moment"] + F.make_dt_interval(mins=F.when(x["offset"].isNotNull(), zone - _minutes(x["offset"])).otherwise(0))
+    halved = x["half"].isNotNull()
+    real = F.when(halved, x["hour"].between(1, 12)).otherwise(x["hour"] < 24) & (x["minute"] < 60)
+    hour = F.when(halved, x["hour"] % 12 + F.when(x["half"] == "pm", 12).otherwise(0)).otherwise(x["hour"])
+    end = F.make_dt_interval(hours=F.lit(23), mins=F.lit(59), secs=F.lit(59))
+    on_day = _midnight(x["day"]) + F.when(hour.isNull(), end).otherwise(F.make_dt_interval(hours=hour, mins=x["minute"]))
+    due = F.when(x["vague"], None).when(x["ahead"].isNotNull(), F.when(reachable, later)).when(x["time"].isNotNull(), moved).when(hour.isNull() | real, on_day)
     problem = (
-        F.when(vague, None).when(ahead.isNotNull(), F.when(~reachable, "range"))
-        .when(time.isNotNull(), F.when(moment.isNull(), "date")).when(date.isNotNull() & day.isNull(), "date").when(day.isNotNull() & ~real, "hour")
+        F.when(x["vague"], None).when(x["ahead"].isNotNull(), F.when(~reachable, "range")).when(x["time"].isNotNull(), F.when(x["moment"].isNull(), "date"))
+        .when(x["date"].isNotNull() & x["day"].isNull(), "date").when(x["day"].isNotNull() & ~real, "hour")
     )
     return F.struct(due.alias("due"), problem.alias("problem"))
 
@@ -93,20 +98,29 @@ def recurrence(text: Column, reference: Column, start: Column | None = None) ->
 
     The anchor is ``start``, or else the first occurrence that is not before ``reference``.
     """
-    t = rules.plain(text)
+    return rules.given(rules.plain(text), lambda t: rules.given(_cadence(t, reference), lambda x: _rule(x, reference, start)))
+
+
+def _cadence(t: Column, reference: Column) -> Column:
+    """Unit, interval and first day of a text's schedule, and whether it has just one."""
     every, on_day, cadence = r"\bevery\s+(?:(\d+|other)\s+)?(day|week|month|year)s?\b", rf"\bevery\s+({_DAY})\b", rf"\b({'|'.join(_CADENCES)})\b"
-    unit = F.coalesce(_group(t, every, 2), F.when(t.rlike(on_day), "week"), _map(_CADENCES)[_group(t, cadence, 1)])
     count = _group(t, every, 1)
-    interval = F.when(count == "other", 2).when(count.isNotNull(), F.coalesce(count.try_cast("int"), F.lit(-1))).otherwise(1)
     at = F.when(t.rlike(every), F.regexp_instr(t, F.lit(every))).when(t.rlike(on_day), F.regexp_instr(t, F.lit(on_day))).otherwise(F.regexp_instr(t, F.lit(cadence)))
     several = F.substr(t, at).rlike(r"\b(?:and|or|except|until)\b") | (F.regexp_count(t, F.lit(r"\bevery\b")) > 1)
-    known = rules.recurring(text) & unit.isNotNull()
-    fits = interval.between(1, 1000)
     said = F.coalesce(_group(t, r"\b(?:starting|beginning|from)\s+(.+)$", 1), F.when(~t.rlike(every), _group(t, on_day, 1)), F.lit("today"))
+    unit = F.coalesce(_group(t, every, 2), F.when(t.rlike(on_day), "week"), _map(_CADENCES)[_group(t, cadence, 1)])
+    interval = F.when(count == "other", 2).when(count.isNotNull(), F.coalesce(count.try_cast("int"), F.lit(-1))).otherwise(1)
     first = deadline(F.concat_ws(" ", said, F.regexp_extract(t, _CLOCK, 0)), reference)["due"]
-    anchor = F.when(first < reference, occurrence(unit, interval, first, F.lit(1))).otherwise(first)
+    return F.struct(F.when(rules.recurring(t), unit).alias("unit"), interval.alias("interval"), several.alias("several"), first.alias("first"))
+
+
+def _rule(x: Column, reference: Column, start: Column | None) -> Column:
+    fits = x["interval"].between(1, 1000)
+    step = F.when(fits, x["interval"]).otherwise(1)
+    anchor = F.when(x["first"] < reference, occurrence(x["unit"], step, x["first"], F.lit(1))).otherwise(x["first"])
+    anchor = anchor if start is None else F.coalesce(start, anchor)
+    known = x["unit"].isNotNull()
+    only = lambda c: F.when(known & fits & ~x["several"] & x["first"].isNotNull(), c)
     if start is not None:
-        anchor = F.coalesce(start, anchor)
-    good = known & fits & ~several & anchor.isNotNull()
-    only = lambda c: F.when(good, c)
-    return F.struct(only(unit).alias("unit"), only(interval).alias("interval"), only(anchor).alias("anchor"), F.when(known & ~fits, "interval").alias("problem"))
+        only = lambda c: F.when(known & fits & ~x["several"] & (start.isNotNull() | x["first"].isNotNull()), c)
+    return F.struct(only(x["unit"]).alias("unit"), only(x["interval"]).alias("interval"), only(anchor).alias("anchor"), F.when(known & ~fits, "interval").alias("problem"))

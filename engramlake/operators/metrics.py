@@ -60,18 +60,73 @@ def roc_auc(rows: DataFrame, score: Column, positive: Column) -> DataFrame:
     return c.withColumn("below", below).agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / F.nullif(F.sum("p") * F.sum("q"), F.lit(0.0)), 6).alias("auc"))
 
 
-def bootstrap_mean(rows: DataFrame, key: Column, value: Column, resamples: int = 200, seed: int = 42) -> DataFrame:
-    """One row: mean and a 95 % interval of resampled means, by Poisson weights from a hash of key and resample.
+def _uniform(*of: Column) -> Column:
+    """A number from 0 to 1 by hash, the same on every run and for every partitioning."""
+    return F.xxhash64(*of).cast("double") / 2.0**64 + 0.5
 
-    Each row weighs in each resample without a shuffle of rows: sums per resample combine before the exchange.
-    """
-    each = rows.select(key.alias("k"), value.cast("double").alias("v")).select(F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"), "k", "v")
-    uniform = F.xxhash64("k", "b", F.lit(seed)).cast("double") / 2.0**64 + 0.5
+
+def _poisson(uniform: Column) -> Column:
+    """The Poisson distribution of mean 1, inverted."""
     weight, below, term = F.lit(0), 0.0, math.exp(-1)
-    for k in range(9):  # the Poisson distribution of mean 1, inverted
+    for k in range(9):
         below += term
         weight = weight + (uniform > below).cast("int")
         term /= k + 1
-    means = each.withColumn("w", weight).groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    return weight
+
+
+def _resampled(groups: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(b, m): the mean of each resample of groups (k, n, total). Sums per resample combine before the exchange."""
+    each = groups.select(F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"), "k", "n", "total")
+    each = each.withColumn("w", _poisson(_uniform(F.col("k"), F.col("b"), F.lit(seed))))
+    return each.groupBy("b").agg((F.sum(F.col("w") * F.col("total")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
+
+
+def _with_interval(overall: DataFrame, means: DataFrame) -> DataFrame:
+    """One row beside one row: what ``overall`` has, and the 95 % interval of resampled means."""
     ends = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("e"))
-    return rows.agg(F.avg(value).alias("mean")).crossJoin(ends).select("mean", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
+    return overall.crossJoin(F.broadcast(ends)).select(*overall.columns, F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
+
+
+def bootstrap_mean(rows: DataFrame, key: Column, value: Column, resamples: int = 200, seed: int = 42) -> DataFrame:
+    """One row: mean and a 95 % interval of resampled means, by Poisson weights from a hash of key and resample."""
+    each = rows.select(key.alias("k"), F.lit(1).alias("n"), value.cast("double").alias("total"))
+    return _with_interval(rows.agg(F.avg(value).alias("mean")), _resampled(each, resamples, seed))
+
+
+def cluster_bootstrap(rows: DataFrame, group: Column, value: Column, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """As ``bootstrap_mean``, but whole groups are resampled: a group of any size becomes one row of sums first."""
+    sums = rows.filter(value.isNotNull()).groupBy(group.alias("k")).agg(F.count(value).alias("n"), F.sum(value.cast("double")).alias("total"))
+    return _with_interval(rows.agg(F.avg(value).alias("mean")), _resampled(sums, resamples, seed))
+
+
+def paired(left: DataFrame, right: DataFrame, key: str, value: str, resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """One row: pairs, mean of right - left, its 95 % interval, and the p-value of random flips of sign.
+
+    Only keys with a value on both sides are pairs; without pairs all but ``pairs`` is null.
+    """
+    both = left.select(key, F.col(value).alias("a")).join(right.select(key, F.col(value).alias("b")), key).filter("a is not null and b is not null")
+    gaps = both.select(F.col(key).alias("k"), F.lit(1).alias("n"), (F.col("b") - F.col("a")).cast("double").alias("total"))
+    overall = gaps.agg(F.count("*").alias("pairs"), F.avg("total").alias("mean_difference"))
+    flips = gaps.select(F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("f"), "k", "total")
+    sign = F.when(_uniform(F.col("k"), F.col("f"), F.lit(seed + 1)) < 0.5, 1).otherwise(-1)
+    flipped = flips.groupBy("f").agg(F.avg(sign * F.col("total")).alias("m"))
+    extreme = flipped.crossJoin(F.broadcast(overall)).agg(F.count_if(F.abs("m") >= F.abs("mean_difference") - 1e-12).alias("extreme"))
+    out = _with_interval(overall, _resampled(gaps, resamples, seed)).crossJoin(F.broadcast(extreme))
+    return out.select("pairs", "mean_difference", "low", "high", F.when(F.col("pairs") > 0, (F.col("extreme") + 1) / (resamples + 1.0)).alias("p_value"))
+
+
+def pool(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
+    """(query_id, pool_hit, pool_recall): what share of the relevant items was found at all; null without relevant items."""
+    wanted = qrels.filter("grade > 0").select("query_id", "id").distinct()
+    found = ranked.select("query_id", "id", F.lit(1).alias("found")).distinct()
+    met = wanted.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(F.max(F.coalesce("found", F.lit(0))).cast("double").alias("pool_hit"), F.round(F.count("found") / F.count("*"), 6).alias("pool_recall"))
+    return ranked.select("query_id").union(qrels.select("query_id")).distinct().join(met, "query_id", "left")
+
+
+def answerability(rows: DataFrame, answerable: Column, answered: Column) -> DataFrame:
+    """One row: the four cells of answerable by answered, and the mean of both recalls (null where a side is empty)."""
+    cell = lambda a, b: F.count_if((answerable == a) & (answered == b))
+    c = rows.agg(cell(True, True).alias("answered"), cell(True, False).alias("missed"), cell(False, False).alias("abstained"), cell(False, True).alias("invented"))
+    share = lambda a, b: F.col(a) / F.nullif(F.col(a) + F.col(b), F.lit(0))
+    return c.withColumn("balanced_accuracy", F.round((share("answered", "missed") + share("abstained", "invented")) / 2, 6))

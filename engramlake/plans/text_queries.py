@@ -270,3 +270,40 @@ def class_weights(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
     total = c.agg(F.sum("n").alias("total"))  # one row
     return c.crossJoin(F.broadcast(total)).select("quality", "toxic", "n", F.round(F.col("total") / (4.0 * F.col("n")), 6).alias("weight"))
+
+
+@query("SELECT count(*) AS pairs, round(avg(CASE WHEN doc_id % 4 = 0 THEN 1 - 2 * quality ELSE 0 END), 6) AS mean_difference FROM labels WHERE quality IS NOT NULL")
+def paired_difference(spark: SparkSession, d: str) -> DataFrame:
+    return _paired(spark, d).select("pairs", F.round("mean_difference", 6).alias("mean_difference"))
+
+
+def _paired(spark: SparkSession, d: str) -> DataFrame:
+    rows = _predicted(spark, d)
+    return metrics.paired(rows.select("doc_id", F.col("quality").alias("v")), rows.select("doc_id", F.col("predicted").alias("v")), "doc_id", "v", 200)
+
+
+@query()
+def paired_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return _paired(spark, d)
+
+
+@query()
+def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.cluster_bootstrap(table(spark, d, "events"), F.col("user_id"), F.col("value"), 200)
+
+
+@query(f"""WITH {_COVER}, r AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, id) AS rank FROM h) WHERE rank <= 10),
+g AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark, documents WHERE doc_id % 50 = item_id % 50 AND doc_id % 4 > 0),
+m AS (SELECT g.query_id, max(CASE WHEN r.id IS NULL THEN 0.0 ELSE 1.0 END) AS pool_hit, round(count(r.id) / count(*), 6) AS pool_recall FROM g LEFT JOIN r USING (query_id, id) GROUP BY 1)
+SELECT q.query_id, pool_hit, pool_recall FROM (SELECT query_id FROM r UNION SELECT query_id FROM g) q LEFT JOIN m USING (query_id)""")
+def pool_metrics(spark: SparkSession, d: str) -> DataFrame:
+    ranked = retrieval.keyword_hits(_asked(spark, d), _docs(spark, d), 10)
+    items = _asked(spark, d).select("query_id", (F.col("query_id") % 50).alias("k"))
+    grades = _docs(spark, d).select("id", (F.col("id") % 50).alias("k"), (F.col("id") % 4).alias("grade")).filter("grade > 0")
+    return metrics.pool(ranked, items.join(grades, "k").select("query_id", "id", "grade"))
+
+
+@query(f"""SELECT answered, missed, abstained, invented, round((answered / (answered + missed) + abstained / (abstained + invented)) / 2, 6) AS balanced_accuracy FROM (SELECT count_if(quality = 1 AND p >= 0.5) AS answered,
+count_if(quality = 1 AND p < 0.5) AS missed, count_if(quality = 0 AND p < 0.5) AS abstained, count_if(quality = 0 AND p >= 0.5) AS invented FROM ({_PREDICTED}))""")
+def answerability(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.answerability(_predicted(spark, d), F.col("quality") == 1, F.col("p") >= 0.5)

@@ -54,3 +54,23 @@ def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def land(stream: DataFrame, mode: str, at: str) -> DataFrame:
+    """Runs a stream over all that is there now into Parquet below ``at``, a shared folder, and reads it.
+
+    Each batch has a folder of its own, which a repeated batch replaces, so a restart adds nothing twice.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/rows/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def newest(states: DataFrame, key: str, progress: str) -> DataFrame:
+    """Of the rows that an updating stream wrote for a key, the one that has come furthest."""
+    rest = [c for c in states.columns if c != key]
+    return states.groupBy(key).agg(F.max_by(F.struct(*rest), progress).alias("x")).select(key, "x.*")
