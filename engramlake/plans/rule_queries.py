@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.functions import rules, schedule, tasks
-from engramlake.plans.registry import at, query
+from engramlake.functions import answers, rules, schedule, tasks
+from engramlake.operators import reconcile
+from engramlake.plans.registry import at, query, table
 
 NOW = "2026-09-26 12:00:00"  # a Saturday, in a zone 330 minutes ahead of UTC
 
@@ -86,3 +87,51 @@ _SENTENCES = ("My favorite book is Dune.", "Never include peanuts in my meals.",
 @query("""SELECT id::BIGINT AS id, category FROM (VALUES (1, 'preference'), (2, 'preference'), (3, 'episodic'), (4, 'episodic'), (5, 'task'), (6, 'task'), (7, 'semantic'), (8, 'procedural'), (9, 'temporary'), (10, 'semantic')) t(id, category)""")
 def classify_golden(spark: SparkSession, d: str) -> DataFrame:
     return _said(spark, _SENTENCES).select("id", rules.category(F.col("text")).alias("category"))
+
+
+_QUESTIONS = (
+    "What does Priya's brother do for a living?", "Do you know what job Amara's brother in Arusha has?", "What is the name of my cat?", "Do you know what Priya's sister is called?", "What did Priya name her rescue dog?", "Which city does Priya live in?",
+    "How often does Priya swim?", "How much did the new bike cost?", "What annual salary does Ravi earn?", "How long does Priya knead the dough?", "How many hours does Jonas cure the salmon?", "How far is the forest loop?", "Is my dog called Biscuit?",
+    "What is the name of the dog called Biscuit?", "What is John's number one goal in his basketball career?", "How much do I like jazz?", "How many days ago did I watch the Super Bowl?", "How many plants did I acquire in the last month?",
+)
+
+
+@query("""SELECT id::BIGINT AS id, slot FROM (VALUES (1, 'occupation'), (2, 'occupation'), (3, 'name'), (4, 'name'), (5, 'name'), (6, 'entity'), (7, 'frequency'), (8, 'money'), (9, 'money'), (10, 'duration'), (11, 'duration'), (12, 'distance'),
+(13, NULL), (14, NULL), (15, NULL), (16, NULL), (17, NULL), (18, NULL)) t(id, slot)""")
+def slot_golden(spark: SparkSession, d: str) -> DataFrame:
+    return _said(spark, _QUESTIONS).select("id", answers.slot(F.col("text")).alias("slot"))
+
+
+@query("""SELECT word, stem FROM (VALUES ('Cities', 'city'), ('boxes', 'box'), ('dogs', 'dog'), ('glass', 'glass'), ('running', 'run'), ('planned', 'plan'), ('Priya''s', 'priya'), ('bake', 'bak'), ('baking', 'bak'), ('was', 'was'), ('sing', 'sing')) t(word, stem)""")
+def stem_golden(spark: SparkSession, d: str) -> DataFrame:
+    words = ("Cities", "boxes", "dogs", "glass", "running", "planned", "Priya's", "bake", "baking", "was", "sing")
+    return _said(spark, words).select(F.col("text").alias("word"), answers.stem(F.col("text")).alias("stem"))
+
+
+@query("""SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda s: trim(s) <> '')) AS n FROM documents WHERE text IS NOT NULL""".replace("\\\\", "\\"))
+def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter("text is not null")
+    return docs.select("doc_id", F.size(answers.sentences(F.col("text"))).alias("n"))
+
+
+@query("""SELECT query_id::BIGINT AS query_id, source_id::BIGINT AS source_id, quote, problem FROM (VALUES (1, 11, 'in Rome', 'quote'), (1, 12, 'I live', 'source'), (2, 21, '', 'quote')) t(query_id, source_id, quote, problem)""")
+def unsupported_statements(spark: SparkSession, d: str) -> DataFrame:
+    said = spark.createDataFrame([(1, 11, "live in Lisbon"), (1, 11, "in Rome"), (1, 12, "I live"), (2, 21, ""), (2, 21, "Rex")], "query_id bigint, source_id bigint, quote string")
+    found = spark.createDataFrame([(1, 11, "I live in Lisbon."), (2, 21, "My dog is Rex."), (2, 12, "I live in Porto.")], "query_id bigint, source_id bigint, text string")
+    return answers.unsupported(said, found)
+
+
+_OBSERVED = [  # user, id, seconds, content, source_priority, confidence, importance
+    ("time", 1, 0, "I live in Chennai.", 0, 0.5, 0.5), ("time", 2, 60, "I live in Bengaluru.", 0, 0.5, 0.5), ("priority", 3, 0, "I live in Chennai.", 90, 0.5, 0.5), ("priority", 4, 60, "I live in Mumbai.", 10, 0.5, 0.5),
+    ("confidence", 5, 0, "I live in Chennai.", 0, 0.9, 0.5), ("confidence", 6, 60, "I live in Mumbai.", 0, 0.2, 0.5), ("importance", 7, 0, "I live in Chennai.", 0, 0.5, 0.8), ("importance", 8, 0, "I live in Mumbai.", 0, 0.5, 0.6),
+    ("importance", 9, 0, "I live in Delhi.", 0, 0.5, 0.8), ("same", 10, 0, "I live in Chennai.", 0, 0.5, 0.5), ("same", 11, 60, "I reside in Chennai.", 0, 0.5, 0.5), ("moved", 12, 0, "I live in Chennai.", 0, 0.5, 0.5), ("moved", 13, 60, "I recently relocated to New Delhi.", 0, 0.5, 0.5),
+]
+
+
+@query("""SELECT id::BIGINT AS id, status, superseded_by::BIGINT AS superseded_by, consolidated_into::BIGINT AS consolidated_into, reason FROM (VALUES (1, 'superseded', 2, NULL, 'observation_time'), (3, 'active', NULL, NULL, NULL), (4, 'superseded', 3, NULL, 'source_priority'),
+(5, 'active', NULL, NULL, NULL), (6, 'superseded', 5, NULL, 'confidence'), (7, 'active', NULL, NULL, NULL), (8, 'superseded', 7, NULL, 'importance'), (9, 'superseded', 7, NULL, 'tie_kept_existing'), (10, 'active', NULL, NULL, NULL), (11, 'consolidated', NULL, 10, NULL),
+(12, 'superseded', 13, NULL, 'observation_time'), (2, 'active', NULL, NULL, NULL), (13, 'active', NULL, NULL, NULL)) t(id, status, superseded_by, consolidated_into, reason)""")
+def reconcile_golden(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(_OBSERVED, "user_id string, id bigint, seconds int, content string, source_priority int, confidence double, importance double")
+    rows = rows.withColumn("observed_at", at(NOW) + F.make_dt_interval(secs=F.col("seconds")))
+    return reconcile.fold(rows).select("id", "status", "superseded_by", "consolidated_into", "reason")
