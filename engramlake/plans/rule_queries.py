@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.functions import answers, rules, schedule, tasks
-from engramlake.operators import reconcile
+from engramlake.operators import reconcile, task_updates
 from engramlake.plans.registry import at, query, table
 
 NOW = "2026-09-26 12:00:00"  # a Saturday, in a zone 330 minutes ahead of UTC
@@ -135,3 +135,13 @@ def reconcile_golden(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame(_OBSERVED, "user_id string, id bigint, seconds int, content string, source_priority int, confidence double, importance double")
     rows = rows.withColumn("observed_at", at(NOW) + F.make_dt_interval(secs=F.col("seconds")))
     return reconcile.fold(rows).select("id", "status", "superseded_by", "consolidated_into", "reason")
+
+
+@query("""SELECT event_id::BIGINT AS event_id, resolution, task_id::BIGINT AS task_id FROM (VALUES (1, 'applied', 11), (2, 'applied', 10), (3, 'ambiguous', NULL), (4, 'unmatched', NULL), (5, 'applied', 14), (6, 'unmatched', NULL), (7, 'ambiguous', NULL)) t(event_id, resolution, task_id)""")
+def task_resolution(spark: SparkSession, d: str) -> DataFrame:
+    known = [(10, "ann", "s1", 0, "Submit the quarterly report"), (11, "ann", "s1", 0, "Send the report tomorrow"), (12, "ann", "s2", 0, "Pay the rent"), (13, "ann", "s2", 0, "Pay rent for the garage"), (14, "bob", "s3", 0, "Call the dentist"), (15, "bob", "s4", 90, "Finish essay 2"), (16, "cy", "s5", 0, "Pay rent flat"), (17, "cy", "s5", 0, "Pay rent garage")]
+    said = [(1, "ann", "s1", 10, "the report"), (2, "ann", "s1", 10, "quarterly report"), (3, "ann", "s2", 10, "it"), (4, "ann", "s1", 10, "essay"), (5, "bob", "s3", 10, "that"), (6, "bob", "s4", 10, "essay 2"), (7, "cy", "s6", 10, "rent")]
+    moment = lambda c: at(NOW) + F.make_dt_interval(secs=F.col(c))
+    tasks_ = spark.createDataFrame(known, "task_id bigint, user_id string, session_id string, s int, content string").withColumn("updated_at", moment("s"))
+    events = spark.createDataFrame(said, "event_id bigint, user_id string, session_id string, s int, reference string").withColumn("at", moment("s"))
+    return task_updates.matched(events, tasks_).select("event_id", "resolution", "task_id")

@@ -250,7 +250,7 @@ def constant_baseline_grid(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT item_id AS query_id, doc_id AS id, doc_id % 4 AS grade FROM benchmark, documents WHERE doc_id % 50 = item_id % 50 AND doc_id % 4 > 0),
 i AS (SELECT query_id, count(*) AS relevant, sum((pow(2, grade) - 1) / log2(n + 1)) FILTER (n <= 5) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS n FROM g) GROUP BY 1),
 m AS (SELECT query_id, count_if(rank <= 5) AS found, min(rank) AS first, sum((pow(2, grade) - 1) / log2(rank + 1)) FILTER (rank <= 5) AS dcg FROM r JOIN g USING (query_id, id) GROUP BY 1)
-SELECT q.query_id, CASE WHEN relevant IS NOT NULL THEN round(coalesce(found / relevant, 0), 6) END AS recall, CASE WHEN relevant IS NOT NULL THEN CASE WHEN found > 0 THEN 1.0 ELSE 0.0 END END AS hit,
+SELECT q.query_id, CASE WHEN relevant IS NOT NULL THEN round(coalesce(found / relevant, 0), 6) END AS recall, CASE WHEN relevant IS NOT NULL THEN CASE WHEN found > 0 THEN 1.0::DOUBLE ELSE 0.0 END END AS hit,
 CASE WHEN relevant IS NOT NULL THEN round(coalesce(1 / first, 0), 6) END AS mrr, CASE WHEN relevant IS NOT NULL THEN round(coalesce(dcg / ideal, 0), 6) END AS ndcg
 FROM (SELECT query_id FROM r UNION SELECT query_id FROM g) q LEFT JOIN i USING (query_id) LEFT JOIN m USING (query_id)""")
 def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -294,7 +294,7 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_COVER}, r AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coverage DESC, id) AS rank FROM h) WHERE rank <= 10),
 g AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark, documents WHERE doc_id % 50 = item_id % 50 AND doc_id % 4 > 0),
-m AS (SELECT g.query_id, max(CASE WHEN r.id IS NULL THEN 0.0 ELSE 1.0 END) AS pool_hit, round(count(r.id) / count(*), 6) AS pool_recall FROM g LEFT JOIN r USING (query_id, id) GROUP BY 1)
+m AS (SELECT g.query_id, max(CASE WHEN r.id IS NULL THEN 0.0::DOUBLE ELSE 1.0 END) AS pool_hit, round(count(r.id) / count(*), 6) AS pool_recall FROM g LEFT JOIN r USING (query_id, id) GROUP BY 1)
 SELECT q.query_id, pool_hit, pool_recall FROM (SELECT query_id FROM r UNION SELECT query_id FROM g) q LEFT JOIN m USING (query_id)""")
 def pool_metrics(spark: SparkSession, d: str) -> DataFrame:
     ranked = retrieval.keyword_hits(_asked(spark, d), _docs(spark, d), 10)
@@ -307,3 +307,12 @@ def pool_metrics(spark: SparkSession, d: str) -> DataFrame:
 count_if(quality = 1 AND p < 0.5) AS missed, count_if(quality = 0 AND p < 0.5) AS abstained, count_if(quality = 0 AND p >= 0.5) AS invented FROM ({_PREDICTED}))""")
 def answerability(spark: SparkSession, d: str) -> DataFrame:
     return metrics.answerability(_predicted(spark, d), F.col("quality") == 1, F.col("p") >= 0.5)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 <> other % 3 THEN 'source_priority' WHEN round(value, 0) <> round(v, 0) THEN 'confidence' WHEN ts <> t THEN 'observation_time' ELSE 'tie_kept_existing' END AS reason
+FROM (SELECT event_id, value, ts, lag(event_id) OVER w AS other, lag(value) OVER w AS v, lag(ts) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE other IS NOT NULL""")
+def decision_reason(spark: SparkSession, d: str) -> DataFrame:
+    mine = F.struct((F.col("event_id") % 3).alias("source_priority"), F.round("value", 0).alias("confidence"), F.col("ts").alias("observed_at"), F.lit(0).alias("importance"))
+    e = table(spark, d, "events").select("event_id", "user_id", mine.alias("a"))
+    e = e.withColumn("b", F.lag("a").over(Window.partitionBy("user_id").orderBy("event_id"))).filter("b is not null")
+    return e.select("event_id", reconcile.deciding("a", "b").alias("reason"))
