@@ -1,12 +1,13 @@
 """Quality rules by n-gram perplexity: a Kneser-Ney model that Spark counts over the whole corpus.
 
-Text becomes symbols of 6 bits (letters by themselves, other bytes by kind), and Spark counts the
-4-grams of all documents per language. The model (modified Kneser-Ney with three discounts,
-interpolated down to single symbols) is at most 2**24 entries a language, whatever the corpus; if
-all languages together exceed ``MODEL_ENTRIES``, a lower order is used for all of them. It is stored
-as sorted arrays of gram codes with log probabilities. Each language's band of perplexities
-reaches ``WIDTH`` interquartile ranges beyond the quartiles of its documents, and documents outside
-are rejected, as are those that fail the base rules.
+Spark counts the 4-grams of characters (code points as they are) of all documents per language,
+summed in each batch before they are shuffled. The model (modified Kneser-Ney with three discounts,
+interpolated down to single characters) is a table with a row for each distinct gram, made by joins
+at one fixed order; it grows with the corpus. Documents are scored against ``SLICE`` grams at a
+time, parted by a hash of the gram, and the sums of all slices added: memory stays bounded, a larger
+model takes more passes, and the number of slices does not change what is measured. Each language's
+band of perplexities reaches ``WIDTH`` interquartile ranges beyond the quartiles of its documents,
+and documents outside are rejected, as are those that fail the base rules.
 
 Edge cases: null text has no words and fails the base rule; documents without a language share one
 band, ``und``; a language with few documents has a wide band, and one document is always inside.
@@ -14,7 +15,7 @@ band, ``und``; a language with few documents has a wide band, and one document i
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,94 +25,50 @@ from pyspark.sql import functions as F
 from engramlake.llm import text as T
 
 ORDER = 4
-MODEL_ENTRIES = 8_000_000
+#: Grams of the model that a scoring pass holds.
+SLICE = 4_000_000
 #: Interquartile ranges of log perplexity that a band reaches beyond the quartiles, least reach, and what the
 #: mean of few symbols may vary beside, divided by the root of their number.
 WIDTH, LEAST_WIDTH, SPREAD = 3.0, 0.1, 4.0
-_BITS, _SYMBOLS = 6, 64
-
-
-def _symbol(b: int) -> int:
-    c = chr(b)
-    if b >= 0x80:
-        return 38 + (b * 7) % 26
-    if c.isalpha():
-        return 1 + ord(c.lower()) - 97
-    for k, those in enumerate(("\n", " \t\r\v\f", "0123456789", ".", ",", ";:", "!?", "\"'`", "-_()", "|", "#$%&*<>")):
-        if c in those:
-            return 27 + k
-    return 0
-
-
-_SYMBOL = np.array([_symbol(b) for b in range(256)], np.uint32)
-_LINE = np.uint32(_symbol(10))
-
-
-def grams(c: T.Chunk, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The code and the row of the gram that ends at each byte; before a text stand line ends."""
-    pad = order - 1
-    row = np.repeat(np.arange(c.rows), np.diff(c.offs))
-    place = np.arange(len(c.buf)) + pad * (row + 1)
-    s = np.full(len(c.buf) + pad * c.rows, _LINE, np.uint32)
-    s[place] = _SYMBOL[c.buf]
-    code = s[place]
-    for k in range(1, order):
-        code |= s[place - k] << np.uint32(_BITS * k)
-    return code, row
-
-
-@dataclass
-class Model:
-    """Per language, and order from 1 on: sorted codes, log probabilities, and log back-off weights of contexts."""
-
-    order: int
-    langs: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
-
-    def log_prob(self, lang: str, code: np.ndarray) -> np.ndarray:
-        """Of each code's last symbol after the ones before it."""
-        levels = self.langs.get(lang)
-        if not levels:
-            return np.full(len(code), -np.log(_SYMBOLS))
-        return _look(levels, len(levels), code)
-
-
-def _look(levels: list, k: int, code: np.ndarray) -> np.ndarray:
-    codes, logp, contexts, backoff = levels[k - 1]
-    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-    out = logp[at].astype(np.float64)
-    miss = np.flatnonzero(codes[at] != code)
-    if len(miss):
-        x = code[miss]
-        if k == 1:
-            out[miss] = -np.log(_SYMBOLS) + backoff[0]
-        else:
-            before = x >> np.uint32(_BITS)
-            i = np.minimum(np.searchsorted(contexts, before), len(contexts) - 1)
-            lower = _look(levels, k - 1, x & np.uint32((1 << (_BITS * (k - 1))) - 1))
-            out[miss] = np.where(contexts[i] == before, backoff[i], 0.0) + lower
-    return out
-
-
-def kneser_ney(codes: np.ndarray, n: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Levels 1 to ``order`` of a model from sorted gram codes and their counts."""
-    counts = [(codes.astype(np.uint32), n.astype(float))]
-    for k in range(order - 1, 0, -1):  # below the highest order: in how many grams a shorter one ends
-        short = counts[0][0] & np.uint32((1 << (_BITS * k)) - 1)
-        u, c = np.unique(short, return_counts=True)
-        counts.insert(0, (u, c.astype(float)))
-    levels: list = []
-    for k, (u, c) in enumerate(counts, 1):
-        of = [float((c == i).sum()) for i in range(1, 5)]
-        y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
-        d = [min(i, max(0.1, i - (i + 1) * y * of[i] / of[i - 1])) if of[i - 1] else 0.5 * min(i, 1) for i in (1, 2, 3)]
-        cut = np.array([0.0, *d])[np.minimum(c, 3).astype(int)]
-        context, inverse = np.unique(u >> np.uint32(_BITS), return_inverse=True)
-        total = np.bincount(inverse, weights=c)
-        gamma = np.maximum(np.bincount(inverse, weights=cut) / total, 1e-9)
-        lower = np.exp(_look(levels, k - 1, u & np.uint32((1 << (_BITS * (k - 1))) - 1))) if k > 1 else 1 / _SYMBOLS
-        p = (c - cut) / total[inverse] + gamma[inverse] * lower
-        levels.append((u, np.log(p).astype(np.float32), context, np.log(gamma).astype(np.float32)))
-    return levels
+_CHARACTERS = 0x110000
+_NAMES = ("a", "b", "c", "d")
+
+
+def grams(c: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """The characters (a row of ORDER code points) and the row of the gram that ends at each character; before a text stand line ends."""
+    cps, offs = T.code_points(c)
+    pad = ORDER - 1
+    row = np.repeat(np.arange(c.rows), np.diff(offs))
+    place = np.arange(len(cps)) + pad * (row + 1)
+    s = np.full(len(cps) + pad * c.rows, 10, np.uint32)
+    s[place] = cps
+    return np.stack([s[place - k] for k in range(pad, -1, -1)], 1), row
+
+
+def distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of ``g``, and which of them each row is."""
+    seen = np.zeros(_CHARACTERS, bool)
+    seen[g] = True
+    alphabet = np.flatnonzero(seen)
+    if len(alphabet) > 0xFFFF:
+        u, inverse = np.unique(g, axis=0, return_inverse=True)
+        return u, inverse.ravel()
+    of = np.zeros(_CHARACTERS, np.uint64)
+    of[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
+    code = np.zeros(len(g), np.uint64)
+    for k in range(ORDER):
+        code = (code << np.uint64(16)) | of[g[:, k]]
+    u, inverse = np.unique(code, return_inverse=True)
+    shifts = np.arange(ORDER - 1, -1, -1, dtype=np.uint64) * np.uint64(16)
+    return alphabet[(u[:, None] >> shifts) & np.uint64(0xFFFF)].astype(np.uint32), inverse
+
+
+def _key(g: np.ndarray) -> np.ndarray:
+    """A hash of 64 bits of each gram."""
+    h = np.zeros(len(g), np.uint64)
+    for k in range(ORDER):
+        h = T.mix(h * np.uint64(0xA24BAED4963EE407) + g[:, k].astype(np.uint64) + np.uint64(1))
+    return h
 
 
 def _read(docs: DataFrame) -> DataFrame:
@@ -119,33 +76,55 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
 
 
-def fit(docs: DataFrame, order: int = ORDER, most: int = MODEL_ENTRIES) -> Model:
-    """A model of every language of ``docs`` (doc_id, text, lang), counted over all rows."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(lang, a, b, c, d, n): how often each gram of characters occurs in all rows of ``docs``."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         lang = np.array(batch.column("lang").to_pylist(), object)
-        names, which = np.unique(lang.astype(str), return_inverse=True)
-        keys, sums = [], []
+        found: dict[str, tuple[list, list]] = {}
         for c in T.chunks(batch.column("text")):
-            code, row = grams(c, order)
-            u, n = np.unique(code.astype(np.uint64) | (which[c.lo : c.hi][row].astype(np.uint64) << np.uint64(32)), return_counts=True)
-            keys.append(u)
-            sums.append(n)
-        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate(sums), minlength=len(u)).astype(np.int64)
-        of = pa.DictionaryArray.from_arrays(pa.array((u >> np.uint64(32)).astype(np.int32)), pa.array(names.tolist(), pa.string())).cast(pa.string())
-        return pa.RecordBatch.from_arrays([of, pa.array((u & np.uint64(0xFFFFFFFF)).astype(np.int32)), pa.array(n)], ["lang", "code", "n"])
-
-    counted = T.stored(T.by_batch(_read(docs).select("lang", "text"), count, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")))
-    while order > 1 and counted.count() > most:
-        order -= 1
-        counted = T.stored(counted.groupBy("lang", F.col("code").bitwiseAND((1 << (_BITS * order)) - 1).alias("code")).agg(F.sum("n").alias("n")))
-    rows = counted.toPandas()  # at most ``most`` entries
-    langs = {}
-    for lang, part in rows.groupby("lang"):
-        part = part.sort_values("code")
-        langs[lang] = kneser_ney(part["code"].to_numpy(), part["n"].to_numpy(), order)
-    return Model(order, langs)
+            g, row = grams(c)
+            here = lang[c.lo : c.hi]
+            for x in set(here.tolist()):
+                u, inverse = distinct(g[(here == x)[row]])
+                of = found.setdefault(x, ([], []))
+                of[0].append(u)
+                of[1].append(np.bincount(inverse, minlength=len(u)))
+        names, all_u, all_n = [], [np.zeros((0, ORDER), np.uint32)], [np.zeros(0, np.int64)]
+        for x, (us, ns) in found.items():
+            u, inverse = distinct(np.concatenate(us))
+            names += [x] * len(u)
+            all_u.append(u)
+            all_n.append(np.bincount(inverse, weights=np.concatenate(ns), minlength=len(u)).astype(np.int64))
+        u = np.concatenate(all_u).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(u[:, k]) for k in range(ORDER)], pa.array(np.concatenate(all_n), pa.int64())], ["lang", *_NAMES, "n"])
+
+    found = T.by_batch(_read(docs).select("lang", "text"), count, "lang string, a int, b int, c int, d int, n bigint")
+    return found.groupBy("lang", *_NAMES).agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame) -> DataFrame:
+    """(lang, a, b, c, d, logp): of each gram that occurs in ``docs``, the log probability of its last character after the ones before it."""
+    levels = [T.stored(counted(docs))]
+    for k in range(1, ORDER):  # below the highest order: in how many grams a shorter one ends
+        levels.append(T.stored(levels[-1].groupBy("lang", *_NAMES[k:]).agg(F.count("*").alias("n"))))
+    p = None
+    for k in range(ORDER - 1, -1, -1):
+        level, names = levels[k], _NAMES[k:]
+        of = level.groupBy("lang").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"of{i}") for i in range(1, 5)])
+        y = F.when(F.col("of1") > 0, F.col("of1") / (F.col("of1") + 2 * F.col("of2"))).otherwise(0.5)
+        d = [F.when(F.col(f"of{i}") > 0, F.least(F.lit(float(i)), F.greatest(F.lit(0.1), i - (i + 1) * y * F.col(f"of{i + 1}") / F.nullif(F.col(f"of{i}"), F.lit(0.0))))).otherwise(0.5) for i in (1, 2, 3)]
+        # one row for each language
+        level = level.join(F.broadcast(of.select("lang", *[x.alias(f"d{i}") for i, x in enumerate(d, 1)])), "lang")
+        level = level.select("lang", *names, "n", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("cut"))
+        before = level.groupBy("lang", *names[:-1]).agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
+        level = level.join(before, ["lang", *names[:-1]])
+        lower = F.lit(1 / _CHARACTERS)
+        if p is not None:
+            level, lower = level.join(p, ["lang", *names[1:]]), F.col("p")
+        gamma = F.greatest(F.col("cuts") / F.col("total"), F.lit(1e-9))
+        p = T.stored(level.select("lang", *names, ((F.col("n") - F.col("cut")) / F.col("total") + gamma * lower).alias("p")))
+    return p.select("lang", *_NAMES, F.log("p").alias("logp"))
 
 
 def _rows(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,40 +170,66 @@ def base_counts(c: T.Chunk, window: int = 8) -> np.ndarray:
     return out
 
 
-def measure(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, lang, the base counts and log_perplexity (null for empty text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_ENTRIES entries
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def _sums(docs: DataFrame, part: DataFrame, with_counts: bool) -> DataFrame:
+    """Per row: doc_id, lang, a hash of the text, its characters, the base counts (or 0) and the sum of log probabilities of the grams that are in ``part``."""
+    rows = part.toArrow()  # about SLICE grams
+    lang, logp = np.array(rows.column("lang").to_pylist(), object), rows.column("logp").to_numpy()
+    key = _key(np.stack([rows.column(x).to_numpy().astype(np.uint32) for x in _NAMES], 1))
+    held = {}
+    for x in set(lang.tolist()):
+        mine = np.flatnonzero(lang == x)
+        mine = mine[np.argsort(key[mine])]
+        held[x] = key[mine], logp[mine]
+    sent = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lang = np.array(batch.column("lang").to_pylist(), object)
-        counts, loss = [], []
+        counts, sums, size = [np.zeros((0, 5), np.int64)], [], []
         for c in T.chunks(batch.column("text")):
-            counts.append(base_counts(c))
-            code, row = grams(c, sent.value.order)
-            total = np.zeros(c.rows)
-            here = lang[c.lo : c.hi]
-            for x in set(here.tolist()):
+            counts.append(base_counts(c) if with_counts else np.zeros((c.rows, 5), np.int64))
+            g, row = grams(c)
+            total, here = np.zeros(c.rows), lang[c.lo : c.hi]
+            for x in set(here.tolist()) & set(sent.value):
                 mine = np.flatnonzero((here == x)[row])
-                total += np.bincount(row[mine], weights=sent.value.log_prob(x, code[mine]), minlength=c.rows)
-            size = np.diff(c.offs)
-            loss.append(np.where(size > 0, -total / np.maximum(size, 1), np.nan))
-        n, x = np.concatenate(counts), np.concatenate(loss)
-        cols = [batch.column("doc_id"), batch.column("lang"), *[pa.array(n[:, k]) for k in range(5)], pa.array(x, mask=np.isnan(x))]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", *names, "log_perplexity"])
+                u, inverse = distinct(g[mine])
+                keys, logp = sent.value[x]
+                h = _key(u)
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                total += np.bincount(row[mine], weights=np.where(keys[at] == h, logp[at], 0.0)[inverse], minlength=c.rows)
+            sums.append(total)
+            size.append(np.bincount(row, minlength=c.rows))
+        n = np.concatenate(counts)
+        cols = [batch.column("doc_id"), batch.column("lang"), batch.column("h"), pa.array(np.concatenate(size), pa.int64()), *[pa.array(n[:, k]) for k in range(5)], pa.array(np.concatenate(sums))]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", "h", "size", *COUNTS, "logp"])
+
+    schema = "doc_id bigint, lang string, h bigint, size bigint, " + ", ".join(f"{k} bigint" for k in COUNTS) + ", logp double"
+    return T.by_batch(_read(docs).withColumn("h", F.xxhash64("text")), run, schema)
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 
-    return T.by_batch(_read(docs), run, "doc_id bigint, lang string, " + ", ".join(f"{k} bigint" for k in names) + ", log_perplexity double")
+def measure(docs: DataFrame, model: DataFrame, most: int = SLICE) -> DataFrame:
+    """Per row: doc_id, lang, the base counts and log_perplexity (null for empty text); ``model`` is that of ``docs``, read ``most`` grams at a time."""
+    passes = max(1, -(-model.count() // most))
+    of = F.pmod(F.xxhash64(*_NAMES), F.lit(passes))
+    found = reduce(DataFrame.unionByName, [T.stored(_sums(docs, model.filter(of == k), k == 0)) for k in range(passes)])
+    if passes > 1:  # equal rows have equal sums
+        rows = found.groupBy("doc_id", "lang", "h", "size").agg(F.count("*").alias("rows"), *[(F.max(k)).alias(k) for k in COUNTS], F.sum("logp").alias("logp"))
+        copies = (F.col("rows") / passes).cast("int")
+        found = rows.withColumn("logp", F.col("logp") / copies).withColumn("_", F.explode(F.sequence(F.lit(1), copies)))
+    return found.select("doc_id", "lang", *COUNTS, F.when(F.col("size") > 0, -F.col("logp") / F.col("size")).alias("log_perplexity"))
 
 
-def rules(docs: DataFrame, width: float = WIDTH, model: Model | None = None) -> DataFrame:
+def rules(docs: DataFrame, width: float = WIDTH, most: int = SLICE) -> DataFrame:
     """Per row: doc_id, the base counts, log_perplexity, its language's band, base_failed and kept."""
-    found = T.stored(measure(docs, model or fit(docs)))
+    found = T.stored(measure(docs, fit(docs), most))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
     q = found.filter("not base_failed").groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 2000).alias("q"))
     reach = F.greatest(width * (F.col("q")[1] - F.col("q")[0]), F.lit(LEAST_WIDTH))
     bands = q.select("lang", (F.col("q")[0] - reach).alias("band_low"), (F.col("q")[1] + reach).alias("band_high"))
-    # one row for each language of the model, which its bound limits
+    # one row for each language
     judged = found.join(F.broadcast(bands), "lang", "left")
     spread = SPREAD / F.sqrt(F.greatest(F.col("word_chars"), F.lit(1)))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("band_low") - spread, F.col("band_high") + spread), F.lit(True))
