@@ -15,14 +15,12 @@ from engramlake.llm import decontaminate, langid, neardup, packing, pii
 from engramlake.llm.text import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Least share of a document's letters in its language; text without letters has none.
-LEAST_SHARE = 0.4
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a known language, which becomes their ``lang``."""
+    """Keeps documents in known languages, of which the largest becomes their ``lang``, however small its share is."""
     found = langid.with_language(docs, langid.fit(docs))
-    return found.filter((found.lang_pred != langid.UNKNOWN) & (found.lang_score >= LEAST_SHARE)).withColumn("lang", found.lang_pred).select(*docs.columns)
+    return found.filter(found.lang_pred != langid.UNKNOWN).withColumn("lang", found.lang_pred).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
