@@ -3,12 +3,13 @@
 The insult lexicon is learned: words and word beginnings that labelled toxic texts use far more than
 others, with their log odds as weights. Small transducers for threats, targets, negation and
 reported speech run beside each other over the words of a clause; their states decide in which way
-an insult counts (plain, aimed at someone, negated, reported, with a threat). A logistic model over
+an insult counts (plain, aimed at someone, negated, reported, with a threat). A threat with a target
+in reach is a match of its own, with or without an insult. A logistic model over
 these clause sums, fitted on the same labelled rows, makes the score, so the weight of a negated or
 reported insult is learned and not assumed.
 
 Edge cases: null and empty texts have no clause and get the score of a text without a match; null
-labels teach nothing; without positive labels the lexicon is empty and the score is the label's rate.
+labels teach nothing; without positive labels the lexicon is empty and only threats at targets match.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from engramlake.llm import text as T
 TRAIN_ROWS = 20_000
 #: Bytes of the word beginnings that the lexicon may hold beside whole words.
 BEGINNINGS = (4, 5, 6, 7)
-#: Least share of toxic texts that an entry of the lexicon occurs in, and least of them.
-LEAST_SHARE, LEAST_TEXTS = 0.004, 4
+#: Least number of toxic texts that an entry of the lexicon occurs in.
+LEAST_TEXTS = 4
 
 #: Fixed word lists of the grammar, for English, German, French and Spanish.
 THREATS = "kill hurt destroy beat shoot punch stab töte schlage vernichte tuer frapper détruire matar golpear destruir"
@@ -38,7 +39,8 @@ REPORTS = "said says say wrote called claimed quoted reported sagte schrieb nann
 _CLASSES = {1: THREATS, 2: TARGETS, 3: NEGATIONS, 4: REPORTS}
 _REACH = 3  # words that a negation, target or threat reaches
 
-WAYS = ("plain", "aimed", "negated", "reported", "threat", "largest", "hits")
+#: A menace is a threat at a target; ``menace_off`` is one that is negated or reported.
+WAYS = ("plain", "aimed", "negated", "reported", "threat", "menace", "menace_off", "largest", "hits")
 _CLAUSE_ENDS = T.byte_set(lambda b: chr(b) in ".!?;:,\n|()\"")
 
 
@@ -94,10 +96,12 @@ def _class_table() -> tuple[np.ndarray, np.ndarray]:
 
 class Clause:
     """The transducers side by side: each holds how far it still reaches; an insult is put out in the way
-    that their joint state tells, and a target or threat that follows soon changes the way."""
+    that their joint state tells, and a target or threat that follows soon changes the way. A threat and a
+    target in reach of each other, in any order, are put out once for each threat."""
 
     def __init__(self):
         self.reported, self.negated, self.target, self.threat = False, 0, 0, 0
+        self.open, self.open_off = 0, False  # a threat that has met no target: its reach, and whether it was negated
         self.out: list[list] = []  # way, weight, words since
 
     def step(self, cls: int, weight: float) -> None:
@@ -108,16 +112,26 @@ class Clause:
         elif cls == 2:
             self.target = _REACH + 1
             self._upgrade("aimed")
+            if self.open:
+                self._menace(self.open_off)
         elif cls == 1:
             self.threat = _REACH + 1
             self._upgrade("threat")
+            if self.target:
+                self._menace(False)
+            else:
+                self.open, self.open_off = _REACH + 1, self.negated > 0
         if weight > 0:
             way = "reported" if self.reported else "negated" if self.negated else "threat" if self.threat else "aimed" if self.target else "plain"
             self.out.append([way, weight, 0])
-        self.negated, self.target, self.threat = max(0, self.negated - 1), max(0, self.target - 1), max(0, self.threat - 1)
+        self.negated, self.target, self.threat, self.open = (max(0, x - 1) for x in (self.negated, self.target, self.threat, self.open))
         for x in self.out:
             x[2] += 1
 
+    def _menace(self, off: bool) -> None:
+        self.out.append(["menace_off" if off or self.reported or self.negated else "menace", 1.0, 0])
+        self.open = 0
+
     def _upgrade(self, way: str) -> None:
         for x in self.out:
             if x[0] == "plain" and x[2] <= _REACH:
@@ -128,22 +142,20 @@ def clause_sums(c: T.Chunk, lexicon: Lexicon) -> np.ndarray:
     """A row of WAYS for each text of a chunk."""
     out = np.zeros((c.rows, len(WAYS)))
     start, row, kinds = _word_hashes(c)
-    if not len(start) or not len(lexicon.hashes):
+    if not len(start):
         return out
     weight = np.zeros(len(start))
     for words, h in kinds:
         hit, k = _lookup(lexicon.hashes, h)
         np.maximum.at(weight, words[hit], lexicon.weights[k])
-    insults = np.flatnonzero(weight)
-    if not len(insults):
-        return out
     table, classes = _class_table()
     cls = np.zeros(len(start), np.int64)
     hit, k = _lookup(table, kinds[0][1])
     cls[hit] = classes[k]
+    found = np.flatnonzero((weight > 0) | (cls == 1))
     ends = np.concatenate([[0], np.cumsum(_CLAUSE_ENDS[c.buf])])
     clause = ends[start] + row  # a new row begins a new clause
-    for x in np.unique(clause[insults]):
+    for x in np.unique(clause[found]):
         lo, hi = np.searchsorted(clause, [x, x + 1])
         walk = Clause()
         for a, b in zip(cls[lo:hi].tolist(), weight[lo:hi].tolist(), strict=True):
@@ -152,9 +164,9 @@ def clause_sums(c: T.Chunk, lexicon: Lexicon) -> np.ndarray:
         total = 0.0
         for way, w, _ in walk.out:
             out[r, WAYS.index(way)] += w
-            total += w
-        out[r, 5] = max(out[r, 5], total)
-        out[r, 6] += len(walk.out)
+            total += w * (not way.startswith("menace"))
+        out[r, -2] = max(out[r, -2], total)
+        out[r, -1] += sum(not x[0].startswith("menace") for x in walk.out)
     return np.log1p(out)
 
 
@@ -194,9 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Model
     pos, neg = size.get(1, 0), size.get(0, 0)
     lexicon = Lexicon(np.zeros(0, np.uint64), np.zeros(0))
     if pos:
-        # at most (entries of a text) / LEAST_SHARE entries can be so frequent, whatever the input's size
-        least = max(LEAST_TEXTS, int(np.ceil(LEAST_SHARE * pos)))
-        often = _texts_with(rows.filter("y = 1"), None).filter(F.col("n") >= least).toPandas().astype({"h": "int64"})
+        # the sample's size bounds how many entries can be so frequent, whatever the input's size
+        often = _texts_with(rows.filter("y = 1"), None).filter(F.col("n") >= LEAST_TEXTS).toPandas().astype({"h": "int64"})
         h = often["h"].to_numpy().view(np.uint64)
         order = np.argsort(h)
         h, in_pos = h[order], often["n"].to_numpy(float)[order]
@@ -214,7 +225,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Model
 
     got = T.by_batch(rows.select("text", "y", "doc_id"), run, "x array<double>, y int, doc_id bigint").toPandas().sort_values("doc_id", kind="stable")
     x, y = np.array(got["x"].tolist()).reshape(len(got), len(WAYS)), got["y"].to_numpy(float)
-    return Model(lexicon, *_logistic(x, y))
+    return _menaces(Model(lexicon, *_logistic(x, y)), x)
+
+
+def _menaces(m: Model, x: np.ndarray) -> Model:
+    """Where no menace occurs in the sample ``x``, one counts as a plain insult of median weight does."""
+    plain, menace, largest, hits = (WAYS.index(k) for k in ("plain", "menace", "largest", "hits"))
+    if len(m.lexicon.weights) and not x[:, menace].any():
+        each = m.beta[1:] / m.scale
+        m.mean[menace], m.scale[menace] = 0.0, 1.0
+        m.beta[1 + menace] = max(0.0, np.log1p(np.median(m.lexicon.weights)) / np.log(2) * (each[plain] + each[largest]) + each[hits])
+    return m
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

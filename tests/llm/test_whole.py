@@ -5,7 +5,11 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
-from engramlake.llm import perplexity
+import pyarrow as pa
+import pytest
+
+from engramlake.llm import perplexity, toxicity
+from engramlake.llm import text as T
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven grey geese watch from their river bank".split()
 TEXTS = [" ".join(WORDS[(i * 7 + j * j) % len(WORDS)] for j in range(25 + i)) for i in range(12)]
@@ -42,3 +46,28 @@ def test_op10_model_of_all_characters(spark):
         for i, x, n in got:
             assert x is None if i >= 90 else math.isclose(x, want[i], rel_tol=1e-9)
             assert n == (0 if i >= 90 else len(texts[i].split()))
+
+
+@pytest.mark.parametrize(
+    ("text", "way"),
+    [
+        ("I will kill you", "menace"),
+        ("ich werde dich schlage", "menace"),
+        ("I will not kill you", "menace_off"),
+        ("he said kill them", "menace_off"),
+        ("beat the drum, and you slept", None),
+        ("kill one two three four you", None),
+    ],
+)
+def test_op4_threat_without_insult(text, way):
+    chunk = next(T.chunks(pa.array([text])))
+    got = dict(zip(toxicity.WAYS, toxicity.clause_sums(chunk, toxicity.Lexicon(*[x[:0] for x in toxicity._class_table()]))[0], strict=True))
+    assert [k for k in ("menace", "menace_off") if got[k]] == ([way] if way else [])
+
+
+def test_op4_unseen_threat_scores_above_clean(spark):
+    texts = [(i, f"plain words number {i} " + ("grobnik" if i % 2 else "")) for i in range(80)]
+    docs = spark.createDataFrame([*texts, (900, "I will kill you"), (901, "I will meet you")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert score[900] > 0.5 > score[901]
