@@ -36,7 +36,7 @@ def features(text: Column, category: Column, created_at: Column, now: Column, ac
     low, w = F.lower(text), rules.words(text)
     count = lambda those: F.size(F.filter(w, lambda x: x.isin(*those)))
     pos, neg = count(POSITIVE), count(NEGATIVE)
-    entities = F.size(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"), 0))
+    entities = F.size(F.regexp_extract_all(text, F.lit(r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"), 0))
     flag = lambda c: c.cast("double")
     return {
         "access_frequency": F.least(access_count / 10.0, F.lit(1.0)),

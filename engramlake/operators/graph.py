@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramlake.session import stored
 from engramlake.sources.log import during
 
 
@@ -89,18 +90,15 @@ def successors(edges: DataFrame, now: Column) -> DataFrame:
 
 
 def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """Ids reachable from ``roots`` (id) over ``links`` (src, dst), roots included: the frontier joins until it is empty."""
-    spark = links.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="engramlake-")
-        spark.sparkContext.setCheckpointDir(at)
+    """Ids reachable from ``roots`` (id) over ``links`` (src, dst), roots included.
+
+    Each round joins the newest ids with the links and stores those not seen before; what was
+    found in earlier rounds is read, never written again.
+    """
     links = links.select("src", "dst").distinct()
-    seen = frontier = roots.select("id").distinct().checkpoint()
-    while not frontier.isEmpty():
-        frontier = frontier.join(links, frontier.id == links.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").checkpoint()
-        seen = seen.union(frontier).checkpoint()
+    seen = newest = stored(roots.select("id").distinct())
+    while not newest.isEmpty():
+        met = newest.join(links, newest.id == links.src).select(F.col("dst").alias("id")).distinct()
+        newest = stored(met.join(seen, "id", "left_anti"))
+        seen = seen.union(newest)
     return seen

@@ -50,14 +50,59 @@ def calibration_error(rows: DataFrame, confidence: Column, correct: Column, bins
     return each.agg(F.round(F.sum(F.col("n") * F.abs(F.col("c") - F.col("y"))) / F.sum("n"), 6).alias("ece"), F.sum("n").alias("n"))
 
 
+def _bucketed(rows: DataFrame, key: list[str], value: str, buckets: int = 64) -> DataFrame:
+    """``rows`` with ``bucket``: equal values share one, and buckets of a key are in the order of their values.
+
+    Bounds are approximate quantiles of each key, a short array for each; null values have no bucket.
+    """
+    cuts = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 4096).alias("_cuts")
+    if key:
+        rows = rows.join(rows.groupBy(*key).agg(cuts), key)
+    else:
+        rows = rows.crossJoin(F.broadcast(rows.agg(cuts)))  # one row
+    return rows.withColumn("bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+
+
+def _before(sizes: DataFrame, key: list[str], *counts: str) -> DataFrame:
+    """(key, bucket) with the sums of ``counts`` in the buckets before; a few rows for each key."""
+    w = Window.partitionBy(*(key or [F.lit(0)])).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(*key, "bucket", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in counts])
+
+
 def roc_auc(rows: DataFrame, score: Column, positive: Column) -> DataFrame:
     """One row: the share of (positive, negative) pairs in order, ties half, from mean ranks of equal scores.
 
-    Scores are summed up first, so the one ordered pass sees a row for each distinct score.
+    Scores are summed up first; running sums go within buckets of scores, and the sums of the lower
+    buckets are added, so no task sees all scores.
     """
     c = rows.groupBy(score.alias("s")).agg(F.count_if(positive).cast("double").alias("p"), F.count_if(~positive).cast("double").alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return c.withColumn("below", below).agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / F.nullif(F.sum("p") * F.sum("q"), F.lit(0.0)), 6).alias("auc"))
+    c = _bucketed(c.filter("s is not null"), [], "s")
+    lower = _before(c.groupBy("bucket").agg(F.sum("q").alias("q")), [], "q")
+    w = Window.partitionBy("bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("q").over(w), F.lit(0.0)) + F.col("q_before")
+    at = c.join(F.broadcast(lower), "bucket").withColumn("below", below)  # a row for each bucket
+    return at.agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / F.nullif(F.sum("p") * F.sum("q"), F.lit(0.0)), 6).alias("auc"))
+
+
+def percentiles(rows: DataFrame, key: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """A row for each key: the exact percentile of each name in ``points``, interpolated between its two neighbours.
+
+    Values are ranked within buckets only, and of those only in the few that hold a wanted rank.
+    """
+    v = _bucketed(rows.select(*key, F.col(value).cast("double").alias("v")).filter("v is not null"), key, "v")
+    sizes = v.groupBy(*key, "bucket").agg(F.count("*").alias("n"))
+    of = Window.partitionBy(*(key or [F.lit(0)]))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("total") - 1) * p).alias("at")) for name, p in points.items()])
+    bounds = _before(sizes, key, "n").join(sizes, [*key, "bucket"]).withColumn("total", F.sum("n").over(of))
+    asked = bounds.select(*key, "bucket", "n_before", "n", F.explode(wanted).alias("x")).select("*", "x.*").drop("x")
+    here = (F.ceil("at") >= F.col("n_before")) & (F.floor("at") < F.col("n_before") + F.col("n"))
+    asked = asked.filter(here).select(*key, "bucket", "n_before", "name", "at")
+    ranked = v.join(asked.select(*key, "bucket").distinct(), [*key, "bucket"], "left_semi")
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*key, "bucket").orderBy("v")) - 1)
+    near = ranked.join(asked, [*key, "bucket"]).withColumn("r", F.col("r") + F.col("n_before")).filter(F.abs(F.col("r") - F.col("at")) < 1)
+    part = F.sum(F.col("v") * (1 - F.abs(F.col("r") - F.col("at")))).alias("v")
+    found = near.groupBy(*key, "name").agg(part)
+    return found.groupBy(*key).pivot("name", list(points)).agg(F.round(F.first("v"), 6))
 
 
 def _uniform(*of: Column) -> Column:

@@ -6,29 +6,102 @@ query or many.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions import rules
+from engramlake.session import stored
 
 FUSION = {"keyword": 0.3, "semantic": 0.5, "graph": 0.2}
 FUSION_OFFSET, AGREEMENT = 60, 0.002
-
-
-def keyword_hits(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+#: Queries that a task holds at a time.
+QUERY_BLOCK = 4096
+#: Word overlap beyond which a text repeats a chosen one.
+NEAR_REPEAT = 0.9
+_WORD = re.compile(r"\w+")
+
+
+class _Asked:
+    """A block of queries, by word: which of them hold it."""
+
+    def __init__(self, rows: list[tuple[int, list[str]]]):
+        self.ids = np.array([q for q, _ in rows], np.int64)
+        self.sizes = np.array([len(t) for _, t in rows])
+        words: dict[str, list[int]] = {}
+        for k, (_, t) in enumerate(rows):
+            for w in t:
+                words.setdefault(w, []).append(k)
+        self.words = pa.array(list(words), pa.string())
+        self.first = np.cumsum([0, *map(len, words.values())])
+        self.holds = np.concatenate([np.array(v, np.int64) for v in words.values()]) if words else np.zeros(0, np.int64)
+
+    def pairs(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, shared words) for lists of words."""
+        row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
+        at = pc.index_in(tokens.flatten(), self.words)
+        met = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        w = at.take(pa.array(met)).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = self.first[w + 1] - self.first[w]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[w], n)
+        cell, shared = np.unique(np.repeat(row[met], n) * len(self.ids) + self.holds[place], return_counts=True)
+        return cell % len(self.ids), cell // len(self.ids), shared
+
+
+def _best(q: np.ndarray, ids: np.ndarray, shared: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k rows of each query with the most shared words; the smaller id wins a tie."""
+    order = np.lexsort((ids, -shared, q))
+    first = np.flatnonzero(np.concatenate([[True], np.diff(q[order]) != 0])) if len(q) else np.zeros(0, np.int64)
+    return order[np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k]
+
+
+def keyword_hits(queries: DataFrame, texts: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, shared, coverage, rank): texts (id, text) by the share of a query's words that they hold.
 
-    Words join queries and texts; counts are combined before the shuffle by pair.
+    Queries go to the texts, ``block`` of them at a time; a task keeps each query's ``k`` best of the
+    texts that it has seen, so at most k rows for a query and task are shuffled and no word is a key.
     """
-    q = queries.select("query_id", rules.tokens(F.col("text")).alias("t")).withColumn("n", F.size("t")).filter("n > 0")
-    asked = q.select("query_id", "n", F.explode("t").alias("word"))
-    held = texts.select("id", F.explode(rules.tokens(F.col("text"))).alias("word"))
-    hits = asked.join(held, "word").groupBy("query_id", "n", "id").agg(F.count("*").alias("shared"))
-    scored = hits.select("query_id", "id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("coverage"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), rules.tokens(F.col("text")).alias("t")).filter("size(t) > 0")
+    blocks = max(1, -(-asked.count() // block))
+    if blocks > 1:
+        asked = stored(asked)
+    held = texts.select(F.col("id").cast("long").alias("id"), rules.tokens(F.col("text")).alias("t"))
+    parts = []
+    for i in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()  # about ``block`` queries
+        sent = texts.sparkSession.sparkContext.broadcast(_Asked([(r[0], r[1]) for r in rows]))
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            of = sent.value
+            best = [np.zeros(0, np.int64)] * 3
+            for b in batches:
+                if not len(of.ids) or not b.num_rows:
+                    continue
+                q, row, shared = of.pairs(b.column("t"))
+                new = (q, b.column("id").to_numpy(zero_copy_only=False)[row], shared)
+                floor = np.zeros(len(of.ids), np.int64)  # what a query's last place holds, once all are taken
+                full = np.bincount(best[0], minlength=len(of.ids)) >= k
+                least = np.full(len(of.ids), np.iinfo(np.int64).max)
+                np.minimum.at(least, best[0], best[2])
+                floor[full] = least[full]
+                keep = shared >= floor[q]
+                best = [np.concatenate([a, x[keep]]) for a, x in zip(best, new, strict=True)]
+                chosen = _best(*best, k)
+                best = [a[chosen] for a in best]
+            n = of.sizes[best[0]] if len(best[0]) else best[0]
+            yield pa.RecordBatch.from_arrays([pa.array(of.ids[best[0]] if len(best[0]) else best[0]), pa.array(best[1]), pa.array(best[2]), pa.array(n, pa.int64())], ["query_id", "id", "shared", "n"])
+
+        parts.append(held.mapInArrow(run, "query_id bigint, id bigint, shared bigint, n bigint"))
+    found = reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("query_id").orderBy(F.col("coverage").desc(), "id")
+    scored = found.select("query_id", "id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("coverage"))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -82,24 +155,21 @@ def chunks(texts: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
     return texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "id bigint, chunk_id string, start int, end int, text string")
 
 
-def contexts(hits: DataFrame, budget: int, most: int = 100) -> DataFrame:
+def contexts(hits: DataFrame, budget: int) -> DataFrame:
     """(query_id, id, place, used) from (query_id, id, rank, text): a budget of characters filled in an order of
     coverage gain and novelty; a text that nearly repeats a chosen one, or does not fit, is passed over.
 
-    The choice depends on the choices before it, so each query's first ``most`` hits are one small group.
+    The choice depends on the choices before it, so all hits that are given for a query are one group:
+    give a ranked list, not a corpus.
     """
-    top = hits.filter(F.col("rank") <= most)
 
     def choose(f: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        rows = [(r.id, int(r.rank), r.text, frozenset(re.findall(r"\w+", r.text.lower()))) for r in f.sort_values("rank").itertuples()]
-        alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        rows = [(r.id, int(r.rank), r.text, words_of(r.text)) for r in f.sort_values("rank").itertuples()]
         chosen, covered, used, out = [], set(), 0, []
         while rows:
             best = min(rows, key=lambda r: (-len(r[3] - covered), max((alike(r[3], c) for c in chosen), default=0.0), r[1]))
             rows.remove(best)
-            if any(alike(best[3], c) > 0.9 for c in chosen) or used + len(best[2]) + 1 > budget:
+            if any(alike(best[3], c) > NEAR_REPEAT for c in chosen) or used + len(best[2]) + 1 > budget:
                 continue
             chosen.append(best[3])
             covered |= best[3]
@@ -107,4 +177,13 @@ def contexts(hits: DataFrame, budget: int, most: int = 100) -> DataFrame:
             out.append((f["query_id"].iloc[0], best[0], len(out) + 1, used))
         return pd.DataFrame(out, columns=["query_id", "id", "place", "used"])
 
-    return top.groupBy("query_id").applyInPandas(choose, "query_id bigint, id bigint, place int, used int")
+    return hits.groupBy("query_id").applyInPandas(choose, "query_id bigint, id bigint, place int, used int")
+
+
+def words_of(text: str) -> frozenset[str]:
+    """The distinct words of a text, folded, inside a Python worker."""
+    return frozenset(_WORD.findall(text.casefold()))
+
+
+def alike(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / max(1, len(a | b))

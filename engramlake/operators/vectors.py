@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that a task holds at a time.
-BLOCK = 4096
+#: Queries that a task holds at a time, and rows of the base where both are dealt into blocks.
+BLOCK, BASE_BLOCK = 4096, 65_536
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -30,37 +30,62 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, least: float, digits: int) -> pa.RecordBatch:
+    """The k best rows of ``x`` for each query, 512 queries at a time; ties go to the smaller id."""
+    out = []
+    for lo in range(0, len(q_ids), 512):
+        mine = q_ids[lo : lo + 512]
+        s = np.round(q[lo : lo + 512] @ x.T, digits)
+        s[mine[:, None] == ids[None, :]] = -np.inf
+        if s.shape[1] > k:  # all that reach the k-th best score, so that ties at the edge are all there
+            edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+            row, col = np.nonzero(s >= np.maximum(edge, least)[:, None])
+        else:
+            row, col = np.nonzero(s >= max(least, -1e300))
+        score = s[row, col]
+        order = np.lexsort((ids[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        first = np.searchsorted(row, np.arange(len(mine)))
+        keep = (np.arange(len(row)) - first[row] < k) & (score > -np.inf)
+        out.append((mine[row[keep]], ids[col[keep]], score[keep]))
+    cols = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], ["query_id", "id", "score"])
+
+
 def top_k(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, block: int = BLOCK, digits: int = 6) -> DataFrame:
     """(query_id, id, score, rank): for each query (query_id, vector) the k best of ``base`` (id, vector), itself excluded.
 
-    Queries go to the tasks in blocks; each task keeps its k best for each query, so a shuffle sees
-    at most k rows for a query and batch. Ties go to the smaller id.
+    Up to ``block`` queries are sent to the tasks, and the base is read once where it lies. More of
+    them are dealt into blocks, and so is the base: each pair of blocks meets in one task, which
+    keeps k rows for a query. Either way a shuffle sees at most k rows for a query and block.
     """
-    spark = base.sparkSession
-    n = queries.count()
-    parts = []
-    for i in range(max(1, -(-n // block))):
-        rows = queries.select("query_id", "vector").filter(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))) == i).toArrow()
-        ids, vectors = np.array(rows.column("query_id").to_pylist(), np.int64), _matrix(rows.column("vector").combine_chunks())
-        sent = spark.sparkContext.broadcast((ids, vectors))  # about ``block`` vectors
-
-        def run(batches, sent=sent):
-            q_ids, q = sent.value
+    spark, schema = base.sparkSession, "query_id bigint, id bigint, score double"
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    x = base.select(F.col("id").cast("long").alias("id"), "vector")
+    n = q.count()
+    if n <= block:
+        rows = q.toArrow()
+        sent = spark.sparkContext.broadcast((np.array(rows.column("query_id").to_pylist(), np.int64), _matrix(rows.column("vector").combine_chunks())))
+
+        def run(batches):
             for b in batches:
-                x, ids = _matrix(b.column("vector")), b.column("id").to_numpy(zero_copy_only=False)
-                if not len(ids) or not len(q_ids):
-                    continue
-                s = np.round(q @ x.T, digits)
-                s[q_ids[:, None] == ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                score = np.take_along_axis(s, order, 1)
-                keep = score >= max(least, -1e300)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])[keep.ravel()]), pa.array(ids[order].ravel()[keep.ravel()]), pa.array(score[keep])], ["query_id", "id", "score"])
-
-        parts.append(base.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, "query_id bigint, id bigint, score double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+                if b.num_rows and len(sent.value[0]):
+                    yield _nearest(*sent.value, b.column("id").to_numpy(zero_copy_only=False), _matrix(b.column("vector")), k, least, digits)
+
+        found = x.mapInArrow(run, schema)
+    else:
+        q_blocks, x_blocks = -(-n // block), -(-base.count() // BASE_BLOCK)
+        dealt = lambda df, c, of, other: df.withColumns({of[0]: F.pmod(F.xxhash64(c), F.lit(of[1])).cast("int"), other[0]: F.explode(F.sequence(F.lit(0), F.lit(other[1] - 1)))})
+        left = dealt(q, "query_id", ("qb", q_blocks), ("xb", x_blocks)).groupBy("qb", "xb")
+        right = dealt(x, "id", ("xb", x_blocks), ("qb", q_blocks)).groupBy("qb", "xb")
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            both = [(t.column(c).to_numpy(), _matrix(t.column("vector").combine_chunks())) for t, c in ((a, "query_id"), (b, "id"))]
+            if not len(both[0][0]) or not len(both[1][0]):
+                return pa.Table.from_batches([], pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+            return pa.Table.from_batches([_nearest(*both[0], *both[1], k, least, digits)])
+
+        found = left.cogroup(right).applyInArrow(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engramlake.operators import metrics
 from engramlake.plans.registry import at, query, table
 from engramlake.sources import log
 
@@ -100,8 +101,7 @@ def rollup_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1""")
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", F.array(*[F.lit(x) for x in (0.5, 0.95, 0.99)])).alias("p"))
-    return p.select("event_type", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    return metrics.percentiles(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query("""SELECT a.event_type, count(*) AS n_a, max(b.n) AS n_b, count(*) - max(b.n) AS delta FROM events a FULL OUTER JOIN (SELECT event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1) b USING (event_type) GROUP BY 1""")

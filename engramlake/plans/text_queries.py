@@ -64,14 +64,17 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumns({k: v for k, v in f.items() if k != "turn"})
 
 
-@query("""SELECT conv_id, turn, round(greatest(0, 1 - least(epoch(TIMESTAMP '2024-02-01' - (TIMESTAMP '2024-01-31 12:00:00' + INTERVAL 1 HOUR * turn)) / 86400, 1)), 6) AS recency,
+#: Letters beyond ASCII as underscores and other signs beyond ASCII as hyphens, so that both engines part words at the same places.
+_FLAT = "regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{L}\\p{M}\\p{N}]', '-', 'g'), '[^\\x00-\\x7F]', '_', 'g')"
+
+
+@query(f"""SELECT conv_id, turn, round(greatest(0, 1 - least(epoch(TIMESTAMP '2024-02-01' - (TIMESTAMP '2024-01-31 12:00:00' + INTERVAL 1 HOUR * turn)) / 86400, 1)), 6) AS recency,
 round(least(turn / 10, 1), 6) AS access_frequency, round(least(turn / 4, 1), 6) AS interaction_signal,
-round(least(len(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b')) / 1000, 1), 6) AS entities FROM conversations WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')""")
+round(least(len(regexp_extract_all({_FLAT}, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b')) / greatest(len({_WORDS}), 1), 1), 6) AS entity_density,
+round(least(len({_WORDS}) / 80, 1), 6) AS word_count_norm FROM conversations""")
 def feature_vector(spark: SparkSession, d: str) -> DataFrame:
-    c = _scored(spark, d).filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    n = F.size(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"), 0))
-    r = lambda x: F.round(x, 6)
-    return c.select("conv_id", "turn", r("recency").alias("recency"), r("access_frequency").alias("access_frequency"), r("interaction_signal").alias("interaction_signal"), r(F.least(n / 1000.0, F.lit(1.0))).alias("entities"))
+    names = ("recency", "access_frequency", "interaction_signal", "entity_density", "word_count_norm")
+    return _scored(spark, d).select("conv_id", "turn", *[F.round(n, 6).alias(n) for n in names])
 
 
 @query()
@@ -198,7 +201,7 @@ def contradictions(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
     c = table(spark, d, "events").select(
         "user_id", F.col("event_type").alias("subject"), F.concat(F.lit("k"), (i % 40).cast("string")).alias("predicate"), i.alias("id"),
-        (F.round("value").cast("int") % 3).alias("value"), (i % 2 == 0).alias("positive"), (i % 3 != 0).alias("exclusive"),
+        (F.rint("value").cast("int") % 3).alias("value"), (i % 2 == 0).alias("positive"), (i % 3 != 0).alias("exclusive"),
     )
     return reconcile.contradictions(c)
 
