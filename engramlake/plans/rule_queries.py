@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.functions import answers, rules, schedule, tasks
+from engramlake.functions import answers, claims, rules, schedule, tasks
 from engramlake.operators import reconcile, task_updates
 from engramlake.plans.registry import at, query, table
 
@@ -84,9 +84,37 @@ def task_reference(spark: SparkSession, d: str) -> DataFrame:
 _SENTENCES = ("My favorite book is Dune.", "Never include peanuts in my meals.", "The meeting has been cancelled.", "I have already submitted my report today.", "Buy groceries today.", "Remind me to take a walk every day.", "My name is Matthew.", "First run tests, then deploy the application.", "Thank you!", "I am responsible for the Atlas migration.")
 
 
+def _category(text: Column) -> Column:
+    of = lambda c: rules.category(text, c["one"], c["all"], tasks.action(F.lower(text)), rules.self_disclosure(text))
+    return rules.given(claims.claims_of(text), of)
+
+
+_ASSERTED = (
+    "I recently moved to New Delhi", "I moved to the backend team", "I no longer live in Chennai.", "I work as a data engineer", "I now work at Initech, now", "My home city is Porto", "My time zone is UTC", "My dog's name is Rex.", "Alice lives in Paris",
+    "My favourite colour is blue!", "I prefer brief answers", "I can't stand long explanations", "I prefer tea over coffee", "I don't like mushrooms", "I'm not allergic to nuts", "Alice reports to Bob", "My manager is Dana", "Atlas is owned by Acme Corp.",
+    "They work on Atlas", "I like apples and pears", "Do I live in Rome?", "I used to live in Oslo, but now I live in Bergen.", "I'd rather have tea", "I live in Rome because of work", "Actually, I reside in ＲＯＭＥ", "Bob knows Carol", "I like tea. My name is Ann; I work for Acme",
+)
+
+
+@query("""SELECT id::BIGINT AS id, subject, predicate, value, positive, exclusive, kind, told, n::INT AS n FROM (VALUES
+(1, 'self', 'residence', 'new delhi', true, true, 'semantic', 'User lives in New Delhi.', 1), (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0), (3, 'self', 'residence', 'chennai', false, true, 'semantic', 'User does not live in Chennai.', 1),
+(4, 'self', 'occupation', 'a data engineer', true, true, 'semantic', 'User''s occupation is a data engineer.', 1), (5, 'self', 'employer', 'initech', true, true, 'semantic', 'User works at Initech.', 1), (6, 'self', 'residence', 'porto', true, true, 'semantic', 'User lives in Porto.', 1),
+(7, 'self', 'timezone', 'utc', true, true, 'semantic', 'User''s timezone is UTC.', 1), (8, 'my:dog', 'name', 'rex', true, true, 'semantic', 'My dog''s name is Rex.', 1), (9, 'entity:alice', 'residence', 'paris', true, true, 'semantic', 'Alice lives in Paris.', 1),
+(10, 'self', 'favorite:colour', 'blue', true, true, 'preference', 'User''s favorite colour is blue.', 1), (11, 'self', 'response_length', 'concise', true, true, 'preference', 'User prefers concise responses.', 1),
+(12, 'self', 'response_length', 'detailed', false, true, 'preference', 'User does not prefer detailed responses.', 1), (13, 'self', 'choice:coffee|tea', 'tea', true, true, 'preference', 'User prefers tea over coffee.', 1),
+(14, 'self', 'taste', 'mushrooms', false, false, 'preference', 'User does not like mushrooms.', 1), (15, 'self', 'allergy', 'nuts', false, false, 'preference', 'User is not allergic to nuts.', 1), (16, 'entity:alice', 'manager', 'bob', true, true, 'semantic', 'Alice reports to Bob.', 1),
+(17, 'self', 'manager', 'dana', true, true, 'semantic', 'User reports to Dana.', 1), (18, 'project:atlas', 'owned_by', 'acme corp', true, true, 'semantic', 'Atlas is owned by Acme Corp.', 1), (19, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0), (20, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0),
+(21, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0), (22, 'self', 'residence', 'bergen', true, true, 'semantic', 'User lives in Bergen.', 1), (23, 'self', 'taste', 'tea', true, false, 'preference', 'User likes tea.', 1), (24, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0),
+(25, 'self', 'residence', 'rome', true, true, 'semantic', 'User lives in ＲＯＭＥ.', 1), (26, 'entity:bob', 'knows', 'carol', true, false, 'semantic', 'Bob knows Carol.', 1), (27, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 3)) t(id, subject, predicate, value, positive, exclusive, kind, told, n)""")
+def claims_golden(spark: SparkSession, d: str) -> DataFrame:
+    found = _said(spark, _ASSERTED).select("id", claims.claims_of(F.col("text")).alias("c"))
+    one = F.col("c.one")
+    return found.select("id", *[one[k].alias(k) for k in ("subject", "predicate", "value", "positive", "exclusive", "kind")], F.when(one.isNotNull(), claims.summary(one)).alias("told"), F.size("c.all").alias("n"))
+
+
 @query("""SELECT id::BIGINT AS id, category FROM (VALUES (1, 'preference'), (2, 'preference'), (3, 'episodic'), (4, 'episodic'), (5, 'task'), (6, 'task'), (7, 'semantic'), (8, 'procedural'), (9, 'temporary'), (10, 'semantic')) t(id, category)""")
 def classify_golden(spark: SparkSession, d: str) -> DataFrame:
-    return _said(spark, _SENTENCES).select("id", rules.category(F.col("text")).alias("category"))
+    return _said(spark, _SENTENCES).select("id", _category(F.col("text")).alias("category"))
 
 
 _QUESTIONS = (
