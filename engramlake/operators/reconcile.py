@@ -1,64 +1,34 @@
-"""Reconciliation: claims, duplicates, contradictions, ranks of support, and the fold over a user's records."""
+"""Reconciliation: what is the same, what contradicts what, and which statement stands.
 
-from __future__ import annotations
+Records: user_id, id, created_at, content, category, source_priority, confidence, importance, claim
+(``functions.claims``) and reconcilable. Two statements with claims meet by user, subject and
+predicate; statements without a claim meet where their words are nearly the same.
+"""
 
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engramlake.functions import rules
-
-#: Claim forms, the first full match wins: pattern (of lower-cased text), predicate, exclusive, kind.
-#: ``no`` marks a negation, ``key`` a predicate that the text names, ``value`` the value.
-FORMS = (
-    (r"i (?:recently |just |have )*(?:moved|relocated|shifted) to (?P<value>.+)", "residence", True, "semantic"),
-    (r"i (?P<no>don't |do not |no longer )?(?:now )?(?:live|reside) in (?P<value>.+)", "residence", True, "semantic"),
-    (r"i (?P<no>don't |do not |no longer )?work as (?:an? )?(?P<value>.+)", "occupation", True, "semantic"),
-    (r"i (?P<no>don't |do not |no longer )?work (?:at|for) (?P<value>.+)", "employer", True, "semantic"),
-    (r"my (?P<key>name|home city|hometown|timezone|occupation|employer) is (?P<no>not )?(?P<value>.+)", None, True, "semantic"),
-    (r"my (?:favou?rite|preferred) (?P<key>[\w ]+?) is (?P<value>.+)", "favorite:", True, "preference"),
-    (r"i am (?P<no>not )?allergic to (?P<value>.+)", "allergy", False, "preference"),
-    (r"i (?:really )?(?P<no>don't like|do not like|dislike|hate|can't stand|(?=like|love|enjoy|prefer))(?:like|love|enjoy|prefer)? ?(?P<value>.+)", "taste", False, "preference"),
-)
-_REJECT = re.compile(r"\b(?:and|but|because|when|if|something|someone|it|that|this)\b|[|?]")
-CLAIM = "struct<predicate: string, value: string, positive: boolean, exclusive: boolean, kind: string>"
-
-
-def claim_of(text: str | None) -> dict | None:
-    """The single claim of a text, or none."""
-    t = re.sub(r"\s+", " ", (text or "").replace("’", "'").lower()).strip(" .!")
-    if not t or re.search(r"[?\"]|\b(?:if|maybe|perhaps|might|said|says|asked)\b", t):
-        return None
-    for pattern, predicate, exclusive, kind in FORMS:
-        m = re.fullmatch(pattern, t)
-        if m:
-            got = m.groupdict()
-            value = got["value"].strip(" .!")
-            if not value or len(value) > 100 or _REJECT.search(value):
-                return None
-            name = (predicate or "") + (got.get("key") or "").strip().replace(" ", "_")
-            return {"predicate": name, "value": value, "positive": not got.get("no"), "exclusive": exclusive, "kind": kind}
-    return None
-
-
-def with_claim(rows: DataFrame, text: str = "content") -> DataFrame:
-    """Adds ``claim``, null where the text makes none."""
-
-    @F.pandas_udf(CLAIM)
-    def claims(s: pd.Series) -> pd.DataFrame:
-        none = {"predicate": None, "value": None, "positive": None, "exclusive": None, "kind": None}
-        return pd.DataFrame([claim_of(t) or none for t in s], columns=list(none))
-
-    return rows.withColumn("claim", claims(F.col(text))).withColumn("claim", F.when(F.col("claim.predicate").isNotNull(), F.col("claim")))
-
-
-def contradictions(claims: DataFrame) -> DataFrame:
+from engramlake.functions import claims, rules
+from engramlake.operators.folds import Step, fold
+from engramlake.session import stored
+
+#: Words that mean the same in a statement, words that do not count, and the criteria of rank in their order.
+PARAPHRASES = {
+    "utilize": "use", "using": "use", "uses": "use", "preferred": "prefer", "favourite": "favorite", "brief": "concise", "short": "concise",
+    "explanations": "answers", "responses": "answers", "replies": "answers",
+}
+UNCOUNTED = "a an the i we my our is are to for that please".split()
+CRITERIA = ("source_priority", "confidence", "observation_time", "importance")
+LEAST_SHARED = 0.75
+
+
+def contradictions(rows: DataFrame) -> DataFrame:
     """Pairs (left_id, right_id) of one user, subject and predicate: equal values of opposite polarity, or two exclusive positive ones."""
     same = ["user_id", "subject", "predicate"]
-    a = claims.select(*same, F.col("id").alias("left_id"), F.col("value").alias("v"), F.col("positive").alias("p"), F.col("exclusive").alias("e"))
-    b = claims.select(*same, F.col("id").alias("right_id"), "value", "positive", "exclusive")
+    a = rows.select(*same, F.col("id").alias("left_id"), F.col("value").alias("v"), F.col("positive").alias("p"), F.col("exclusive").alias("e"))
+    b = rows.select(*same, F.col("id").alias("right_id"), "value", "positive", "exclusive")
     opposite = (F.col("v") == F.col("value")) & (F.col("p") != F.col("positive"))
     rival = F.col("e") & F.col("exclusive") & F.col("p") & F.col("positive") & (F.col("v") != F.col("value"))
     return a.join(b, same).filter((F.col("left_id") < F.col("right_id")) & (opposite | rival)).select(*same, "left_id", "right_id")
@@ -78,62 +48,205 @@ def deciding(a: str, b: str) -> Column:
     return out
 
 
-def similar_pairs(texts: DataFrame, least: float = 0.75) -> DataFrame:
-    """(left_id, right_id, similarity) of texts (id, text) whose word sets' Jaccard similarity is at least ``least``.
+def terms(text: Column) -> Column:
+    """The words of a statement as a set: paraphrases as one word, and small words left out."""
+    meant = F.create_map(*[F.lit(x) for kv in PARAPHRASES.items() for x in kv])
+    w = F.array_except(F.regexp_extract_all(claims.value_of(text), F.lit("[a-z0-9]+"), 0), F.array(*map(F.lit, UNCOUNTED)))
+    return F.array_distinct(F.transform(w, lambda x: F.coalesce(F.try_element_at(meant, x), x)))
+
+
+#: The most frequent words, which a set's other words come before; their list goes to every task.
+FREQUENT = 10_000
+
 
-    Only the rarest words of each text join: two such similar sets share one of the
-    ``n - ceil(least * n) + 1`` rarest of either, so frequent words never meet.
+def similar_pairs(texts: DataFrame, least: float = LEAST_SHARED, within: list[str] | None = None, by: Column | None = None) -> DataFrame:
+    """(within, left_id, right_id, similarity) of texts (id, text) whose word sets' Jaccard similarity is at least ``least``.
+
+    The words of all sets have one order, in which the frequent ones come last. Two such similar sets
+    share one of the first ``n - ceil(least * n) + 1`` words of either, so only those join, and frequent
+    words hardly ever meet. At the first word that both have, their places bound what they can still
+    share. Equal sets are one class, which its smallest id stands for.
     """
-    t = texts.select("id", rules.tokens(F.col("text")).alias("t")).filter("size(t) > 0")
-    # equal sets are one class, so copies never pair with each other
-    sets = t.select("id", F.sort_array("t").alias("t")).groupBy("t").agg(F.min("id").alias("id"))
-    word = sets.select("id", F.explode("t").alias("word"))
-    ranked = word.join(word.groupBy("word").agg(F.count("*").alias("df")), "word")
-    ordered = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o")).select("id", F.size("o").alias("n"), F.transform("o", lambda x: x["word"]).alias("o"))
-    prefix = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("word"))
+    key = within or []
+    t = texts.select(*key, "id", F.array_sort(by if by is not None else rules.tokens(F.col("text"))).alias("t")).filter("size(t) > 0")
+    sets = stored(t.groupBy(*key, "t").agg(F.min("id").alias("id")))
+    often = sets.select(F.explode("t").alias("word")).groupBy("word").agg(F.count("*").alias("df")).orderBy(F.col("df").desc(), "word").limit(FREQUENT)
+    often = stored(often.agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("often")))
+    ordered = sets.crossJoin(F.broadcast(often)).select(*key, "id", F.concat(F.array_except("t", "often"), F.array_intersect("often", "t")).alias("o"))  # one row of at most FREQUENT words
+    n = F.size("o")
+    prefix = ordered.select(*key, "id", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("place", "word"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n"))
-    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & near).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
-    with_sets = pairs.join(sets.select(F.col("id").alias("left_id"), F.col("t").alias("x")), "left_id").join(sets.select(F.col("id").alias("right_id"), F.col("t").alias("y")), "right_id")
-    return with_sets.select("left_id", "right_id", F.round(rules.jaccard(F.col("x"), F.col("y")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    met = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n"))
+    for k in key:
+        met = met & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    most = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    may = most >= least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-9
+    pairs = a.join(b, met).select(*[F.col(f"a.{k}").alias(k) for k in key], F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), (F.col("a.place") + F.col("b.place")).alias("at"), may.alias("may"))
+    first = pairs.groupBy(*key, "left_id", "right_id").agg(F.min_by("may", "at").alias("may")).filter("may").drop("may")
+    left, right = (sets.select(*key, F.col("id").alias(f"{side}_id"), F.col("t").alias(x)) for side, x in (("left", "x"), ("right", "y")))
+    both = first.join(left, [*key, "left_id"]).join(right, [*key, "right_id"])
+    return both.select(*key, "left_id", "right_id", F.round(rules.jaccard(F.col("x"), F.col("y")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def roots_of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, root): each node joins the earliest root that it is similar to; a node is a root if no earlier root is similar.
+
+    ``nodes``: id, place (their order); ``pairs``: earlier, later (ids). Rounds decide the nodes whose earlier
+    neighbours are all decided, until none is left.
+    """
+    at = nodes.select("id", "place")
+    links = stored(pairs.select("earlier", "later").distinct())
+    alone = at.join(links.select(F.col("later").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("root"))
+    decided = stored(alone)
+    left = stored(links.select(F.col("later").alias("id")).distinct())
+    while not left.isEmpty():
+        state = links.join(left.withColumnRenamed("id", "later"), "later").join(decided.select(F.col("id").alias("earlier"), "root"), "earlier", "left").join(at.select(F.col("id").alias("earlier"), "place"), "earlier")
+        is_root = F.col("root") == F.col("earlier")
+        each = state.groupBy("later").agg(F.bool_and(F.col("root").isNotNull()).alias("known"), F.min(F.when(is_root, F.struct("place", "earlier"))).alias("first"), F.min(F.when(F.col("root").isNull(), F.col("place"))).alias("open"))
+        ready = F.col("known") | (F.col("first").isNotNull() & (F.col("first.place") < F.col("open")))
+        new = stored(each.filter(ready).select(F.col("later").alias("id"), F.coalesce("first.earlier", "later").alias("root")))
+        decided = decided.union(new)
+        left = stored(left.join(new, "id", "left_anti"))
+    return decided
+
+
+RECONCILED = "user_id string, id bigint, status string, superseded_by bigint, consolidated_into bigint, reason string, decision string, conflict_ids array<bigint>"
+
+
+class _Statements(Step):
+    """The active statements about one subject and predicate of a user. Only they are held."""
+
+    def __init__(self):
+        self.active: list[dict] = []
+
+    def row(self, r) -> list[tuple]:
+        c = r.claim
+        rank = (r.source_priority, r.confidence, r.created_at, min(1.0, max(0.0, r.importance)))
+        me = {"user": r.user_id, "id": r.id, "value": c["value"], "positive": c["positive"], "exclusive": c["exclusive"], "rank": rank, "made": (r.created_at, r.id), "conflicts": set(), "reason": None, "decision": None}
+        out = []
+        same = [x for x in self.active if (x["value"], x["positive"], x["exclusive"]) == (me["value"], me["positive"], me["exclusive"])]
+        stands = me
+        if same:
+            stands = min(same, key=lambda x: x["made"])
+            stands["rank"] = max(rank, *(x["rank"] for x in same))
+            for x in [*same, me]:
+                if x is not stands:
+                    out.append(self._final(x, "consolidated", into=stands["id"]))
+            self.active = [x for x in self.active if x is stands or x not in same]
+        else:
+            self.active.append(me)
+        against = [x for x in self.active if x is not stands and self._opposed(x, stands)]
+        if against:
+            best = max(against, key=lambda x: (x["rank"], x["id"]))
+            wins = stands["rank"] > best["rank"]
+            names = [n for n, a, b in zip(CRITERIA, stands["rank"], best["rank"], strict=True) if a != b]
+            reason = names[0] if names else "tie_kept_existing"
+            stands["conflicts"] |= {x["id"] for x in against}
+            for x in [*against, stands]:
+                x["reason"] = reason
+                x["decision"] = "kept" if (x is stands) == wins else "superseded"
+            for x in against:
+                x["conflicts"].add(stands["id"])
+            gone, by = (against, stands["id"]) if wins else ([stands], best["id"])
+            out += [self._final(x, "superseded", by=by) for x in gone]
+            self.active = [x for x in self.active if not any(x is g for g in gone)]
+        return out
+
+    @staticmethod
+    def _opposed(a: dict, b: dict) -> bool:
+        if a["value"] == b["value"]:
+            return a["positive"] != b["positive"]
+        return a["exclusive"] and b["exclusive"] and a["positive"] and b["positive"]
+
+    @staticmethod
+    def _final(x: dict, status: str, by=None, into=None) -> tuple:
+        return (x["user"], x["id"], status, by, into, x["reason"], x["decision"], sorted(x["conflicts"]))
+
+    def end(self) -> list[tuple]:
+        return [self._final(x, "active") for x in self.active]
+
+
+def reconciled(records: DataFrame, position: str = "created_at") -> DataFrame:
+    """The state of each record after all of its user's were taken in, in the order of ``position`` and id.
+
+    A statement equal to an active one joins it (consolidated); one that contradicts active ones contests
+    them by the best rank of its support, and a tie keeps what there was. Statements of other subjects or
+    predicates never meet, so each (user, subject, predicate) is folded by itself and holds its active
+    statements only. A statement without a claim joins the earliest kept one of its user and category whose
+    words are nearly the same. All others stay active.
+    """
+    base = records.select("user_id", F.col("id").cast("long").alias("id"), "created_at", F.col(position).alias("position"), "content", "category", "reconcilable", "claim", *[F.col(c).cast("double").alias(c) for c in ("source_priority", "confidence", "importance")])
+    base = stored(base)
+    stated = base.filter("reconcilable and claim is not null").withColumns({"subject": F.col("claim.subject"), "predicate": F.col("claim.predicate")})
+    with_claims = fold(stated, ["user_id", "subject", "predicate"], ["position", "id"], _Statements, RECONCILED)
+    plain = base.filter("reconcilable and claim is null")
+    alike = plain.select("user_id", "category", "id", "position", terms(F.col("content")).alias("t"), claims.value_of(F.col("content")).alias("v"))
+    joined = _consolidated(alike)
+    rest = base.filter("not reconcilable or reconcilable is null").select("user_id", "id", F.lit(None).cast("bigint").alias("root"))
+    kept = joined.select("user_id", "id", "root").unionByName(rest)
+    into = F.when(F.col("root") != F.col("id"), F.col("root"))
+    none = F.lit(None).cast("bigint")
+    texts = kept.select("user_id", "id", F.when(into.isNotNull(), "consolidated").otherwise("active").alias("status"), none.alias("superseded_by"), into.alias("consolidated_into"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("decision"), F.array().cast("array<bigint>").alias("conflict_ids"))
+    return with_claims.unionByName(texts)
+
+
+def _consolidated(alike: DataFrame) -> DataFrame:
+    """(user_id, id, root) of statements without a claim. Copies of one set of words follow the first of them."""
+    key = ["user_id", "category"]
+    named = alike.withColumn("set", F.when(F.size("t") > 0, F.array_join(F.array_sort("t"), " ")).otherwise(F.concat(F.lit("="), "v")))
+    first = stored(named.groupBy(*key, "set").agg(F.min(F.struct("position", "id")).alias("place"), F.first("t").alias("t")).select(*key, "set", "place", F.col("place.id").alias("id"), "t"))
+    pairs = similar_pairs(first.withColumn("text", F.lit("")), LEAST_SHARED, key, F.col("t"))
+    at = first.select("id", "place")
+    both = pairs.join(at.select(F.col("id").alias("left_id"), F.col("place").alias("a")), "left_id").join(at.select(F.col("id").alias("right_id"), F.col("place").alias("b")), "right_id")
+    early = F.col("a") < F.col("b")
+    links = both.select(F.when(early, F.col("left_id")).otherwise(F.col("right_id")).alias("earlier"), F.when(early, F.col("right_id")).otherwise(F.col("left_id")).alias("later"))
+    roots = roots_of(at, links)
+    of = first.join(roots, "id").select(*key, "set", "root")
+    return named.join(of, [*key, "set"]).select("user_id", "id", "root")
+
+
+def evidence(records: DataFrame, states: DataFrame) -> DataFrame:
+    """(user_id, id, evidence_ids, evidence_session_ids, first_observed_at, last_observed_at, summary) of each statement that stands for itself.
+
+    ``records``: id, session_id, created_at, content, claim; ``states``: of ``reconciled``. Evidence is in order of time.
+    """
+    r = records.select(F.col("id").cast("long").alias("id"), "session_id", "created_at", "content", "claim")
+    of = states.select("user_id", "id", F.coalesce("consolidated_into", "id").alias("root")).join(r, "id")
+    each = of.groupBy("user_id", F.col("root").alias("root")).agg(
+        F.array_sort(F.collect_set(F.struct("created_at", "id"))).alias("e"), F.array_sort(F.collect_set("session_id")).alias("evidence_session_ids"),
+        F.min("created_at").alias("first_observed_at"), F.max("created_at").alias("last_observed_at"), F.min(F.struct("created_at", "id", "claim")).alias("first"),
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "content"))), lambda x: x["content"])).alias("said"),
+    )
+    told = F.when(F.size("e") > 1, F.when(F.col("first.claim").isNotNull(), claims.summary(F.col("first.claim"))).otherwise(F.array_join("said", " Related observations: ")))
+    return each.select("user_id", F.col("root").alias("id"), F.transform("e", lambda x: x["id"]).alias("evidence_ids"), "evidence_session_ids", "first_observed_at", "last_observed_at", told.alias("summary"))
 
 
-RECONCILED = "user_id string, id bigint, status string, superseded_by bigint, consolidated_into bigint, reason string, evidence string"
+def unsupported_evidence(records: DataFrame) -> DataFrame:
+    """(id, evidence_id, problem) of evidence that does not exist, is another user's, or asserts something else.
 
+    ``records``: id, user_id, evidence_ids, claim, reconcilable.
+    """
+    asked = records.select("id", "user_id", "claim", F.explode_outer("evidence_ids").alias("evidence_id"))
+    source = records.select(F.col("id").alias("evidence_id"), F.col("user_id").alias("owner"), F.col("claim").alias("said"), "reconcilable")
+    at = asked.filter("evidence_id is not null").join(source, "evidence_id", "left")
+    other = ~F.coalesce(claims.equivalent(F.col("claim"), F.col("said")), F.col("claim").isNull() & F.col("said").isNull())
+    problem = F.when(F.col("owner").isNull(), "missing").when(F.col("owner") != F.col("user_id"), "owner").when(~F.col("reconcilable"), "uncertain").when(other, "assertion")
+    return at.select("id", "evidence_id", problem.alias("problem")).filter("problem is not null")
 
-def fold(observations: DataFrame) -> DataFrame:
-    """The state of each observation after all of its user's were taken in, in order of time.
 
-    ``observations``: user_id, id, observed_at, content, source_priority, confidence, importance. The
-    outcome depends on the order, so the rows of one user are one group; users are independent. An
-    equal claim joins the oldest active record as evidence; a contradicting one contests it by rank,
-    and a tie keeps what there was.
-    """
+def selected(records: DataFrame, choice: Column, now: Column) -> DataFrame:
+    """The revisions that a choice by hand makes: the chosen statement (``choice``) becomes active again, and what contradicts it is superseded.
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        rows: list[dict] = []
-        for r in f.sort_values(["observed_at", "id"]).itertuples():
-            c = claim_of(r.content)
-            me = {"id": r.id, "status": "active", "by": None, "into": None, "reason": None, "evidence": [r.id], "claim": c, "rank": (r.source_priority, r.confidence, r.observed_at, r.importance)}
-            if c:
-                active = [x for x in rows if x["status"] == "active" and x["claim"]]
-                same = [x for x in active if (x["claim"]["predicate"], x["claim"]["value"], x["claim"]["positive"]) == (c["predicate"], c["value"], c["positive"])]
-                if same:
-                    same[0]["evidence"].append(r.id)
-                    same[0]["rank"] = max(same[0]["rank"], me["rank"])
-                    me.update(status="consolidated", into=same[0]["id"])
-                against = [x for x in active if not same and x["claim"]["predicate"] == c["predicate"] and ((x["claim"]["value"] == c["value"]) != (x["claim"]["positive"] and c["positive"] and c["exclusive"])) and (x["claim"]["value"] != c["value"] or x["claim"]["positive"] != c["positive"])]
-                if against:
-                    best = max(against, key=lambda x: (x["rank"], -x["id"]))
-                    names = ("source_priority", "confidence", "observation_time", "importance")
-                    reason = next((n for n, a, b in zip(names, me["rank"], best["rank"], strict=True) if a != b), "tie_kept_existing")
-                    if me["rank"] > best["rank"]:
-                        for x in against:
-                            x.update(status="superseded", by=r.id, reason=reason)
-                    else:
-                        me.update(status="superseded", by=best["id"], reason=reason)
-            rows.append(me)
-        out = [(f["user_id"].iloc[0], x["id"], x["status"], x["by"], x["into"], x["reason"], ",".join(map(str, x["evidence"]))) for x in rows]
-        return pd.DataFrame(out, columns=["user_id", "id", "status", "superseded_by", "consolidated_into", "reason", "evidence"]).astype({"superseded_by": "Int64", "consolidated_into": "Int64"})
-
-    return observations.groupBy("user_id").applyInPandas(run, RECONCILED)
+    ``records``: the current revision of each (user_id, id, claim, memory_status, updated_at, reconcilable). A choice that
+    contradicts nothing active, or that comes before a revision of what it changes, makes none.
+    """
+    mine = records.filter(choice & F.col("reconcilable") & (F.col("memory_status") != "consolidated") & F.col("claim").isNotNull())
+    c = mine.select("user_id", F.col("id").alias("winner"), F.col("claim").alias("w"), F.col("updated_at").alias("w_at"))
+    active = records.filter("memory_status = 'active' and reconcilable and claim is not null")
+    met = active.join(c, (active.user_id == c.user_id) & (F.col("claim.subject") == F.col("w.subject")) & (F.col("claim.predicate") == F.col("w.predicate")) & (F.col("id") != F.col("winner")))
+    against = met.filter(claims.contradicts(F.col("w"), F.col("claim")))
+    fits = against.groupBy("winner").agg(F.greatest(F.max("updated_at"), F.max("w_at")).alias("newest"), F.array_sort(F.collect_set("id")).alias("rivals")).filter(F.col("newest") <= now)
+    lost = against.join(fits.select("winner"), "winner").select(active.user_id, "id", F.lit("superseded").alias("status"), F.col("winner").alias("superseded_by"), F.array("winner").alias("conflict_ids"))
+    won = mine.join(fits, mine.id == fits.winner).select("user_id", "id", F.lit("active").alias("status"), F.lit(None).cast(records.schema["id"].dataType).alias("superseded_by"), F.col("rivals").alias("conflict_ids"))
+    both = won.unionByName(lost)
+    return both.withColumns({"reason": F.lit("explicit_selection"), "last_confirmed_at": F.when(F.col("status") == "active", now), "updated_at": now})

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.functions import answers, claims, rules, schedule, tasks
-from engramlake.operators import reconcile, task_updates
+from engramlake.operators import ingest, reconcile, task_updates
 from engramlake.plans.registry import at, query, table
+from engramlake.session import stored
 
 NOW = "2026-09-26 12:00:00"  # a Saturday, in a zone 330 minutes ahead of UTC
 
@@ -153,16 +154,76 @@ _OBSERVED = [  # user, id, seconds, content, source_priority, confidence, import
     ("time", 1, 0, "I live in Chennai.", 0, 0.5, 0.5), ("time", 2, 60, "I live in Bengaluru.", 0, 0.5, 0.5), ("priority", 3, 0, "I live in Chennai.", 90, 0.5, 0.5), ("priority", 4, 60, "I live in Mumbai.", 10, 0.5, 0.5),
     ("confidence", 5, 0, "I live in Chennai.", 0, 0.9, 0.5), ("confidence", 6, 60, "I live in Mumbai.", 0, 0.2, 0.5), ("importance", 7, 0, "I live in Chennai.", 0, 0.5, 0.8), ("importance", 8, 0, "I live in Mumbai.", 0, 0.5, 0.6),
     ("importance", 9, 0, "I live in Delhi.", 0, 0.5, 0.8), ("same", 10, 0, "I live in Chennai.", 0, 0.5, 0.5), ("same", 11, 60, "I reside in Chennai.", 0, 0.5, 0.5), ("moved", 12, 0, "I live in Chennai.", 0, 0.5, 0.5), ("moved", 13, 60, "I recently relocated to New Delhi.", 0, 0.5, 0.5),
+    ("team", 14, 0, "I live in Chennai.", 0, 0.5, 0.5), ("team", 15, 60, "I moved to the backend team", 0, 0.5, 0.5), ("home", 16, 0, "My home city is Oslo.", 0, 0.5, 0.5), ("home", 17, 60, "I live in Bergen.", 0, 0.5, 0.5),
+    ("text", 18, 0, "Always use the blue template for invoices", 0, 0.5, 0.5), ("text", 19, 60, "Always use a blue template for the invoices", 0, 0.5, 0.5), ("text", 20, 90, "Never use the red template", 0, 0.5, 0.5),
 ]
 
 
-@query("""SELECT id::BIGINT AS id, status, superseded_by::BIGINT AS superseded_by, consolidated_into::BIGINT AS consolidated_into, reason FROM (VALUES (1, 'superseded', 2, NULL, 'observation_time'), (3, 'active', NULL, NULL, NULL), (4, 'superseded', 3, NULL, 'source_priority'),
-(5, 'active', NULL, NULL, NULL), (6, 'superseded', 5, NULL, 'confidence'), (7, 'active', NULL, NULL, NULL), (8, 'superseded', 7, NULL, 'importance'), (9, 'superseded', 7, NULL, 'tie_kept_existing'), (10, 'active', NULL, NULL, NULL), (11, 'consolidated', NULL, 10, NULL),
-(12, 'superseded', 13, NULL, 'observation_time'), (2, 'active', NULL, NULL, NULL), (13, 'active', NULL, NULL, NULL)) t(id, status, superseded_by, consolidated_into, reason)""")
+_RECORD = "id bigint, user_id string, session_id string, content string, seconds int, source_priority double, confidence double, importance double"
+
+
+def _records(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Records of messages, with the importance that is given."""
+    m = spark.createDataFrame(rows, _RECORD).withColumn("created_at", at(NOW) + F.make_dt_interval(secs=F.col("seconds")))
+    return stored(ingest.process(m.withColumnRenamed("importance", "given"), at(NOW)).withColumn("importance", F.col("given")))
+
+
+@query("""SELECT id::BIGINT AS id, status, superseded_by::BIGINT AS superseded_by, consolidated_into::BIGINT AS consolidated_into, reason FROM (VALUES (1, 'superseded', 2, NULL, 'observation_time'), (3, 'active', NULL, NULL, 'source_priority'), (4, 'superseded', 3, NULL, 'source_priority'),
+(5, 'active', NULL, NULL, 'confidence'), (6, 'superseded', 5, NULL, 'confidence'), (7, 'active', NULL, NULL, 'tie_kept_existing'), (8, 'superseded', 7, NULL, 'importance'), (9, 'superseded', 7, NULL, 'tie_kept_existing'), (10, 'active', NULL, NULL, NULL), (11, 'consolidated', NULL, 10, NULL),
+(12, 'superseded', 13, NULL, 'observation_time'), (2, 'active', NULL, NULL, 'observation_time'), (13, 'active', NULL, NULL, 'observation_time'), (14, 'active', NULL, NULL, NULL), (15, 'active', NULL, NULL, NULL), (16, 'superseded', 17, NULL, 'observation_time'),
+(17, 'active', NULL, NULL, 'observation_time'), (18, 'active', NULL, NULL, NULL), (19, 'consolidated', NULL, 18, NULL), (20, 'active', NULL, NULL, NULL)) t(id, status, superseded_by, consolidated_into, reason)""")
 def reconcile_golden(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(_OBSERVED, "user_id string, id bigint, seconds int, content string, source_priority int, confidence double, importance double")
-    rows = rows.withColumn("observed_at", at(NOW) + F.make_dt_interval(secs=F.col("seconds")))
-    return reconcile.fold(rows).select("id", "status", "superseded_by", "consolidated_into", "reason")
+    rows = [(i, u, "s", t, s, float(p), c, w) for u, i, s, t, p, c, w in _OBSERVED]
+    return reconcile.reconciled(_records(spark, rows)).select("id", "status", "superseded_by", "consolidated_into", "reason")
+
+
+@query("""SELECT id::BIGINT AS id, evidence, sessions, summary FROM (VALUES (10, '10,11', 's1,s2', 'User lives in Chennai.'), (18, '18,19', 's1', 'Always use the blue template for invoices Related observations: Always use a blue template for the invoices'), (20, '20', 's1', NULL)) t(id, evidence, sessions, summary)""")
+def evidence_golden(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(i, u, "s2" if i == 11 else "s1", t, s, float(p), c, w) for u, i, s, t, p, c, w in _OBSERVED if i in (10, 11, 18, 19, 20)]
+    r = _records(spark, rows)
+    found = reconcile.evidence(r, reconcile.reconciled(r))
+    return found.select("id", F.array_join("evidence_ids", ",").alias("evidence"), F.array_join("evidence_session_ids", ",").alias("sessions"), "summary")
+
+
+@query("""SELECT id::BIGINT AS id, status, superseded_by::BIGINT AS superseded_by, reason FROM (VALUES (1, 'active', NULL, 'explicit_selection'), (2, 'superseded', 1, 'explicit_selection')) t(id, status, superseded_by, reason)""")
+def selection_golden(spark: SparkSession, d: str) -> DataFrame:
+    """The first of two homes is chosen by hand after the second had replaced it."""
+    rows = [(i, u, "s1", t, s, float(p), c, w) for u, i, s, t, p, c, w in _OBSERVED if i in (1, 2, 10)]
+    r = _records(spark, rows)
+    now = r.join(reconcile.reconciled(r).select("id", F.col("status").alias("memory_status")), "id").withColumn("updated_at", F.col("created_at"))
+    return reconcile.selected(now, F.col("id") == 1, at("2026-09-27 00:00:00")).select("id", "status", "superseded_by", "reason")
+
+
+@query("""SELECT id::BIGINT AS id, evidence_id::BIGINT AS evidence_id, problem FROM (VALUES (1, 10, 'owner'), (1, 99, 'missing'), (1, 2, 'assertion')) t(id, evidence_id, problem)""")
+def evidence_problems(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(i, u, "s1", t, s, float(p), c, w) for u, i, s, t, p, c, w in _OBSERVED if i in (1, 2, 10)]
+    r = _records(spark, rows).withColumn("evidence_ids", F.when(F.col("id") == 1, F.array(*[F.lit(x).cast("bigint") for x in (1, 2, 10, 99)])).otherwise(F.array("id")))
+    return reconcile.unsupported_evidence(r)
+
+
+_TOLD = (  # id, user, session, minutes after NOW, text, due_at, task_scope, occurrence_on
+    (1, "ann", "s1", 0, "Remind me to submit the report daily at 5 pm", None, None, None), (2, "ann", "s1", 10, "I submitted the report", None, None, None), (3, "ann", "s1", 20, "I submitted the report", None, None, "2026-09-26"), (4, "ann", "s1", 30, "I submitted the report", None, None, None),
+    (5, "bob", "s2", 0, "Pay rent monthly", "2026-09-30 09:00:00", None, None), (6, "bob", "s2", 10, "Skip rent", None, None, None), (7, "bob", "s2", 20, "Move rent to 2026-12-15", None, None, None),
+    (8, "cy", "s3", 0, "Send the invoice weekly", "2026-09-28 09:00:00", None, None), (9, "cy", "s3", 10, "Move the invoice to 2026-09-29 at 10:00", None, None, None), (10, "cy", "s3", 4000, "I sent the invoice", None, None, None),
+    (11, "dee", "s4", 0, "Buy groceries today", None, None, None), (12, "dee", "s4", 5, "Postpone groceries by 2 days", None, None, None), (13, "dee", "s4", 6, "I bought the groceries", None, None, None), (14, "dee", "s4", 7, "I bought the groceries", None, None, None),
+    (15, "eve", "s5", 0, "Pay the phone bill", None, None, None), (16, "eve", "s5", 0, "Pay the water bill", None, None, None), (17, "eve", "s5", 9, "I paid the bill", None, None, None), (18, "eve", "s5", 9, "Postpone the water bill", None, None, None), (19, "eve", "s5", -5, "I paid the phone bill", None, None, None),
+    (20, "bob", "s2", 30, "Move rent to 2026-10-01", None, "series", None), (21, "ann", "s1", 40, "Stop reminding me to submit the report", None, None, None), (22, "ann", "s1", 50, "Cancel the report on 2027-01-01", None, None, None),
+)
+
+
+def _tasks(spark: SparkSession) -> DataFrame:
+    m = spark.createDataFrame(list(_TOLD), "id bigint, user_id string, session_id string, minutes int, content string, due_at string, task_scope string, occurrence_on string")
+    m = m.withColumns({"created_at": at(NOW) + F.make_dt_interval(mins=F.col("minutes")), "due_at": F.col("due_at").cast("timestamp_ntz")})
+    return stored(ingest.process(m, at(NOW)))
+
+
+@query("""SELECT id::BIGINT AS id, resolution, task_id::BIGINT AS task_id, status, due::TIMESTAMP AS due, n FROM (VALUES (2, 'applied', 1, 'active', '2026-09-27 17:00:00', 1), (3, 'already_resolved', NULL, NULL, NULL, NULL), (4, 'occurrence_required', NULL, NULL, NULL, NULL),
+(6, 'applied', 5, 'active', '2026-10-30 09:00:00', 1), (7, 'occurrence_overlaps_next', NULL, NULL, NULL, NULL), (9, 'applied', 8, 'active', '2026-09-29 10:00:00', 0), (10, 'applied', 8, 'active', '2026-10-05 09:00:00', 1), (12, 'applied', 11, 'active', '2026-09-28 23:59:59', 0),
+(13, 'applied', 11, 'completed', '2026-09-28 23:59:59', 0), (14, 'unmatched', NULL, NULL, NULL, NULL), (17, 'ambiguous', NULL, NULL, NULL, NULL), (18, 'missing_deadline', NULL, NULL, NULL, NULL), (19, 'unmatched', NULL, NULL, NULL, NULL), (20, 'applied', 5, 'active', '2026-10-01 23:59:59', 1),
+(21, 'applied', 1, 'cancelled', NULL, 1), (22, 'unmatched', NULL, NULL, NULL, NULL)) t(id, resolution, task_id, status, due, n)""")
+def task_revision_golden(spark: SparkSession, d: str) -> DataFrame:
+    found = task_updates.revised(_tasks(spark))
+    return found.select("id", "resolution", "task_id", F.col("task_status").alias("status"), F.coalesce("next_due_at", "due_at").alias("due"), F.col("n_occurrences").alias("n"))
 
 
 @query("""SELECT event_id::BIGINT AS event_id, resolution, task_id::BIGINT AS task_id FROM (VALUES (1, 'applied', 11), (2, 'applied', 10), (3, 'ambiguous', NULL), (4, 'unmatched', NULL), (5, 'applied', 14), (6, 'unmatched', NULL), (7, 'ambiguous', NULL)) t(event_id, resolution, task_id)""")
