@@ -9,8 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramlake.functions import rules
+from engramlake.functions.claims import value_of
 from engramlake.session import stored
-from engramlake.sources.log import during
+from engramlake.sources.log import CLOSED, during
+
+#: Kinds of nodes, and words of a question with the predicates that they hint at.
+NODE_TYPES = ("person", "organization", "project", "location", "task", "concept", "literal")
+CUES = (
+    ("live|lives|lived|home|residence|city", ("lives_in",)), (r"(?:work|works|worked|employer|company|office|based|headquarter)\w*", ("works_at", "based_in")), (r"report(?:s|ed)? to|manager|supervisor", ("reports_to",)),
+    (r"(?:prefer|prefers|preference|like|likes|favorite|favourite)\w*", ("likes",)), (r"(?:allerg|allergy)\w*", ("allergic_to",)), ("occupation|profession|job|role", ("occupation",)), ("task|deadline|due", ("has_task", "task_status", "due_at")),
+    ("project|depends|dependency", ("works_on", "depends_on")), ("member|membership|belongs", ("member_of",)), ("owner|owned", ("owned_by",)),
+)
 
 
 def as_of(edges: DataFrame, valid: Column, known: Column) -> DataFrame:
@@ -25,13 +35,21 @@ def labelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(s, "subject").join(o, "object")
 
 
-def mentions(texts: DataFrame, aliases: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, node_id, alias) where an alias occurs in a text as whole words.
+def called(texts: DataFrame, aliases: DataFrame, id_column: str, text_column: str, known: Column) -> DataFrame:
+    """(id, node_id, alias) where a text is an alias, by what was known at ``known``."""
+    a = aliases.filter(F.col("known_from") <= known).select("node_id", "alias")
+    return texts.select(id_column, value_of(F.col(text_column)).alias("alias")).join(a, "alias").select(id_column, "node_id", "alias")
+
+
+def mentions(texts: DataFrame, aliases: DataFrame, id_column: str, text_column: str, known: Column | None = None) -> DataFrame:
+    """(id, node_id, alias) where an alias occurs in a text as whole words; with ``known``, an alias that was known then (known_from).
 
     Instead of trying each alias on each text, the texts' runs of words as long as the aliases join
     with them.
     """
     flat = lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), 0), " ")
+    if known is not None:
+        aliases = aliases.filter(F.col("known_from") <= known)
     known = aliases.select("node_id", "alias", flat(F.col("alias")).alias("phrase")).filter("phrase <> ''").withColumn("n", F.size(F.split("phrase", " ")))
     lengths = [r["n"] for r in known.select("n").distinct().collect()]  # words of an alias: a few numbers
     w = F.regexp_extract_all(F.lower(text_column), F.lit(r"(?U)\w+"), 0)
@@ -47,14 +65,32 @@ def mentions(texts: DataFrame, aliases: DataFrame, id_column: str, text_column:
     return phrases.join(known, "phrase").select(id_column, "node_id", "alias")
 
 
-def paths(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """All paths without a repeated node from each seed (node) over positive edges in their direction.
+def touching(edges: DataFrame, entity: str | None = None, predicate: str | None = None, negative: bool = True) -> DataFrame:
+    """Edges with an entity on either end, of one predicate, and, if asked for, positive ones only."""
+    if entity is not None:
+        edges = edges.filter((F.col("subject") == entity) | (F.col("object") == entity))
+    if predicate is not None:
+        edges = edges.filter(F.col("predicate") == predicate)
+    return edges if negative else edges.filter("positive")
+
+
+def cued(query: Column) -> Column:
+    """The predicates that a question hints at."""
+    met = [F.when(rules.says(query, rf"\b(?:{words})\b"), F.array(*map(F.lit, found))) for words, found in CUES]
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*met))))
 
-    One join for each hop, 1 to 4 of them; a path is (seed, node, hop, nodes, edges).
+
+def paths(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "outgoing", most: int | None = None) -> DataFrame:
+    """All paths without a repeated node from each seed (node) over positive edges, or the first ``most`` of each seed.
+
+    One join for each hop, 1 to 4 of them; a path is (seed, node, hop, nodes, edges). ``direction``: outgoing,
+    incoming or both. Fewer hops come first, then edges by id, so ``most`` cuts each hop before the next one joins.
     """
-    if not 1 <= hops <= 4:
-        raise ValueError("from 1 to 4 hops")
-    step = edges.filter("positive").select("subject", "object", F.col("id").alias("edge"))
+    if not 1 <= hops <= 4 or direction not in ("outgoing", "incoming", "both") or not (most is None or 1 <= most <= 1000):
+        raise ValueError("from 1 to 4 hops, from 1 to 1000 paths, outgoing, incoming or both")
+    out = edges.filter("positive").select("subject", "object", F.col("id").alias("edge"))
+    back = out.select(F.col("object").alias("subject"), F.col("subject").alias("object"), "edge")
+    step = {"outgoing": out, "incoming": back, "both": out.unionByName(back)}[direction]
     at = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hop"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edges"))
     found = None
     for hop in range(1, hops + 1):
@@ -63,8 +99,10 @@ def paths(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
             .filter(~F.array_contains("nodes", F.col("object")))
             .select("seed", F.col("object").alias("node"), F.lit(hop).alias("hop"), F.array_append("nodes", F.col("object")).alias("nodes"), F.array_append("edges", F.col("edge").cast("string")).alias("edges"))
         )
+        if most is not None:  # a path beyond the first ones of its hop is beyond them at the end, too
+            at = first_paths(at, most)
         found = at if found is None else found.unionByName(at)
-    return found
+    return found if most is None else first_paths(found, most)
 
 
 def first_paths(found: DataFrame, most: int) -> DataFrame:
@@ -73,6 +111,28 @@ def first_paths(found: DataFrame, most: int) -> DataFrame:
     return found.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).drop("n")
 
 
+def by_cues(found: DataFrame, edges: DataFrame, cues: Column) -> DataFrame:
+    """Paths (query_id, edges) all of whose edges have a predicate of ``cues``, with sources (of their edges, each once, in order) and
+    place: more edges first, then fewer hops, then sources in order."""
+    e = edges.select(F.col("id").cast("string").alias("edge"), "predicate", F.col("source_id").cast("string").alias("source_id"))
+    steps = found.select("*", F.posexplode("edges").alias("_i", "edge")).join(e, "edge")
+    kept = [c for c in found.columns if c != "edges"]
+    each = steps.withColumn("_cued", F.array_contains(cues, F.col("predicate"))).groupBy(*kept, "edges").agg(F.count_if("_cued").alias("n_cued"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "source_id"))), lambda x: x["source_id"]).alias("s"))
+    each = each.filter(F.col("n_cued") == F.size("edges")).withColumn("sources", F.array_distinct("s")).drop("s")
+    w = Window.partitionBy("query_id").orderBy(F.col("n_cued").desc(), F.size("edges"), "sources", "edges")
+    return each.withColumn("place", F.row_number().over(w))
+
+
+def known_revisions(revisions: DataFrame, edges: DataFrame, valid: Column, known: Column) -> DataFrame:
+    """The revisions that made the edges which held at ``valid`` by what was known at ``known``, the last of each record, if it had
+    not expired and is no closed task. Other text says nothing about that time, so it is left out."""
+    held = as_of(edges, valid, known).select(F.col("source_id").alias("id"), F.col("asserted_position").alias("position")).distinct()
+    rows = revisions.join(held, ["id", "position"], "left_semi").filter(F.coalesce("recorded_at", "updated_at") <= known)
+    last = rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.col("position").desc()))).filter("_n = 1").drop("_n")
+    fresh = F.col("expires_at").isNull() | (F.col("expires_at") > valid)
+    return last.filter(fresh & (F.col("task_status").isNull() | ~F.col("task_status").isin(*CLOSED)))
+
+
 def stale_sources(edges: DataFrame, now: Column) -> DataFrame:
     """Per source: whether every edge of it has ended."""
     return edges.groupBy("source_id").agg(F.bool_and(F.coalesce(F.col("valid_to") <= now, F.lit(False))).alias("stale"), F.count("*").alias("n_edges"))
