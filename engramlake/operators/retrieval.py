@@ -32,77 +32,93 @@ _WORD = re.compile(r"\w+")
 class _Asked:
     """A block of queries, by word: which of them hold it."""
 
-    def __init__(self, rows: list[tuple[int, list[str]]]):
-        self.ids = np.array([q for q, _ in rows], np.int64)
-        self.sizes = np.array([len(t) for _, t in rows])
+    def __init__(self, rows: list[tuple[int, list[str], str | None]]):
+        self.ids = np.array([q for q, _, _ in rows], np.int64)
+        self.sizes = np.array([len(t) for _, t, _ in rows], np.int64)
+        self.owners = pa.array(sorted({o for _, _, o in rows if o is not None}), pa.string())
+        self.owner = pc.index_in(pa.array([o for _, _, o in rows], pa.string()), self.owners).fill_null(-1).to_numpy()
         words: dict[str, list[int]] = {}
-        for k, (_, t) in enumerate(rows):
+        for k, (_, t, _) in enumerate(rows):
             for w in t:
                 words.setdefault(w, []).append(k)
         self.words = pa.array(list(words), pa.string())
         self.first = np.cumsum([0, *map(len, words.values())])
         self.holds = np.concatenate([np.array(v, np.int64) for v in words.values()]) if words else np.zeros(0, np.int64)
 
-    def pairs(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, row, shared words) for lists of words."""
+    def pairs(self, tokens: pa.Array, owners: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, shared words) for lists of words, of a query and a row with one owner."""
         row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
         at = pc.index_in(tokens.flatten(), self.words)
         met = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
         w = at.take(pa.array(met)).to_numpy(zero_copy_only=False).astype(np.int64)
         n = self.first[w + 1] - self.first[w]
         place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[w], n)
-        cell, shared = np.unique(np.repeat(row[met], n) * len(self.ids) + self.holds[place], return_counts=True)
+        q, r = self.holds[place], np.repeat(row[met], n)
+        own = pc.index_in(owners, self.owners).fill_null(-1).to_numpy()
+        mine = own[r] == self.owner[q]
+        cell, shared = np.unique(r[mine] * len(self.ids) + q[mine], return_counts=True)
         return cell % len(self.ids), cell // len(self.ids), shared
 
 
-def _best(q: np.ndarray, ids: np.ndarray, shared: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k rows of each query with the most shared words; the smaller id wins a tie."""
-    order = np.lexsort((ids, -shared, q))
+def _best(q: np.ndarray, ids: np.ndarray, shared: np.ndarray, score: np.ndarray, made: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k rows of each query with the best score; the newer row, then the smaller id wins a tie."""
+    order = np.lexsort((ids, -made, -score, q))
     first = np.flatnonzero(np.concatenate([[True], np.diff(q[order]) != 0])) if len(q) else np.zeros(0, np.int64)
     return order[np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k]
 
 
 def keyword_hits(queries: DataFrame, texts: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, id, shared, coverage, rank): texts (id, text) by the share of a query's words that they hold.
+    """(query_id, id, shared, coverage, rank): texts (id, text) by the share of a query's words that they hold; the smaller id wins a tie."""
+    plain = texts.select("id", "text", F.lit(0.0).alias("rest"), F.lit(0).cast("bigint").alias("made"))
+    found = keyword_ranked(queries, plain, k, 1.0, block)
+    return found.select("query_id", "id", "shared", F.round("score", 6).alias("coverage"), "rank")
 
-    Queries go to the texts, ``block`` of them at a time; a task keeps each query's ``k`` best of the
-    texts that it has seen, so at most k rows for a query and task are shuffled and no word is a key.
+
+def keyword_ranked(queries: DataFrame, texts: DataFrame, k: int, weight: float, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, shared, score, rank): texts (id, text, rest, made) that share a word with a query (query_id, text), by
+    ``weight`` times the share of its words that they hold, and ``rest``; the newer one, then the smaller id wins a tie.
+
+    Where both have an ``owner``, only texts of the query's owner count. Queries go to the texts, ``block`` of
+    them at a time; a task keeps each query's ``k`` best of the texts that it has seen, so at most k rows
+    for a query and task are shuffled and no word is a key.
     """
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), rules.tokens(F.col("text")).alias("t")).filter("size(t) > 0")
+    both = "owner" in queries.columns and "owner" in texts.columns
+    owner = (F.col("owner").cast("string") if both else F.lit("")).alias("owner")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), rules.tokens(F.col("text")).alias("t"), owner).filter("size(t) > 0")
     blocks = max(1, -(-asked.count() // block))
     if blocks > 1:
         asked = stored(asked)
-    held = texts.select(F.col("id").cast("long").alias("id"), rules.tokens(F.col("text")).alias("t"))
+    held = texts.select(F.col("id").cast("long").alias("id"), rules.tokens(F.col("text")).alias("t"), F.col("rest").cast("double").alias("rest"), F.col("made").cast("long").alias("made"), owner)
+    kinds = (np.int64, np.int64, np.int64, np.float64, np.int64)
     parts = []
     for i in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()  # about ``block`` queries
-        sent = texts.sparkSession.sparkContext.broadcast(_Asked([(r[0], r[1]) for r in rows]))
+        sent = texts.sparkSession.sparkContext.broadcast(_Asked([tuple(r) for r in rows]))
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             of = sent.value
-            best = [np.zeros(0, np.int64)] * 3
+            best = [np.zeros(0, t) for t in kinds]
             for b in batches:
                 if not len(of.ids) or not b.num_rows:
                     continue
-                q, row, shared = of.pairs(b.column("t"))
-                new = (q, b.column("id").to_numpy(zero_copy_only=False)[row], shared)
-                floor = np.zeros(len(of.ids), np.int64)  # what a query's last place holds, once all are taken
+                q, row, shared = of.pairs(b.column("t").fill_null([]), b.column("owner"))
+                column = lambda c, b=b, row=row: b.column(c).to_numpy(zero_copy_only=False)[row]
+                score = weight * (shared / of.sizes[q]) + column("rest")
+                new = (q, column("id"), shared, score, column("made"))
                 full = np.bincount(best[0], minlength=len(of.ids)) >= k
-                least = np.full(len(of.ids), np.iinfo(np.int64).max)
-                np.minimum.at(least, best[0], best[2])
-                floor[full] = least[full]
-                keep = shared >= floor[q]
+                least = np.full(len(of.ids), np.inf)  # what a query's last place holds, once all are taken
+                np.minimum.at(least, best[0], best[3])
+                keep = score >= np.where(full, least, -np.inf)[q]
                 best = [np.concatenate([a, x[keep]]) for a, x in zip(best, new, strict=True)]
                 chosen = _best(*best, k)
                 best = [a[chosen] for a in best]
-            n = of.sizes[best[0]] if len(best[0]) else best[0]
-            yield pa.RecordBatch.from_arrays([pa.array(of.ids[best[0]] if len(best[0]) else best[0]), pa.array(best[1]), pa.array(best[2]), pa.array(n, pa.int64())], ["query_id", "id", "shared", "n"])
-
-        parts.append(held.mapInArrow(run, "query_id bigint, id bigint, shared bigint, n bigint"))
-    found = reduce(DataFrame.unionByName, parts)
-    w = Window.partitionBy("query_id").orderBy(F.col("coverage").desc(), "id")
-    scored = found.select("query_id", "id", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("coverage"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            cols = [of.ids[best[0]] if len(best[0]) else best[0], *best[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "id", "shared", "score", "made"])
+
+        parts.append(held.mapInArrow(run, "query_id bigint, id bigint, shared bigint, score double, made bigint"))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("made").desc(), "id")
+    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "id", "shared", "score", "rank")
 
 
 def fused(channels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -30,13 +30,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, least: float, digits: int) -> pa.RecordBatch:
-    """The k best rows of ``x`` for each query, 512 queries at a time; ties go to the smaller id."""
+def _nearest(q_ids: np.ndarray, q: np.ndarray, q_of: np.ndarray, ids: np.ndarray, x: np.ndarray, x_of: np.ndarray, k: int, least: float, digits: int) -> pa.RecordBatch:
+    """The k best rows of ``x`` with its owner for each query, 512 queries at a time; ties go to the smaller id."""
     out = []
     for lo in range(0, len(q_ids), 512):
         mine = q_ids[lo : lo + 512]
         s = np.round(q[lo : lo + 512] @ x.T, digits)
-        s[mine[:, None] == ids[None, :]] = -np.inf
+        s[(mine[:, None] == ids[None, :]) | (q_of[lo : lo + 512, None] != x_of[None, :])] = -np.inf
         if s.shape[1] > k:  # all that reach the k-th best score, so that ties at the edge are all there
             edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
             row, col = np.nonzero(s >= np.maximum(edge, least)[:, None])
@@ -57,20 +57,23 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, bloc
 
     Up to ``block`` queries are sent to the tasks, and the base is read once where it lies. More of
     them are dealt into blocks, and so is the base: each pair of blocks meets in one task, which
-    keeps k rows for a query. Either way a shuffle sees at most k rows for a query and block.
+    keeps k rows for a query. Either way a shuffle sees at most k rows for a query and block. Where both
+    have an ``owner``, only rows of the query's owner count.
     """
     spark, schema = base.sparkSession, "query_id bigint, id bigint, score double"
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector")
-    x = base.select(F.col("id").cast("long").alias("id"), "vector")
+    both = "owner" in queries.columns and "owner" in base.columns
+    owner = (F.xxhash64("owner") if both else F.lit(0).cast("bigint")).alias("owner")
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector", owner)
+    x = base.select(F.col("id").cast("long").alias("id"), "vector", owner)
     n = q.count()
     if n <= block:
         rows = q.toArrow()
-        sent = spark.sparkContext.broadcast((np.array(rows.column("query_id").to_pylist(), np.int64), _matrix(rows.column("vector").combine_chunks())))
+        sent = spark.sparkContext.broadcast((np.array(rows.column("query_id").to_pylist(), np.int64), _matrix(rows.column("vector").combine_chunks()), np.array(rows.column("owner").to_pylist(), np.int64)))
 
         def run(batches):
             for b in batches:
                 if b.num_rows and len(sent.value[0]):
-                    yield _nearest(*sent.value, b.column("id").to_numpy(zero_copy_only=False), _matrix(b.column("vector")), k, least, digits)
+                    yield _nearest(*sent.value, b.column("id").to_numpy(zero_copy_only=False), _matrix(b.column("vector")), b.column("owner").to_numpy(zero_copy_only=False), k, least, digits)
 
         found = x.mapInArrow(run, schema)
     else:
@@ -80,7 +83,7 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, bloc
         right = dealt(x, "id", ("xb", x_blocks), ("qb", q_blocks)).groupBy("qb", "xb")
 
         def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-            both = [(t.column(c).to_numpy(), _matrix(t.column("vector").combine_chunks())) for t, c in ((a, "query_id"), (b, "id"))]
+            both = [(t.column(c).to_numpy(), _matrix(t.column("vector").combine_chunks()), t.column("owner").to_numpy()) for t, c in ((a, "query_id"), (b, "id"))]
             if not len(both[0][0]) or not len(both[1][0]):
                 return pa.Table.from_batches([], pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
             return pa.Table.from_batches([_nearest(*both[0], *both[1], k, least, digits)])

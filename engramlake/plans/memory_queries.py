@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramlake.functions import claims
-from engramlake.operators import graph, graph_build, ingest
+from engramlake.operators import graph, graph_build, ingest, search
 from engramlake.plans.registry import at, query
 from engramlake.session import stored
 
@@ -28,9 +28,6 @@ def process_golden(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", "category", "tier", F.col("claim").isNotNull().alias("has_claim"), "problem", F.col("expires_at").alias("expires"))
 
 
-_ASKED = "struct<v: string, k: string>"
-
-
 @query("""SELECT v, k, place FROM (VALUES (6, 3, 'chennai'), (6, 9, 'bengaluru'), (3, 9, 'chennai'), (1, 1, NULL), (11, 11, 'chennai'), (6, 11, 'bengaluru')) t(v, k, place)""")
 def graph_golden(spark: SparkSession, d: str) -> DataFrame:
     """Where someone lived on a day, by what was known on another: a move, told late, and taken back by hand."""
@@ -49,3 +46,82 @@ def graph_golden(spark: SparkSession, d: str) -> DataFrame:
     q = asked.withColumns({"_v": moment("v"), "_k": moment("k")})
     held = (F.col("valid_from") <= F.col("_v")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("_v"))) & (F.col("known_from") <= F.col("_k")) & (F.col("known_to").isNull() | (F.col("known_to") > F.col("_k")))
     return q.join(homes, held, "left").select("v", "k", F.lower("label").alias("place"))
+
+
+_ENTITY = "array<struct<id: string, type: string, label: string, aliases: array<string>>>"
+_RELATION = "array<struct<subject: string, predicate: string, object: string, positive: boolean, valid_from: timestamp_ntz, valid_to: timestamp_ntz>>"
+_STATED = "id bigint, content string, created string, speaker string, entities string, relations string, user_id string"
+
+
+def _stated(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Records with their entities and relations as JSON, as a log of one revision each."""
+    r = spark.createDataFrame(rows, _STATED).withColumn("created_at", F.col("created").cast("timestamp_ntz"))
+    r = r.withColumns({"entities": F.from_json("entities", _ENTITY), "relations": F.from_json("relations", _RELATION), "role": F.lit("user"), "category": F.lit("semantic"), "tier": F.lit("long_term")})
+    r = r.withColumns({"importance": F.lit(0.8), "memory_status": F.lit("active"), "position": F.col("id"), "updated_at": F.col("created_at"), "recorded_at": F.col("created_at")})
+    return stored(r.withColumn("claims", claims.claims_of(F.col("content"))["all"]).drop("created"))
+
+
+def _scripted(script: dict[str, float]) -> search.Scorer:
+    """A reranker that scores a text by the first phrase of a script that it holds."""
+
+    def score(question, text):
+        out = F.lit(-5.0)
+        for phrase, value in reversed(script.items()):
+            out = F.when(F.contains(text, F.lit(phrase)), F.lit(value)).otherwise(out)
+        return out
+
+    return score
+
+
+_LISBON, _PORTO = '{"id":"loc:lisbon","type":"location","label":"Lisbon"}', '{"id":"loc:porto","type":"location","label":"Porto"}'
+_HOMES = [
+    (1, "I have been renting a flat in Lisbon since 2021", "2024-01-01", None, f"[{_LISBON}]", '[{"subject":"self","predicate":"lives_in","object":"loc:lisbon","valid_from":"2021-04-01T00:00:00","valid_to":"2025-03-15T00:00:00"}]'),
+    (2, "We finally moved to Porto last March", "2025-06-01", None, f"[{_PORTO}]", '[{"subject":"self","predicate":"lives_in","object":"loc:porto","valid_from":"2025-03-15T00:00:00"}]'),
+    (3, "I have a flat white every morning", "2024-02-01", None, None, None),
+]
+_TIDE, _ROT = '{"id":"org:tidewater","type":"organization","label":"Tidewater Labs"}', '{"id":"loc:rotterdam","type":"location","label":"Rotterdam"}'
+_JOBS = [
+    (4, "Starting in June I joined Tidewater Labs as a senior analyst", "2025-06-01", None, f"[{_TIDE}]", '[{"subject":"self","predicate":"works_at","object":"org:tidewater"}]'),
+    (5, "Tidewater Labs is headquartered in Rotterdam", "2025-06-01", None, f"[{_TIDE},{_ROT}]", '[{"subject":"org:tidewater","predicate":"based_in","object":"loc:rotterdam"}]'),
+    (6, "Their old office headquarters were noisy", "2024-01-01", None, None, None),
+]
+_RETROS = [(7, "Our team retro happens on Fridays at 4pm", "2024-01-01", "Priya", None, None), (8, "Correction: the retro moved to Thursdays at 3", "2024-05-01", "Priya", None, None), (9, "Our retro is on Mondays", "2024-06-01", "Jonas", None, None)]
+_SCRIPT = {"Lisbon": 5.0, "flat white": 4.0, "Porto": -6.0, "Rotterdam": 4.0, "headquarters": 4.5, "senior analyst": -9.0, "Fridays": 7.0, "Thursdays": 6.0, "Mondays": 1.0}
+
+
+_UNSURE = [(10, "A flat in Lisbon was mine", "2024-01-01", None, f"[{_LISBON}]", '[{"subject":"self","predicate":"lives_in","object":"loc:lisbon","valid_to":"2025-01-01T00:00:00"}]'), (11, "Moved on to Porto", "2025-01-01", None, f"[{_PORTO}]", '[{"subject":"self","predicate":"lives_in","object":"loc:porto"}]')]
+_QUESTIONS = [  # id, user, question
+    (1, "homes", "Which city do I live in?"), (2, "homes", "How much rent did I pay for my flat in Lisbon?"), (3, "homes", "Which town was I in before, in my flat?"), (4, "jobs", "In which city is the company I work for headquartered?"),
+    (5, "retros", "Which day is Priya's retro on now?"), (6, "retros", "Which day was Priya's retro on originally?"), (7, "retros", "Which day is Priya's retro on?"), (8, "unsure", "Which city was it, with a flat?"), (9, "unsure", "  "),
+]
+
+
+@query("""SELECT query_id::BIGINT AS query_id, id::BIGINT AS id, rank, notes, status FROM (VALUES (1, 2, 1, 'supersedes:1', 'applied'), (1, 1, 2, '', 'applied'), (1, 3, 3, '', 'applied'), (2, 1, 1, '', 'applied'), (2, 3, 2, '', 'applied'), (3, 1, 1, '', 'applied'), (3, 3, 2, '', 'applied'),
+(4, 5, 1, 'graph_path', 'applied'), (4, 4, 2, 'chain_partner_of:5', 'applied'), (5, 8, 1, 'newer_version_of:7', 'applied'), (5, 7, 2, '', 'applied'), (5, 9, 3, '', 'applied'), (6, 7, 1, '', 'applied'), (6, 8, 2, '', 'applied'), (6, 9, 3, '', 'applied'),
+(7, 7, 1, '', 'applied'), (7, 8, 2, '', 'applied'), (7, 9, 3, '', 'applied'), (8, 10, 1, '', 'fallback')) t(query_id, id, rank, notes, status)""")
+def hybrid_search_golden(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of four users over their own records. A statement that no longer holds gives its place to the one that followed
+    it, if the question asks for that relation; what lies on a path that the question hints at comes first, with its partner
+    behind it; asked for now, the newer of two statements of one speaker comes first; where a score is not a number the fused
+    order stands, and nothing enters that no channel found."""
+    of = {"homes": _HOMES, "jobs": _JOBS, "retros": _RETROS, "unsure": _UNSURE}
+    r = _stated(spark, [(*row, user) for user, rows in of.items() for row in rows])
+    asked = spark.createDataFrame(_QUESTIONS, "query_id bigint, user_id string, text string")
+    script = {"A flat in Lisbon was": float("nan"), **_SCRIPT}
+    hits = search.hybrid(asked, r, at(NOW), 3, graph=tuple(map(stored, graph_build.build(r))), scorer=_scripted(script), steps=(*search.STEPS, "versions"))
+    return hits.select("query_id", "id", "rank", F.array_join("notes", ",").alias("notes"), "status")
+
+
+_TEAM = [(11, "Alice reports to Bob", "2026-01-01", None, None, None), (12, "Bob works on Atlas", "2026-01-02", None, None, None), (13, "Atlas is owned by Acme", "2026-01-03", None, None, None), (14, "Carol knows Alice", "2026-01-04", None, None, None)]
+
+
+@query("""SELECT hop, nodes, sources FROM (VALUES (1, 'Alice>Bob', '11'), (2, 'Alice>Bob>Atlas', '11,12'), (1, 'Alice>Carol', '14')) t(hop, nodes, sources)""")
+def graph_paths_golden(spark: SparkSession, d: str) -> DataFrame:
+    """Paths from a person over claims: a project that someone works on and one that is owned are nodes of one kind and name."""
+    nodes, aliases, edges = graph_build.build(_stated(spark, [(*row, "u") for row in _TEAM]))
+    label = nodes.select("id", "label")
+    seed = label.filter("label = 'Alice'").select(F.col("id").alias("node"))
+    found = graph.paths(edges, seed, 2, "both", 100)
+    named = found.select("hop", "edges", F.posexplode("nodes").alias("i", "id")).join(label, "id").groupBy("hop", "edges").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "label"))), lambda x: x["label"]), ">").alias("nodes"))
+    steps = named.select("hop", "nodes", F.posexplode("edges").alias("i", "id")).join(edges.select("id", "source_id"), "id")
+    return steps.groupBy("hop", "nodes").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "source_id"))), lambda x: x["source_id"].cast("string")), ",").alias("sources"))
