@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramlake.functions import rules
+
 
 def ranking(ranked: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, recall, hit, mrr, ndcg) at ``k``; null without relevant items. Later repeats of an id do not count.
@@ -175,3 +177,238 @@ def answerability(rows: DataFrame, answerable: Column, answered: Column) -> Data
     c = rows.agg(cell(True, True).alias("answered"), cell(True, False).alias("missed"), cell(False, False).alias("abstained"), cell(False, True).alias("invented"))
     share = lambda a, b: F.col(a) / F.nullif(F.col(a) + F.col(b), F.lit(0))
     return c.withColumn("balanced_accuracy", F.round((share("answered", "missed") + share("abstained", "invented")) / 2, 6))
+
+
+# --- classification ------------------------------------------------------------------------------
+
+
+def confusion(rows: DataFrame, gold: str, predicted: str, by: list[str] | None = None) -> DataFrame:
+    """(by, gold, predicted, n) of each pair that occurs."""
+    return rows.groupBy(*(by or []), F.col(gold).alias("gold"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def from_confusion(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A row for each ``by`` of (by, gold, predicted, n): n, accuracy, balanced accuracy (mean recall of the labels that occur), macro F1
+    (mean over labels that occur or are predicted) and F1 weighted by support."""
+    by = by or []
+    cells = cells.withColumn("_n", F.coalesce("n", F.lit(0)))
+    hit = F.when(F.col("gold") == F.col("predicted"), F.col("_n")).otherwise(0)
+    side = lambda c, support: cells.select(*by, F.col(c).alias("label"), (F.col("_n") if support else F.lit(0)).alias("support"), (F.lit(0) if support else F.col("_n")).alias("said"), (hit if support else F.lit(0)).alias("hit"))
+    t = side("gold", True).unionByName(side("predicted", False)).groupBy(*by, "label").agg(*[F.sum(c).alias(c) for c in ("support", "said", "hit")]).filter("support + said > 0")
+    part = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    f1 = 2 * F.col("hit") / (F.col("support") + F.col("said"))
+    out = t.withColumns({"recall": part("hit", "support"), "f1": f1}).groupBy(*by).agg(
+        F.sum("support").alias("n"), (F.sum("hit") / F.sum("support")).alias("accuracy"), F.avg("recall").alias("balanced_accuracy"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1")
+    )
+    return out.select(*by, "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1")])
+
+
+def majority(rows: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """(by, majority, n): the most frequent label; the smallest one wins a tie."""
+    by = by or []
+    each = rows.filter(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count("*").alias("n"))
+    best = F.struct("n", (-F.col(label)).alias("tie"))
+    return each.groupBy(*by).agg(F.max_by(label, best).alias("majority"), F.max("n").alias("n"))
+
+
+def with_oracle(rows: DataFrame, group: str, label: str) -> DataFrame:
+    """``rows`` with ``oracle``: the majority label of the row's group, the best that a function of the group can say."""
+    return rows.join(majority(rows, label, [group]).select(group, F.col("majority").alias("oracle")), group, "left")
+
+
+def by_sentence(rows: DataFrame, sentence: str, gold: str, predicted: str) -> DataFrame:
+    """(sentence, gold, predicted, n): the majority label and the majority prediction of each sentence, and its rows."""
+    g = majority(rows, gold, [sentence]).select(sentence, F.col("majority").alias("gold"))
+    p = majority(rows, predicted, [sentence]).select(sentence, F.col("majority").alias("predicted"))
+    return g.join(p, sentence).join(rows.groupBy(sentence).agg(F.count("*").alias("n")), sentence)
+
+
+def log_loss(rows: DataFrame, probabilities: Column, label: Column) -> DataFrame:
+    """One row: mean negative log of the label's probability (labels count from 0); rows of probabilities are brought to a sum of 1."""
+    total = F.aggregate(probabilities, F.lit(0.0), lambda a, x: a + x)
+    p = F.element_at(probabilities, label.cast("int") + 1) / total
+    return rows.agg(F.round(F.avg(-F.log(F.greatest(p, F.lit(1e-12)))), 6).alias("nll"))
+
+
+def class_counts(rows: DataFrame, label: str, labels: list, by: list[str] | None = None) -> DataFrame:
+    """A row for each ``by`` with the rows of each label, 0 where there are none."""
+    return rows.groupBy(*(by or [])).agg(*[F.count_if(F.col(label) == x).alias(f"n_{x}") for x in labels])
+
+
+def class_values(rows: DataFrame, label: str, score: str) -> DataFrame:
+    """(label, value): the mean score of each label, to four places."""
+    return rows.groupBy(label).agg(F.round(F.avg(score), 4).alias("value"))
+
+
+def class_weights(rows: DataFrame, labels: list[str], root: bool = False) -> DataFrame:
+    """(labels, n, weight): rows divided by labels and their size, or the root of that with ``root``."""
+    each = rows.groupBy(*labels).agg(F.count("*").alias("n"))
+    total = each.agg(F.sum("n").alias("_total"), F.count("*").alias("_k"))  # one row
+    weight = F.col("_total") / (F.col("_k") * F.col("n"))
+    return each.crossJoin(F.broadcast(total)).select(*labels, "n", F.round(F.sqrt(weight) if root else weight, 6).alias("weight"))
+
+
+def constant_baseline(rows: DataFrame, score: str, within: float = 0.15, steps: int = 100) -> DataFrame:
+    """(constant, agreement, best): the share of scores within reach of each constant from 0 to 1; the first best one is marked."""
+    each = rows.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("_n"))
+    grid = rows.sparkSession.range(steps + 1).select((F.col("id") / float(steps)).alias("constant"))
+    near = F.sum(F.when(F.abs(F.col("_s") - F.col("constant")) <= within, F.col("_n")).otherwise(0)) / F.sum("_n")
+    out = each.crossJoin(F.broadcast(grid)).groupBy("constant").agg(F.round(near, 6).alias("agreement"))  # a short grid
+    best = out.agg(F.max_by("constant", F.struct("agreement", -F.col("constant"))).alias("_best"))
+    return out.crossJoin(F.broadcast(best)).select("constant", "agreement", (F.col("constant") == F.col("_best")).alias("best"))
+
+
+def auc_by(rows: DataFrame, by: str, score: str, positive: Column) -> DataFrame:
+    """(by, auc, far): ROC-AUC of each group by mean ranks within buckets of its scores, and the share of scores beyond five deviations."""
+    r = rows.select(F.col(by).alias("_by"), F.col(score).cast("double").alias("s"), positive.alias("_p"))
+    m = r.groupBy("_by").agg(F.avg("s").alias("_m"), F.stddev_pop("s").alias("_d"))
+    far = r.join(m, "_by").groupBy("_by").agg(F.round(F.avg((F.abs(F.col("s") - F.col("_m")) > 5 * F.col("_d")).cast("double")), 6).alias("far"))
+    c = r.filter("s is not null").groupBy("_by", "s").agg(F.count_if("_p").cast("double").alias("p"), F.count_if(~F.col("_p")).cast("double").alias("q"))
+    c = _bucketed(c, ["_by"], "s")
+    lower = _before(c.groupBy("_by", "bucket").agg(F.sum("q").alias("q")), ["_by"], "q")
+    w = Window.partitionBy("_by", "bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    at = c.join(lower, ["_by", "bucket"]).withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0.0)) + F.col("q_before"))
+    auc = at.groupBy("_by").agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / F.nullif(F.sum("p") * F.sum("q"), F.lit(0.0)), 6).alias("auc"))
+    return auc.join(far, "_by").select(F.col("_by").alias(by), "auc", "far")
+
+
+def standardized(rows: DataFrame, columns: list[str], fit: Column) -> DataFrame:
+    """``rows`` with columns less their mean, divided by their population deviation over the rows of ``fit``; a tiny deviation counts as 1."""
+    some = rows.filter(fit)
+    m = some.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_d_{c}") for c in columns])
+    at = lambda c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_d_{c}") < 1e-8, 1.0).otherwise(F.col(f"_d_{c}"))
+    return rows.crossJoin(F.broadcast(m)).select(*[c for c in rows.columns if c not in columns], *[at(c).alias(c) for c in columns])
+
+
+def diagnostics(rows: DataFrame, group: str, label: str, score: str, text: str) -> DataFrame:
+    """One row about a data set: rows, groups, groups of one row, groups with several labels, mean deviation within larger groups, words."""
+    n_words = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
+    g = rows.withColumn("_w", n_words).groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(label).alias("k"), F.stddev_pop(score).alias("d"), F.sum("_w").alias("w"), F.max("_w").alias("longest"))
+    return g.agg(
+        F.sum("n").alias("n"), F.count("*").alias("groups"), F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(F.col("k") > 1).alias("disagreeing"),
+        F.round(F.avg(F.when(F.col("n") > 1, F.col("d"))), 6).alias("deviation_within"), F.round(F.sum("w") / F.sum("n"), 4).alias("mean_words"), F.max("longest").alias("longest"),
+    )
+
+
+def group_codes(rows: DataFrame, group: str, position: str) -> DataFrame:
+    """``rows`` with ``code``: groups numbered from 0 by where they first appear. Groups, not rows, are put in order."""
+    first = rows.groupBy(group).agg(F.min(position).alias("_at"))
+    first = _bucketed(first, [], "_at")
+    sizes = _before(first.groupBy("bucket").agg(F.count("*").alias("n")), [], "n")
+    code = F.row_number().over(Window.partitionBy("bucket").orderBy("_at", group)) - 1 + F.col("n_before")
+    return rows.join(first.join(F.broadcast(sizes), "bucket").select(group, code.cast("bigint").alias("code")), group)
+
+
+def bootstrap_macro_f1(rows: DataFrame, key: Column, gold: str, predicted: str, resamples: int = 200, seed: int = 42) -> DataFrame:
+    """One row: macro F1 and a 95 % interval over resamples of ``key`` (a row, or a sentence with all of its rows)."""
+    each = rows.select(key.alias("k"), F.col(gold).alias("gold"), F.col(predicted).alias("predicted")).groupBy("k", "gold", "predicted").agg(F.count("*").alias("c"))
+    spread = each.select("*", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", _poisson(_uniform(F.col("k"), F.col("b"), F.lit(seed))))
+    cells = spread.groupBy("b", "gold", "predicted").agg(F.sum(F.col("w") * F.col("c")).alias("n")).filter("n > 0")
+    whole = from_confusion(confusion(rows, gold, predicted)).select("macro_f1")
+    return _with_interval(whole, from_confusion(cells, ["b"]).select(F.col("macro_f1").alias("m")))
+
+
+# --- retrieval and answers ------------------------------------------------------------------------
+
+
+def gold_bucket(n: Column) -> Column:
+    """How many relevant items a question has, in words."""
+    return F.when(n == 0, "none").when(n == 1, "1").when(n <= 3, "2-3").otherwise("4+")
+
+
+def breakdown(rows: DataFrame, key: Column, values: list[str], name: str = "key") -> DataFrame:
+    """(key, n, values): the mean of each value over the rows of each key; nulls do not count."""
+    return rows.groupBy(key.alias(name)).agg(F.count("*").alias("n"), *[F.round(F.avg(v), 6).alias(v) for v in values])
+
+
+def arm_summary(rows: DataFrame) -> DataFrame:
+    """(arm, n, hit, mrr, pool_hit, recovery): means of each arm; recovery is the share of hits among questions whose pool had a relevant item."""
+    s = rows.groupBy("arm").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("hit", "mrr", "pool_hit")])
+    return s.select("arm", "n", *[F.round(c, 6).alias(c) for c in ("hit", "mrr", "pool_hit")], F.round(F.col("hit") / F.nullif(F.col("pool_hit"), F.lit(0.0)), 6).alias("recovery"))
+
+
+def with_total(rows: DataFrame, key: str, values: list[str], categories: tuple[str, list] | None = None) -> DataFrame:
+    """(key, n, values): the mean of each value for each key, and for ``all``; with (column, its values), also how many rows of each there are."""
+    counts = [F.count_if(F.col(categories[0]) == c).alias(f"n_{c}") for c in categories[1]] if categories else []
+    out = rows.rollup(key).agg(F.count("*").alias("n"), F.grouping(key).alias("_all"), *[F.round(F.avg(v), 6).alias(v) for v in values], *counts)
+    return out.withColumn(key, F.when(F.col("_all") == 1, "all").otherwise(F.col(key))).drop("_all")
+
+
+def failures(rows: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` questions, by id, that found nothing."""
+    return rows.filter("hit = 0").orderBy("query_id").limit(most)
+
+
+def grounded(context: DataFrame, qrels: DataFrame, answers: DataFrame) -> DataFrame:
+    """(query_id, grounded, top1, first): whether a relevant source of the context holds an accepted answer, whether the first one does,
+    and whether the first source is relevant. Null without accepted answers or relevant items.
+
+    ``context``: query_id, id, place, text; ``qrels``: query_id, id, grade; ``answers``: query_id, form.
+    """
+    good = context.join(qrels.filter("grade > 0").select("query_id", "id", F.lit(True).alias("relevant")).distinct(), ["query_id", "id"], "left")
+    said = good.join(answers, "query_id").withColumn("holds", rules.contains_phrase(F.col("text"), F.col("form")))
+    each = said.groupBy("query_id", "id", "place").agg(F.bool_or("holds").alias("holds"), F.bool_or(F.coalesce("relevant", F.lit(False))).alias("relevant"))
+    met = each.groupBy("query_id").agg(F.bool_or(F.col("holds") & F.col("relevant")).alias("grounded"), F.bool_or(F.col("holds") & (F.col("place") == 1)).alias("top1"))
+    first = good.filter("place = 1").select("query_id", F.coalesce("relevant", F.lit(False)).alias("first"))
+    asked = qrels.filter("grade > 0").select("query_id").distinct()
+    out = asked.join(met, "query_id", "left").join(first, "query_id", "left").join(answers.select("query_id", F.lit(True).alias("_has")).distinct(), "query_id", "left")
+    known = lambda c: F.when(F.col("_has"), F.coalesce(c, F.lit(False)))
+    return out.select("query_id", known("grounded").alias("grounded"), known("top1").alias("top1"), F.coalesce("first", F.lit(False)).alias("first"))
+
+
+def context_quality(context: DataFrame, supporting: DataFrame) -> DataFrame:
+    """(query_id, precision, recall) of the sources of a context beside the supporting ones; null where there is nothing to divide by."""
+    c, s = context.select("query_id", "id").distinct(), supporting.select("query_id", "id").distinct()
+    met = c.join(s, ["query_id", "id"]).groupBy("query_id").agg(F.count("*").alias("m"))
+    sizes = [df.groupBy("query_id").agg(F.count("*").alias(n)) for df, n in ((c, "c"), (s, "s"))]
+    out = sizes[0].join(sizes[1], "query_id", "full_outer").join(met, "query_id", "left")
+    return out.select("query_id", F.round(F.coalesce("m", F.lit(0)) / F.col("c"), 6).alias("precision"), F.round(F.coalesce("m", F.lit(0)) / F.col("s"), 6).alias("recall"))
+
+
+def leakage(queries: DataFrame, gold: DataFrame, most: int) -> DataFrame:
+    """(query_id, share): the share of a question's words that its relevant texts hold, the largest ``most`` of them.
+
+    ``queries``: query_id, text; ``gold``: query_id, text.
+    """
+    q = queries.select("query_id", rules.tokens(F.col("text")).alias("q"))
+    g = gold.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(rules.tokens(F.col("text"))))).alias("g"))
+    share = F.size(F.array_intersect("q", "g")) / F.size("q")
+    return q.filter("size(q) > 0").join(g, "query_id").select("query_id", F.round(share, 6).alias("share")).orderBy(F.col("share").desc(), "query_id").limit(most)
+
+
+# --- reports --------------------------------------------------------------------------------------
+
+
+def flattened(report: dict, prefix: str = "") -> dict[str, float]:
+    """The numbers of a nested report by their dotted path."""
+    out: dict[str, float] = {}
+    for k, v in report.items():
+        if isinstance(v, dict):
+            out |= flattened(v, f"{prefix}{k}.")
+        elif isinstance(v, int | float) and not isinstance(v, bool):
+            out[f"{prefix}{k}"] = float(v)
+    return out
+
+
+#: Parts of a key that tell how a report was made, and not what it measured.
+NO_METRIC = ("protocol", "provenance", "manifest", "seed", "version", "timestamp", "generated", "n_resamples")
+
+
+def is_metric(key: Column) -> Column:
+    return ~rules.says(key, rf"(?:^|[._]){rules.one_of(*NO_METRIC)}(?:[._]|\z)")
+
+
+def snapshot_delta(old: DataFrame, new: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """(key, old, new, delta, only): two snapshots side by side; ``only`` names the one that alone has a key."""
+    a, b = old.select(key, F.col(value).alias("old")), new.select(key, F.col(value).alias("new"))
+    only = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "old")
+    return a.join(b, key, "full_outer").select(key, "old", "new", (F.col("new") - F.col("old")).alias("delta"), only.alias("only"))
+
+
+def violations(checks: dict[str, DataFrame]) -> DataFrame:
+    """(rule, n): how many rows each rule's frame of violations has."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n") for name, df in checks.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
