@@ -1,25 +1,27 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
 The training words of each run of rows (a shard) become a suffix array: word positions sorted by
-the words that follow. Every window of a benchmark item is the prefix of a test suffix; a binary
-search in the shard finds the positions that start with it, and a check of all its words confirms
-them. Runs of confirmed windows of one item are its verbatim matches.
+the twelve words that follow, more than a window has. Every window of a benchmark item is the prefix
+of a test suffix; binary searches, four words at a time, find the positions that start with it, and
+each of its words is compared to confirm them. Runs of confirmed windows of one item are its verbatim
+matches, so the longest one is as long as the text and the item agree.
 
 Shards live inside tasks, so the documents are read once and never shuffled. The benchmark is sent
 to the tasks in blocks of at most ``BLOCK_WORDS`` words; more blocks make more passes, each of which
 carries on what the one before found, so the size of the benchmark bounds nothing else.
 
-Edge cases: null and empty texts have no words and are clean; items without words or without an id
+Edge cases: very long texts are a shard of their own; null and empty texts have no words and are clean; items without words or without an id
 match nothing; a document row is judged by itself, so repeated rows get equal results; an empty
 benchmark leaves all clean.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ from engramlake.llm import text as T
 
 WINDOW = 10
 #: Words of the benchmark that a task holds at a time: about 60 MB.
-BLOCK_WORDS = 2_000_000
-_KEY_WORDS = 4  # of a suffix, 16 bits each, in a sort key
+BLOCK_WORDS = 500_000
+_KEY_WORDS, _KEYS = 4, 3  # words of a suffix in a sort key, 16 bits each, and keys one after another
 
 SCHEMA = "doc_id bigint, n_words bigint, hit_starts array<int>, hit_ends array<int>, items array<string>, longest int, longest_start int, longest_item string"
 
@@ -50,7 +52,7 @@ class Windows:
                     hashes.setdefault(n, []).append(rows)
                     owners.setdefault(n, []).append(np.full(len(rows), i))
                     places.setdefault(n, []).append(np.arange(len(rows)))
-        #: By length: the windows in the order of their sort key, and the (item, place) of each.
+        #: By length: the distinct windows, where the (item, place) of each are, and the bounds of their sort keys.
         self.by_length = {}
         for n, rows in hashes.items():
             rows, owner, place = np.concatenate(rows), np.concatenate(owners[n]), np.concatenate(places[n])
@@ -58,8 +60,9 @@ class Windows:
             order = np.argsort(whole, kind="stable")
             whole, owner, place = whole[order], owner[order], place[order]
             first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
-            lo, hi = key_range(rows[order[first]])
-            self.by_length[n] = (whole[first], np.append(first, len(whole)), owner, place, lo, hi)
+            rows = rows[order[first]]
+            bounds = [key_range(rows[:, k * _KEY_WORDS : (k + 1) * _KEY_WORDS]) for k in range(-(-n // _KEY_WORDS))]
+            self.by_length[n] = (rows, np.append(first, len(whole)), owner, place, bounds)
 
 
 def combined(rows: np.ndarray) -> np.ndarray:
@@ -84,13 +87,32 @@ def key_range(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_array(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word positions sorted by the words that follow, and their keys; the search checks what keys leave open."""
+    """Word positions sorted by the words that follow, and their sort keys, a row for each four words."""
     padded = np.concatenate([h >> np.uint64(48), np.zeros(_KEY_WORDS - 1, np.uint64)])
     key = np.zeros(len(h), np.uint64)
     for k in range(_KEY_WORDS):
         key = (key << np.uint64(16)) | padded[k : k + len(h)]
-    order = np.argsort(key)
-    return order, key[order]
+    order = np.argsort(key, kind="stable")
+    later = [np.concatenate([key[k * _KEY_WORDS :], np.zeros(min(k * _KEY_WORDS, len(h)), np.uint64)]) for k in range(1, _KEYS)]
+    first = key[order]
+    tied = np.zeros(len(h), bool)  # only where the first four words agree do the next ones matter
+    tied[1:] = first[1:] == first[:-1]
+    tied[:-1] |= tied[1:]
+    at = np.flatnonzero(tied)
+    if len(at):
+        some = order[at]
+        order[at] = some[np.lexsort((*[k[some] for k in reversed(later)], key[some]))]
+    return order, np.stack([first, *[k[order] for k in later]])
+
+
+def _bisect(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
+    """For each search the place of ``wanted`` among the sorted ``keys`` from ``lo`` to ``hi``, before or after equal ones."""
+    lo, hi = lo.copy(), hi.copy()
+    while (live := np.flatnonzero(lo < hi)).size:
+        mid = (lo[live] + hi[live]) // 2
+        up = keys[mid] <= wanted[live] if right else keys[mid] < wanted[live]
+        lo[live], hi[live] = np.where(up, mid + 1, lo[live]), np.where(up, hi[live], mid)
+    return lo
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,25 +123,29 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search(c: T.Chunk, w: Windows) -> tuple[np.ndarray, np.ndarray, list]:
-    """Row bounds in words, the row of each word, and the matches: (length, word position, window)."""
+    """Row bounds in words, the row of each word, and the matches: (length, word positions in order, windows)."""
     start, end, row = T.spans(c.buf, c.offs, T.ALNUM)
     at, found = T.per_row(row, c.rows), []
     if len(start):
         h = T.Hasher(c.buf)(start, end)
         order, keys = suffix_array(h)
-        for n, (whole, _, _, _, lo, hi) in w.by_length.items():
-            a, b = np.searchsorted(keys, lo, "left"), np.searchsorted(keys, hi, "right")
-            # windows that share a range of suffixes ask for it once
-            pick, _ = _ranges(*np.unique(np.stack([a, b])[:, b > a], axis=1)) if (b > a).any() else (np.zeros(0, np.int64), None)
-            pos = np.sort(order[pick])
-            pos = pos[pos + n <= len(h)]
-            pos = pos[row[pos] == row[pos + n - 1]]
-            for i in range(0, len(pos), 1 << 16):
-                p = pos[i : i + (1 << 16)]
-                seen = combined(h[p[:, None] + np.arange(n)])
-                k = np.minimum(np.searchsorted(whole, seen), len(whole) - 1)
-                ok = whole[k] == seen
-                found.append((n, p[ok], k[ok]))
+        for n, (rows, _, _, _, bounds) in w.by_length.items():
+            a, b = np.searchsorted(keys[0], bounds[0][0], "left"), np.searchsorted(keys[0], bounds[0][1], "right")
+            which = np.flatnonzero(b > a)
+            a, b = a[which], b[which]
+            for level, (lo, hi) in enumerate(bounds[1:], 1):
+                a, b = _bisect(keys[level], a, b, lo[which], False), _bisect(keys[level], a, b, hi[which], True)
+                kept = b > a
+                which, a, b = which[kept], a[kept], b[kept]
+            for i in range(0, len(which), 1 << 14):
+                pick, of = _ranges(a[i : i + (1 << 14)], b[i : i + (1 << 14)])
+                p, k = order[pick], which[i : i + (1 << 14)][of]
+                fits = p + n <= len(h)
+                p, k = p[fits], k[fits]
+                same = row[p] == row[p + n - 1]
+                for j in range(n):  # word by word
+                    same &= h[p + j] == rows[k, j]
+                found.append((n, p[same], k[same]))
     return at, row, found
 
 
@@ -131,7 +157,7 @@ def _scan(c: T.Chunk, w: Windows, before: list | None) -> dict[str, list]:
     for n, p, k in found:
         np.add.at(edges, p, 1)
         np.add.at(edges, p + n, -1)
-        _, bounds, owner, place, _, _ = w.by_length[n]
+        _, bounds, owner, place, _ = w.by_length[n]
         pick, which = _ranges(bounds[k], bounds[k + 1])
         item, q = owner[pick], p[which]
         owners.append(np.unique(np.stack([row[q], item]), axis=1))
@@ -174,20 +200,24 @@ def _scan(c: T.Chunk, w: Windows, before: list | None) -> dict[str, list]:
     return out
 
 
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[Broadcast]:
+    """The items in blocks of about ``block_words`` words, sent to the tasks one block at a time."""
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
+    blocks = max(1, int(np.ceil(total / block_words)))
+    for k in range(blocks):  # one, unless the benchmark is large
+        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        yield benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of ``docs``: its words, the hit word ranges, the items met and the longest match.
 
     The result has the columns of ``docs`` that are read (doc_id, text) and those of ``SCHEMA``.
     """
-    spark = docs.sparkSession
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
-    blocks = max(1, int(np.ceil(total / block_words)))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keep = "text string, " + SCHEMA
-    for k in range(blocks):  # one, unless the benchmark is large
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        sent = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
+    for sent in _blocks(benchmark, block_words):
         held: dict[int, Windows] = {}
 
         def run(batch: pa.RecordBatch, sent=sent, held=held) -> pa.RecordBatch:
@@ -206,17 +236,30 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that hold no window of a benchmark item, with all their columns.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that hold no window of a benchmark item, with all their columns, whatever these are called.
 
-    A row whose doc_id is null, or repeated, is kept or removed by its own text.
+    A row whose doc_id is null, or repeated, is kept or removed by its own text. Each block of the benchmark
+    removes its documents in one pass, without a join.
     """
-    names = docs.columns
-    found = find_overlaps(docs, benchmark, window).filter(F.size("items") > 0).select("doc_id", F.xxhash64("text").alias("_h"), F.length("text").alias("_n")).distinct()
-    keyed = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string"))).withColumn("_n", F.length(F.col("text").cast("string")))
-    a, b = keyed.alias("a"), found.alias("b")
-    same = F.expr("a.doc_id <=> b.doc_id and a._h = b._h and a._n = b._n")
-    return a.join(b, same, "left_anti").select(*[F.col(f"a.`{c}`") for c in names])
+    at = docs.columns.index("text")
+    for sent in _blocks(benchmark, block_words):
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            windows = None
+            for batch in batches:
+                windows = windows or Windows(sent.value, window)
+                clean = [np.zeros(0, bool)]
+                for c in T.chunks(batch.column(at)):
+                    _, row, found = search(c, windows)
+                    ok = np.ones(c.rows, bool)
+                    for _, p, _ in found:
+                        ok[row[p]] = False
+                    clean.append(ok)
+                yield batch.filter(pa.array(np.concatenate(clean)))
+
+        docs = T.small_batches(docs).mapInArrow(run, docs.schema)
+    return docs
 
 
 def digest(overlaps: DataFrame) -> DataFrame:
@@ -226,25 +269,3 @@ def digest(overlaps: DataFrame) -> DataFrame:
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.size("items") > 0).alias("contaminated"), "longest", "longest_start", "longest_item",
     )
-
-
-def brute_force(texts: list[str | None], items: dict[str, str | None], window: int = WINDOW) -> list[tuple[int, int, int, str, bool]]:
-    """The contract's digest columns by plain search, for tests."""
-    import re
-
-    def words(t: str | None) -> list[str]:
-        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-
-    out = []
-    for t in texts:
-        w, hit, names = words(t), set(), set()
-        for i, x in items.items():
-            v = words(x)
-            n = min(window, len(v))
-            for j in range(len(v) - n + 1 if n else 0):
-                for p in range(len(w) - n + 1):
-                    if w[p : p + n] == v[j : j + n]:
-                        hit |= set(range(p, p + n))
-                        names.add(i)
-        out.append((len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
-    return out

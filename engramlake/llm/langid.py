@@ -218,15 +218,31 @@ def label(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> Dat
     return T.by_batch(read, run, "doc_id bigint, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>")
 
 
-def with_language(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """``docs`` with all its columns, and lang_pred and lang_score; other columns of these names are replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "lang_score")
+def with_language(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with all its columns, and the language and its share of the letters under ``names``, which must be free."""
+    if set(names) & set(docs.columns):
+        raise ValueError(f"the table has a column {names[0]} or {names[1]}; choose other names")
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            found = _label_batch(batch.column("text"), sent.value, penalty, with_spans=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+            found = _label_batch(batch.column(at), sent.value, penalty, with_spans=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], [*batch.schema.names, *names])
 
-    schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("lang_score", "double")
+    schema = StructType(list(docs.schema.fields)).add(names[0], "string").add(names[1], "double")
     return T.small_batches(docs).mapInArrow(run, schema)
+
+
+def in_known_language(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The rows with a language, with it as their ``lang``; all other columns stay, whatever their names."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches):
+        for batch in batches:
+            pred = _label_batch(batch.column(text), sent.value, penalty, with_spans=False)[0]
+            cols = list(batch.columns)
+            cols[lang] = pa.array(pred, batch.schema.field(lang).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array([x != UNKNOWN for x in pred], pa.bool_()))
+
+    return T.small_batches(docs).mapInArrow(run, docs.schema)

@@ -1,14 +1,15 @@
 """Licence scan: a sparse word n-gram logistic classifier of paragraphs, confirmed by templates.
 
-A paragraph is a line with a word. Hashed words and word pairs feed a softmax over licence families
-and ``none``, fitted on the driver on a small table that rules write from short notices (parts of
-them, in filler) and from other sentences. A temperature, fitted on held-out rows, calibrates the
-probabilities; a predicted family stands only from ``SURE`` on and if enough of the paragraph's word
-pairs are in the family's templates. Where only one of the two holds and the paragraph shares pairs
-with the templates, it is ``unknown``.
-
-Edge cases: null and empty texts have no paragraph and no licence; ties go to the family first by
-name; rows are judged one by one, so repeated rows get equal results.
+A paragraph is a line with a word, together with lines that go on with it: after a line that no stop ends, a
+line that begins with a small letter. Hashed words and word pairs feed a softmax over licence families and
+``none``, fitted on the driver on a small table that rules write: parts of NOTICES in filler, whose words are
+not those of the templates alone, and other sentences, some of them about licences. A temperature, fitted on
+held-out rows, calibrates the probabilities. A predicted family stands from ``SURE`` on if enough of the
+paragraph's word pairs are in the family's TEMPLATES; a paragraph whose probability of ``none`` lies below a
+bound that all but a share of held-out plain rows keep is ``unknown`` if it shares words with any template.
+
+Edge cases: null and empty texts have no paragraph and no licence; very long texts are read whole; ties go to the
+family first by name; rows are judged one by one, so repeated rows get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,10 +34,21 @@ TEMPLATES = {
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This work is licensed under the Mozilla Public License, version 2.0."],
     "reserved": ["All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced", "Unauthorized copying of this file, via any medium is strictly prohibited"],
 }
+#: What the classifier learns from: how licences are spoken of, beyond the templates that confirm them.
+NOTICES = {
+    "apache": ["Apache License Version 2.0 January 2004", "Licensed to the Apache Software Foundation under one or more contributor license agreements", "SPDX-License-Identifier: Apache-2.0", "Unless required by applicable law or agreed to in writing software distributed under the License is distributed on an AS IS BASIS", "This project is available under the terms of the Apache 2.0 license", "licensed under the Apache License"],
+    "bsd": ["Redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "SPDX-License-Identifier: BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "Distributed under the 2-clause BSD license", "New BSD License applies to this package", "licensed under the BSD License"],
+    "cc": ["Except where otherwise noted content on this site is licensed under a Creative Commons Attribution license", "CC BY 4.0", "You are free to share and adapt this material under the Creative Commons terms", "Attribution-NonCommercial-ShareAlike 4.0 International", "To view a copy of this license visit creativecommons.org", "licensed under the Creative Commons Attribution"],
+    "gpl": ["This program is distributed in the hope that it will be useful but without any warranty", "You should have received a copy of the GNU General Public License along with this program", "SPDX-License-Identifier: GPL-3.0-or-later", "GNU Affero General Public License version 3", "This library is free software you can redistribute it under the terms of the GNU Lesser General Public License", "licensed under the GNU General Public License"],
+    "mit": ["The MIT License (MIT)", "to deal in the Software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies", "SPDX-License-Identifier: MIT", "The above copyright notice and this permission notice shall be included in all copies", "MIT licensed, see the file LICENSE", "licensed under the MIT License"],
+    "mpl": ["If a copy of the MPL was not distributed with this file You can obtain one at mozilla.org", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0", "under the terms of the MPL version 2", "licensed under the Mozilla Public License"],
+    "reserved": ["All rights are reserved by the publisher", "Copyright all rights reserved no reproduction without written permission", "This document is confidential and proprietary and may not be copied", "unauthorised use or distribution is prohibited all rights reserved", "(c) the authors. All rights reserved"],
+}
 FAMILIES = (*sorted(TEMPLATES), "none")
 _SLOTS = 1 << 13
-#: Least calibrated probability of a family, and least share of a paragraph's word pairs in its templates.
-SURE, LEAST_SHARE = 0.6, 0.5
+#: Least calibrated probability of a family, least share of a paragraph's word pairs in its templates, and the share of plain
+#: held-out paragraphs that may fall under the bound of ``none``.
+SURE, LEAST_SHARE, MISS = 0.6, 0.5, 0.01
 
 
 @dataclass
@@ -45,11 +57,19 @@ class Model:
     bias: np.ndarray
     temperature: float
     pairs: dict[str, np.ndarray]  # of the templates, sorted
+    least_none: float = 0.5  # probability of ``none`` below which a paragraph is no plain text
+
+
+_LINE, _STOP, _SMALL = T.byte_set(lambda b: b != 0x0A), T.byte_set(lambda b: chr(b) in ".!?;:"), T.byte_set(lambda b: 0x61 <= b <= 0x7A)
 
 
 def _features(c: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per word: hash, hash of it with the next word of its line (0 if none), its line; and the row of each line."""
-    ls, _, lr = T.spans(c.buf, c.offs, T.byte_set(lambda b: b != 0x0A))
+    ls, le, lr = T.spans(c.buf, c.offs, _LINE)
+    if len(ls) > 1:  # a line that goes on with the one before belongs to its paragraph
+        on = np.zeros(len(ls), bool)
+        on[1:] = (lr[1:] == lr[:-1]) & (ls[1:] == le[:-1] + 1) & ~_STOP[c.buf[le[:-1] - 1]] & _SMALL[c.buf[ls[1:]]]
+        ls, lr = ls[~on], lr[~on]
     start, end, _ = T.spans(c.buf, c.offs, T.ALNUM)
     if not len(start):
         z = np.zeros(0, np.uint64)
@@ -78,11 +98,11 @@ def training_lines() -> list[tuple[str, int]]:
     rng = np.random.default_rng(29)
     parts = ["the", "on", "er", "in", "an", "tion", "de", "la", "ment", "und", "sch", "os", "mi", "ra", "that", "this", "of", "and", "work", "is", "under", "version", "software", "source", "license", "public", "free", "rights", "use"]
     filler = lambda n: ["".join(rng.choice(parts, int(rng.integers(1, 4)))) for _ in range(n)]
-    plain = ["This is a work of fiction", "The version of the story is free", "All of the rights of man", "She was granted permission to use the software", "The source of the river is in the north", "A copy of the public record", "Under the bridge is the mill"]
+    plain = ["This is a work of fiction", "The version of the story is free", "All of the rights of man", "She was granted permission to use the software", "The source of the river is in the north", "A copy of the public record", "Under the bridge is the mill", "He lost his driving license on the public road", "The publisher reserved a table for all", "The license plate of the car was under the snow"]
     out = []
     for _ in range(60):
         for k, family in enumerate(FAMILIES[:-1]):
-            for t in TEMPLATES[family]:
+            for t in NOTICES[family]:
                 words = t.split()
                 cut = int(rng.integers(0, max(1, len(words) // 4)))
                 words = words[cut:] if rng.integers(3) == 0 else words
@@ -120,6 +140,8 @@ def fit(rounds: int = 150, rate: float = 0.5, l2: float = 1e-3) -> Model:
     temps = np.linspace(0.5, 5, 46)
     loss = [-(np.log(_softmax(z / t) + 1e-12) * y[held]).sum() for t in temps]
     m.temperature = float(temps[int(np.argmin(loss))])
+    plain = np.array([k for _, k in lines])[held] == len(FAMILIES) - 1
+    m.least_none = float(np.quantile(_softmax(z / m.temperature)[plain, -1], MISS))
     for family, texts in TEMPLATES.items():
         (t,) = T.chunks(pa.array(texts, pa.string()), 1 << 60)
         p = _features(t)[1]
@@ -148,15 +170,16 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 p = _softmax(_scores(m, h, pair, first) / m.temperature)
                 best = p.argmax(1)
                 last = np.append(first[1:], len(h))
-                for i in np.flatnonzero(best < len(FAMILIES) - 1).tolist():
+                every = np.unique(np.concatenate(list(m.pairs.values())))
+                for i in np.flatnonzero((best < len(FAMILIES) - 1) | (p[:, -1] < m.least_none)).tolist():
                     family = FAMILIES[best[i]]
                     here = pair[first[i] : last[i]]
                     here = here[here > 0]
-                    shared = int(np.isin(here, m.pairs[family]).sum())
+                    shared = int(np.isin(here, m.pairs[family]).sum()) if family in m.pairs else 0
                     confirmed = shared and shared >= LEAST_SHARE * min(len(here), 8)
                     if confirmed and p[i, best[i]] >= SURE:
                         hits[rows[i]].append({"family": family, "line": i - int(at[rows[i]]), "probability": float(p[i, best[i]])})
-                    elif confirmed or shared >= 2:
+                    elif p[i, -1] < m.least_none and np.isin(here, every).sum() >= 2:
                         odd[rows[i]] += 1
             unknown.append(odd)
             found += hits

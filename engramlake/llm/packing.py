@@ -4,7 +4,7 @@
 2. The histogram of piece lengths (at most ``capacity`` numbers) decides the plan on the driver:
    patterns of a few lengths that fill a sequence are enumerated, their repeat counts are fitted to
    the histogram by non-negative least squares and rounded down, and what remains is packed by
-   best fit. If best fit alone needs fewer sequences, its patterns are the plan.
+   best fit. Beside all fuller patterns, those of best fit itself are among the ones that are fitted.
 3. Pieces of one length are numbered across the corpus by counts over hash buckets, and the number
    finds the place in the plan. No group of pieces is ever together in one task.
 
@@ -90,16 +90,17 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_token: int = END_TOKEN
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode = encoder(*paths)
-        done: dict[str, list] = {}
-        ids, out = batch.column("doc_id").to_pylist(), ([], [], [], [], [])
-        for i, t in zip(ids, batch.column("text").to_pylist(), strict=True):
-            t = t or ""
-            if t not in done:
-                a = np.array([*encode(t), end_token], "<u4")
-                done[t] = [(k, s, n, zlib.crc32(a[s : s + n].tobytes())) for k, (s, n) in enumerate(cuts(len(a), capacity))]
-            for p in done[t]:
-                for x, y in zip(out, (i, *p), strict=True):
-                    x.append(y)
+        ids, out = iter(batch.column("doc_id").to_pylist()), ([], [], [], [], [])
+        for texts in T.slices(batch):
+            done: dict[str, list] = {}  # copies beside each other are encoded once
+            for t in texts:
+                i, t = next(ids), t or ""
+                if t not in done:
+                    a = np.array([*encode(t), end_token], "<u4")
+                    done[t] = [(k, s, n, zlib.crc32(a[s : s + n].tobytes())) for k, (s, n) in enumerate(cuts(len(a), capacity))]
+                for p in done[t]:
+                    for x, y in zip(out, (i, *p), strict=True):
+                        x.append(y)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -175,13 +176,17 @@ def enumerate_patterns(hist: np.ndarray, capacity: int, lengths: int = PATTERN_L
     return sorted(found, reverse=True)
 
 
-def fit_repeats(patterns: list[tuple[int, ...]], hist: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Non-negative least squares of pattern counts to the histogram, by scaled gradient steps that stay positive."""
+def fit_repeats(patterns: list[tuple[int, ...]], hist: np.ndarray, seed: dict[tuple[int, ...], int] | None = None, rounds: int = 400) -> np.ndarray:
+    """Non-negative least squares of pattern counts to the histogram, by scaled gradient steps that stay positive.
+
+    ``seed``: counts to begin from; patterns without one begin from a small even share.
+    """
     rows = np.concatenate([np.array(p) for p in patterns])
     cols = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
     h = hist.astype(float)
     size = len(h)
-    x = np.full(len(patterns), h.sum() / len(rows) + 1e-9)
+    even = h.sum() / len(rows)
+    x = np.array([(seed or {}).get(p, 0) + (0.01 if seed else 1.0) * even + 1e-9 for p in patterns])
     target = np.bincount(cols, weights=h[rows], minlength=len(patterns))
     for _ in range(rounds):
         made = np.bincount(rows, weights=x[cols], minlength=size)
@@ -190,21 +195,21 @@ def fit_repeats(patterns: list[tuple[int, ...]], hist: np.ndarray, rounds: int =
 
 
 def plan_patterns(hist: np.ndarray, capacity: int) -> Plan:
-    """Patterns with repeat counts that use up the histogram."""
-    plain = best_fit(hist, capacity)
-    fuller = [p for p in enumerate_patterns(hist, capacity) if sum(p) >= 0.995 * capacity]
-    if not fuller:
-        return plain
+    """Patterns with repeat counts that use up the histogram: those that fill a sequence, and those that a best fit of the whole
+    histogram would make, are fitted together, rounded down, and what is left over is packed by best fit."""
+    seed = dict(best_fit(hist, capacity))
+    patterns = sorted({p for p in enumerate_patterns(hist, capacity) if sum(p) >= 0.995 * capacity} | set(seed), reverse=True)
+    if not patterns:
+        return []
+    repeats = dict(zip(patterns, fit_repeats(patterns, hist, seed), strict=True))
     left, plan = hist.copy(), []
-    for p, x in sorted(zip(fuller, fit_repeats(fuller, hist), strict=True), key=lambda t: (-sum(t[0]), -t[1], t[0])):
+    for p, x in sorted(repeats.items(), key=lambda t: (-sum(t[0]), -t[1], t[0])):
         need = np.bincount(p, minlength=len(left))
         k = min(int(x), *(int(left[n] // need[n]) for n in set(p)))
         if k > 0:
             plan.append((p, k))
             left = left - k * need
-    plan += best_fit(left, capacity)
-    count = lambda q: sum(k for _, k in q)
-    return plan if count(plan) <= count(plain) else plain
+    return plan + best_fit(left, capacity)
 
 
 def slots(plan: Plan) -> list[tuple[int, int, int, int, int]]:

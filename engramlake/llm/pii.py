@@ -344,12 +344,16 @@ def find(docs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        base = [base_spans(t) if _TRIGGER.search(t) else [] for t in texts]
-        some = [i for i, t in enumerate(texts) if _TRIGGER.search(t)]
-        added: list[list[Span]] = [[] for _ in texts]
-        for i, x in zip(some, added_spans([texts[i] for i in some], [base[i] for i in some], sent.value), strict=True):
-            added[i] = x
+        base, added = [], []
+        for texts in T.slices(batch):
+            some = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
+            mine, more = [[] for _ in texts], [[] for _ in texts]
+            for i in some:
+                mine[i] = base_spans(texts[i])
+            for i, x in zip(some, added_spans([texts[i] for i in some], [mine[i] for i in some], sent.value), strict=True):
+                more[i] = x
+            base += mine
+            added += more
         cols = [pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in v], kind) for v in (base, added)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "base", "added"])
 
@@ -381,18 +385,20 @@ def redact(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(at).to_pylist()
-        some = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
-        base = [base_spans(texts[i]) for i in some]
-        for i, b, more in zip(some, base, added_spans([texts[i] for i in some], base, sent.value), strict=True):
-            t, out, done = texts[i], [], 0
-            for kind, lo, hi in in_order(b + more):
-                if lo >= done:
-                    out += [t[done:lo], f"[{kind.upper()}]"]
-                done = max(done, hi)
-            texts[i] = "".join([*out, t[done:]])
+        parts = []
+        for texts in T.slices(batch, at):
+            some = [i for i, t in enumerate(texts) if t and _TRIGGER.search(t)]
+            base = [base_spans(texts[i]) for i in some]
+            for i, b, more in zip(some, base, added_spans([texts[i] for i in some], base, sent.value), strict=True):
+                t, out, done = texts[i], [], 0
+                for kind, lo, hi in in_order(b + more):
+                    if lo >= done:
+                        out += [t[done:lo], f"[{kind.upper()}]"]
+                    done = max(done, hi)
+                texts[i] = "".join([*out, t[done:]])
+            parts.append(pa.array(texts, batch.schema.field(at).type))
         cols = list(batch.columns)
-        cols[at] = pa.array(texts, batch.schema.field(at).type)
+        cols[at] = pa.concat_arrays(parts) if parts else cols[at]
         return pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
     done = T.small_batches(docs).mapInArrow(lambda batches: (run(b) for b in batches), docs.schema)

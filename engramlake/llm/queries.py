@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from engramlake.llm import decontaminate, langid, licenses, neardup, packing, perplexity, pii, quality, toxicity, urlfilter
 from engramlake.llm.text import crc_part
 
@@ -79,6 +78,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository, beside the package
+
     return corpus_pipeline.run(spark, sf_dir)
 
 

@@ -7,9 +7,6 @@ such a run without a Python object for each word.
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -17,9 +14,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engramlake.session import stored  # noqa: F401  the operators take it from here
+
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch of texts, where the session has Spark's default of 10,000.
 BATCH_ROWS = 2000
@@ -156,6 +155,13 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     return small_batches(df).mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: str | int = "text") -> Iterator[list[str | None]]:
+    """The texts of a batch as strings, in runs of a bounded number of bytes."""
+    texts = batch.column(column)
+    for c in chunks(texts):
+        yield texts.slice(c.lo, c.rows).to_pylist()
+
+
 def code_points(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Code points of a chunk, and where each row starts in them."""
     cps = np.frombuffer(c.text().encode("utf-32-le", "replace"), np.uint32)
@@ -163,55 +169,20 @@ def code_points(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return cps, lead[c.offs]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; set here only where it is unset."""
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir()
-    if not at:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="engramlake-")
-        sc.setCheckpointDir(at)
-        at = sc.getCheckpointDir() or at
-    return at
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_remove, spark)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_written: list[str] = []
-
-
-def _remove(spark: SparkSession) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _written:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-
-
 def crc_part(df: DataFrame, column: str, parts: int) -> Column:
     """crc32 of an id as text, modulo ``parts``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
-def bounded(df: DataFrame, most: int, key: str) -> DataFrame:
-    """At most about ``most`` rows, drawn by a hash of ``key``; all rows if there are no more."""
-    n = df.count()
+def bounded(df: DataFrame, most: int, key: str, rows: int | None = None) -> DataFrame:
+    """At most about ``most`` rows, drawn by a hash of ``key``; all rows if there are no more. ``rows``: their number, where it is known.
+
+    The share is a threshold over 63 bits of the hash, so it is as fine as any table is large.
+    """
+    n = df.count() if rows is None else rows
     if n <= most:
         return df
-    share = int(most / n * 1_000_000)
-    return df.filter(F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1_000_000)) < share)
+    return df.filter(F.xxhash64(F.lit(11), F.col(key)).bitwiseAND(F.lit(2**63 - 1)) < F.lit(2**63 * most // n))
 
 
 #: Ids that a broadcast may hold: some 20 MB. More of them are joined by a shuffle.

@@ -1,20 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-The insult lexicon is learned: words and word beginnings that labelled toxic texts use far more than
-others, with their log odds as weights. Small transducers for threats, targets, negation and
-reported speech run beside each other over the words of a clause; their states decide in which way
-an insult counts (plain, aimed at someone, negated, reported, with a threat). A threat with a target
-in reach is a match of its own, with or without an insult. A logistic model over
-these clause sums, fitted on the same labelled rows, makes the score, so the weight of a negated or
-reported insult is learned and not assumed.
-
-Edge cases: null and empty texts have no clause and get the score of a text without a match; null
-labels teach nothing; without positive labels the lexicon is empty and only threats at targets match.
+Five transducers read the words of a clause: insults, threats, targets, negations and reported speech. All but
+the first are small machines as arrays of arcs (``countdown``: how far a word still reaches; ``latch``: whether
+one came before), composed into one machine that reads from the left and one that reads from the right. The
+states of both at a word decide in which way it matches: an insult is plain, aimed at someone, beside a threat,
+negated or reported, and a threat with a target in reach is a match of its own (a menace), with or without an
+insult. Insult words, and word beginnings, are learned from labelled toxic texts, with their log odds as weights
+of the arcs. A logistic model over the clause sums of each way makes the score, so what a negated or reported
+insult weighs is learned and not assumed.
+
+Edge cases: null and empty texts have no clause and get the score of a text without a match; very long texts are
+read whole, in time that is linear in their words; null labels teach nothing; without positive labels the lexicon
+is empty and only threats at targets match; repeated rows get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,6 +40,7 @@ TARGETS = "you your yours he him she her they them their du dich dir dein sie ih
 NEGATIONS = "not no never neither nor without isn't aren't don't nicht kein keine nie ohne ne pas jamais sans no nunca jamás sin"
 REPORTS = "said says say wrote called claimed quoted reported sagte schrieb nannte meinte dit écrit appelé dijo escribió llamó"
 _CLASSES = {1: THREATS, 2: TARGETS, 3: NEGATIONS, 4: REPORTS}
+_SYMBOLS = 5  # any other word, and the four classes
 _REACH = 3  # words that a negation, target or threat reaches
 
 #: A menace is a threat at a target; ``menace_off`` is one that is negated or reported.
@@ -94,48 +98,87 @@ def _class_table() -> tuple[np.ndarray, np.ndarray]:
     return np.array(h, np.uint64)[order], np.array(cls)[order]
 
 
-class Clause:
-    """The transducers side by side: each holds how far it still reaches; an insult is put out in the way
-    that their joint state tells, and a target or threat that follows soon changes the way. A threat and a
-    target in reach of each other, in any order, are put out once for each threat."""
-
-    def __init__(self):
-        self.reported, self.negated, self.target, self.threat = False, 0, 0, 0
-        self.open, self.open_off = 0, False  # a threat that has met no target: its reach, and whether it was negated
-        self.out: list[list] = []  # way, weight, words since
-
-    def step(self, cls: int, weight: float) -> None:
-        if cls == 4:
-            self.reported = True
-        elif cls == 3:
-            self.negated = _REACH + 1
-        elif cls == 2:
-            self.target = _REACH + 1
-            self._upgrade("aimed")
-            if self.open:
-                self._menace(self.open_off)
-        elif cls == 1:
-            self.threat = _REACH + 1
-            self._upgrade("threat")
-            if self.target:
-                self._menace(False)
-            else:
-                self.open, self.open_off = _REACH + 1, self.negated > 0
-        if weight > 0:
-            way = "reported" if self.reported else "negated" if self.negated else "threat" if self.threat else "aimed" if self.target else "plain"
-            self.out.append([way, weight, 0])
-        self.negated, self.target, self.threat, self.open = (max(0, x - 1) for x in (self.negated, self.target, self.threat, self.open))
-        for x in self.out:
-            x[2] += 1
-
-    def _menace(self, off: bool) -> None:
-        self.out.append(["menace_off" if off or self.reported or self.negated else "menace", 1.0, 0])
-        self.open = 0
-
-    def _upgrade(self, way: str) -> None:
-        for x in self.out:
-            if x[0] == "plain" and x[2] <= _REACH:
-                x[0] = way
+# --- the machines --------------------------------------------------------------------------------
+
+
+@dataclass
+class Machine:
+    """Arcs as an array, state x symbol to state; it begins in state 0. ``parts``: the number of states of each machine in it."""
+
+    arcs: np.ndarray
+    parts: tuple[int, ...]
+
+    def of(self, k: int) -> np.ndarray:
+        """The state of part ``k`` in each state."""
+        below = int(np.prod(self.parts[k + 1 :], dtype=np.int64))
+        return np.arange(len(self.arcs)) // below % self.parts[k]
+
+
+def countdown(symbol: int, reach: int = _REACH) -> Machine:
+    """In state k, a word of the class came, and reaches k more words."""
+    arcs = np.repeat(np.maximum(np.arange(reach + 1) - 1, 0)[:, None], _SYMBOLS, 1)
+    arcs[:, symbol] = reach
+    return Machine(arcs, (reach + 1,))
+
+
+def latch(symbol: int) -> Machine:
+    """In state 1, a word of the class came before, in this clause."""
+    arcs = np.repeat(np.arange(2)[:, None], _SYMBOLS, 1)
+    arcs[:, symbol] = 1
+    return Machine(arcs, (2,))
+
+
+def compose(*machines: Machine) -> Machine:
+    """All machines on the same words at once."""
+    out = machines[0]
+    for m in machines[1:]:
+        arcs = out.arcs[:, None, :] * len(m.arcs) + m.arcs[None, :, :]
+        out = Machine(arcs.reshape(-1, _SYMBOLS), (*out.parts, *m.parts))
+    return out
+
+
+THREAT, TARGET, NEGATION, REPORT = countdown(1), countdown(2), countdown(3), latch(4)
+FROM_LEFT, FROM_RIGHT = compose(THREAT, TARGET, NEGATION, REPORT), compose(THREAT, TARGET)
+
+
+@lru_cache(1)
+def grammar() -> tuple[list, list, list, list, list, list]:
+    """As lists, for walking: arcs from the left and from the right, both over runs of up to _REACH + 1 other words, and for
+    each pair of states the way in which an insult, and a threat, matches (-1: not at all)."""
+
+    def runs(m: Machine) -> list:
+        at = [np.arange(len(m.arcs))]
+        for _ in range(_REACH + 1):
+            at.append(m.arcs[at[-1], 0])
+        return [a.tolist() for a in at]
+
+    left, right = FROM_LEFT, FROM_RIGHT
+    both = lambda k: (left.of(k)[:, None] > 0) | (right.of(k)[None, :] > 0)
+    alone = lambda k: np.repeat(left.of(k)[:, None] > 0, len(right.arcs), 1)
+    way = {k: i for i, k in enumerate(WAYS)}
+    insult = np.select([alone(3), alone(2), both(0), both(1)], [way["reported"], way["negated"], way["threat"], way["aimed"]], way["plain"])
+    threat = np.where(both(1), np.where(alone(3) | alone(2), way["menace_off"], way["menace"]), -1)
+    return left.arcs.tolist(), right.arcs.tolist(), runs(left), runs(right), insult.tolist(), threat.tolist()
+
+
+def walk(places: list[int], symbols: list[int], weights: list[float], first: int, last: int) -> list[tuple[int, float]]:
+    """(way, weight) of each match in the clause from word ``first`` to ``last``; only its words with a class or a weight are given."""
+    by_left, by_right, left_runs, right_runs, insult, threat = grammar()
+    states, s, at = [], 0, first
+    for p, a in zip(places, symbols, strict=True):
+        s = left_runs[min(p - at, _REACH + 1)][s]
+        states.append(s)
+        s, at = by_left[s][a], p + 1
+    out, s, at = [], 0, last
+    for i in range(len(places) - 1, -1, -1):
+        s = right_runs[min(at - places[i], _REACH + 1)][s]
+        if weights[i] > 0:
+            w = insult[states[i]][s]
+            out.append((WAYS.index("threat") if symbols[i] == 1 and w == 0 else w, weights[i]))
+        if symbols[i] == 1 and threat[states[i]][s] >= 0:
+            out.append((threat[states[i]][s], 1.0))
+        s, at = by_right[s][symbols[i]], places[i] - 1
+    return out
 
 
 def clause_sums(c: T.Chunk, lexicon: Lexicon) -> np.ndarray:
@@ -152,21 +195,22 @@ def clause_sums(c: T.Chunk, lexicon: Lexicon) -> np.ndarray:
     cls = np.zeros(len(start), np.int64)
     hit, k = _lookup(table, kinds[0][1])
     cls[hit] = classes[k]
-    found = np.flatnonzero((weight > 0) | (cls == 1))
     ends = np.concatenate([[0], np.cumsum(_CLAUSE_ENDS[c.buf])])
     clause = ends[start] + row  # a new row begins a new clause
-    for x in np.unique(clause[found]):
-        lo, hi = np.searchsorted(clause, [x, x + 1])
-        walk = Clause()
-        for a, b in zip(cls[lo:hi].tolist(), weight[lo:hi].tolist(), strict=True):
-            walk.step(a, b)
-        r = row[lo]
-        total = 0.0
-        for way, w, _ in walk.out:
-            out[r, WAYS.index(way)] += w
-            total += w * (not way.startswith("menace"))
+    wanted = np.unique(clause[(weight > 0) | (cls == 1)])
+    told = np.flatnonzero((weight > 0) | (cls > 0))
+    first, last = np.searchsorted(clause, wanted), np.searchsorted(clause, wanted, "right")
+    lo, hi = np.searchsorted(told, first), np.searchsorted(told, last)
+    menaces = {WAYS.index("menace"), WAYS.index("menace_off")}
+    for a, b, x, y in zip(first.tolist(), last.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        at = told[x:y]
+        r, total = row[a], 0.0
+        for way, w in walk(at.tolist(), cls[at].tolist(), weight[at].tolist(), a, b - 1):
+            out[r, way] += w
+            if way not in menaces:
+                total += w
+                out[r, -1] += 1
         out[r, -2] = max(out[r, -2], total)
-        out[r, -1] += sum(not x[0].startswith("menace") for x in walk.out)
     return np.log1p(out)
 
 

@@ -1,8 +1,10 @@
 """URL filter: host and path rules, and gradient-boosted trees on lexical features for the rest.
 
 Hosts, paths and rules are DataFrame expressions. The trees see length, depth, digit share, entropy,
-parameters, host form and statistics of the host's suffix; they are fitted on the driver on a small
-labelled table of URLs that rules write, and sent as flat arrays.
+parameters, host form and statistics of the host's suffix. They are fitted on a labelled table of URLs
+(``fit_table``, of which a bounded sample is read), or, where none is given, on a small one that rules
+write (``fit``), and sent as flat arrays. The written table knows addresses instead of names, stuffed hosts,
+many parameters and deep random paths as spam; on tables without such URLs it blocks next to nothing.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged
 by its features, as is an empty text; rows are judged one by one, so repeated rows get equal results.
@@ -113,10 +115,25 @@ def training_urls() -> list[tuple[str, str, int]]:
     return out
 
 
+#: Bound of the labelled sample that a model is fitted on.
+TRAIN_ROWS = 50_000
+
+
+def fit_table(labelled: DataFrame, max_rows: int = TRAIN_ROWS) -> Model:
+    """A model from ``labelled`` (url, label: 1 for block), of which at most about ``max_rows`` rows are read."""
+    rows = labelled.filter("url is not null and label is not null").select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label"))
+    some = T.bounded(rows, max_rows, "url").withColumn("host", host_of(F.col("url")))
+    return _fit([(r["url"], r["host"], r["label"]) for r in some.orderBy("url").collect()])
+
+
 @lru_cache(1)
 def fit() -> Model:
-    """Suffix statistics (smoothed log odds of block) and trees of the labelled table."""
-    rows = training_urls()
+    """The model of the written table."""
+    return _fit(training_urls())
+
+
+def _fit(rows: list[tuple[str, str, int]]) -> Model:
+    """Suffix statistics (smoothed log odds of block) and trees."""
     seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for _, host, y in rows:
         seen[host.rpartition(".")[2]][y] += 1
