@@ -1,26 +1,29 @@
 """A corpus pipeline: languages, near duplicates, benchmark passages, personal data, packing.
 
-Each stage works on all that the one before it kept and is written as Parquet before the next one
-reads it, so a lost executor costs no more than a part of one stage.
+Each stage works on all that the one before it kept and is written as Parquet in the shared folder before
+the next one reads it, so a lost executor costs no more than a part of one stage. The tables of the stages
+go when the driver ends.
+
+Edge cases: null texts, and texts without a letter, have no language and go with the first stage; rows that
+share a doc_id leave one; very long texts are cut into sequences; empty tables stay empty; all columns
+but ``lang``, ``text`` and ``n_chars`` pass through as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from engramlake.llm import decontaminate, langid, neardup, packing, pii
-from engramlake.llm.text import shared_dir
+from engramlake.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in known languages, of which the largest becomes their ``lang``, however small its share is."""
-    found = langid.with_language(docs, langid.fit(docs))
-    return found.filter(found.lang_pred != langid.UNKNOWN).withColumn("lang", found.lang_pred).select(*docs.columns)
+    return langid.in_known_language(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,18 +54,13 @@ STAGES: list[tuple[str, Stage]] = [
     ("best-fit packing", packed),
 ]
 
-#: SQL has no trained model and no tokenizer; the stages are tested against brute force.
+#: SQL has no trained model and no tokenizer; tests/llm/test_pipeline.py compares the stages with plain re-computations.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
