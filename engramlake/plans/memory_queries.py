@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.functions import claims
-from engramlake.operators import graph, graph_build, ingest, search
+from engramlake.engine import Engine
+from engramlake.functions import answers, claims
+from engramlake.operators import graph, graph_build, ingest, retention, search
 from engramlake.plans.registry import at, query
 from engramlake.session import stored
 
 NOW = "2026-09-26 12:00:00"
+LATER = "2026-09-23 12:00:00"  # after the last message of the diary
 
 _MESSAGES = (
     "My favorite book is Dune.", "Never include peanuts in my meals.", "The meeting has been cancelled.", "I have already submitted my report today.", "Buy groceries today.", "Remind me to take a walk every day.", "My name is Matthew.",
@@ -125,3 +127,72 @@ def graph_paths_golden(spark: SparkSession, d: str) -> DataFrame:
     named = found.select("hop", "edges", F.posexplode("nodes").alias("i", "id")).join(label, "id").groupBy("hop", "edges").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "label"))), lambda x: x["label"]), ">").alias("nodes"))
     steps = named.select("hop", "nodes", F.posexplode("edges").alias("i", "id")).join(edges.select("id", "source_id"), "id")
     return steps.groupBy("hop", "nodes").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "source_id"))), lambda x: x["source_id"].cast("string")), ",").alias("sources"))
+
+
+_DIARY = [
+    (1, "ann", "I live in Chennai.", "2026-09-01 10:00:00"), (2, "ann", "I live in Bengaluru.", "2026-09-10 10:00:00"), (3, "ann", "I reside in Bengaluru.", "2026-09-12 10:00:00"), (4, "ann", "Remind me to water the plants every day at 8 pm", "2026-09-20 09:00:00"),
+    (5, "ann", "I watered nothing", "2026-09-20 10:00:00"), (6, "bob", "My favorite book is Dune.", "2026-09-21 10:00:00"), (7, "bob", "Pay the phone bill", "2026-09-22 10:00:00"), (8, "bob", "I paid the phone bill", "2026-09-23 10:00:00"), (6, "bob", "My favorite book is Dune.", "2026-09-21 10:00:00"),
+    (9, "bob", "  ", "2026-09-21 10:00:00"), (10, "ann", "Thanks!", "2026-09-21 10:00:00"),
+]
+
+
+def _engine(spark: SparkSession) -> Engine:
+    m = spark.createDataFrame(_DIARY, "id bigint, user_id string, content string, at string").withColumns({"session_id": F.lit("s"), "created_at": F.col("at").cast("timestamp_ntz")}).drop("at")
+    e = Engine(spark, scorer=search.overlap_scorer)
+    e.ingest(m, at(LATER))
+    return e
+
+
+@query("""SELECT id::BIGINT AS id, user_id, category, memory_status, into_id::BIGINT AS into_id, task_status FROM (VALUES (1, 'ann', 'semantic', 'superseded', 2, NULL), (2, 'ann', 'semantic', 'active', NULL, NULL), (3, 'ann', 'semantic', 'consolidated', 2, NULL), (4, 'ann', 'task', 'active', NULL, 'active'),
+(5, 'ann', 'episodic', 'active', NULL, NULL), (6, 'bob', 'preference', 'active', NULL, NULL), (7, 'bob', 'task', 'active', NULL, 'completed'), (8, 'bob', 'episodic', 'active', NULL, NULL), (10, 'ann', 'temporary', 'active', NULL, NULL)) t(id, user_id, category, memory_status, into_id, task_status)""")
+def ingest_golden(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of two users through the whole of it: a move, a repeat, a task that is done, one message that comes twice and one that is blank."""
+    done = _engine(spark).log
+    return done.select("id", "user_id", "category", "memory_status", F.coalesce("superseded_by", "consolidated_into").alias("into_id"), "task_status")
+
+
+@query("""SELECT kind, id::BIGINT AS id FROM (VALUES ('list', 2), ('list', 4), ('search', 2), ('answer', 2), ('graph', 2), ('view', 9), ('cleanup', 5), ('cleanup', 10)) t(kind, id)""")
+def engine_golden(spark: SparkSession, d: str) -> DataFrame:
+    """The verbs on that log: what one user's list shows, a search in it, an answer, an edge, a view, and what a cleanup would remove."""
+    e, now = _engine(spark), at(LATER)
+    said, _ = e.ask(spark.createDataFrame([(1, "ann", "Where do I live, in which city?")], "query_id bigint, user_id string, text string"), now)
+    home = e.graph(now, predicate="lives_in").select(F.col("source_id").alias("id"))
+    e.views(now)
+    parts = {
+        "list": e.list(now, user="ann").select("id"), "search": e.search("Bengaluru", now, user="ann").select("id"), "answer": said.orderBy("query_id").filter(F.contains("text", F.lit("Bengaluru"))).select(F.col("source_id").alias("id")), "graph": home,
+        "view": spark.sql("SELECT count(*) AS id FROM revisions"), "cleanup": e.cleanup("ann", now, grace_days=0)["actions"].filter("action = 'remove'").select("id"),
+    }
+    out = None
+    for kind, rows in parts.items():
+        rows = rows.select(F.lit(kind).alias("kind"), F.col("id").cast("bigint").alias("id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_KEPT = [  # id, position, user, category, status, expires, importance, hold, evidence
+    ("a", 1, "u", "temporary", None, "2026-09-01", 0.1, False, []), ("b", 2, "u", "temporary", None, "2026-09-01", 0.1, False, []), ("c", 3, "u", "semantic", None, "2026-09-01", 0.1, False, []), ("d", 4, "u", "temporary", None, "2026-09-01", 0.7, False, []),
+    ("e", 5, "u", "temporary", None, "2026-09-01", 0.1, True, []), ("f", 6, "u", "task", "active", "2026-09-01", 0.1, False, []), ("g", 7, "v", "temporary", None, None, 0.1, False, ["b"]), ("h", 8, "u", "temporary", None, "2026-09-25", 0.1, False, []),
+    ("i", 9, "u", "task", "completed", "2026-09-01", 0.1, False, ["j"]), ("j", 10, "u", "temporary", None, "2026-09-01", 0.1, False, ["i"]), ("h", 11, "u", "temporary", None, "2026-09-25", 0.1, False, []), ("e", 12, "u", "temporary", None, "2026-09-01", 0.1, False, []),
+]
+
+
+@query("""SELECT id, action, n_left::BIGINT AS n_left FROM (VALUES ('a', 'remove', 0), ('b', 'keep', 1), ('c', 'archive', 1), ('d', 'archive', 1), ('e', 'hold', 2), ('f', 'keep', 1), ('h', 'keep', 1), ('i', 'remove', 0), ('j', 'remove', 0)) t(id, action, n_left)""")
+def cleanup_golden(spark: SparkSession, d: str) -> DataFrame:
+    """What goes and what stays: holds of any revision, archives, open tasks, a reference from another user, a cycle that nothing else needs, and repeats."""
+    r = spark.createDataFrame(_KEPT, "id string, position int, user_id string, category string, task_status string, expires string, importance double, legal_hold boolean, evidence_ids array<string>")
+    r = stored(r.withColumn("expires_at", F.col("expires").cast("timestamp_ntz")).drop("expires"))
+    out = retention.cleanup(r, "u", at(NOW), apply=True)
+    left = out["log"].groupBy("id").agg(F.count("*").alias("n"))
+    return out["actions"].join(left, "id", "left").select("id", "action", F.coalesce("n", F.lit(0)).alias("n_left"))
+
+
+_EVIDENCE = [(1, "I pay 900 euros for the flat every month.", 3.0), (2, "The flat has two rooms.", 1.0), (3, "Priya's brother Arjun works as a nurse.", 2.0), (4, "We met in spring.", -3.0), (5, "Biscuit ran for two hours.", 0.5)]
+
+
+@query("""SELECT query_id::BIGINT AS query_id, slot, reason FROM (VALUES (1, 'money', NULL), (2, 'money', 'unfilled_money_slot'), (3, 'occupation', NULL), (4, NULL, NULL), (5, 'duration', NULL), (6, 'frequency', 'unfilled_frequency_slot'), (7, NULL, 'low_reranker_confidence')) t(query_id, slot, reason)""")
+def abstention_golden(spark: SparkSession, d: str) -> DataFrame:
+    asked = [(1, "How much is the rent of my flat, how much do I pay?"), (2, "How much did the car cost?"), (3, "What does Priya's brother do for a living?"), (4, "Is my dog called Biscuit?"), (5, "How long did Biscuit run?"), (6, "How often does Priya swim?"), (7, "Did we meet?")]
+    q = spark.createDataFrame(asked, "query_id bigint, text string")
+    only = {1: (1, 2), 2: (2,), 3: (3,), 4: (5,), 5: (5,), 6: (3, 2), 7: (4,)}
+    s = spark.createDataFrame([(i, k, t, x) for i, ks in only.items() for k, t, x in _EVIDENCE if k in ks], "query_id bigint, source_id bigint, text string, score double")
+    return answers.abstentions(q, s, 0.2)
