@@ -32,3 +32,18 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     states = ingest.newest(ingest.land(ingest.running(_events(spark, d)), "update", _folder(spark)), "user_id", "n")
     return states.select("user_id", "n", "last_event", "last_type", F.round("total", 2).alias("total"))
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last_event, arg_max(event_type, event_id) AS last_type, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def stream_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Every event is sent twice, taken in once and summed up by built-in aggregates."""
+    sent = ingest.once_each(_events(spark, d).union(_events(spark, d)))
+    done = ingest.land(sent, "append", _folder(spark))
+    return ingest.totals(done).select("user_id", "n", "last_event", "last_type", F.round("total", 2).alias("total"))
+
+
+@query("""SELECT event_id, CASE WHEN m.u > e.ts THEN 'unmatched' ELSE 'applied' END AS resolution FROM events e LEFT JOIN (SELECT user_id, min(ts) AS u FROM events WHERE event_type = 'purchase' GROUP BY 1) m USING (user_id)""")
+def stream_late(spark: SparkSession, d: str) -> DataFrame:
+    """Events before their user's first purchase come out as unmatched, and none is lost."""
+    first = table(spark, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("updated_at"))
+    return ingest.land(ingest.with_late(_events(spark, d), first, "user_id", "ts"), "append", _folder(spark)).select("event_id", "resolution")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "n bigint, last_event bigint, last_type string, total double"
-OUT = "user_id bigint, " + STATE
+OUT = "user_id bigint, late bigint, " + STATE
 
 
 def read_events(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
@@ -31,24 +31,87 @@ def windowed_counts(events: DataFrame, width: str, late: str = "1 day") -> DataF
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def sessions(events: DataFrame, gap: str, late: str = "1 day") -> DataFrame:
+    """Runs of a user's events with no gap that long between them."""
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def totals(events: DataFrame) -> DataFrame:
+    """The state of each user over events that come once each: built-in aggregates, combined before the shuffle."""
+    last = F.max_by("event_type", "event_id").alias("last_type")
+    return events.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"), last, F.sum("value").alias("total"))
+
+
 def running(events: DataFrame) -> DataFrame:
-    """The state of each user after each batch: events taken in, the last one by id, and the sum of values.
+    """The state of each user after each batch where order counts: events taken in, the last one by id, the sum of values, and
+    how many events of the batch came late.
 
-    An event with an id not beyond the last one taken in is a repeat or comes late; it changes nothing.
+    An event with an id not beyond the last one taken in is a repeat or comes late; it changes nothing, and is counted in ``late``.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last, kind, total = state.get if state.exists else (0, -1, None, 0.0)
-        rows = pd.concat(list(frames)).sort_values("event_id").drop_duplicates("event_id")
-        rows = rows[rows["event_id"] > last]
-        if len(rows):
-            n, last, kind, total = n + len(rows), int(rows["event_id"].iloc[-1]), rows["event_type"].iloc[-1], total + float(rows["value"].sum())
-        state.update((n, last, kind, total))
-        yield pd.DataFrame([(key[0], n, last, kind, total)], columns=["user_id", "n", "last_event", "last_type", "total"])
+        newest, late = last, 0
+        for f in frames:  # a frame at a time: only sums are held
+            rows = f.drop_duplicates("event_id")
+            fresh = rows[rows["event_id"] > last]
+            late += len(f) - len(fresh)
+            if len(fresh):
+                n, total = n + len(fresh), total + float(fresh["value"].sum())
+                top = fresh.loc[fresh["event_id"].idxmax()]
+                if int(top["event_id"]) > newest:
+                    newest, kind = int(top["event_id"]), top["event_type"]
+        state.update((n, newest, kind, total))
+        yield pd.DataFrame([(key[0], late, n, newest, kind, total)], columns=["user_id", "late", "n", "last_event", "last_type", "total"])
 
     return events.groupBy("user_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def with_late(events: DataFrame, updated: DataFrame, key: str, at: str) -> DataFrame:
+    """``events`` with ``resolution``: unmatched where what they are about was changed after them (``updated``: key, updated_at), else applied.
+
+    Late events go on; none is dropped.
+    """
+    known = updated.select(key, "updated_at")
+    late = F.coalesce(F.col("updated_at") > F.col(at), F.lit(False))
+    return events.join(known, key, "left").withColumn("resolution", F.when(late, "unmatched").otherwise("applied")).drop("updated_at")
+
+
+def expiring(events: DataFrame, hours: int, grace_hours: int = 0) -> DataFrame:
+    """(user_id, last_seen, expired): a user's state goes when the watermark is ``hours`` and the grace beyond their last event; then it is put out once."""
+    span = (hours + grace_hours) * 3_600_000
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], pd.Timestamp(last, unit="us"), True)], columns=["user_id", "last_seen", "expired"])
+            return
+        last = max([state.get[0] if state.exists else 0, *(int(f["ts"].max().value // 1000) for f in frames)])
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + span, state.getCurrentWatermarkMs() + 1))
+
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, last_seen timestamp, expired boolean", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def every(spark: SparkSession, seconds: float, job, checkpoint: str, once: bool = False):
+    """Runs ``job(n)`` at an interval of processing time, by a stream of ticks whose checkpoint knows what has run; ``once`` runs it now and ends."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = ticks.writeStream.foreachBatch(lambda _, n: job(n)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(once=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def refreshed(changes: DataFrame, apply, checkpoint: str):
+    """Keeps an index up with a stream of entries (key, digest): ``apply(batch, n)`` gets the last entry of each key of a batch, to write
+    what differs (``vectors.index_difference``). A batch that changes nothing costs no more than the look."""
+
+    def step(batch: DataFrame, n: int) -> None:
+        if not batch.isEmpty():
+            apply(batch.dropDuplicates(["key", "digest"]), n)
+
+    return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Runs a stream over all that is there now, into a table in memory (for tests and small results)."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
