@@ -36,12 +36,12 @@ TEMPLATES = {
 }
 #: What the classifier learns from: how licences are spoken of, beyond the templates that confirm them.
 NOTICES = {
-    "apache": ["Apache License Version 2.0 January 2004", "Licensed to the Apache Software Foundation under one or more contributor license agreements", "SPDX-License-Identifier: Apache-2.0", "Unless required by applicable law or agreed to in writing software distributed under the License is distributed on an AS IS BASIS", "This project is available under the terms of the Apache 2.0 license", "licensed under the Apache License"],
-    "bsd": ["Redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "SPDX-License-Identifier: BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "Distributed under the 2-clause BSD license", "New BSD License applies to this package", "licensed under the BSD License"],
+    "apache": ["Apache License Version 2.0 January 2004", "Licensed to the Apache Software Foundation under one or more contributor license agreements", "SPDX-License-Identifier: Apache-2.0", "Unless required by applicable law or agreed to in writing software distributed under the License is distributed on an AS IS BASIS", "This project is available under the terms of the Apache 2.0 license", "Use this file only in compliance with the License, of which you may obtain a copy at apache.org", "licensed under the Apache License"],
+    "bsd": ["Redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "SPDX-License-Identifier: BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "Distributed under the 2-clause BSD license", "Redistribution in source or binary form, modified or not, is permitted provided that the following conditions are met", "New BSD License applies to this package", "licensed under the BSD License"],
     "cc": ["Except where otherwise noted content on this site is licensed under a Creative Commons Attribution license", "CC BY 4.0", "You are free to share and adapt this material under the Creative Commons terms", "Attribution-NonCommercial-ShareAlike 4.0 International", "To view a copy of this license visit creativecommons.org", "licensed under the Creative Commons Attribution"],
     "gpl": ["This program is distributed in the hope that it will be useful but without any warranty", "You should have received a copy of the GNU General Public License along with this program", "SPDX-License-Identifier: GPL-3.0-or-later", "GNU Affero General Public License version 3", "This library is free software you can redistribute it under the terms of the GNU Lesser General Public License", "licensed under the GNU General Public License"],
-    "mit": ["The MIT License (MIT)", "to deal in the Software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies", "SPDX-License-Identifier: MIT", "The above copyright notice and this permission notice shall be included in all copies", "MIT licensed, see the file LICENSE", "licensed under the MIT License"],
-    "mpl": ["If a copy of the MPL was not distributed with this file You can obtain one at mozilla.org", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0", "under the terms of the MPL version 2", "licensed under the Mozilla Public License"],
+    "mit": ["The MIT License (MIT)", "to deal in the Software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies", "SPDX-License-Identifier: MIT", "The above copyright notice and this permission notice shall be included in all copies", "MIT licensed, see the file LICENSE", "Permission is granted free of charge to any person who obtains a copy of this software and its documentation", "provided as is, without warranty of any kind, express or implied", "licensed under the MIT License"],
+    "mpl": ["If a copy of the MPL was not distributed with this file You can obtain one at mozilla.org", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0", "under the terms of the MPL version 2", "This source file is subject to the Mozilla Public License v 2.0", "licensed under the Mozilla Public License"],
     "reserved": ["All rights are reserved by the publisher", "Copyright all rights reserved no reproduction without written permission", "This document is confidential and proprietary and may not be copied", "unauthorised use or distribution is prohibited all rights reserved", "(c) the authors. All rights reserved"],
 }
 FAMILIES = (*sorted(TEMPLATES), "none")
