@@ -8,8 +8,9 @@
 2. Documents of equal sets form a class, which one of them stands for from then on.
 3. Each band bucket offers its members one hub, the smallest id; the sketches pick the best hub of
    each member; full sets confirm the link. These links' components become labels.
-4. Only members of one bucket with different labels are then compared with each other: sketches
-   inside the join, full sets after it. Links inside a component change nothing, so none is lost.
+4. Only members of one bucket with different labels and sizes near enough for a link are then
+   compared with each other: sketches inside the join, full sets after it. Links inside a component
+   change nothing, so none is lost.
 
 A pair of similarity 0.8 misses all bands with probability (1 - 0.8^4)^32 < 1e-7. The sketches drop
 a pair only if its equal samples are five standard deviations fewer than a similarity at the
@@ -23,6 +24,7 @@ rows without a doc_id take the component of equal sets, if there is one.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -240,10 +242,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     member = T.stored(buckets.select("key", "band", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("label", "rep").alias("label")))
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
     rest = T.stored(member.join(mixed, "key").join(full.select("rep", "n", "m", *_ODD, "bands"), "rep"))
-    x, y = rest.alias("x"), rest.alias("y")
+    # the larger set of a link is of the smaller one's size class or of the next, so a bucket of many lengths falls into parts
+    size = F.floor(F.log("n") / (math.log(100 / threshold) + 0.01))
+    x = rest.withColumn("size", F.explode(F.array(size, size + 1))).alias("x")
+    y = rest.withColumn("size", size).alias("y")
+    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.label") < F.col("y.label")))
     before = F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("x.band")))
+    same_part = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size"))
     cross = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _may_link("x", "y", threshold) & ~before)
+        x.join(y, same_part & ordered & (F.col("x.label") != F.col("y.label")) & _may_link("x", "y", threshold) & ~before)
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
