@@ -2,11 +2,12 @@
 
 A paragraph is a line with a word, together with lines that go on with it: after a line that no stop ends, a
 line that begins with a small letter. Hashed words and word pairs feed a softmax over licence families and
-``none``, fitted on the driver on a small table that rules write: parts of NOTICES in filler, whose words are
-not those of the templates alone, and other sentences, some of them about licences. A temperature, fitted on
-held-out rows, calibrates the probabilities. A predicted family stands from ``SURE`` on if enough of the
-paragraph's word pairs are in the family's TEMPLATES; a paragraph whose probability of ``none`` lies below a
-bound that all but a share of held-out plain rows keep is ``unknown`` if it shares words with any template.
+``other`` (terms of no family) and ``none``, fitted on the driver on a small table that rules write: parts of
+NOTICES and OTHER in filler, whose words are not those of the templates alone, and plain sentences, some of them
+about licences. A temperature, fitted on wordings that the model had not seen, calibrates the probabilities. A
+predicted family stands from ``SURE`` on if enough of the paragraph's word pairs are in the family's TEMPLATES;
+``unknown`` is a paragraph of ``other`` by the same two tests, or one whose probability of ``none`` lies below a
+bound that all but a share of unseen plain rows keep, if it shares word pairs with any template.
 
 Edge cases: null and empty texts have no paragraph and no licence; very long texts are read whole; ties go to the
 family first by name; rows are judged one by one, so repeated rows get equal results; an empty table gives an empty result.
@@ -44,7 +45,16 @@ NOTICES = {
     "mpl": ["If a copy of the MPL was not distributed with this file You can obtain one at mozilla.org", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0", "under the terms of the MPL version 2", "This source file is subject to the Mozilla Public License v 2.0", "licensed under the Mozilla Public License"],
     "reserved": ["All rights are reserved by the publisher", "Copyright all rights reserved no reproduction without written permission", "This document is confidential and proprietary and may not be copied", "unauthorised use or distribution is prohibited all rights reserved", "(c) the authors. All rights reserved"],
 }
-FAMILIES = (*sorted(TEMPLATES), "none")
+#: Terms of use that belong to no family: what the unknown class learns from.
+OTHER = [
+    "You may use, copy and share this program for any purpose as long as this notice is kept", "The author grants you a personal, non-transferable licence to run the program",
+    "This software may be used for non-commercial purposes only", "Use of this product is subject to the end user licence agreement", "You may not sell, rent or sublicense this software to others",
+    "This code is placed in the public domain and comes with no warranty", "Free to use for education and research under the licence of the university",
+    "The authors are not liable for any damages that arise from the use of this software", "By installing the software you accept the terms of this licence",
+    "A licence to use the data set is granted to members without charge", "Permission to copy, modify and publish the files is given if the authors are named", "The program is provided without any warranty and may be used under the following licence",
+    "This font may be embedded in documents under the licence below", "You are granted the right to install one copy of the program on your own computer", "The files may be used under a custom licence, see the terms of the vendor",
+]
+FAMILIES = (*sorted(TEMPLATES), "other", "none")
 _SLOTS = 1 << 13
 #: Least calibrated probability of a family, least share of a paragraph's word pairs in its templates, and the share of plain
 #: held-out paragraphs that may fall under the bound of ``none``.
@@ -93,42 +103,37 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def training_lines() -> list[tuple[str, int]]:
-    """The small labelled table, written by rules from a fixed seed."""
+def training_lines() -> list[tuple[str, int, int]]:
+    """The small labelled table, written by rules from a fixed seed: text, class, and which of the wordings of its class it has."""
     rng = np.random.default_rng(29)
     parts = ["the", "on", "er", "in", "an", "tion", "de", "la", "ment", "und", "sch", "os", "mi", "ra", "that", "this", "of", "and", "work", "is", "under", "version", "software", "source", "license", "public", "free", "rights", "use"]
     filler = lambda n: ["".join(rng.choice(parts, int(rng.integers(1, 4)))) for _ in range(n)]
     plain = ["This is a work of fiction", "The version of the story is free", "All of the rights of man", "She was granted permission to use the software", "The source of the river is in the north", "A copy of the public record", "Under the bridge is the mill", "He lost his driving license on the public road", "The publisher reserved a table for all", "The license plate of the car was under the snow"]
     out = []
-    for _ in range(60):
+    for _ in range(40):
         for k, family in enumerate(FAMILIES[:-1]):
-            for t in NOTICES[family]:
+            for j, t in enumerate(NOTICES.get(family, OTHER)):
                 words = t.split()
                 cut = int(rng.integers(0, max(1, len(words) // 4)))
                 words = words[cut:] if rng.integers(3) == 0 else words
-                out.append((" ".join([*filler(int(rng.integers(0, 3))), *words, *filler(int(rng.integers(0, 3)))]), k))
-        for _ in range(12):
-            out.append((" ".join(filler(int(rng.integers(2, 60)))), len(FAMILIES) - 1))
-        for t in plain:
-            out.append((" ".join([*filler(int(rng.integers(0, 3))), *t.split(), *filler(int(rng.integers(0, 6)))]), len(FAMILIES) - 1))
+                out.append((" ".join([*filler(int(rng.integers(0, 3))), *words, *filler(int(rng.integers(0, 3)))]), k, j))
+        for j in range(12):
+            out.append((" ".join(filler(int(rng.integers(2, 60)))), len(FAMILIES) - 1, j))
+        for j, t in enumerate(plain):
+            out.append((" ".join([*filler(int(rng.integers(0, 3))), *t.split(), *filler(int(rng.integers(0, 6)))]), len(FAMILIES) - 1, j))
     return out
 
 
-@lru_cache(1)
-def fit(rounds: int = 150, rate: float = 0.5, l2: float = 1e-3) -> Model:
-    """Gradient steps on the table, a temperature on every fifth row, and the templates' word pairs."""
-    lines = training_lines()
-    (c,) = T.chunks(pa.array([x for x, _ in lines], pa.string()), 1 << 60)
-    h, pair, line, _ = _features(c)
-    first = T.per_row(line, len(lines))[:-1]
-    y = np.eye(len(FAMILIES))[[k for _, k in lines]]
-    held = np.arange(len(lines)) % 5 == 0
+def _learn(words: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, used: np.ndarray, rounds: int, rate: float, l2: float) -> Model:
+    """Gradient steps on the used rows, which have one line each."""
+    h, pair, line = words
+    first = T.per_row(line, len(y))[:-1]
     m = Model(np.zeros((_SLOTS, len(FAMILIES))), np.zeros(len(FAMILIES)), 1.0, {})
     slot, pair_slot = (h % np.uint64(_SLOTS)).astype(np.int64), (pair % np.uint64(_SLOTS)).astype(np.int64)
     n = np.sqrt(np.bincount(line))
     square = np.full_like(m.weights, 1e-4)
     for _ in range(rounds):
-        g = (y - _softmax(_scores(m, h, pair, first))) * ~held[:, None]
+        g = (y - _softmax(_scores(m, h, pair, first))) * used[:, None]
         each = (g / n[:, None])[line]
         step = -l2 * m.weights
         for f in range(len(FAMILIES)):
@@ -136,13 +141,25 @@ def fit(rounds: int = 150, rate: float = 0.5, l2: float = 1e-3) -> Model:
         square += step**2
         m.weights += rate * step / np.sqrt(square)
         m.bias += rate * g.mean(0)
-    z = _scores(m, h, pair, first)[held]
+    return m
+
+
+@lru_cache(1)
+def fit(rounds: int = 150, rate: float = 0.5, l2: float = 1e-3) -> Model:
+    """A model of the whole table; its temperature and bound come from one that has not seen every fifth wording."""
+    lines = training_lines()
+    (c,) = T.chunks(pa.array([x for x, _, _ in lines], pa.string()), 1 << 60)
+    words = _features(c)[:3]
+    kind, unseen = np.array([k for _, k, _ in lines]), np.array([j for _, _, j in lines]) % 5 == 4
+    y = np.eye(len(FAMILIES))[kind]
+    part = _learn(words, y, ~unseen, rounds, rate, l2)
+    z = _scores(part, words[0], words[1], T.per_row(words[2], len(lines))[:-1])[unseen]
     temps = np.linspace(0.5, 5, 46)
-    loss = [-(np.log(_softmax(z / t) + 1e-12) * y[held]).sum() for t in temps]
+    loss = [-(np.log(_softmax(z / t) + 1e-12) * y[unseen]).sum() for t in temps]
+    m = _learn(words, y, np.ones(len(lines), bool), rounds, rate, l2)
     m.temperature = float(temps[int(np.argmin(loss))])
-    plain = np.array([k for _, k in lines])[held] == len(FAMILIES) - 1
-    m.least_none = float(np.quantile(_softmax(z / m.temperature)[plain, -1], MISS))
-    for family, texts in TEMPLATES.items():
+    m.least_none = float(np.quantile(_softmax(z / m.temperature)[kind[unseen] == len(FAMILIES) - 1, -1], MISS))
+    for family, texts in (TEMPLATES | {"other": OTHER}).items():
         (t,) = T.chunks(pa.array(texts, pa.string()), 1 << 60)
         p = _features(t)[1]
         m.pairs[family] = np.unique(p[p > 0])
@@ -170,16 +187,16 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 p = _softmax(_scores(m, h, pair, first) / m.temperature)
                 best = p.argmax(1)
                 last = np.append(first[1:], len(h))
-                every = np.unique(np.concatenate(list(m.pairs.values())))
+                every = np.unique(np.concatenate([m.pairs[k] for k in TEMPLATES]))
                 for i in np.flatnonzero((best < len(FAMILIES) - 1) | (p[:, -1] < m.least_none)).tolist():
                     family = FAMILIES[best[i]]
                     here = pair[first[i] : last[i]]
                     here = here[here > 0]
                     shared = int(np.isin(here, m.pairs[family]).sum()) if family in m.pairs else 0
-                    confirmed = shared and shared >= LEAST_SHARE * min(len(here), 8)
-                    if confirmed and p[i, best[i]] >= SURE:
+                    sure = shared and shared >= LEAST_SHARE * min(len(here), 8) and p[i, best[i]] >= SURE
+                    if sure and family != "other":
                         hits[rows[i]].append({"family": family, "line": i - int(at[rows[i]]), "probability": float(p[i, best[i]])})
-                    elif p[i, -1] < m.least_none and np.isin(here, every).sum() >= 2:
+                    elif sure or (p[i, -1] < m.least_none and np.isin(here, every).sum() >= 2):
                         odd[rows[i]] += 1
             unknown.append(odd)
             found += hits
