@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramlake.llm import decontaminate, langid, licenses, neardup, packing, perplexity, pii, quality, toxicity, urlfilter
+from engramlake.llm import audit, decontaminate, langid, licenses, neardup, packing, perplexity, pii, quality, runs, superkmers, toxicity, urlfilter
 from engramlake.llm.text import crc_part
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.remove(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.detect(table(spark, sf_dir, "documents"), planted=True).drop("runs", "n_words", "n_dropped")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository, beside the package
 
@@ -86,10 +98,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_decontamination, op2_near_duplicates, op3_language, op4_toxicity, op5_packing, op6_licenses,
-        op7_quality, op8_personal_data, op9_urls, op10_quality_rules, pipeline,
+        op7_quality, op8_personal_data, op9_urls, op10_quality_rules, op11_filter_audit, op12_substring_dedup, op13_periodic_runs, pipeline,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_filter_audit": audit.SQL, "op12_substring_dedup": superkmers.SQL}

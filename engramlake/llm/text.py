@@ -125,6 +125,17 @@ def spans(buf: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple[np.nda
     return start, end, np.searchsorted(offs, start, "right") - 1
 
 
+def joined(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte ranges one after the other, a space after each, and where each starts in that (with the end of all)."""
+    size = end - start
+    at = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(int(at[-1]), 0x20, np.uint8)
+    shift = np.repeat(start - at[:-1], size)
+    to = np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)
+    out[to] = buf[to + shift]
+    return out, at
+
+
 def per_row(row: np.ndarray, n: int) -> np.ndarray:
     """Where each row's items start, for items in row order; n + 1 numbers."""
     return np.searchsorted(row, np.arange(n + 1))
