@@ -1,9 +1,9 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
 The training words of each run of rows (a shard) become a suffix array: word positions sorted by
-the twelve words that follow, more than a window has. Every window of a benchmark item is the prefix
-of a test suffix; binary searches, four words at a time, find the positions that start with it, and
-each of its words is compared to confirm them. Runs of confirmed windows of one item are its verbatim
+the twelve words that follow, more than the usual window of ten has. Every window of a benchmark item is the prefix
+of a test suffix; binary searches, four words at a time, find the positions that start with it (with its
+first twelve words, if a window is longer), and each of its words is compared to confirm them. Runs of confirmed windows of one item are its verbatim
 matches, so the longest one is as long as the text and the item agree.
 
 Shards live inside tasks, so the documents are read once and never shuffled. The benchmark is sent
@@ -61,7 +61,7 @@ class Windows:
             whole, owner, place = whole[order], owner[order], place[order]
             first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
             rows = rows[order[first]]
-            bounds = [key_range(rows[:, k * _KEY_WORDS : (k + 1) * _KEY_WORDS]) for k in range(-(-n // _KEY_WORDS))]
+            bounds = [key_range(rows[:, k * _KEY_WORDS : (k + 1) * _KEY_WORDS]) for k in range(min(_KEYS, -(-n // _KEY_WORDS)))]
             self.by_length[n] = (rows, np.append(first, len(whole)), owner, place, bounds)
 
 

@@ -86,9 +86,22 @@ class Model:
     allowed: np.ndarray  # scripts x languages
 
 
+def _evenly(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the rows, drawn by a hash of doc_id; languages with few rows lose none, and the others share what is left evenly."""
+    counts = sorted((r["count"], r["lang"]) for r in rows.groupBy("lang").count().collect())  # a row for each language
+    left, share = most, {}
+    for k, (n, lang) in enumerate(counts):
+        share[lang] = min(n, max(1, left // (len(counts) - k)))
+        left -= share[lang]
+    if all(share[lang] == n for n, lang in counts):
+        return rows
+    upto = F.create_map(*[F.lit(x) for n, lang in counts for x in (lang, min(2**63 - 1, 2**63 * share[lang] // n))])
+    return rows.filter(F.xxhash64(F.lit(11), F.col("doc_id")).bitwiseAND(F.lit(2**63 - 1)) <= upto[F.col("lang")])
+
+
 def fit(labelled: DataFrame, max_rows: int = TRAIN_ROWS) -> Model:
-    """A model from ``labelled`` (doc_id, text, lang), of which at most about ``max_rows`` rows are read."""
-    rows = T.bounded(labelled.filter("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang")), max_rows, "doc_id")
+    """A model from ``labelled`` (doc_id, text, lang), of which at most about ``max_rows`` rows are read: rare languages whole, and as many of each other one."""
+    rows = _evenly(labelled.filter("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang")), max_rows)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         totals: dict[str, np.ndarray] = {}
@@ -149,14 +162,15 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
         v[:m] = (v[:m, :, None] + a[b]).max(1)
         v[:m] -= v[:m].max(1, keepdims=True)
     # forward again inside the blocks, now with what comes before; stay[t]: keeps the label
-    v, jump, stay = entry, np.empty((_BLOCK, nb), np.int8), np.empty((_BLOCK, nb, k), bool)
+    number = np.int8 if k <= 127 else np.int32  # what holds a label
+    v, jump, stay = entry, np.empty((_BLOCK, nb), number), np.empty((_BLOCK, nb, k), bool)
     for t in range(_BLOCK):
         jump[t] = v.argmax(1)
         top = v.max(1, keepdims=True) - penalty
         stay[t] = v >= top
         v = w[:, t] + np.maximum(v, top)
-    label = np.repeat(np.arange(k, dtype=np.int8)[None], nb, 0)  # by the label of the block's last word
-    path = np.empty((_BLOCK, nb, k), np.int8)
+    label = np.repeat(np.arange(k, dtype=number)[None], nb, 0)  # by the label of the block's last word
+    path = np.empty((_BLOCK, nb, k), number)
     for t in range(_BLOCK - 1, -1, -1):
         path[t] = label
         label = np.where(np.take_along_axis(stay[t], label.astype(np.int64), 1), label, jump[t][:, None])

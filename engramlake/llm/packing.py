@@ -3,8 +3,8 @@
 1. Each document is tokenized once, in tasks; longer ones are cut. Only lengths go on.
 2. The histogram of piece lengths (at most ``capacity`` numbers) decides the plan on the driver:
    patterns of a few lengths that fill a sequence are enumerated, their repeat counts are fitted to
-   the histogram by non-negative least squares and rounded down, and what remains is packed by
-   best fit. Beside all fuller patterns, those of best fit itself are among the ones that are fitted.
+   the histogram by non-negative least squares, from even counts, and rounded. What that leaves is
+   enumerated and fitted again, until a fifth of the pieces is left; that residual is packed by best fit.
 3. Pieces of one length are numbered across the corpus by counts over hash buckets, and the number
    finds the place in the plan. No group of pieces is ever together in one task.
 
@@ -29,8 +29,9 @@ CAPACITY = 2048
 END_TOKEN = 0
 #: Pieces of about as many rows are numbered together.
 BUCKET_ROWS = 50_000
-#: Most lengths of a pattern that is enumerated before the fit.
-PATTERN_LENGTHS = 3
+#: Lengths of a pattern at most (for long and for short pieces), patterns enumerated for each longest length, how full they are at least,
+#: and the share of pieces that is left to best fit.
+PATTERN_LENGTHS, VARIANTS, LEAST_FILL, RESIDUAL = (6, 64), 16, 0.998, 0.2
 
 
 def tokenizer_path(name: str = "byte_bpe_50k") -> tuple[str, str]:
@@ -149,66 +150,84 @@ def best_fit(hist: np.ndarray, capacity: int) -> Plan:
     return list(full.items())
 
 
-def enumerate_patterns(hist: np.ndarray, capacity: int, lengths: int = PATTERN_LENGTHS) -> list[tuple[int, ...]]:
-    """Patterns of at most ``lengths`` occurring lengths that fill a sequence, or nearly: for each longest
-    length the fullest pair, and with halves of what is left the fullest triple."""
+def enumerate_patterns(hist: np.ndarray, capacity: int, turn: int = 0, least: int = 1, variants: int = VARIANTS, fill: float = LEAST_FILL) -> list[tuple[int, ...]]:
+    """Patterns of a few occurring lengths that fill a sequence, or nearly: some for each longest length from ``least`` on.
+
+    The places after the longest one take lengths at spread places of the histogram, and the last one the longest
+    that still fits. Another ``turn`` gives other patterns.
+    """
     have = np.flatnonzero(hist[: capacity + 1])
     have = have[have > 0]
+    upto = np.concatenate([[0], np.cumsum(hist[have])])
+    mean = (hist[have] * have).sum() / max(1, hist[have].sum())
+    lengths = max(PATTERN_LENGTHS[0], min(PATTERN_LENGTHS[1], int(np.ceil(1.5 * capacity / max(mean, 1)))))
     found: set[tuple[int, ...]] = set()
-
-    def most(room: int) -> int:
-        i = int(np.searchsorted(have, room, "right")) - 1
-        return int(have[i]) if i >= 0 else 0
-
-    for n in have[::-1].tolist():
-        found.add((n,))
-        room, pattern = capacity - n, [n]
-        while len(pattern) < lengths and (x := most(min(room, n))):
-            pattern.append(x)
-            room -= x
-        found.add(tuple(pattern))
-        if lengths > 2:
-            for part in (2, 3, 4):
-                a = most(min(n, (capacity - n) // part))
-                b = most(min(n, capacity - n - a)) if a else 0
-                if a and b:
-                    found.add(tuple(sorted((n, a, b), reverse=True)))
+    for i, n in enumerate(have[have >= least][::-1].tolist()):
+        for v in range(variants):
+            pattern, room = [n], capacity - n
+            while len(pattern) < lengths:
+                k = int(np.searchsorted(have, min(room, n), "right"))
+                if not k:
+                    break
+                most = int(have[k - 1])
+                at = ((v + 1 + turn) * 0.6180339887 + i * 0.7548776662 + len(pattern) * 0.5698402910) % 1.0  # evenly spread over any number of turns
+                some = int(have[int(np.searchsorted(upto, at * upto[k], "right")) - 1])
+                if v == 0 or len(pattern) == lengths - 1 or room - some < have[0]:
+                    some = most
+                pattern.append(some)
+                room -= some
+            if room <= (1 - fill) * capacity:
+                found.add(tuple(sorted(pattern, reverse=True)))
     return sorted(found, reverse=True)
 
 
-def fit_repeats(patterns: list[tuple[int, ...]], hist: np.ndarray, seed: dict[tuple[int, ...], int] | None = None, rounds: int = 400) -> np.ndarray:
-    """Non-negative least squares of pattern counts to the histogram, by scaled gradient steps that stay positive.
-
-    ``seed``: counts to begin from; patterns without one begin from a small even share.
-    """
+def fit_repeats(patterns: list[tuple[int, ...]], hist: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Non-negative least squares of pattern counts to the histogram, from even counts, by scaled gradient steps that stay positive."""
     rows = np.concatenate([np.array(p) for p in patterns])
     cols = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
     h = hist.astype(float)
-    size = len(h)
-    even = h.sum() / len(rows)
-    x = np.array([(seed or {}).get(p, 0) + (0.01 if seed else 1.0) * even + 1e-9 for p in patterns])
+    x = np.full(len(patterns), h.sum() / len(rows))
     target = np.bincount(cols, weights=h[rows], minlength=len(patterns))
     for _ in range(rounds):
-        made = np.bincount(rows, weights=x[cols], minlength=size)
+        made = np.bincount(rows, weights=x[cols], minlength=len(h))
         x *= target / np.maximum(np.bincount(cols, weights=made[rows], minlength=len(patterns)), 1e-12)
     return x
 
 
+def fitted_patterns(hist: np.ndarray, capacity: int) -> tuple[Plan, np.ndarray]:
+    """Patterns with repeat counts, and the histogram of what they leave over.
+
+    Patterns are enumerated, their counts are fitted and rounded down (where that takes too little, rounded, and
+    at last up), as far as pieces last, those of the longest pieces first; then the same for what is left, until
+    that is at most ``RESIDUAL`` of all pieces or no pattern fills a sequence.
+    """
+    left, plan, turn, lengths = hist.copy(), {}, 0, np.arange(len(hist))
+    while left.sum() > RESIDUAL * hist.sum():
+        # pieces of more than half a sequence need one each, so theirs are filled before any without
+        patterns = enumerate_patterns(left, capacity, turn, capacity // 2 + 1) or enumerate_patterns(left, capacity, turn)
+        if not patterns:
+            break
+        turn += VARIANTS
+        fitted, taken = fit_repeats(patterns, left), 0
+        order = np.lexsort((-fitted, [-p[0] for p in patterns]))
+        for more in (0.0, 0.5, 1.0):
+            for j in order:
+                n, need = np.unique(patterns[j], return_counts=True)
+                k = int(min(np.floor(fitted[j] + more), (left[n] // need).min()))
+                if k > 0:
+                    plan[patterns[j]] = plan.get(patterns[j], 0) + k
+                    left[n] -= k * need
+                    taken += k
+            if taken * capacity >= 0.05 * (left * lengths).sum():
+                break
+        if not taken:
+            break
+    return list(plan.items()), left
+
+
 def plan_patterns(hist: np.ndarray, capacity: int) -> Plan:
-    """Patterns with repeat counts that use up the histogram: those that fill a sequence, and those that a best fit of the whole
-    histogram would make, are fitted together, rounded down, and what is left over is packed by best fit."""
-    seed = dict(best_fit(hist, capacity))
-    patterns = sorted({p for p in enumerate_patterns(hist, capacity) if sum(p) >= 0.995 * capacity} | set(seed), reverse=True)
-    if not patterns:
-        return []
-    repeats = dict(zip(patterns, fit_repeats(patterns, hist, seed), strict=True))
-    left, plan = hist.copy(), []
-    for p, x in sorted(repeats.items(), key=lambda t: (-sum(t[0]), -t[1], t[0])):
-        need = np.bincount(p, minlength=len(left))
-        k = min(int(x), *(int(left[n] // need[n]) for n in set(p)))
-        if k > 0:
-            plan.append((p, k))
-            left = left - k * need
+    """Patterns with repeat counts that use up the histogram: fitted ones, and best fit for the residual."""
+    plan, left = fitted_patterns(hist, capacity)
     return plan + best_fit(left, capacity)
 
 

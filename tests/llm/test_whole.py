@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from engramlake.llm import decontaminate, licenses, neardup, packing, perplexity, toxicity, urlfilter
+from engramlake.llm import decontaminate, langid, licenses, neardup, packing, perplexity, toxicity, urlfilter
 from engramlake.llm import text as T
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven grey geese watch from their river bank".split()
@@ -205,3 +205,40 @@ def test_op2_parts_of_buckets_lose_no_link(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 2, 80).collect()}
     assert got == neardup.brute_force([(r.doc_id, r.text) for r in docs.collect()], 2, 80)
     assert neardup.near_duplicates(docs, 2, 100).count() == 93
+
+
+def test_op5_sequences_come_from_fitted_patterns():
+    """Most sequences are of enumerated patterns, which best fit alone does not make, and about as few as it needs."""
+    rng = np.random.default_rng(8)
+    lengths = np.minimum(2048, rng.lognormal(6.4, 0.8, 20_000).astype(int) + 1)
+    hist = np.bincount(lengths, minlength=2049)
+    plan, left = packing.fitted_patterns(hist, 2048)
+    fitted, rest = sum(k for _, k in plan), sum(k for _, k in packing.best_fit(left, 2048))
+    assert fitted >= 4 * rest
+    assert all(0.998 * 2048 <= sum(p) <= 2048 for p, _ in plan)
+    plain = dict(packing.best_fit(hist, 2048))
+    assert sum(k for p, k in plan if p not in plain) >= 0.25 * fitted
+    assert fitted + rest <= 1.01 * lengths.sum() / 2048 + 1
+
+
+def test_op3_knows_200_languages(spark):
+    rng = np.random.default_rng(4)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)] for _ in range(200)]
+    rows = [(200 * j + i, " ".join(rng.choice(words[i], 12)), f"l{i:03d}") for i in range(200) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.label(docs, langid.fit(docs)).collect()
+    want = {i: x for i, _, x in rows}
+    assert sum(r.lang_pred == want[r.doc_id] for r in got) >= 0.98 * len(rows)
+    assert {r.lang_pred for r in got} > {f"l{i:03d}" for i in range(120, 190)}
+    few = langid.fit(spark.createDataFrame([*rows, *[(10_000 + i, "den und der die das", "de") for i in range(3000)]], docs.schema), max_rows=900)
+    assert len(few.langs) == 201  # rare ones are learned, whatever the sample
+
+
+@pytest.mark.parametrize("window", [13, 17, 30])
+def test_op1_windows_of_any_length(spark, window):
+    words = [f"w{i}" for i in range(60)]
+    bench = spark.createDataFrame([("a", " ".join(words))], "item_id string, text string")
+    texts = [" ".join(["x", *words[5 : 5 + window], "y"]), " ".join(["x", *words[5 : 4 + window], "y"]), " ".join([*words[: window - 1], "z", *words[window : window + 5]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (sum(b - a for a, b in zip(r.hit_starts, r.hit_ends, strict=True)), r.longest) for r in decontaminate.find_overlaps(docs, bench, window).collect()}
+    assert got == {0: (window, window), 1: (0, 0), 2: (0, 0)}
