@@ -309,7 +309,7 @@ def ranges(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYT
     """doc_id, copy, first, last (not included): ranges of words whose windows start in a document with a smaller id too."""
     rows = _rows(docs)
     n = docs.count()
-    bits = min(MOST_CELLS, max(12, (n // 8).bit_length()))
+    bits = min(MOST_CELLS, max(12, (n // 64).bit_length()))
     cells = cell_bytes(rows, bits, window)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # several buckets for each task, so that no task is far larger than another
