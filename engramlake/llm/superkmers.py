@@ -1,6 +1,6 @@
 """Removal of word windows that other documents hold too, by super-k-mers in minimiser buckets.
 
-1. Of the word 4-grams of each window of 13 words the one with the least hash is its minimiser.
+1. Of the word 3-grams of each window of 13 words the one with the least hash is its minimiser.
    Consecutive windows of a document with one minimiser are a super-k-mer: they travel as one packed
    string of words, so each word is sent about three times instead of thirteen. Equal windows have equal
    minimisers and so meet in one bucket.
@@ -12,7 +12,7 @@
 4. A cell that holds more than a bucket may (a line or passage in very many documents) is no bucket:
    its windows are counted one by one, by a sum that is made before the shuffle, and a join, whose hot
    keys are dealt to several tasks, brings the least doc_id to the occurrences.
-5. Ranges meet the texts by doc_id and a hash of the text; covered words go.
+5. Ranges meet the texts by doc_id; covered words go. Texts that lose nothing stay where they are.
 
 Windows are judged on the input. The map from cells to buckets and the counts behind it are all that
 the driver holds, at most 2^20 numbers; cells come in finer grain as the table grows to that bound.
@@ -40,14 +40,14 @@ from engramlake.llm import text as T
 
 WINDOW = 13
 #: Words of a minimiser.
-GRAM = 4
+GRAM = 3
 #: Windows of one packed string at most.
 LONGEST = 256
 #: Packed bytes of a bucket, about; of a larger cell the windows are counted one by one.
 BUCKET_BYTES = 8 << 20
 #: Bytes of texts that a task packs together.
-PACK_BYTES = 4 << 20
-PACKS = 4
+PACK_BYTES = 2 << 20
+PACKS = 8
 MOST_CELLS = 20
 _K = np.uint64(0xA24BAED4963EE407)
 
@@ -115,9 +115,11 @@ def _cells(key: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and copy: a hash that tells rows apart that share a doc_id."""
+    """doc_id, text, and copy: 0, or, where rows share a doc_id, a hash that tells them apart."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("copy"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    again = rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    return rows.withColumn("copy", F.lit(0) if again.isEmpty() else F.xxhash64("text").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
 
 
 def cell_bytes(rows: DataFrame, bits: int, window: int) -> np.ndarray:
@@ -147,7 +149,7 @@ def deal(cells: np.ndarray, most: int) -> np.ndarray:
 
 def _pack(doc: np.ndarray, copy: np.ndarray, first: np.ndarray, size: np.ndarray, words: bytes) -> bytes:
     raw = b"".join([np.int64(len(doc)).tobytes(), doc.astype("<i8").tobytes(), copy.astype("<i4").tobytes(), first.astype("<i8").tobytes(), size.astype("<i4").tobytes(), words])
-    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", 3).compress(raw, asbytes=True)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -305,13 +307,12 @@ def hot_windows(rows: DataFrame, hot: np.ndarray, window: int) -> DataFrame:
     return T.small_batches(rows.filter("doc_id is not null")).mapInArrow(run, "words string, doc_id bigint, copy int, first bigint")
 
 
-def ranges(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, copy, first, last (not included): ranges of words whose windows start in a document with a smaller id too."""
-    rows = _rows(docs)
-    n = docs.count()
+def ranges(rows: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, copy, first, last (not included): ranges of words whose windows start in a document with a smaller id too. ``rows``: doc_id, text, copy."""
+    n = rows.count()
     bits = min(MOST_CELLS, max(12, (n // 64).bit_length()))
     cells = cell_bytes(rows, bits, window)
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # several buckets for each task, so that no task is far larger than another
     buckets = deal(cells, int(max(1 << 14, min(bucket_bytes, cells.sum() // (4 * tasks)))))
     found = packed(rows, buckets, window).groupBy("bucket").applyInArrow(lambda t: _count(window, t), _RANGES)
@@ -341,8 +342,18 @@ def _kept(c: T.Chunk, taken: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def remove(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_text (the words that stay, one space between), kept_sha256."""
-    taken = ranges(docs, window, bucket_bytes).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias("taken"))
-    with_ranges = _rows(docs).join(taken, ["doc_id", "copy"], "left").select("doc_id", "text", F.coalesce("taken", F.expr("cast(array() as array<struct<first: bigint, last: bigint>>)")).alias("taken"))
+    rows = _rows(docs)
+    taken = T.stored(ranges(rows, window, bucket_bytes).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias("taken")))
+    none = F.expr("cast(array() as array<struct<first: bigint, last: bigint>>)")
+    # texts that lose nothing are not shuffled, as long as the ids of the others are few enough to be sent to all tasks
+    touched = taken.select("doc_id").distinct()
+    if touched.count() <= T.BROADCAST_IDS:
+        some = rows.join(F.broadcast(touched), "doc_id", "left_semi").join(taken, ["doc_id", "copy"], "left")
+        rest = rows.join(F.broadcast(touched), "doc_id", "left_anti").withColumn("taken", none)
+        with_ranges = some.select("doc_id", "text", "taken").unionByName(rest.select("doc_id", "text", "taken"))
+    else:
+        with_ranges = rows.join(taken, ["doc_id", "copy"], "left")
+    with_ranges = with_ranges.select("doc_id", "text", F.coalesce("taken", none).alias("taken"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, removed, texts, digests = [], [], [], []
