@@ -74,8 +74,8 @@ def classification(cases: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]
 
 
 def summary_lines(rows: DataFrame, columns: list[str]) -> list[str]:
-    """A report's table as lines of text; for reports, which are short."""
-    found = [[str(r[c]) for c in columns] for r in rows.select(*columns).limit(1000).collect()]
+    """A report's table as lines of text, all of its rows; they come to the driver a partition at a time."""
+    found = ([str(r[c]) for c in columns] for r in rows.select(*columns).toLocalIterator())
     return ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(r) + " |" for r in found)]
 
 

@@ -83,7 +83,7 @@ def cued(query: Column) -> Column:
 def paths(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "outgoing", most: int | None = None) -> DataFrame:
     """All paths without a repeated node from each seed (node) over positive edges, or the first ``most`` of each seed.
 
-    One join for each hop, 1 to 4 of them; a path is (seed, node, hop, nodes, edges). ``direction``: outgoing,
+    Where seeds have a ``group`` (a query, say), paths carry it, and ``most`` cuts all paths of a group together. One join for each hop, 1 to 4 of them; a path is (seed, node, hop, nodes, edges). ``direction``: outgoing,
     incoming or both. Fewer hops come first, then edges by id, so ``most`` cuts each hop before the next one joins.
     """
     if not 1 <= hops <= 4 or direction not in ("outgoing", "incoming", "both") or not (most is None or 1 <= most <= 1000):
@@ -91,23 +91,24 @@ def paths(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "outgo
     out = edges.filter("positive").select("subject", "object", F.col("id").alias("edge"))
     back = out.select(F.col("object").alias("subject"), F.col("subject").alias("object"), "edge")
     step = {"outgoing": out, "incoming": back, "both": out.unionByName(back)}[direction]
-    at = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hop"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edges"))
+    of = ["group"] if "group" in seeds.columns else []
+    at = seeds.select(*of, F.col("node").alias("seed"), "node", F.lit(0).alias("hop"), F.array("node").alias("nodes"), F.array().cast("array<string>").alias("edges"))
     found = None
     for hop in range(1, hops + 1):
         at = (
             at.join(step, at.node == step.subject)
             .filter(~F.array_contains("nodes", F.col("object")))
-            .select("seed", F.col("object").alias("node"), F.lit(hop).alias("hop"), F.array_append("nodes", F.col("object")).alias("nodes"), F.array_append("edges", F.col("edge").cast("string")).alias("edges"))
+            .select(*of, "seed", F.col("object").alias("node"), F.lit(hop).alias("hop"), F.array_append("nodes", F.col("object")).alias("nodes"), F.array_append("edges", F.col("edge").cast("string")).alias("edges"))
         )
         if most is not None:  # a path beyond the first ones of its hop is beyond them at the end, too
-            at = first_paths(at, most)
+            at = first_paths(at, most, *of)
         found = at if found is None else found.unionByName(at)
-    return found if most is None else first_paths(found, most)
+    return found if most is None else first_paths(found, most, *of)
 
 
-def first_paths(found: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` paths of each seed: fewest hops, then edges in order."""
-    w = Window.partitionBy("seed").orderBy("hop", "edges")
+def first_paths(found: DataFrame, most: int, of: str = "seed") -> DataFrame:
+    """The first ``most`` paths of each seed, or of each ``of``: fewest hops, then edges in order."""
+    w = Window.partitionBy(of).orderBy("hop", "edges", "seed")
     return found.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).drop("n")
 
 

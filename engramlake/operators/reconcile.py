@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engramlake.functions import claims, rules
+from engramlake.operators import ids
 from engramlake.operators.folds import Step, fold
 from engramlake.session import stored
 
@@ -34,10 +35,41 @@ def contradictions(rows: DataFrame) -> DataFrame:
     return a.join(b, same).filter((F.col("left_id") < F.col("right_id")) & (opposite | rival)).select(*same, "left_id", "right_id")
 
 
+def contradiction_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, members, links): what contradicts what, without a row for each pair.
+
+    Statements of one key (user, subject, predicate) with equal value, polarity and exclusiveness are a class, which
+    the smallest of their ids names; classes: the key, class_id, value, positive, exclusive, n. Members: class_id,
+    id. Links: the key, left_class, right_class and n_pairs, how many pairs of statements that link stands for. Copies
+    are counted before the shuffle, so a key with very many statements of few values costs no more than its classes.
+    """
+    same, what = ["user_id", "subject", "predicate"], ["value", "positive", "exclusive"]
+    classes = stored(rows.groupBy(*same, *what).agg(F.min("id").alias("class_id"), F.count("*").alias("n")))
+    a, b = classes.alias("a"), classes.alias("b")
+    met = F.col("a.class_id") < F.col("b.class_id")
+    for c in same:
+        met = met & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    opposite = (F.col("a.value") == F.col("b.value")) & (F.col("a.positive") != F.col("b.positive"))
+    rival = F.col("a.exclusive") & F.col("b.exclusive") & F.col("a.positive") & F.col("b.positive") & (F.col("a.value") != F.col("b.value"))
+    links = a.join(b, met & (opposite | rival)).select(*[F.col(f"a.{c}").alias(c) for c in same], F.col("a.class_id").alias("left_class"), F.col("b.class_id").alias("right_class"), (F.col("a.n") * F.col("b.n")).alias("n_pairs"))
+    # null-safe, since a class may have a null value
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*same, *what)]
+    members = rows.alias("r").join(classes.alias("c"), on).select("c.class_id", F.col("r.id").alias("id"))
+    return classes, members, links
+
+
+def expanded(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(left_id, right_id): the pairs that some links of classes stand for; for a part of them, on demand."""
+    left = links.select("left_class", "right_class").join(members.select(F.col("class_id").alias("left_class"), F.col("id").alias("a")), "left_class")
+    both = left.join(members.select(F.col("class_id").alias("right_class"), F.col("id").alias("b")), "right_class")
+    return both.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"))
+
+
 def support(rows: DataFrame, key: list[str]) -> DataFrame:
     """The best supported row of each key: priority, then confidence, time and importance; the smaller id wins a tie."""
-    rank = F.struct("source_priority", "confidence", "observed_at", "importance", (-F.col("id")).alias("tie"))
-    return rows.groupBy(*key).agg(F.max_by("id", rank).alias("winner"), F.count("*").alias("n"))
+    rank = ["source_priority", "confidence", "observed_at", "importance"]
+    equal = rows.groupBy(*key, *rank).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    return equal.groupBy(*key).agg(F.max_by("id", F.struct(*rank)).alias("winner"), F.sum("n").alias("n"))
 
 
 def deciding(a: str, b: str) -> Column:
@@ -110,7 +142,8 @@ def roots_of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return decided
 
 
-RECONCILED = "user_id string, id bigint, status string, superseded_by bigint, consolidated_into bigint, reason string, decision string, conflict_ids array<bigint>"
+#: What ``reconciled`` gives, by the type of ids.
+RECONCILED = "user_id string, id {0}, status string, superseded_by {0}, consolidated_into {0}, reason string, decision string, conflict_ids array<{0}>"
 
 
 class _Statements(Step):
@@ -175,18 +208,19 @@ def reconciled(records: DataFrame, position: str = "created_at") -> DataFrame:
     statements only. A statement without a claim joins the earliest kept one of its user and category whose
     words are nearly the same. All others stay active.
     """
-    base = records.select("user_id", F.col("id").cast("long").alias("id"), "created_at", F.col(position).alias("position"), "content", "category", "reconcilable", "claim", *[F.col(c).cast("double").alias(c) for c in ("source_priority", "confidence", "importance")])
+    of = ids.kind(records)
+    base = records.select("user_id", F.col("id").cast(of).alias("id"), "created_at", F.col(position).alias("position"), "content", "category", "reconcilable", "claim", *[F.col(c).cast("double").alias(c) for c in ("source_priority", "confidence", "importance")])
     base = stored(base)
     stated = base.filter("reconcilable and claim is not null").withColumns({"subject": F.col("claim.subject"), "predicate": F.col("claim.predicate")})
-    with_claims = fold(stated, ["user_id", "subject", "predicate"], ["position", "id"], _Statements, RECONCILED)
+    with_claims = fold(stated, ["user_id", "subject", "predicate"], ["position", "id"], _Statements, RECONCILED.format(of))
     plain = base.filter("reconcilable and claim is null")
     alike = plain.select("user_id", "category", "id", "position", terms(F.col("content")).alias("t"), claims.value_of(F.col("content")).alias("v"))
     joined = _consolidated(alike)
-    rest = base.filter("not reconcilable or reconcilable is null").select("user_id", "id", F.lit(None).cast("bigint").alias("root"))
+    rest = base.filter("not reconcilable or reconcilable is null").select("user_id", "id", F.lit(None).cast(of).alias("root"))
     kept = joined.select("user_id", "id", "root").unionByName(rest)
     into = F.when(F.col("root") != F.col("id"), F.col("root"))
-    none = F.lit(None).cast("bigint")
-    texts = kept.select("user_id", "id", F.when(into.isNotNull(), "consolidated").otherwise("active").alias("status"), none.alias("superseded_by"), into.alias("consolidated_into"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("decision"), F.array().cast("array<bigint>").alias("conflict_ids"))
+    none = F.lit(None).cast(of)
+    texts = kept.select("user_id", "id", F.when(into.isNotNull(), "consolidated").otherwise("active").alias("status"), none.alias("superseded_by"), into.alias("consolidated_into"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("decision"), F.array().cast(f"array<{of}>").alias("conflict_ids"))
     return with_claims.unionByName(texts)
 
 
@@ -210,7 +244,7 @@ def evidence(records: DataFrame, states: DataFrame) -> DataFrame:
 
     ``records``: id, session_id, created_at, content, claim; ``states``: of ``reconciled``. Evidence is in order of time.
     """
-    r = records.select(F.col("id").cast("long").alias("id"), "session_id", "created_at", "content", "claim")
+    r = records.select(F.col("id").cast(ids.kind(records)).alias("id"), "session_id", "created_at", "content", "claim")
     of = states.select("user_id", "id", F.coalesce("consolidated_into", "id").alias("root")).join(r, "id")
     each = of.groupBy("user_id", F.col("root").alias("root")).agg(
         F.array_sort(F.collect_set(F.struct("created_at", "id"))).alias("e"), F.array_sort(F.collect_set("session_id")).alias("evidence_session_ids"),

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramlake.functions import rules
+from engramlake.operators import ids
 from engramlake.session import stored
 
 FUSION = {"keyword": 0.3, "semantic": 0.5, "graph": 0.2}
@@ -32,8 +33,8 @@ _WORD = re.compile(r"\w+")
 class _Asked:
     """A block of queries, by word: which of them hold it."""
 
-    def __init__(self, rows: list[tuple[int, list[str], str | None]]):
-        self.ids = np.array([q for q, _, _ in rows], np.int64)
+    def __init__(self, rows: list[tuple[int | str, list[str], str | None]], of: str):
+        self.ids = ids.array([q for q, _, _ in rows], of)
         self.sizes = np.array([len(t) for _, t, _ in rows], np.int64)
         self.owners = pa.array(sorted({o for _, _, o in rows if o is not None}), pa.string())
         self.owner = pc.index_in(pa.array([o for _, _, o in rows], pa.string()), self.owners).fill_null(-1).to_numpy()
@@ -60,9 +61,9 @@ class _Asked:
         return cell % len(self.ids), cell // len(self.ids), shared
 
 
-def _best(q: np.ndarray, ids: np.ndarray, shared: np.ndarray, score: np.ndarray, made: np.ndarray, k: int) -> np.ndarray:
+def _best(q: np.ndarray, of: np.ndarray, shared: np.ndarray, score: np.ndarray, made: np.ndarray, k: int) -> np.ndarray:
     """Places of the k rows of each query with the best score; the newer row, then the smaller id wins a tie."""
-    order = np.lexsort((ids, -made, -score, q))
+    order = np.lexsort((of, -made, -score, q))
     first = np.flatnonzero(np.concatenate([[True], np.diff(q[order]) != 0])) if len(q) else np.zeros(0, np.int64)
     return order[np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k]
 
@@ -84,27 +85,27 @@ def keyword_ranked(queries: DataFrame, texts: DataFrame, k: int, weight: float,
     """
     both = "owner" in queries.columns and "owner" in texts.columns
     owner = (F.col("owner").cast("string") if both else F.lit("")).alias("owner")
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), rules.tokens(F.col("text")).alias("t"), owner).filter("size(t) > 0")
+    q_kind, kind = ids.kind(queries, "query_id"), ids.kind(texts)
+    asked = queries.select(F.col("query_id").cast(q_kind).alias("query_id"), rules.tokens(F.col("text")).alias("t"), owner).filter("size(t) > 0")
     blocks = max(1, -(-asked.count() // block))
     if blocks > 1:
         asked = stored(asked)
-    held = texts.select(F.col("id").cast("long").alias("id"), rules.tokens(F.col("text")).alias("t"), F.col("rest").cast("double").alias("rest"), F.col("made").cast("long").alias("made"), owner)
-    kinds = (np.int64, np.int64, np.int64, np.float64, np.int64)
+    held = texts.select(F.col("id").cast(kind).alias("id"), rules.tokens(F.col("text")).alias("t"), F.col("rest").cast("double").alias("rest"), F.col("made").cast("long").alias("made"), owner)
     parts = []
     for i in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()  # about ``block`` queries
-        sent = texts.sparkSession.sparkContext.broadcast(_Asked([tuple(r) for r in rows]))
+        sent = texts.sparkSession.sparkContext.broadcast(_Asked([tuple(r) for r in rows], q_kind))
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             of = sent.value
-            best = [np.zeros(0, t) for t in kinds]
+            best = [np.zeros(0, np.int64), ids.empty(kind), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
             for b in batches:
                 if not len(of.ids) or not b.num_rows:
                     continue
                 q, row, shared = of.pairs(b.column("t").fill_null([]), b.column("owner"))
                 column = lambda c, b=b, row=row: b.column(c).to_numpy(zero_copy_only=False)[row]
                 score = weight * (shared / of.sizes[q]) + column("rest")
-                new = (q, column("id"), shared, score, column("made"))
+                new = (q, ids.array(b.column("id"), kind)[row], shared, score, column("made"))
                 full = np.bincount(best[0], minlength=len(of.ids)) >= k
                 least = np.full(len(of.ids), np.inf)  # what a query's last place holds, once all are taken
                 np.minimum.at(least, best[0], best[3])
@@ -112,10 +113,10 @@ def keyword_ranked(queries: DataFrame, texts: DataFrame, k: int, weight: float,
                 best = [np.concatenate([a, x[keep]]) for a, x in zip(best, new, strict=True)]
                 chosen = _best(*best, k)
                 best = [a[chosen] for a in best]
-            cols = [of.ids[best[0]] if len(best[0]) else best[0], *best[1:]]
+            cols = [of.ids[best[0]] if len(best[0]) else ids.empty(q_kind), *best[1:]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "id", "shared", "score", "made"])
 
-        parts.append(held.mapInArrow(run, "query_id bigint, id bigint, shared bigint, score double, made bigint"))
+        parts.append(held.mapInArrow(run, f"query_id {q_kind}, id {kind}, shared bigint, score double, made bigint"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("made").desc(), "id")
     ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "id", "shared", "score", "rank")
@@ -168,7 +169,8 @@ def chunks(texts: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
             rows = [(i, f"{i}:{a}", a, b, t[a:b]) for i, t in zip(f["id"], f["text"], strict=True) if t for a, b in chunk_bounds(t, size, overlap)]
             yield pd.DataFrame(rows, columns=["id", "chunk_id", "start", "end", "text"])
 
-    return texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "id bigint, chunk_id string, start int, end int, text string")
+    kind = ids.kind(texts)
+    return texts.select(F.col("id").cast(kind).alias("id"), F.col("text").cast("string").alias("text")).mapInPandas(run, f"id {kind}, chunk_id string, start int, end int, text string")
 
 
 def contexts(hits: DataFrame, budget: int) -> DataFrame:
@@ -193,7 +195,7 @@ def contexts(hits: DataFrame, budget: int) -> DataFrame:
             out.append((f["query_id"].iloc[0], best[0], len(out) + 1, used))
         return pd.DataFrame(out, columns=["query_id", "id", "place", "used"])
 
-    return hits.groupBy("query_id").applyInPandas(choose, "query_id bigint, id bigint, place int, used int")
+    return hits.groupBy("query_id").applyInPandas(choose, f"query_id {ids.kind(hits, 'query_id')}, id {ids.kind(hits)}, place int, used int")
 
 
 def words_of(text: str) -> frozenset[str]:

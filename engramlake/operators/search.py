@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import rules, scoring
 from engramlake.operators import graph as G
-from engramlake.operators import retrieval, vectors
+from engramlake.operators import ids, retrieval, vectors
 from engramlake.session import stored
 
 #: A reranker: the score of a text for a question, from both as columns.
@@ -93,8 +93,8 @@ def graph_channel(queries: DataFrame, records: DataFrame, graph: tuple[DataFrame
     me = G.called(own, of_user, "query_id", "_u", known)
     seeds = named.unionByName(me).select("query_id", "node_id").distinct().join(nodes.select(F.col("id").alias("node_id"), "user_id"), "node_id").join(q.select("query_id", "user_id", "cues"), ["query_id", "user_id"])
     seeds = stored(seeds.select("query_id", F.col("node_id").alias("node"), "cues").distinct())
-    walked = G.paths(held, seeds.select("node").distinct(), hops, "both", most)
-    mine = seeds.join(walked.withColumnRenamed("node", "to"), F.col("node") == F.col("seed")).select("query_id", "cues", "hop", "edges")
+    walked = G.paths(held, seeds.select(F.col("query_id").alias("group"), "node"), hops, "both", most)  # the first ones of each query, over all its seeds
+    mine = q.select("query_id", "cues").join(walked.select(F.col("group").alias("query_id"), "hop", "edges"), "query_id")
     cued = stored(G.by_cues(mine.distinct(), held, F.col("cues")).select("query_id", "edges", "sources", "place"))
     against = held.filter("not positive").select(F.col("source_id").cast("string").alias("source"), "subject", "object", "predicate")
     no = seeds.join(against, (F.col("node") == F.col("subject")) | (F.col("node") == F.col("object")))
@@ -103,7 +103,7 @@ def graph_channel(queries: DataFrame, records: DataFrame, graph: tuple[DataFrame
     each = no.unionByName(yes).groupBy("query_id", "source").agg(F.min(F.struct("place", "i")).alias("at"))
     w = Window.partitionBy("query_id").orderBy("at", "source")
     ranked = each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= pool)
-    return ranked.select("query_id", F.col("source").cast("long").alias("id"), "rank"), cued
+    return ranked.select("query_id", F.col("source").cast(ids.kind(records)).alias("id"), "rank"), cued
 
 
 def validity(edges: DataFrame, now: Column) -> DataFrame:
@@ -115,8 +115,8 @@ def validity(edges: DataFrame, now: Column) -> DataFrame:
     ended = F.coalesce(F.col("valid_to") <= now, F.lit(False))
     each = held.groupBy("user_id", "source_id").agg(F.bool_and(ended).alias("stale"), F.bool_or((F.col("valid_from") <= now) & ~ended).alias("current"), F.collect_set("predicate").alias("predicates"))
     after = G.successors(held, now).join(held.select(F.col("id").alias("stale_id"), "source_id"), "stale_id").join(held.select(F.col("id").alias("next_id"), F.col("source_id").alias("next")), "next_id")
-    after = after.groupBy("source_id").agg(F.array_sort(F.collect_set(F.col("next").cast("long"))).alias("successors"))
-    return each.join(after, "source_id", "left").withColumn("successors", F.coalesce("successors", F.array().cast("array<bigint>")))
+    after = after.groupBy("source_id").agg(F.array_sort(F.collect_set(F.col("next"))).alias("successors"))
+    return each.join(after, "source_id", "left").withColumn("successors", F.coalesce("successors", F.array().cast(after.schema["successors"].dataType)))
 
 
 def candidate_texts(pool: DataFrame, queries: DataFrame, chunks: DataFrame, dense: DataFrame | None = None) -> DataFrame:
@@ -168,7 +168,7 @@ class _Order:
             if i in self.relevant:
                 for s in self.row[i].successors:
                     if s in self.key:
-                        self.before(int(s), i, "supersedes")
+                        self.before(s, i, "supersedes")
 
     def by_version(self, newest: bool, about: set[str]) -> None:
         members = [i for i in self.f["id"] if i in self.relevant][:VERSION_MEMBERS]
@@ -220,7 +220,8 @@ def structured_order(candidates: DataFrame, steps: tuple[str, ...] = STEPS) -> D
     ``candidates``: query_id, id, reranker, fusion, partners (sources of its cued paths, shortest first), asked_stale,
     successors, current, speaker, created_at, topics, and of the query intent, present and about (its topics).
     """
-    return candidates.groupBy("query_id").applyInPandas(lambda f: pd.DataFrame(_Order(f, steps).result(), columns=["query_id", "id", "rank", "notes"]), "query_id bigint, id bigint, rank int, notes array<string>")
+    schema = f"query_id {ids.kind(candidates, 'query_id')}, id {ids.kind(candidates)}, rank int, notes array<string>"
+    return candidates.groupBy("query_id").applyInPandas(lambda f: pd.DataFrame(_Order(f, steps).result(), columns=["query_id", "id", "rank", "notes"]), schema)
 
 
 def hybrid(
@@ -235,10 +236,11 @@ def hybrid(
     """
     if not 0 <= limit <= 100:
         raise ValueError("a limit from 0 to 100")
+    kind = ids.kind(records)
     size = scoring.pool_size(limit, scorer is not None, pool)
     q = queries.filter(F.coalesce(F.trim("text"), F.lit("")) != "").withColumns({"cues": G.cued(F.col("text")), "intent": rules.time_intent(F.col("text"), year)})
     if chunks is None:
-        texts = records.select(F.col("id").cast("long").alias("id"), document_text(records).alias("text"))
+        texts = records.select(F.col("id").cast(kind).alias("id"), document_text(records).alias("text"))
         chunks = retrieval.chunks(texts).join(records.select("id", "user_id"), "id")
     channel = lambda name, df: df.select("query_id", F.lit(name).alias("channel"), "id", "rank")
     dense = stored(semantic_channel(q, chunks, size)) if "vector" in queries.columns and "vector" in chunks.columns else None
@@ -260,7 +262,7 @@ def hybrid(
     everything = fused
     state = None
     if graph is not None:
-        state = stored(validity(graph[2], now).select("user_id", F.col("source_id").cast("long").alias("id"), "stale", "current", "predicates", "successors"))
+        state = stored(validity(graph[2], now).select("user_id", F.col("source_id").cast(kind).alias("id"), "stale", "current", "predicates", F.col("successors").cast(f"array<{kind}>").alias("successors")))
         asked = fused.join(q.select("query_id", "user_id", "cues", "intent"), "query_id").join(state, ["user_id", "id"])
         more = asked.filter(F.lit(present) & (F.col("intent") != "history") & F.col("stale") & F.arrays_overlap("predicates", "cues")).select("query_id", "user_id", F.explode("successors").alias("id"))
         more = more.distinct().join(records.select("id", "user_id"), ["id", "user_id"], "left_semi").join(fused.select("query_id", "id"), ["query_id", "id"], "left_anti")
@@ -269,12 +271,12 @@ def hybrid(
     pool_rows = everything.join(scored, ["query_id", "id"]).join(q.select("query_id", "user_id", "cues", "intent", topics(F.col("text")).alias("about")), "query_id")
     about = records.select("id", "created_at", (F.col("speaker") if "speaker" in records.columns else F.lit(None).cast("string")).alias("speaker"), topics(F.col("content")).alias("topics"))
     pool_rows = pool_rows.join(about, "id")
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast(f"array<{kind}>")
     if state is not None:
         pool_rows = pool_rows.join(state, ["user_id", "id"], "left")
         pool_rows = pool_rows.withColumn("asked_stale", F.coalesce(F.col("stale") & F.arrays_overlap("predicates", "cues"), F.lit(False)))
-        of = cued.select("query_id", F.explode("sources").alias("id"), "sources", F.size("edges").alias("n"), "place").groupBy("query_id", F.col("id").cast("long").alias("id"))
-        partners = of.agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "place", "sources"))), lambda x: x["sources"]))).cast("array<bigint>").alias("partners"))
+        of = cued.select("query_id", F.explode("sources").alias("id"), "sources", F.size("edges").alias("n"), "place").groupBy("query_id", F.col("id").cast(kind).alias("id"))
+        partners = of.agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "place", "sources"))), lambda x: x["sources"]))).cast(f"array<{kind}>").alias("partners"))
         pool_rows = pool_rows.join(partners, ["query_id", "id"], "left")
     else:
         pool_rows = pool_rows.withColumns({"asked_stale": F.lit(False), "current": F.lit(False), "successors": none, "partners": none})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import rules, schedule
 from engramlake.functions import tasks as T
+from engramlake.operators import ids
 from engramlake.operators.folds import Step, fold
 
 
@@ -38,8 +39,9 @@ def matched(events: DataFrame, tasks: DataFrame) -> DataFrame:
     return out.select("event_id", resolution.alias("resolution"), F.when(n == 1, F.col("candidates")[0]).alias("task_id"), "candidates")
 
 
+#: What ``revised`` gives, by the type of ids.
 REVISED = (
-    "user_id string, id bigint, resolution string, task_id bigint, candidates array<bigint>, task_status string, due_at timestamp_ntz, next_due_at timestamp_ntz, "
+    "user_id string, id {0}, resolution string, task_id {0}, candidates array<{0}>, task_status string, due_at timestamp_ntz, next_due_at timestamp_ntz, "
     "anchor timestamp_ntz, index int, n_occurrences int, previous_due timestamp_ntz, scheduled_at timestamp_ntz"
 )
 _SPAN = {"minute": 60, "hour": 3600, "day": 86400, "week": 604800}
@@ -57,7 +59,7 @@ class _Tasks(Step):
     """A user's open tasks. An event that names one of them ends it, moves it, or settles one occurrence of its series."""
 
     def __init__(self):
-        self.open: dict[int, dict] = {}
+        self.open: dict[int | str, dict] = {}
 
     def row(self, r) -> list[tuple]:
         if r.is_task:
@@ -150,7 +152,8 @@ def revised(records: DataFrame, position: str = "created_at") -> DataFrame:
     series_overlaps_history, occurrence_overlaps_next.
     """
     c = F.col
-    kinds = {"task_id": "bigint", "task_scope": "string", "occurrence_at": "timestamp_ntz", "occurrence_on": "date"}
+    of = ids.kind(records)
+    kinds = {"task_id": of, "task_scope": "string", "occurrence_at": "timestamp_ntz", "occurrence_on": "date"}
     r = records.withColumns({n: (c(n) if n in records.columns else F.lit(None)).cast(t) for n, t in kinds.items()})
     task = (c("category") == "task") & c("task_status").isNotNull()
     r = r.filter(task | (c("action").isNotNull() & (c("role") == "user")))
@@ -161,16 +164,16 @@ def revised(records: DataFrame, position: str = "created_at") -> DataFrame:
     ahead = F.when(day == "today", 0).when(day == "tomorrow", 1).when(day == "yesterday", -1)
     named = F.coalesce(c("occurrence_on"), F.regexp_extract(c("action.reference"), r"\b(\d{4}-\d{2}-\d{2})\b", 1).try_cast("date"), F.date_add(F.to_date("created_at"), ahead))
     rows = r.select(
-        "user_id", c("id").cast("long").alias("id"), c(position).alias("position"), "session_id", "created_at", task.alias("is_task"), T.key(c("content")).alias("key"), c("due"), "next_due_at", c("due_at"),
+        "user_id", c("id").cast(of).alias("id"), c(position).alias("position"), "session_id", "created_at", task.alias("is_task"), T.key(c("content")).alias("key"), c("due"), "next_due_at", c("due_at"),
         c("recurrence.unit").alias("unit"), c("recurrence.interval").alias("every"), c("recurrence.anchor").alias("anchor"), rules.recurring(c("content")).alias("recurs"), c("action.kind").alias("kind"),
         F.coalesce("task_scope", "action.scope", F.lit("occurrence")).alias("scope"), F.coalesce(T.key(c("action.reference")), F.array().cast("array<string>")).alias("wanted"), "task_id", "occurrence_at", F.when(c("occurrence_at").isNull(), named).alias("selected"),
         (F.nullif(F.regexp_extract(text, delay, 1), F.lit("")).try_cast("bigint") * unit[F.nullif(F.regexp_extract(text, delay, 2), F.lit(""))]).cast("double").alias("delay"), schedule.deadline(text, c("created_at"))["due"].alias("new_due"),
     )
-    return fold(rows, ["user_id"], ["position", "id"], _Tasks, REVISED)
+    return fold(rows, ["user_id"], ["position", "id"], _Tasks, REVISED.format(of))
 
 
 def current(records: DataFrame, revisions: DataFrame) -> DataFrame:
     """(id, task_status, due_at, next_due_at, n_occurrences) of each task after its last applied revision."""
     done = revisions.filter("resolution = 'applied'").groupBy(F.col("task_id").alias("id")).agg(F.max_by(F.struct("task_status", "due_at", "next_due_at", "n_occurrences"), F.struct("n_occurrences", F.col("id"))).alias("x"))
-    t = records.filter("category = 'task'").select(F.col("id").cast("long").alias("id"), F.struct(F.lit("active").alias("task_status"), F.col("due").alias("due_at"), "next_due_at", F.lit(0).alias("n_occurrences")).alias("first"))
+    t = records.filter("category = 'task'").select(F.col("id").cast(ids.kind(records)).alias("id"), F.struct(F.lit("active").alias("task_status"), F.col("due").alias("due_at"), "next_due_at", F.lit(0).alias("n_occurrences")).alias("first"))
     return t.join(done, "id", "left").select("id", F.coalesce("x", "first").alias("x")).select("id", "x.*")

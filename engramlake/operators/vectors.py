@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramlake.operators import ids as of_ids
+
 #: Queries that a task holds at a time, and rows of the base where both are dealt into blocks.
 BLOCK, BASE_BLOCK = 4096, 65_536
 
@@ -36,7 +38,8 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, q_of: np.ndarray, ids: np.ndarray
     for lo in range(0, len(q_ids), 512):
         mine = q_ids[lo : lo + 512]
         s = np.round(q[lo : lo + 512] @ x.T, digits)
-        s[(mine[:, None] == ids[None, :]) | (q_of[lo : lo + 512, None] != x_of[None, :])] = -np.inf
+        same = mine[:, None] == ids[None, :] if mine.dtype.kind == ids.dtype.kind else False
+        s[same | (q_of[lo : lo + 512, None] != x_of[None, :])] = -np.inf
         if s.shape[1] > k:  # all that reach the k-th best score, so that ties at the edge are all there
             edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
             row, col = np.nonzero(s >= np.maximum(edge, least)[:, None])
@@ -49,7 +52,7 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, q_of: np.ndarray, ids: np.ndarray
         keep = (np.arange(len(row)) - first[row] < k) & (score > -np.inf)
         out.append((mine[row[keep]], ids[col[keep]], score[keep]))
     cols = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], ["query_id", "id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(q_ids.dtype)), pa.array(cols[1].astype(ids.dtype)), pa.array(cols[2].astype(np.float64))], ["query_id", "id", "score"])
 
 
 def top_k(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, block: int = BLOCK, digits: int = 6) -> DataFrame:
@@ -60,20 +63,21 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, bloc
     keeps k rows for a query. Either way a shuffle sees at most k rows for a query and block. Where both
     have an ``owner``, only rows of the query's owner count.
     """
-    spark, schema = base.sparkSession, "query_id bigint, id bigint, score double"
+    spark, q_kind, kind = base.sparkSession, of_ids.kind(queries, "query_id"), of_ids.kind(base)
+    schema = f"query_id {q_kind}, id {kind}, score double"
     both = "owner" in queries.columns and "owner" in base.columns
     owner = (F.xxhash64("owner") if both else F.lit(0).cast("bigint")).alias("owner")
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector", owner)
-    x = base.select(F.col("id").cast("long").alias("id"), "vector", owner)
+    q = queries.select(F.col("query_id").cast(q_kind).alias("query_id"), "vector", owner)
+    x = base.select(F.col("id").cast(kind).alias("id"), "vector", owner)
     n = q.count()
     if n <= block:
         rows = q.toArrow()
-        sent = spark.sparkContext.broadcast((np.array(rows.column("query_id").to_pylist(), np.int64), _matrix(rows.column("vector").combine_chunks()), np.array(rows.column("owner").to_pylist(), np.int64)))
+        sent = spark.sparkContext.broadcast((of_ids.array(rows.column("query_id"), q_kind), _matrix(rows.column("vector").combine_chunks()), np.array(rows.column("owner").to_pylist(), np.int64)))
 
         def run(batches):
             for b in batches:
                 if b.num_rows and len(sent.value[0]):
-                    yield _nearest(*sent.value, b.column("id").to_numpy(zero_copy_only=False), _matrix(b.column("vector")), b.column("owner").to_numpy(zero_copy_only=False), k, least, digits)
+                    yield _nearest(*sent.value, of_ids.array(b.column("id"), kind), _matrix(b.column("vector")), b.column("owner").to_numpy(zero_copy_only=False), k, least, digits)
 
         found = x.mapInArrow(run, schema)
     else:
@@ -83,9 +87,9 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, least: float = -1.0, bloc
         right = dealt(x, "id", ("xb", x_blocks), ("qb", q_blocks)).groupBy("qb", "xb")
 
         def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-            both = [(t.column(c).to_numpy(), _matrix(t.column("vector").combine_chunks()), t.column("owner").to_numpy()) for t, c in ((a, "query_id"), (b, "id"))]
+            both = [(of_ids.array(t.column(c), k), _matrix(t.column("vector").combine_chunks()), t.column("owner").to_numpy()) for t, c, k in ((a, "query_id", q_kind), (b, "id", kind))]
             if not len(both[0][0]) or not len(both[1][0]):
-                return pa.Table.from_batches([], pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+                return pa.Table.from_batches([], pa.schema([("query_id", of_ids.arrow(q_kind)), ("id", of_ids.arrow(kind)), ("score", pa.float64())]))
             return pa.Table.from_batches([_nearest(*both[0], *both[1], k, least, digits)])
 
         found = left.cogroup(right).applyInArrow(meet, schema)
@@ -119,13 +123,15 @@ class Planes:
 def buckets(base: DataFrame, planes: Planes) -> DataFrame:
     """(id, table_id, bucket): the signature table of ``base`` (id, vector)."""
 
+    kind = of_ids.kind(base)
+
     def run(batches):
         for b in batches:
             s, _ = planes.signatures(_matrix(b.column("vector")))
             n = len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("id").to_numpy(zero_copy_only=False), planes.tables)), pa.array(np.tile(np.arange(planes.tables, dtype=np.int32), n)), pa.array(s.ravel().astype(np.int32))], ["id", "table_id", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(of_ids.array(b.column("id"), kind), planes.tables)), pa.array(np.tile(np.arange(planes.tables, dtype=np.int32), n)), pa.array(s.ravel().astype(np.int32))], ["id", "table_id", "bucket"])
 
-    return base.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, "id bigint, table_id int, bucket int")
+    return base.select(F.col("id").cast(kind).alias("id"), "vector").mapInArrow(run, f"id {kind}, table_id int, bucket int")
 
 
 def lsh_top_k(queries: DataFrame, base: DataFrame, k: int, planes: Planes, radius: int = 1) -> DataFrame:
@@ -136,11 +142,12 @@ def lsh_top_k(queries: DataFrame, base: DataFrame, k: int, planes: Planes, radiu
             ids, x = b.column("query_id").to_pylist(), _matrix(b.column("vector"))
             s, m = planes.signatures(x)
             rows = [(i, t, k_) for i, sig, mar in zip(ids, s, m, strict=True) for t, k_ in planes.probes(sig, mar, radius)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["query_id", "table_id", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((of_ids.arrow(q_kind), pa.int32(), pa.int32()))], ["query_id", "table_id", "bucket"])
 
-    probes = queries.select("query_id", "vector").mapInArrow(run, "query_id bigint, table_id int, bucket int")
+    q_kind = of_ids.kind(queries, "query_id")
+    probes = queries.select(F.col("query_id").cast(q_kind).alias("query_id"), "vector").mapInArrow(run, f"query_id {q_kind}, table_id int, bucket int")
     pairs = probes.join(buckets(base, planes), ["table_id", "bucket"]).filter("query_id <> id").select("query_id", "id").distinct()
-    scored = pairs.join(queries.select("query_id", F.col("vector").alias("q")), "query_id").join(base.select(F.col("id").cast("long").alias("id"), "vector"), "id")
+    scored = pairs.join(queries.select("query_id", F.col("vector").alias("q")), "query_id").join(base.select(F.col("id").cast(of_ids.kind(base)).alias("id"), "vector"), "id")
     scored = scored.select("query_id", "id", F.round(dot("q", "vector"), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

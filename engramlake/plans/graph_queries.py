@@ -128,7 +128,8 @@ def vector_min_similarity(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
     q, base = _queries(spark, d)
-    return vectors.lsh_top_k(q, base, 10, vectors.Planes(len(base.first()["vector"]), tables=16), radius=2)
+    one = base.first()
+    return vectors.lsh_top_k(q, base, 10, vectors.Planes(len(one["vector"]) if one else 1, tables=16), radius=2)
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'insert' WHEN a.doc_id IS NULL THEN 'delete' ELSE 'update' END AS action FROM

@@ -147,7 +147,7 @@ def _engine(spark: SparkSession) -> Engine:
 (5, 'ann', 'episodic', 'active', NULL, NULL), (6, 'bob', 'preference', 'active', NULL, NULL), (7, 'bob', 'task', 'active', NULL, 'completed'), (8, 'bob', 'episodic', 'active', NULL, NULL), (10, 'ann', 'temporary', 'active', NULL, NULL)) t(id, user_id, category, memory_status, into_id, task_status)""")
 def ingest_golden(spark: SparkSession, d: str) -> DataFrame:
     """Messages of two users through the whole of it: a move, a repeat, a task that is done, one message that comes twice and one that is blank."""
-    done = _engine(spark).log
+    done = _engine(spark).log.withColumns({c: F.col(c).cast("bigint") for c in ("id", "superseded_by", "consolidated_into")})
     return done.select("id", "user_id", "category", "memory_status", F.coalesce("superseded_by", "consolidated_into").alias("into_id"), "task_status")
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from engramlake.session import stored
+from engramlake.sources.parts import Keyed
+
 STATE = "n bigint, last_event bigint, last_type string, total double"
 OUT = "user_id bigint, late bigint, " + STATE
 
@@ -101,13 +104,15 @@ def every(spark: SparkSession, seconds: float, job, checkpoint: str, once: bool
     return (writer.trigger(once=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
-def refreshed(changes: DataFrame, apply, checkpoint: str):
-    """Keeps an index up with a stream of entries (key, digest): ``apply(batch, n)`` gets the last entry of each key of a batch, to write
-    what differs (``vectors.index_difference``). A batch that changes nothing costs no more than the look."""
+def refreshed(changes: DataFrame, table: Keyed, checkpoint: str):
+    """Keeps a table (``sources.parts.Keyed``) up with a stream of changes: key, version, ``deleted`` where it has one, and the rest.
+
+    The last change of each key by its version counts, within a batch and against what is there. A batch that is
+    sent again, or that comes late, changes nothing, and only the parts that a batch changes are written.
+    """
 
     def step(batch: DataFrame, n: int) -> None:
-        if not batch.isEmpty():
-            apply(batch.dropDuplicates(["key", "digest"]), n)
+        table.merge(stored(batch), n)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
