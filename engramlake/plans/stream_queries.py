@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engramlake.operators import reconcile
 from engramlake.plans.registry import query, table
 from engramlake.session import shared_folder
 from engramlake.streaming import ingest
@@ -47,3 +48,39 @@ def stream_late(spark: SparkSession, d: str) -> DataFrame:
     """Events before their user's first purchase come out as unmatched, and none is lost."""
     first = table(spark, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("updated_at"))
     return ingest.land(ingest.with_late(_events(spark, d), first, "user_id", "ts"), "append", _folder(spark)).select("event_id", "resolution")
+
+
+def _stated(events: DataFrame) -> DataFrame:
+    """Each event as a statement of its user: of seven things, which one it is now."""
+    none = F.lit(None).cast("string")
+    claim = F.struct(
+        F.lit("self").alias("subject"), F.concat(F.lit("p"), (F.col("event_id") % 7).cast("string")).alias("predicate"), F.col("event_type").alias("value"), F.lit(True).alias("positive"), F.lit(True).alias("exclusive"),
+        F.lit("semantic").alias("kind"), F.col("event_type").alias("display_value"), F.lit("User").alias("display_subject"), none.alias("alternative"), none.alias("subject_type"), none.alias("object_type"),
+    )
+    made = F.timestamp_seconds(F.col("event_id")).cast("timestamp_ntz")
+    return events.select(
+        F.col("user_id").cast("string").alias("user_id"), F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("id"), F.col("event_id").alias("position"), made.alias("created_at"), F.col("event_type").alias("content"),
+        F.lit("semantic").alias("category"), F.lit(True).alias("reconcilable"), claim.alias("claim"), F.lit(0.0).alias("source_priority"), F.lit(0.5).alias("confidence"), F.lit(0.5).alias("importance"),
+    )
+
+
+#: Of exclusive statements of one rank the newest stands: equal ones in a row join the first of them, and another one takes its place.
+_STANDS = """WITH s AS (SELECT user_id::VARCHAR AS user_id, 'e' || lpad(event_id::VARCHAR, 12, '0') AS id, event_id % 7 AS p, event_type, event_id FROM events),
+l AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY user_id, p ORDER BY event_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id, p ORDER BY event_id) AS run FROM l),
+f AS (SELECT user_id, p, run, min(id) AS first FROM g GROUP BY 1, 2, 3)
+SELECT g.user_id, g.id, CASE WHEN g.id <> f.first THEN 'consolidated' WHEN n.first IS NULL THEN 'active' ELSE 'superseded' END AS status,
+CASE WHEN g.id = f.first THEN n.first END AS superseded_by, CASE WHEN g.id <> f.first THEN f.first END AS consolidated_into
+FROM g JOIN f USING (user_id, p, run) LEFT JOIN f n ON n.user_id = g.user_id AND n.p = g.p AND n.run = g.run + 1"""
+
+
+@query(_STANDS)
+def reconcile_events(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each statement that the events make."""
+    return reconcile.reconciled(_stated(table(spark, d, "events")), "position").select("user_id", "id", "status", "superseded_by", "consolidated_into")
+
+
+@query(_STANDS)
+def stream_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a stream; tests split it into batches."""
+    return ingest.newest(ingest.land(ingest.reconciled(_stated(_events(spark, d))), "update", _folder(spark)), "id", "turn").select("user_id", "id", "status", "superseded_by", "consolidated_into")

@@ -195,3 +195,34 @@ def test_paths_of_a_group_are_cut_together(spark):
 
 def test_a_report_has_all_rows(spark):
     assert len(evaluate.summary_lines(spark.range(2500), ["id"])) == 2502
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_reconciliation_as_a_stream_gives_the_states_of_the_batch_run(spark, root, batches):
+    from engramlake.plans.stream_queries import _stated
+    from engramlake.streaming import ingest
+
+    rng = np.random.default_rng(6)
+    events = spark.createDataFrame([(i, int(rng.integers(3)), "abc"[rng.integers(3)]) for i in range(120)], "event_id bigint, user_id bigint, event_type string")
+    stated = _stated(events).withColumn("source_priority", (F.col("position") % 3).cast("double"))  # some win against newer ones
+    for k in range(batches):
+        stated.filter((F.col("position") * batches / 120).cast("int") == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    late = stated.filter("position = 5").withColumn("id", F.lit("late"))
+    late.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    sent = spark.readStream.schema(stated.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    got = {r.id: r.asDict() for r in ingest.newest(ingest.land(ingest.reconciled(sent), "update", root), "id", "turn").collect()}
+    assert got.pop("late")["status"] == "late"
+    want = {r.id: r.asDict() for r in reconcile.reconciled(stated, "position").collect()}
+    assert {i: {k: r[k] for k in want[i]} for i, r in got.items()} == want
+
+
+def test_a_stream_keeps_a_table_up(spark, root):
+    from engramlake.streaming import ingest
+
+    for part in ([("k1", 1, "a"), ("k1", 2, "b"), ("k2", 5, "c")], [("k1", 1, "late"), ("k3", 1, "d")]):
+        spark.createDataFrame(part, "key string, version bigint, digest string").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    t = Keyed(spark, f"{root}/table", parts=4)
+    sent = spark.readStream.schema("key string, version bigint, digest string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    for _ in range(2):  # started again it has nothing to do
+        ingest.refreshed(sent, t, f"{root}/progress").awaitTermination()
+    assert {(r.key, r.digest) for r in t.rows().collect()} == {("k1", "b"), ("k2", "c"), ("k3", "d")}
