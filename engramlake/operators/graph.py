@@ -150,16 +150,47 @@ def successors(edges: DataFrame, now: Column) -> DataFrame:
     return pairs.withColumn("gap", gap).withColumn("_r", F.rank().over(w)).filter("_r = 1").select("stale_id", "next_id", (F.col("gap") / 1e6).cast("bigint").alias("gap_seconds"))
 
 
+#: Rounds of single steps after which chains are taken by pointers that double.
+SHALLOW = 8
+
+
 def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
     """Ids reachable from ``roots`` (id) over ``links`` (src, dst), roots included.
 
-    Each round joins the newest ids with the links and stores those not seen before; what was
-    found in earlier rounds is read, never written again.
+    Each round joins the newest ids with the links and stores those not seen before; what was found in
+    earlier rounds is read, never written again. If that takes more than ``SHALLOW`` rounds, ids with a single link
+    get pointers 1, 2, 4 and so on links ahead, and a round takes whole chains by them: a chain of n ids takes
+    about 2 log n joins instead of n.
     """
     links = links.select("src", "dst").distinct()
     seen = newest = stored(roots.select("id").distinct())
+    jumps: list[DataFrame] | None = None
+    rounds = 0
     while not newest.isEmpty():
+        if rounds == SHALLOW:
+            links = stored(links)
+            jumps = _jumps(links)
+        rounds += 1
+        if jumps:
+            ahead = newest
+            for j in reversed(jumps):  # of any distance, as a sum of powers of two
+                ahead = stored(ahead.union(ahead.join(j, ahead.id == j.src).select(F.col("dst").alias("id"))).distinct())
+            more = stored(ahead.join(seen, "id", "left_anti"))
+            seen, newest = seen.union(more), more.union(newest)
         met = newest.join(links, newest.id == links.src).select(F.col("dst").alias("id")).distinct()
         newest = stored(met.join(seen, "id", "left_anti"))
         seen = seen.union(newest)
     return seen
+
+
+def _jumps(links: DataFrame) -> list[DataFrame]:
+    """(src, dst) tables of where ids with a single link are 1, 2, 4 and so on links ahead, as long as all of these are such ids."""
+    at = stored(links.groupBy("src").agg(F.min("dst").alias("dst"), F.count("*").alias("n")).filter("n = 1").select("src", "dst"))
+    n, out = at.count(), [at]
+    while 2 ** len(out) <= n:  # no chain is longer, and cycles end here too
+        a, b = out[-1].alias("a"), out[-1].alias("b")
+        at = stored(a.join(b, F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst"))
+        if at.isEmpty():
+            break
+        out.append(at)
+    return out

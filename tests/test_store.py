@@ -226,3 +226,15 @@ def test_a_stream_keeps_a_table_up(spark, root):
     for _ in range(2):  # started again it has nothing to do
         ingest.refreshed(sent, t, f"{root}/progress").awaitTermination()
     assert {(r.key, r.digest) for r in t.rows().collect()} == {("k1", "b"), ("k2", "c"), ("k3", "d")}
+
+
+def test_long_chains_are_reached_in_few_rounds(spark, monkeypatch):
+    made = []
+    keep = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: made.append(1) or keep(df))
+    n = 3000
+    pairs = [(i, i + 1) for i in range(n)] + [(700, 50_000), (50_000, 50_001), (50_001, 50_002), (50_002, 50_000), (60_000, 60_001), (-5, 10)] + [(70_000 + i, 70_001 + i) for i in range(40)] + [(n, 70_020)]
+    links = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    got = {r.id for r in graph.reachable(links, spark.createDataFrame([(5,), (99,)], "id bigint")).collect()}
+    assert got == set(range(5, n + 1)) | {50_000, 50_001, 50_002, 99} | set(range(70_020, 70_041))
+    assert len(made) <= 100
