@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from engramlake.functions import rules
 from engramlake.functions.rules import one_of
+from engramlake.functions.words import after, before, begins, ends, first, joined, within
 
 # --- fixed values --------------------------------------------------------------------------------
 
@@ -73,10 +74,10 @@ def key(text: Column) -> Column:
     def named(w: Column) -> Column:
         at = lambda i: F.coalesce(F.get(w, i), F.lit(""))
         number = lambda x: x.rlike(r"^\d+$")
-        span = lambda i: _within(at(i), ("in", "every")) & number(at(i + 1)) & _within(at(i + 2), SPANNED)
+        span = lambda i: within(at(i), ("in", "every")) & number(at(i + 1)) & within(at(i + 2), SPANNED)
 
         def dated(x: Column, i: Column) -> Column:
-            clock = _within(at(i - 1), ("at", "by")) & x.rlike(r"^\d{1,2}(:\d{2})?(am|pm)?$")
+            clock = within(at(i - 1), ("at", "by")) & x.rlike(r"^\d{1,2}(:\d{2})?(am|pm)?$")
             return x.rlike(r"^\d{4}-\d{2}-\d{2}(t.*)?$") | clock | ((i > 0) & span(i - 1)) | ((i > 1) & span(i - 2))
 
         left = F.filter(F.transform(w, lambda x, i: F.when(~dated(x, i), x)), lambda x: x.isNotNull())
@@ -88,40 +89,9 @@ def key(text: Column) -> Column:
     return rules.given(words, named)
 
 
-def _within(word: Column, words: tuple[str, ...]) -> Column:
-    return word.isin(*words) if words else F.lit(False)
-
-
-def _after(w: Column, n: Column | int) -> Column:
-    """The words behind the first ``n``."""
-    return F.slice(w, F.lit(1) + n, F.greatest(F.size(w) - n, F.lit(0)))
-
-
-def _before(w: Column, n: Column | int) -> Column:
-    """The words without the last ``n``."""
-    return F.slice(w, F.lit(1), F.greatest(F.size(w) - n, F.lit(0)))
-
-
-def _joined(w: Column) -> Column:
-    return F.array_join(w, " ")
-
-
-def _ends(w: Column, *words: str) -> Column:
-    return F.slice(w, F.greatest(F.size(w) - len(words) + 1, F.lit(1)), F.lit(len(words))) == F.array(*map(F.lit, words))
-
-
-def _begins(w: Column, *words: str) -> Column:
-    return F.slice(w, F.lit(1), F.lit(len(words))) == F.array(*map(F.lit, words))
-
-
-def _first(w: Column, fits) -> Column:
-    """The place of the first word that fits, from 0; null if there is none."""
-    return F.get(F.filter(F.transform(w, lambda x, i: F.when(fits(x, i), i)), lambda i: i.isNotNull()), F.lit(0))
-
-
 def _unowned(w: Column) -> Column:
     """A thing without the article or pronoun before it."""
-    return F.when((F.size(w) > 1) & _within(F.get(w, F.lit(0)), OWNERS), _after(w, 1)).otherwise(w)
+    return F.when((F.size(w) > 1) & within(F.get(w, F.lit(0)), OWNERS), after(w, 1)).otherwise(w)
 
 
 def action(text: Column) -> Column:
@@ -151,92 +121,92 @@ def _correction(w: Column) -> Column:
     none = F.lit(None).cast("string")
 
     def of(due: Column) -> Column:
-        left, right = F.slice(w, F.lit(1), due), _after(w, due + 1)
-        negated = F.when(_ends(left, "is", "not"), 2).when(_ends(left, "is", "no", "longer"), 3)
-        thing = _unowned(_before(left, F.coalesce(negated, F.lit(0))))
+        left, right = F.slice(w, F.lit(1), due), after(w, due + 1)
+        negated = F.when(ends(left, "is", "not"), 2).when(ends(left, "is", "no", "longer"), 3)
+        thing = _unowned(before(left, F.coalesce(negated, F.lit(0))))
 
         def turned(at: Column) -> Column:
-            rest = _after(right, at + 1)
-            skipped = F.coalesce(_first(rest, lambda x, i: ~x.isin("is", "now", "due")), F.size(rest))
-            new = _after(rest, skipped)
+            rest = after(right, at + 1)
+            skipped = F.coalesce(first(rest, lambda x, i: ~x.isin("is", "now", "due")), F.size(rest))
+            new = after(rest, skipped)
             certain = ~F.exists(new, lambda x: x.isin("not", "never", "no", "and", "or", "but"))
-            return F.when(negated.isNotNull() & (at > 0) & (F.size(thing) > 0) & (F.size(new) > 0) & certain, _made(F.lit("rescheduled"), _joined(thing), _joined(new), none))
+            return F.when(negated.isNotNull() & (at > 0) & (F.size(thing) > 0) & (F.size(new) > 0) & certain, _made(F.lit("rescheduled"), joined(thing), joined(new), none))
 
-        return rules.given(_first(right, lambda x, i: F.rtrim(x, F.lit(",")).isin("but", "instead")), turned)
+        return rules.given(first(right, lambda x, i: F.rtrim(x, F.lit(",")).isin("but", "instead")), turned)
 
-    return rules.given(_first(w, lambda x, i: x == "due"), of)
+    return rules.given(first(w, lambda x, i: x == "due"), of)
 
 
 def _told(w: Column, scope: Column) -> Column:
     """The first verb of a clause around which a voice is complete, or else a changed deadline, a thing done with, or a silence."""
 
     def voice(word: Column, i: Column) -> Column:
-        left, right = F.slice(w, F.lit(1), i), _after(w, i + 1)
-        ordered = (i == 0) | _begins(left, "please") & (i == 1)
-        speaks = (i > 0) & _within(F.get(left, F.lit(0)), SPEAKERS) & F.forall(_after(left, 1), lambda x: x.isin(*BETWEEN_DEED))
-        sure = F.when(_ends(left, "already"), _before(left, 1)).otherwise(left)
-        be = F.when(_ends(sure, "has", "been"), 2).when(_within(F.element_at(F.concat(F.array(F.lit("")), sure), -1), BEING), 1)
-        thing = _unowned(_before(sure, F.coalesce(be, F.lit(0))))
+        left, right = F.slice(w, F.lit(1), i), after(w, i + 1)
+        ordered = (i == 0) | begins(left, "please") & (i == 1)
+        speaks = (i > 0) & within(F.get(left, F.lit(0)), SPEAKERS) & F.forall(after(left, 1), lambda x: x.isin(*BETWEEN_DEED))
+        sure = F.when(ends(left, "already"), before(left, 1)).otherwise(left)
+        be = F.when(ends(sure, "has", "been"), 2).when(within(F.element_at(F.concat(F.array(F.lit("")), sure), -1), BEING), 1)
+        thing = _unowned(before(sure, F.coalesce(be, F.lit(0))))
         is_so = be.isNotNull() & (F.size(thing) > 0)
         out = F.lit(None).cast(ACTION)
         for kind, forms in VERBS.items():
             of = F.lit(kind)
             if kind == "rescheduled":
-                moved, state = _moved(right, of, scope), _made(of, _joined(thing), _joined(_when(right)), scope)
+                moved, state = _moved(right, of, scope), _made(of, joined(thing), joined(_when(right)), scope)
             else:
-                moved, state = F.when(F.size(right) > 0, _made(of, _joined(right), F.lit(""), scope)), F.when(F.size(right) == 0, _made(of, _joined(thing), F.lit(""), scope))
-            told = F.coalesce(F.when(_within(word, forms["order"]) & ordered, moved), F.when(_within(word, forms["deed"]) & speaks, moved), F.when(_within(word, forms["state"]) & is_so, state))
+                moved, state = F.when(F.size(right) > 0, _made(of, joined(right), F.lit(""), scope)), F.when(F.size(right) == 0, _made(of, joined(thing), F.lit(""), scope))
+            told = F.coalesce(F.when(within(word, forms["order"]) & ordered, moved), F.when(within(word, forms["deed"]) & speaks, moved), F.when(within(word, forms["state"]) & is_so, state))
             out = F.coalesce(out, told)
         return out
 
     found = F.get(F.filter(F.transform(w, voice), lambda x: x.isNotNull()), F.lit(0))
-    return F.coalesce(found, _changed_deadline(w, scope), _done_with(w, scope), F.when(_begins(w, "stop", "reminding", "me", "to") & (F.size(w) > 4), _made(F.lit("cancelled"), _joined(_after(w, 4)), F.lit(""), F.lit("series"))))
+    return F.coalesce(found, _changed_deadline(w, scope), _done_with(w, scope), F.when(begins(w, "stop", "reminding", "me", "to") & (F.size(w) > 4), _made(F.lit("cancelled"), joined(after(w, 4)), F.lit(""), F.lit("series"))))
 
 
 def _when(w: Column) -> Column:
     """The words of a time: behind the last "to" or "until", without a "for" before it."""
-    cut = F.coalesce(F.array_max(F.transform(w, lambda x, i: F.when(_within(x, UNTIL), i + 1))), F.lit(0))
-    return rules.given(_after(w, cut), lambda x: F.when(_begins(x, "for"), _after(x, 1)).otherwise(x))
+    cut = F.coalesce(F.array_max(F.transform(w, lambda x, i: F.when(within(x, UNTIL), i + 1))), F.lit(0))
+    return rules.given(after(w, cut), lambda x: F.when(begins(x, "for"), after(x, 1)).otherwise(x))
 
 
 def _moved(rest: Column, kind: Column, scope: Column) -> Column:
     """What is moved, which ends at "from", and to when; a span behind "by" is a delay."""
 
     def of(cuts: Column) -> Column:
-        first, last = F.coalesce(F.array_min(cuts["at"]), F.size(rest)), F.array_max(cuts["at"])
-        thing = F.slice(rest, F.lit(1), first)
-        thing = F.slice(thing, F.lit(1), F.coalesce(_first(thing, lambda x, i: (x == "from") & (i > 0)), F.size(thing)))
-        due = F.when(last.isNotNull(), _joined(_after(rest, last + 1))).otherwise("")
+        earliest, last = F.coalesce(F.array_min(cuts["at"]), F.size(rest)), F.array_max(cuts["at"])
+        thing = F.slice(rest, F.lit(1), earliest)
+        thing = F.slice(thing, F.lit(1), F.coalesce(first(thing, lambda x, i: (x == "from") & (i > 0)), F.size(thing)))
+        due = F.when(last.isNotNull(), joined(after(rest, last + 1))).otherwise("")
         delay = F.when(F.exists(cuts, lambda x: x["by"]), F.lit("delay ")).otherwise("")
-        return F.when(F.size(thing) > 0, _made(kind, _joined(thing), F.concat(delay, due), scope))
+        return F.when(F.size(thing) > 0, _made(kind, joined(thing), F.concat(delay, due), scope))
 
     ahead = lambda i, n: F.get(rest, i + n)
-    by = lambda x, i: (x == "by") & F.coalesce(ahead(i, 1).rlike(r"^\d+$") & _within(ahead(i, 2), UNITS), F.lit(False))
-    cuts = F.filter(F.transform(rest, lambda x, i: F.struct(i.alias("at"), by(x, i).alias("by"), (_within(x, UNTIL) | by(x, i)).alias("cuts"))), lambda x: x["cuts"] & (x["at"] > 0))
+    by = lambda x, i: (x == "by") & F.coalesce(ahead(i, 1).rlike(r"^\d+$") & within(ahead(i, 2), UNITS), F.lit(False))
+    cuts = F.filter(F.transform(rest, lambda x, i: F.struct(i.alias("at"), by(x, i).alias("by"), (within(x, UNTIL) | by(x, i)).alias("cuts"))), lambda x: x["cuts"] & (x["at"] > 0))
     return rules.given(cuts, of)
 
 
 def _changed_deadline(w: Column, scope: Column) -> Column:
     """ "The deadline for X" is now, or has changed or moved to, another time."""
-    bare = F.when(_begins(w, "the"), _after(w, 1)).otherwise(w)
+    bare = F.when(begins(w, "the"), after(w, 1)).otherwise(w)
     named = (F.get(bare, F.lit(0)) == "deadline") & F.get(bare, F.lit(1)).isin("for", "of")
 
     def of(rest: Column) -> Column:
         turns = lambda x, i: (i > 0) & ((x.isin("changed", "moved")) | ((x == "now") & (F.get(rest, i - 1) == "is")))
-        at = _first(rest, turns)
+        at = first(rest, turns)
         left = F.slice(rest, F.lit(1), at)
-        thing = F.when(_ends(left, "has") | _ends(left, "is"), _before(left, 1)).otherwise(left)
-        due = _when(_after(rest, at + 1))
-        return F.when(named & at.isNotNull() & (F.size(thing) > 0) & (F.size(due) > 0), _made(F.lit("rescheduled"), _joined(thing), _joined(due), scope))
+        thing = F.when(ends(left, "has") | ends(left, "is"), before(left, 1)).otherwise(left)
+        due = _when(after(rest, at + 1))
+        return F.when(named & at.isNotNull() & (F.size(thing) > 0) & (F.size(due) > 0), _made(F.lit("rescheduled"), joined(thing), joined(due), scope))
 
-    return rules.given(_after(bare, 2), of)
+    return rules.given(after(bare, 2), of)
 
 
 def _done_with(w: Column, scope: Column) -> Column:
     """ "I am done with X"."""
-    spoken = F.when(_begins(w, "i", "am") | _begins(w, "we", "are"), 2).when(_within(F.get(w, F.lit(0)), ("i'm", "we're")), 1)
-    rest = _after(w, F.coalesce(spoken, F.lit(0)))
-    return F.when(spoken.isNotNull() & _begins(rest, "done", "with") & (F.size(rest) > 2), _made(F.lit("completed"), _joined(_after(rest, 2)), F.lit(""), scope))
+    spoken = F.when(begins(w, "i", "am") | begins(w, "we", "are"), 2).when(within(F.get(w, F.lit(0)), ("i'm", "we're")), 1)
+    rest = after(w, F.coalesce(spoken, F.lit(0)))
+    return F.when(spoken.isNotNull() & begins(rest, "done", "with") & (F.size(rest) > 2), _made(F.lit("completed"), joined(after(rest, 2)), F.lit(""), scope))
 
 
 def outcome(act: Column) -> Column:
