@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
-from engramlake.operators import reconcile
+from engramlake.operators import reconcile, vectors
 
 
 def test_prefixes_take_rare_words_first():
@@ -31,3 +33,26 @@ def test_similar_pairs_are_whole(spark):
     want = {(a, b) for x, a in first.items() for y, b in first.items() if a < b and round(len(x & y) / len(x | y), 6) >= 0.75}
     got = reconcile.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
     assert {(r.left_id, r.right_id) for r in got.collect()} == want and want
+
+
+def _best(q_ids, q, ids, x, k, least, may=None):
+    s = np.round(q @ x.T, 6)
+    ok = (q_ids[:, None] != ids[None, :]) & (s >= least)
+    ok &= True if may is None else may
+    return [(int(q_ids[i]), int(ids[j]), s[i, j]) for i in range(len(q)) for j in sorted(np.flatnonzero(ok[i]), key=lambda j: (-s[i, j], ids[j]))[:k]]
+
+
+def test_nearest_in_tiles():
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(20_000, 8)), 1)  # with ties
+    ids, q_of, x_of = rng.permutation(20_000), np.zeros(300, np.int64), np.zeros(20_000, np.int64)
+    q, q_ids, planes = x[:300], ids[:300], vectors.Planes(8, tables=2, bits=6)
+    tracemalloc.start()
+    got = vectors._nearest(q_ids, q, q_of, ids, x, x_of, 10, 3.0, 6).to_pylist()
+    assert tracemalloc.get_traced_memory()[1] < 120e6  # all scores of 300 queries are 48 MB, and took four times as much
+    tracemalloc.stop()
+    assert [tuple(r.values()) for r in got] == _best(q_ids, q, ids, x, 10, 3.0)
+    (a, _), (b, _) = planes.signatures(q), planes.signatures(x)
+    probed = (np.bitwise_count(a[:, None] ^ b[None]) <= 1).any(2)
+    got = vectors._nearest(q_ids, q, q_of, ids, x, x_of, 10, -1.0, 6, planes, 1).to_pylist()
+    assert [tuple(r.values()) for r in got] == _best(q_ids, q, ids, x, 10, -1.0, probed)
