@@ -44,25 +44,22 @@ def called(texts: DataFrame, aliases: DataFrame, id_column: str, text_column: st
 def mentions(texts: DataFrame, aliases: DataFrame, id_column: str, text_column: str, known: Column | None = None) -> DataFrame:
     """(id, node_id, alias) where an alias occurs in a text as whole words; with ``known``, an alias that was known then (known_from).
 
-    Instead of trying each alias on each text, the texts' runs of words as long as the aliases join
-    with them.
+    Instead of trying each alias on each text, the texts' words join with one word of each alias, its longest, and
+    only texts that hold that word are looked at again for aliases of several words.
     """
-    flat = lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), 0), " ")
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), 0)
     if known is not None:
         aliases = aliases.filter(F.col("known_from") <= known)
-    known = aliases.select("node_id", "alias", flat(F.col("alias")).alias("phrase")).filter("phrase <> ''").withColumn("n", F.size(F.split("phrase", " ")))
-    lengths = [r["n"] for r in known.select("n").distinct().collect()]  # words of an alias: a few numbers
-    w = F.regexp_extract_all(F.lower(text_column), F.lit(r"(?U)\w+"), 0)
-    none = F.array().cast("array<string>")
-
-    def runs_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("w") - n + 1)
-        return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(none)
-
-    runs = [runs_of(n) for n in lengths]
-    asked = texts.select(F.col(id_column), w.alias("w"))
-    phrases = asked.select(id_column, F.explode(F.array_distinct(F.flatten(F.array(none, *runs)))).alias("phrase"))
-    return phrases.join(known, "phrase").select(id_column, "node_id", "alias")
+    w = F.split("phrase", " ")
+    longest = F.array_max(F.transform(w, lambda x: F.struct(F.length(x), x.alias("word"))))["word"]
+    known = aliases.select("node_id", "alias", F.array_join(words(F.col("alias")), " ").alias("phrase")).filter("phrase <> ''").withColumns({"word": longest, "n": F.size(w)})
+    held = texts.select(F.col(id_column), F.explode(F.array_distinct(words(F.col(text_column)))).alias("word"))
+    met = stored(held.join(known, "word").select(id_column, "node_id", "alias", "phrase", "n"))
+    one = met.filter("n = 1").select(id_column, "node_id", "alias")
+    few = met.filter("n > 1").drop("n").distinct().withColumnRenamed(id_column, "_id")
+    again = texts.select(id_column, F.col(text_column).alias("_text")).join(few, F.col(id_column).eqNullSafe(F.col("_id")))
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    return one.unionByName(again.filter(F.contains(padded(F.array_join(words(F.col("_text")), " ")), padded(F.col("phrase")))).select(id_column, "node_id", "alias"))
 
 
 def touching(edges: DataFrame, entity: str | None = None, predicate: str | None = None, negative: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from engramlake.operators import reconcile, vectors
+from engramlake.operators import graph, reconcile, vectors
 
 
 def test_prefixes_take_rare_words_first():
@@ -56,3 +56,11 @@ def test_nearest_in_tiles():
     probed = (np.bitwise_count(a[:, None] ^ b[None]) <= 1).any(2)
     got = vectors._nearest(q_ids, q, q_of, ids, x, x_of, 10, -1.0, 6, planes, 1).to_pylist()
     assert [tuple(r.values()) for r in got] == _best(q_ids, q, ids, x, 10, -1.0, probed)
+
+
+def test_mentions_join_one_word_of_an_alias(spark):
+    texts = spark.createDataFrame([(1, "An MIT license; licence MIT License"), (2, "license by MIT"), (3, None), (4, "the other"), (5, "")], "id int, text string")
+    names = spark.createDataFrame([(1, "MIT License"), (2, "the"), (3, "other thing"), (4, "--")], "node_id int, alias string")
+    found = graph.mentions(texts, names, "id", "text")
+    assert sorted((r.id, r.node_id) for r in found.collect()) == [(1, 1), (4, 2)]
+    assert "transform" not in found._jdf.queryExecution().analyzed().toString()  # no string is made for each run of words
