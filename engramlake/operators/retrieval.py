@@ -23,8 +23,8 @@ from engramlake.session import stored
 
 FUSION = {"keyword": 0.3, "semantic": 0.5, "graph": 0.2}
 FUSION_OFFSET, AGREEMENT = 60, 0.002
-#: Queries that a task holds at a time.
-QUERY_BLOCK = 4096
+#: Queries that a task holds at a time, words of rows that are looked up in them at a time, and bytes of texts that are held as strings.
+QUERY_BLOCK, MET, TEXT_BYTES = 4096, 1 << 20, 1 << 20
 #: Word overlap beyond which a text repeats a chosen one.
 NEAR_REPEAT = 0.9
 _WORD = re.compile(r"\w+")
@@ -46,19 +46,26 @@ class _Asked:
         self.first = np.cumsum([0, *map(len, words.values())])
         self.holds = np.concatenate([np.array(v, np.int64) for v in words.values()]) if words else np.zeros(0, np.int64)
 
-    def pairs(self, tokens: pa.Array, owners: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, row, shared words) for lists of words, of a query and a row with one owner."""
+    def pairs(self, tokens: pa.Array, owners: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, row, shared words) for lists of words, of a query and a row with one owner; some rows at a time, so that about MET words of queries are held."""
         row = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
         at = pc.index_in(tokens.flatten(), self.words)
         met = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
         w = at.take(pa.array(met)).to_numpy(zero_copy_only=False).astype(np.int64)
-        n = self.first[w + 1] - self.first[w]
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[w], n)
-        q, r = self.holds[place], np.repeat(row[met], n)
+        every, row = self.first[w + 1] - self.first[w], row[met]
         own = pc.index_in(owners, self.owners).fill_null(-1).to_numpy()
-        mine = own[r] == self.owner[q]
-        cell, shared = np.unique(r[mine] * len(self.ids) + q[mine], return_counts=True)
-        return cell % len(self.ids), cell // len(self.ids), shared
+        lo, total = 0, np.cumsum(every)
+        while lo < len(w):
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + MET, "right"))
+            hi = int(np.searchsorted(row, row[max(lo, min(hi, len(w) - 1))], "left" if lo < hi < len(w) else "right"))  # whole rows
+            hi = hi if hi > lo else int(np.searchsorted(row, row[lo], "right"))
+            n = every[lo:hi]
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[w[lo:hi]], n)
+            q, r = self.holds[place], np.repeat(row[lo:hi], n)
+            mine = own[r] == self.owner[q]
+            cell, shared = np.unique(r[mine] * len(self.ids) + q[mine], return_counts=True)
+            yield cell % len(self.ids), cell // len(self.ids), shared
+            lo = hi
 
 
 def _best(q: np.ndarray, of: np.ndarray, shared: np.ndarray, score: np.ndarray, made: np.ndarray, k: int) -> np.ndarray:
@@ -102,17 +109,17 @@ def keyword_ranked(queries: DataFrame, texts: DataFrame, k: int, weight: float,
             for b in batches:
                 if not len(of.ids) or not b.num_rows:
                     continue
-                q, row, shared = of.pairs(b.column("t").fill_null([]), b.column("owner"))
-                column = lambda c, b=b, row=row: b.column(c).to_numpy(zero_copy_only=False)[row]
-                score = weight * (shared / of.sizes[q]) + column("rest")
-                new = (q, ids.array(b.column("id"), kind)[row], shared, score, column("made"))
-                full = np.bincount(best[0], minlength=len(of.ids)) >= k
-                least = np.full(len(of.ids), np.inf)  # what a query's last place holds, once all are taken
-                np.minimum.at(least, best[0], best[3])
-                keep = score >= np.where(full, least, -np.inf)[q]
-                best = [np.concatenate([a, x[keep]]) for a, x in zip(best, new, strict=True)]
-                chosen = _best(*best, k)
-                best = [a[chosen] for a in best]
+                for q, row, shared in of.pairs(b.column("t").fill_null([]), b.column("owner")):
+                    column = lambda c, b=b, row=row: b.column(c).to_numpy(zero_copy_only=False)[row]
+                    score = weight * (shared / of.sizes[q]) + column("rest")
+                    full = np.bincount(best[0], minlength=len(of.ids)) >= k
+                    least = np.full(len(of.ids), np.inf)  # what a query's last place holds, once all are taken
+                    np.minimum.at(least, best[0], best[3])
+                    keep = score >= np.where(full, least, -np.inf)[q]
+                    new = (q[keep], ids.array(b.column("id").take(pa.array(row[keep])), kind), shared[keep], score[keep], column("made")[keep])
+                    best = [np.concatenate([a, x]) for a, x in zip(best, new, strict=True)]
+                    chosen = _best(*best, k)
+                    best = [a[chosen] for a in best]
             cols = [of.ids[best[0]] if len(best[0]) else ids.empty(q_kind), *best[1:]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "id", "shared", "score", "made"])
 
@@ -164,13 +171,26 @@ def chunks(texts: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
     if size < 100 or not 0 <= overlap < size:
         raise ValueError("chunks of 100 characters at least, with a smaller overlap")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, f"{i}:{a}", a, b, t[a:b]) for i, t in zip(f["id"], f["text"], strict=True) if t for a, b in chunk_bounds(t, size, overlap)]
-            yield pd.DataFrame(rows, columns=["id", "chunk_id", "start", "end", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _parts(b, "text"):
+                rows = [(i, f"{i}:{a}", a, e, t[a:e]) for i, t in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True) if t for a, e in chunk_bounds(t, size, overlap)]
+                cols = zip(*rows, strict=True) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["id", "chunk_id", "start", "end", "text"])
 
     kind = ids.kind(texts)
-    return texts.select(F.col("id").cast(kind).alias("id"), F.col("text").cast("string").alias("text")).mapInPandas(run, f"id {kind}, chunk_id string, start int, end int, text string")
+    types = (ids.arrow(kind), pa.string(), pa.int32(), pa.int32(), pa.string())
+    return texts.select(F.col("id").cast(kind).alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"id {kind}, chunk_id string, start int, end int, text string")
+
+
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have about TEXT_BYTES together, or single rows."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TEXT_BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def contexts(hits: DataFrame, budget: int) -> DataFrame:

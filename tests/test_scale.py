@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from engramlake.operators import graph, reconcile, vectors
+from engramlake.operators import graph, reconcile, retrieval, vectors
 
 
 def test_prefixes_take_rare_words_first():
@@ -58,6 +58,25 @@ def test_nearest_in_tiles():
     assert [tuple(r.values()) for r in got] == _best(q_ids, q, ids, x, 10, -1.0, probed)
 
 
+def test_queries_meet_rows_some_at_a_time(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(retrieval, "MET", 500)
+    asked = [(i, [f"w{x}" for x in rng.choice(40, rng.integers(1, 9), replace=False)], "u" if i % 3 else "v") for i in range(50)]
+    rows = [[f"w{x}" for x in rng.choice(60, rng.integers(0, 25), replace=False)] for _ in range(300)]
+    owners = ["v" if i % 2 else "u" for i in range(300)]
+    parts = list(retrieval._Asked(asked, "bigint").pairs(pa.array(rows, pa.list_(pa.string())), pa.array(owners)))
+    assert len(parts) > 20 and max(s.sum() for _, _, s in parts) <= 500 + 9 * 50 * 25
+    got = sorted((int(q), int(r), int(s)) for part in parts for q, r, s in zip(*part, strict=True))
+    assert got == sorted((q, r, n) for q, t, o in asked for r, words in enumerate(rows) if o == owners[r] and (n := len({*t} & {*words})))
+
+
+def test_texts_in_parts_of_bytes(monkeypatch):
+    monkeypatch.setattr(retrieval, "TEXT_BYTES", 100)
+    b = pa.RecordBatch.from_pydict({"id": list(range(8)), "text": ["x" * n if n is not None else None for n in (30, 60, 10, 1, 500, None, 0, 99)]})
+    parts = list(retrieval._parts(b, "text"))
+    assert [p.column("id").to_pylist() for p in parts] == [[0, 1, 2], [3], [4], [5, 6, 7]]
+
+
 def test_mentions_join_one_word_of_an_alias(spark):
     texts = spark.createDataFrame([(1, "An MIT license; licence MIT License"), (2, "license by MIT"), (3, None), (4, "the other"), (5, "")], "id int, text string")
     names = spark.createDataFrame([(1, "MIT License"), (2, "the"), (3, "other thing"), (4, "--")], "node_id int, alias string")
