@@ -159,13 +159,13 @@ def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
     get pointers 1, 2, 4 and so on links ahead, and a round takes whole chains by them: a chain of n ids takes
     about 2 log n joins instead of n.
     """
-    links = links.select("src", "dst").distinct()
+    links = links.select("src", "dst")  # a link that is there twice is met twice: what it leads to is told apart below
     seen = newest = stored(roots.select("id").distinct())
     jumps: list[DataFrame] | None = None
     rounds = 0
     while not newest.isEmpty():
         if rounds == SHALLOW:
-            links = stored(links)
+            links = stored(links.distinct())
             jumps = _jumps(links)
         rounds += 1
         if jumps:

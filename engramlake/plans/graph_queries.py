@@ -83,7 +83,7 @@ _LINKS = "SELECT 'o' || l_orderkey AS src, 's' || l_suppkey AS dst FROM lineitem
 
 def references(spark: SparkSession, d: str) -> DataFrame:
     pair = lambda t, a, x, b, y: table(spark, d, t).select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
-    return pair("lineitem", "o", "l_orderkey", "s", "l_suppkey").union(pair("supplier", "s", "s_suppkey", "n", "s_nationkey")).union(pair("nation", "n", "n_nationkey", "r", "n_regionkey")).distinct()
+    return pair("lineitem", "o", "l_orderkey", "s", "l_suppkey").union(pair("supplier", "s", "s_suppkey", "n", "s_nationkey")).union(pair("nation", "n", "n_nationkey", "r", "n_regionkey"))
 
 
 @query(f"""WITH RECURSIVE l AS ({_LINKS}), t(id) AS (SELECT 'o' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT dst FROM t JOIN l ON t.id = l.src) SELECT id FROM t""")

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 from engramlake.operators import graph, reconcile, retrieval, vectors
+from engramlake.plans import graph_queries
+from tests.conftest import SF
 
 
 def test_prefixes_take_rare_words_first():
@@ -83,3 +85,10 @@ def test_mentions_join_one_word_of_an_alias(spark):
     found = graph.mentions(texts, names, "id", "text")
     assert sorted((r.id, r.node_id) for r in found.collect()) == [(1, 1), (4, 2)]
     assert "transform" not in found._jdf.queryExecution().analyzed().toString()  # no string is made for each run of words
+
+
+def test_links_are_read_as_they_are(spark):
+    assert "Aggregate" not in graph_queries.references(spark, SF)._jdf.queryExecution().analyzed().toString()  # not all links are shuffled for each round
+    chain = [(f"a{i}", f"a{i + 1}") for i in range(30)] * 2 + [("a5", "b"), ("b", "a5"), ("z", "a1")]
+    found = graph.reachable(spark.createDataFrame(chain, "src string, dst string"), spark.createDataFrame([("a3",)], "id string"))
+    assert sorted(r.id for r in found.collect()) == sorted(["b", *(f"a{i}" for i in range(3, 31))])
