@@ -76,7 +76,8 @@ def reconciled(stated: DataFrame) -> DataFrame:
     """The rules of ``operators.reconcile`` as a stream: what becomes of each statement, by user, subject and predicate.
 
     ``stated``: user_id, id, position, created_at, claim, source_priority, confidence and importance of statements with a
-    claim, as a stream. A key's active statements are its state between batches. Rows of a batch are taken in by
+    claim, as a stream. The active statements of a user's keys are one state between batches, as most keys have so few
+    rows that a call for each would cost more than the work. Rows of a batch are taken in by
     position and id, and a row that is not beyond the last one taken in of its key comes late: it changes nothing
     and comes out with the status ``late``. Puts out what changes, and what is active after each batch, with ``turn``, the
     number of rows that the key has taken in, so that the newest row of an id (``newest``) is its state. However the
@@ -86,26 +87,31 @@ def reconciled(stated: DataFrame) -> DataFrame:
     names = [part.split()[0] for part in reconcile.RECONCILED.format(of).split(", ")]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold, last, turn = reconcile._Statements(), None, 0
-        if state.exists:
-            blob, turn = state.get
-            fold.active, last = pickle.loads(blob)
-        # a key's rows of one batch, which the order of positions needs together; the trigger bounds a batch
+        known = pickle.loads(state.get[0]) if state.exists else {}
+        # a user's rows of one batch, which the order of positions needs together; the trigger bounds a batch
         rows = pd.concat(list(frames)).sort_values(["position", "id"])
-        out = []
-        for r in rows.itertuples(index=False):
+        out, folds = [], {}
+        for r in rows.itertuples(index=False, name="Stated"):
+            at = (r.subject, r.predicate)
+            if at not in folds:
+                folds[at] = reconcile._Statements()
+                folds[at].active = known.get(at, ([], None, 0))[0]
+            _, last, turn = known.get(at, ([], None, 0))
             if last is not None and (r.position, r.id) <= last:
                 out.append((r.user_id, r.id, "late", None, None, None, None, [], -1))
                 continue
-            last, turn = (r.position, r.id), turn + 1
-            out += [(*x, turn) for x in fold.row(r)]
-        out += [(*x, turn) for x in fold.end()]
-        state.update((pickle.dumps((fold.active, last)), turn))
+            known[at] = (folds[at].active, (r.position, r.id), turn + 1)
+            out += [(*x, turn + 1) for x in folds[at].row(r)]
+        for at, fold in folds.items():
+            _, last, turn = known[at]
+            out += [(*x, turn) for x in fold.end()]
+            known[at] = (fold.active, last, turn)
+        state.update((pickle.dumps(known),))
         yield pd.DataFrame(out, columns=[*names, "turn"])
 
     keyed = stated.withColumns({"subject": F.col("claim.subject"), "predicate": F.col("claim.predicate"), "id": F.col("id").cast(of)})
     keyed = keyed.withColumns({c: F.col(c).cast("double") for c in ("source_priority", "confidence", "importance")})
-    return keyed.groupBy("user_id", "subject", "predicate").applyInPandasWithState(step, reconcile.RECONCILED.format(of) + ", turn bigint", "active binary, turn bigint", "update", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("user_id").applyInPandasWithState(step, reconcile.RECONCILED.format(of) + ", turn bigint", "known binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def with_late(events: DataFrame, updated: DataFrame, key: str, at: str) -> DataFrame:

@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 from engramlake.operators import graph, reconcile, retrieval, vectors
-from engramlake.plans import graph_queries
+from engramlake.plans import graph_queries, stream_queries
+from engramlake.streaming import ingest
 from tests.conftest import SF
 
 
@@ -92,3 +93,11 @@ def test_links_are_read_as_they_are(spark):
     chain = [(f"a{i}", f"a{i + 1}") for i in range(30)] * 2 + [("a5", "b"), ("b", "a5"), ("z", "a1")]
     found = graph.reachable(spark.createDataFrame(chain, "src string, dst string"), spark.createDataFrame([("a3",)], "id string"))
     assert sorted(r.id for r in found.collect()) == sorted(["b", *(f"a{i}" for i in range(3, 31))])
+
+
+def test_stream_is_called_once_for_a_user(spark, tmp_path, monkeypatch):
+    stated = stream_queries._stated(spark.range(0).selectExpr("id AS event_id", "id AS user_id", "'a' AS event_type"))
+    keys, group = [], type(stated).groupBy
+    monkeypatch.setattr(type(stated), "groupBy", lambda self, *c: keys.append(c) or group(self, *c))
+    ingest.reconciled(spark.readStream.schema(stated.schema).parquet(str(tmp_path)))
+    assert keys == [("user_id",)]  # not for each subject and predicate
