@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engramlake.functions.rules import given
 from engramlake.operators import ids as of_ids
 
 #: Queries that a task holds at a time, numbers in a block of the base where both are dealt into blocks, and the scores of a tile: queries by vectors.
@@ -22,9 +23,8 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 def unit(v: Column | str) -> Column:
     """A vector of length 1; zero and non-finite vectors stop the query."""
-    norm = F.sqrt(dot(v, v))
-    ok = norm.isNotNull() & (norm > 0) & (norm < float("inf"))
-    return F.transform(v, lambda x: F.when(ok, x / norm).otherwise(F.raise_error(F.lit("a vector has no direction"))))
+    ok = lambda norm: norm.isNotNull() & (norm > 0) & (norm < float("inf"))
+    return given(F.sqrt(dot(v, v)), lambda norm: F.transform(v, lambda x: F.when(ok(norm), x / norm).otherwise(F.raise_error(F.lit("a vector has no direction")))))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -32,10 +32,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _nearest(q_ids: np.ndarray, q: np.ndarray, q_of: np.ndarray, ids: np.ndarray, x: np.ndarray, x_of: np.ndarray, k: int, least: float, digits: int, planes: Planes | None = None, radius: int = 0) -> pa.RecordBatch:
+def _nearest(q_ids: np.ndarray, q: np.ndarray, q_of: np.ndarray, ids: np.ndarray, x: np.ndarray, x_of: np.ndarray, k: int, least: float, digits: int, planes: Planes | None = None, radius: int = 0, known: np.ndarray | None = None) -> pa.RecordBatch:
     """The k best rows of ``x`` with its owner for each query; ties go to the smaller id. With ``planes``, only rows in a bucket within ``radius`` of the query's.
 
     Scores are made a TILE at a time, and of later tiles only those are looked at that reach a query's k-th best so far.
+    ``known``: what each query's k-th best scores already; what is below it may be left out.
     """
     alike, out = q_ids.dtype.kind == ids.dtype.kind, []
     code = np.unique(np.concatenate([q_ids, ids]) if alike else ids, return_inverse=True)[1]  # ids as numbers of the same order
@@ -45,7 +46,7 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, q_of: np.ndarray, ids: np.ndarray
     for lo in range(0, len(q_ids), TILE[0]):
         mine = slice(lo, lo + TILE[0])
         n = len(q_ids[mine])
-        edge = np.full(n, -np.inf)
+        edge = np.full(n, -np.inf) if known is None else known[mine].copy()
         row, col, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         near = planes.within(q_sig[mine], radius) if planes else None
         for at in range(0, len(ids), TILE[1]):
@@ -66,7 +67,7 @@ def _nearest(q_ids: np.ndarray, q: np.ndarray, q_of: np.ndarray, ids: np.ndarray
             keep = (np.arange(len(row)) - first[row] < k) & (score >= least)
             row, col, score = row[keep], col[keep], score[keep]
             full = np.bincount(row, minlength=n) == k
-            edge[full] = score[np.searchsorted(row, np.flatnonzero(full), "right") - 1]
+            edge[full] = np.maximum(edge[full], score[np.searchsorted(row, np.flatnonzero(full), "right") - 1])
         out.append((q_ids[mine][row], ids[col], score))
     cols = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
     return pa.RecordBatch.from_arrays([pa.array(cols[0].astype(q_ids.dtype)), pa.array(cols[1].astype(ids.dtype)), pa.array(cols[2].astype(np.float64))], ["query_id", "id", "score"])

@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from engramlake.operators import graph, reconcile, retrieval, vectors
+from engramlake.operators import ann, graph, reconcile, retrieval, vectors
 from engramlake.plans import graph_queries, stream_queries
 from engramlake.streaming import ingest
 from tests.conftest import SF
@@ -101,3 +101,27 @@ def test_stream_is_called_once_for_a_user(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(type(stated), "groupBy", lambda self, *c: keys.append(c) or group(self, *c))
     ingest.reconciled(spark.readStream.schema(stated.schema).parquet(str(tmp_path)))
     assert keys == [("user_id",)]  # not for each subject and predicate
+
+
+def test_length_of_a_vector_is_made_once(spark):
+    plan = spark.createDataFrame([([3.0, 4.0],)], "v array<double>").select(vectors.unit("v").alias("v"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1  # not for each of its numbers
+    assert plan.first().v == [0.6, 0.8]
+
+
+def test_search_keeps_vectors_where_they_lie(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 6))
+    x[:900] = x[0]  # equal vectors, of which the first ids count
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<double>")
+    index = ann.VectorIndex(spark, str(tmp_path / "index"), cells=20)
+    index.sync(rows)
+    kept, stored = [], ann.stored
+    monkeypatch.setattr(ann, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    monkeypatch.setattr(ann, "MISSED", -1.0)  # every cell is probed
+    got = index.search(rows.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 5, exact_rows=0).orderBy("query_id", "rank").collect()
+    asked = np.arange(0, 3000, 20)
+    assert [(r.query_id, r.id, r.score) for r in got] == _best(asked, x[asked], np.arange(3000), x, 5, -1.0)
+    assert {(r.looked_at, r.path) for r in got} == {(3000, "exact_fallback")}
+    assert all(df.count() <= 150 for df in kept if "vector" in df.columns)  # not a vector for each query and cell
