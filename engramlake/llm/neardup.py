@@ -173,8 +173,8 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: int) -
     wanted = T.with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "left_semi")
     # rows that share a doc_id: the one with the smallest set stands for it
     sets = T.stored(full_sets(wanted, shingle).groupBy("doc_id").agg(F.min(F.struct("n", "shingles")).alias("s")).select("doc_id", "s.n", "s.shingles"))
-    with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
-    both = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
+    with_a = pairs.join(T.shuffled(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))), "a")
+    both = with_a.join(T.shuffled(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     kept = both.select("a", "b", common.alias("common"), (F.col("na") + F.col("nb") - common).alias("union")).filter(F.col("common") * 100 >= F.col("union") * threshold)
     return T.stored(kept.select("a", "b"))
@@ -184,7 +184,7 @@ def roots(parents: DataFrame) -> DataFrame:
     """(id, label) of a forest (id, to): where the pointers end, which double in length each round."""
     at = T.stored(parents.withColumn("moved", F.lit(True)))
     while not at.filter("moved").isEmpty():
-        x, y = at.alias("x"), at.alias("y")
+        x, y = at.alias("x"), T.shuffled(at).alias("y")
         at = T.stored(x.join(y, F.col("x.to") == F.col("y.id"), "left").select("x.id", F.coalesce("y.to", "x.to").alias("to"), F.col("y.to").isNotNull().alias("moved")))
     return at.select("id", F.col("to").alias("label"))
 
@@ -200,11 +200,11 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         step = roots(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")).filter("to < id"))
-        grown = labels.join(step.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")) if labels else step
+        grown = labels.join(T.shuffled(step.select(F.col("id").alias("label"), F.col("label").alias("to"))), "label", "left").select("id", F.coalesce("to", "label").alias("label")) if labels else step
         if labels:
-            grown = grown.union(step.join(labels, "id", "left_anti"))
+            grown = grown.union(step.join(T.shuffled(labels), "id", "left_anti"))
         labels = T.stored(grown)
-        of = lambda c: step.select(F.col("id").alias(c), F.col("label").alias(f"{c}2"))
+        of = lambda c: T.shuffled(step.select(F.col("id").alias(c), F.col("label").alias(f"{c}2")))
         moved = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
         edges = T.stored(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
@@ -226,12 +226,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
 
     keys = full.select(F.posexplode("bands").alias("band", "key"), "rep")
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1").select("key", "hub")
-    buckets = T.stored(keys.join(hubs, "key"))
+    buckets = T.stored(keys.join(T.shuffled(hubs), "key"))
     asked = buckets.filter("rep <> hub").select("rep", "hub").distinct()
     sketch = full.select("rep", "n", "m", *_ODD)
     offered = (
-        asked.join(sketch.alias("x"), "rep").drop(F.col("x.rep")).alias("x")
-        .join(sketch.withColumnRenamed("rep", "other").alias("y"), F.col("x.hub") == F.col("y.other"))
+        asked.join(T.shuffled(sketch).alias("x"), "rep").drop(F.col("x.rep")).alias("x")
+        .join(T.shuffled(sketch).withColumnRenamed("rep", "other").alias("y"), F.col("x.hub") == F.col("y.other"))
         .filter(_may_link("x", "y", threshold))
         .select("x.rep", "x.hub", _odd_distance("x", "y").alias("d"))
     )
@@ -239,13 +239,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     # a hub is smaller than its member and each member has one, so the confirmed links are a forest
     labels = roots(confirmed(docs, first, shingle, threshold).select(F.col("b").alias("id"), F.col("a").alias("to")))
 
-    member = T.stored(buckets.select("key", "band", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("label", "rep").alias("label")))
+    member = T.stored(buckets.select("key", "band", "rep").join(T.shuffled(labels).withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("label", "rep").alias("label")))
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    rest = T.stored(member.join(mixed, "key").join(full.select("rep", "n", "m", *_ODD, "bands"), "rep"))
+    rest = T.stored(member.join(T.shuffled(mixed), "key").join(T.shuffled(full.select("rep", "n", "m", *_ODD, "bands")), "rep"))
     # the larger set of a link is of the smaller one's size class or of the next, so a bucket of many lengths falls into parts
     size = F.floor(F.log("n") / (math.log(100 / threshold) + 0.01))
     x = rest.withColumn("size", F.explode(F.array(size, size + 1))).alias("x")
-    y = rest.withColumn("size", size).alias("y")
+    y = T.shuffled(rest).withColumn("size", size).alias("y")
     ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.label") < F.col("y.label")))
     before = F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("x.band")))
     same_part = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size"))
@@ -253,17 +253,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
         x.join(y, same_part & ordered & (F.col("x.label") != F.col("y.label")) & _may_link("x", "y", threshold) & ~before)
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
         .distinct()
-        .join(first, ["a", "b"], "left_anti")
+        .join(T.shuffled(first), ["a", "b"], "left_anti")
     )
     cross = T.stored(cross)
     if not cross.isEmpty():
         more = confirmed(docs, cross.select("a", "b").distinct(), shingle, threshold)
-        joined = components(cross.join(more, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        joined = components(cross.join(T.shuffled(more), ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
         moved = joined.select(F.col("id").alias("label"), F.col("label").alias("to"))
-        labels = T.stored(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")).union(joined.join(labels, "id", "left_anti")))
+        labels = T.stored(labels.join(T.shuffled(moved), "label", "left").select("id", F.coalesce("to", "label").alias("label")).union(joined.join(T.shuffled(labels), "id", "left_anti")))
 
-    named = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component_id"))
-    out = base.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    named = reps.join(T.shuffled(labels).withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("component_id"))
+    out = base.select("doc_id", "n", "h1", "h2").join(T.shuffled(named), ["h1", "h2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 

@@ -200,7 +200,16 @@ def bounded(df: DataFrame, most: int, key: str, rows: int | None = None) -> Data
 BROADCAST_IDS = 500_000
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join by a shuffle on both sides, however small Spark takes them to be.
+
+    It takes an exploded array for no larger than its file, and columns of which a file holds each value once for as small in memory as there,
+    so it would send such tables whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def with_ids(df: DataFrame, ids: DataFrame, how: str, most: int = BROADCAST_IDS) -> DataFrame:
     """``df`` joined left_semi or left_anti with the doc_id of ``ids``, which should be stored; broadcast after a check of its size."""
     ids = ids.select("doc_id").distinct()
-    return df.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", how)
+    return df.join(F.broadcast(ids) if ids.count() <= most else shuffled(ids), "doc_id", how)
