@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 from engramlake.llm import neardup
 from engramlake.llm import text as T
+from tests.conftest import SF
 
 
 def _watched(monkeypatch) -> list[str]:
@@ -41,3 +43,11 @@ def test_near_duplicates_are_not_broadcast(spark, monkeypatch):
     kept = neardup.deduplicate(docs)
     plans.append(kept._jdf.queryExecution().executedPlan().toString())
     assert not any("Broadcast" in p for p in plans)
+
+
+def test_pipeline_stages_are_not_broadcast(spark, monkeypatch):
+    plans = _watched(monkeypatch)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = T.stored(stage(spark, docs, SF))
+    assert not any("Broadcast" in p for p in plans)
