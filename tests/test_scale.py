@@ -141,3 +141,50 @@ def test_rules_are_tried_on_texts_with_their_words(spark, monkeypatch):
     monkeypatch.undo()
     said = spark.createDataFrame([("I LIVE in Rome. My name is Rex",), ("I don\u2019t like tea",), ("Actually, I work at Acme",)], "text string")
     assert [(r.c.one is not None, [x.predicate for x in r.c.all]) for r in said.select(claims.claims_of(c).alias("c")).collect()] == [(False, ["residence", "name"]), (True, ["taste"]), (True, ["employer"])]
+
+
+def test_similar_texts_meet_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = np.sort(rng.integers(1, 900, 300))
+    sets = [rng.choice(2**62, k, replace=False) for k in n]
+    sets += [s[rng.random(len(s)) > rng.random() * 0.3] for s in sets]
+    sets = [np.asarray(s, np.int64) for s in sets if len(s)]
+    size, maps = reconcile._bitmaps(pa.array([s.tolist() for s in sets], pa.list_(pa.int64())))
+    words = [frozenset(s.tolist()) for s in sets]
+    low = 0.75
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(words[i] & words[j]) >= low * len(words[i] | words[j])}
+    classes = {}
+    for c, k, b in zip(reconcile._size_class(size).tolist(), size.tolist(), (len(m.as_py()) for m in maps), strict=True):
+        r, total, lo, hi = classes.get(c, (0, 0, k, k))
+        classes[c] = (r + 1, total + b, min(lo, k), max(hi, k))
+    of, where, tiles = reconcile._blocks([(c, *v) for c, v in classes.items()], low, 20)
+    assert tiles > 20 and any(parts > 1 for _, parts in of.values())
+    held = {}
+    for i, c in enumerate(reconcile._size_class(size).tolist()):
+        first, parts = of[c]
+        for tile, side in where[first + i % parts]:
+            held.setdefault(tile, []).append((i, side))
+    assert max(map(len, held.values())) <= 60
+    got = []
+    for rows in held.values():
+        rows, side = (np.array(x) for x in zip(*rows, strict=True))
+        a, b = reconcile._near(size[rows], maps.take(pa.array(rows)), side, low)
+        got += [tuple(sorted(x)) for x in zip(rows[a].tolist(), rows[b].tolist(), strict=True)]
+    assert len(got) == len(set(got)) and want <= set(got) and len(got) < 1.2 * len(want)
+    # texts of one wording but for few words: no pair is written before its bitmaps met, none goes through the driver
+    texts = [" ".join([f"a{x}" for x in range(60)] + [f"b{i}w{x}" for x in range(60)]) for i in range(300)]
+    texts += [t + " more" for t in texts[:20]] + texts[:5]
+    plans, made = [], []
+
+    def stored(df, store=reconcile.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = store(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(reconcile, "stored", stored)
+    monkeypatch.setattr(reconcile, "BROADCAST_IDS", -1)
+    found = reconcile.similar_pairs(spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "id long, text string"))
+    assert not any("Broadcast" in p for p in [*plans, found._jdf.queryExecution().executedPlan().toString()])
+    assert sorted(map(tuple, found.collect())) == [(i + 1, i + 301, round(120 / 121, 6)) for i in range(20)]
+    assert max(made) <= len(texts)  # words that all texts have made 44,850 pairs of them
