@@ -188,3 +188,13 @@ def test_similar_texts_meet_in_tiles(spark, monkeypatch):
     assert not any("Broadcast" in p for p in [*plans, found._jdf.queryExecution().executedPlan().toString()])
     assert sorted(map(tuple, found.collect())) == [(i + 1, i + 301, round(120 / 121, 6)) for i in range(20)]
     assert max(made) <= len(texts)  # words that all texts have made 44,850 pairs of them
+
+
+def test_groups_of_similar_texts_are_cut(spark, monkeypatch):
+    texts = [" ".join([f"a{x}" for x in range(40)] + [f"b{i}"]) for i in range(60)]
+    monkeypatch.setattr(reconcile, "TASK_PAIRS", 100)
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(reconcile, "_shared_words", lambda pairs, sets, kind, f=reconcile._shared_words: (seen.add(int(pairs.num_rows > 300)), f(pairs, sets, kind))[1])
+    got = reconcile.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).collect()
+    assert sorted(map(tuple, got)) == [(i, j, round(40 / 42, 6)) for i in range(60) for j in range(i + 1, 60)]
+    assert seen.value == 0
